@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 SCAN_LIMIT = 192
 #: Words kept by a worker before its table is emptied.
-MEMO_WORDS = 400_000
+MEMO_WORDS = 1_000_000
 #: Characters that are split into words at once.
 SEGMENT_CHARS = 1 << 20
 _NO_RANK = sys.maxsize
@@ -35,6 +35,9 @@ _NO_RANK = sys.maxsize
 _SEPARATORS = "\x1c\x1d\x1e\x1f"
 WHITE_SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
+#: In ASCII texts, what has white space next to a space.
+_BESIDE_SPACE = ("  ", " \n", "\n ", "\t", "\r", "\x0b", "\x0c")
+
 
 def default_tokenizer(name: str) -> str:
     import public_tokenizers
@@ -75,10 +78,10 @@ class Merges:
         self.suffix: str = model.get("end_of_word_suffix") or ""
         self.special = {t["content"]: t["id"] for t in stored["added_tokens"] if t["special"]}
         self.special_split = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.pairs: dict[tuple[int, int], int] = {}
+        self.pairs: dict[int, int] = {}  # both ids in one number
         self.made: list[int] = []
         for left, right in model["merges"]:
-            pair = (self.vocab[left], self.vocab[right])
+            pair = self.vocab[left] << 32 | self.vocab[right]
             if pair not in self.pairs:
                 self.pairs[pair] = len(self.made)
                 self.made.append(self.vocab[left + right])
@@ -102,7 +105,7 @@ class Merges:
 
     def _scan(self, ids: list[int]) -> list[int]:
         rank = self.pairs.get
-        ranks = [rank(pair, _NO_RANK) for pair in zip(ids, ids[1:])]
+        ranks = [rank(a << 32 | b, _NO_RANK) for a, b in zip(ids, ids[1:])]
         while ranks:
             least = min(ranks)
             if least == _NO_RANK:
@@ -111,39 +114,43 @@ class Merges:
             ids[at] = self.made[least]
             del ids[at + 1], ranks[at]
             if at < len(ranks):
-                ranks[at] = rank((ids[at], ids[at + 1]), _NO_RANK)
+                ranks[at] = rank(ids[at] << 32 | ids[at + 1], _NO_RANK)
             if at:
-                ranks[at - 1] = rank((ids[at - 1], ids[at]), _NO_RANK)
+                ranks[at - 1] = rank(ids[at - 1] << 32 | ids[at], _NO_RANK)
         return ids
 
     def _heap(self, ids: list[int]) -> list[int]:
         n = len(ids)
         after, before, alive = list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n
         rank = self.pairs.get
-        heap = [(r, i) for i in range(n - 1) if (r := rank((ids[i], ids[i + 1]), _NO_RANK)) != _NO_RANK]
+        heap = [(r, i) for i in range(n - 1) if (r := rank(ids[i] << 32 | ids[i + 1], _NO_RANK)) != _NO_RANK]
         heapq.heapify(heap)
         while heap:
             least, at = heapq.heappop(heap)
-            if not alive[at] or (right := after[at]) >= n or rank((ids[at], ids[right]), _NO_RANK) != least:
+            if not alive[at] or (right := after[at]) >= n or rank(ids[at] << 32 | ids[right], _NO_RANK) != least:
                 continue
             ids[at], alive[right], after[at] = self.made[least], False, after[right]
             if after[at] < n:
                 before[after[at]] = at
             for left in (before[at], at):
-                if left >= 0 and after[left] < n and (r := rank((ids[left], ids[after[left]]), _NO_RANK)) != _NO_RANK:
+                if left >= 0 and after[left] < n and (r := rank(ids[left] << 32 | ids[after[left]], _NO_RANK)) != _NO_RANK:
                     heapq.heappush(heap, (r, left))
         return [x for x, kept in zip(ids, alive) if kept]
 
 
 class _Memo(dict):
-    def __init__(self, make):
+    """A table of at most MEMO_WORDS results of ``make``; keys that ``keep`` refuses are made anew each time."""
+
+    def __init__(self, make, keep=None):
         super().__init__()
-        self.make = make
+        self.make, self.keep = make, keep
 
     def __missing__(self, key):
-        if len(self) >= MEMO_WORDS:
-            self.clear()
-        self[key] = made = self.make(key)
+        made = self.make(key)
+        if self.keep is None or self.keep(key):
+            if len(self) >= MEMO_WORDS:
+                self.clear()
+            self[key] = made
         return made
 
 
@@ -163,12 +170,17 @@ class ByteLevelBpe:
         self.odd = re.compile("[" + "".join(map(re.escape, odd)) + _SEPARATORS + "]")
         self.plain_words = re.compile(r" ?[^\W\d_]+| ?\d+|'s|'t|'re|'ve|'m|'ll|'d| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
         self.cut = re.compile(rf"(?<=[^{WHITE_SPACE}]) (?=[^{WHITE_SPACE}])")
+        self.spaced = re.compile(rf" [{WHITE_SPACE}]|[{WHITE_SPACE}] ")
         self.memo = _Memo(self._encode_word)
+        self.units = _Memo(self._encode_unit, lambda unit: "\n" not in unit)
         self.decimal = [f"{i}," for i in range(self.merges.size)]
 
     def _encode_word(self, word: str) -> bytes:
         return np.array(self.merges.word(word.encode()), self.dtype).tobytes()
 
+    def _encode_unit(self, unit: str) -> bytes:
+        return b"".join(map(self.memo.__getitem__, self.split(f" {unit}")))
+
     def segments(self, text: str) -> Iterator[str]:
         """Pieces of about SEGMENT_CHARS, cut before a single space between two other characters: no token spans that."""
         start = 0
@@ -193,7 +205,14 @@ class ByteLevelBpe:
                 yield np.array([self.merges.special[part]], self.dtype).tobytes()
                 continue
             for segment in self.segments(part):
-                yield b"".join(map(self.memo.__getitem__, self.split(segment)))
+                yield self.segment_ids(segment)
+
+    def segment_ids(self, segment: str) -> bytes:
+        """A single space between other characters always begins a token: what follows it is looked up as one unit."""
+        if any(c in segment for c in _BESIDE_SPACE) if segment.isascii() else self.spaced.search(segment):
+            return b"".join(map(self.memo.__getitem__, self.split(segment)))
+        first, *rest = segment.split(" ")
+        return b"".join([*map(self.memo.__getitem__, self.split(first)), *map(self.units.__getitem__, rest)])
 
     def encode_bytes(self, text: str) -> bytes:
         return b"".join(self.pieces(text))

@@ -6,11 +6,25 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tiewright.llm import decontaminate
 from tiewright.llm.bpe import op3_bpe_roundtrip
+from tiewright.llm.fingerprint import op9_document_fingerprints
+from tiewright.llm.language_model import op6_lm_score
+from tiewright.llm.license_scan import op1_license_scan
+from tiewright.llm.secrets import op7_secret_scan
+from tiewright.llm.simhash import op10_simhash_components
 from tiewright.llm.token_counts import op5_token_counts
-
-QUERIES = {f.__name__: f for f in (op3_bpe_roundtrip, op5_token_counts)}
-ORACLES: dict[str, str] = {}
+from tiewright.llm.token_store import op8_token_store
+from tiewright.llm.toxicity import op2_toxicity
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_license_scan, op2_toxicity, op3_bpe_roundtrip, decontaminate.op4_benchmark_decontamination, op5_token_counts,
+        op6_lm_score, op7_secret_scan, op8_token_store, op9_document_fingerprints, op10_simhash_components,
+    )
+}
+ORACLES: dict[str, str] = {"op4_benchmark_decontamination": decontaminate.SQL}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
