@@ -1,0 +1,319 @@
+import hashlib
+import math
+import random
+import re
+import unicodedata
+import zlib
+from collections import Counter
+
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from tiewright.llm import decontaminate as D
+from tiewright.llm import fingerprint as P
+from tiewright.llm import language_model as M
+from tiewright.llm import license_scan as L
+from tiewright.llm import secrets as S
+from tiewright.llm import toxicity as X
+
+SF = "/root/testdata/sf0.001"
+
+
+def documents(spark):
+    return [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+
+
+def crc(key):
+    return zlib.crc32(str(key).encode())
+
+
+# ---------------------------------------------------------------- decontamination
+
+
+def plain_containments(docs, items, t=0.8, width=5):
+    out = []
+    for d, text in docs:
+        words = re.findall(r"[^\W_]+", (text or "").lower())
+        for i, item in items:
+            ws = re.findall(r"[^\W_]+", (item or "").lower())
+            k = min(width, len(ws))
+            if not k:
+                continue
+            grams = lambda x: {tuple(x[j : j + k]) for j in range(len(x) - k + 1)}
+            own, shared = grams(ws), len(grams(ws) & grams(words))
+            if shared >= t * len(own):
+                out.append((d, i, len(own), shared))
+    return sorted(out, key=str)
+
+
+def test_containment_against_brute_force(spark, monkeypatch):
+    rng = random.Random(1)
+    word = lambda: rng.choice("ab cd ef gh ij kl mn op qr st".split()) + str(rng.randrange(9))
+    items = [(i, " ".join(word() for _ in range(rng.choice([1, 3, 5, 8, 30, 200])))) for i in range(60)] + [(60, ""), (61, None), (62, "!!"), (3, items_copy := "one two three four five six")]
+    docs = []
+    for d in range(120):
+        ws = [word() for _ in range(rng.randrange(400))]
+        if d % 2:
+            item = rng.choice(items)[1] or ""
+            part = [w if rng.random() > 0.02 else "X" for w in item.split()]
+            at = rng.randrange(len(ws) + 1)
+            ws[at:at] = part
+        docs.append((d, " ".join(ws).upper() if d % 3 else ", ".join(ws)))
+    docs += [(5, items_copy), (5, items_copy), (None, items_copy), (7, None), (8, "")]
+    frame, bench = spark.createDataFrame(docs, "doc_id long, text string").withColumn("item_id", F.lit("x")), spark.createDataFrame(items, "item_id long, text string")
+    want = plain_containments(docs, items)
+    assert len(want) > 40
+    for size in (1 << 24, 1500):
+        monkeypatch.setattr(D, "BLOCK_BYTES", size)
+        got = sorted([tuple(r)[:4] for r in D.containments(frame, bench).collect()], key=str)
+        assert got == want
+        kept = D.without_items(frame, bench)
+        hit = Counter((t or "") for d, t in docs if any(x[0] == d for x in want))
+        assert kept.count() == sum(not plain_containments([x], items) for x in docs) and hit
+        assert kept.columns == frame.columns
+    assert D.containments(frame.limit(0), bench).count() == D.containments(frame, bench.limit(0)).count() == 0
+    assert D.without_items(frame, bench.limit(0)).count() == len(docs)
+
+
+# ---------------------------------------------------------------- secrets
+
+
+def plain_base(text):
+    found = []
+    for m in re.finditer(r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text):
+        if len(m.group(2)) >= 6:
+            found.append((m.start(), 0, m.end()))
+    for kind, pattern, least in ((1, r"AKIA[A-Z0-9]+", 20), (2, r"[0-9a-f]+", 24)):
+        found += [(m.start(), kind, m.end()) for m in re.finditer(pattern, text) if m.end() - m.start() >= least]
+    return sorted(found)
+
+
+def test_base_spans_against_plain_patterns():
+    rng = random.Random(9)
+    parts = ["password", "PASSWD", "secret", "token", "api_key", "ApiKey", '"', "'", " ", ":", "=", "abc", "AKIA", "0123456789abcdef", "ABCDEF12", "é", "\n", "ſecret", "K", "x", "-", "/"]
+    for _ in range(5000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randrange(14)))
+        assert [x for x in S.find(text) if x[1] < 3] == plain_base(text)
+
+
+def test_ledger_scans_unseen_pairs_only(spark, tmp_path):
+    versions = [("a", "token = abcdef123"), ("b", "token = abcdef123"), ("c", None), ("d", ""), ("e", "x" * 300_000 + " AKIA" + "A1" * 9), ("b", "token = abcdef123")]
+    frame = spark.createDataFrame(versions, "path string, text string").withColumn("blob", F.lit("clash"))
+    ledger = S.Ledger(spark, f"file://{tmp_path}/ledger")
+    assert ledger.findings() is None
+    ledger.add(frame)
+    assert ledger.findings().count() == 3
+    ledger.add(frame)
+    assert ledger.findings().count() == 3
+    later = frame.unionByName(spark.createDataFrame([("f", "jwt eyJhbGciOi.eyJzdWIiOi.c2lnbmF0dXJl", "z")], "path string, text string, blob string"))
+    ledger.add(later)
+    assert ledger.findings().count() == 4
+    got = {r.doc_id: r.spans for r in ledger.report(later, key="path").collect()}
+    assert got["a"] == got["b"] == "assign:0:17" and got["c"] == got["d"] == "" and got["e"] == "access:300001:300023"
+    assert ledger.report(later, key="path").count() == 7
+    assert S.scan(frame.limit(0), key="path").count() == 0
+
+
+def test_redaction_keeps_everything_else(spark):
+    rows = [(1, "a token = 'abcdef123456789012345678abcdef' end", 99), (2, None, None), (3, "clean", 5), (4, "user https://me:secret:abcdefg@host", 1)]
+    out = {r.doc_id: (r.text, r.n_chars) for r in S.redacted(spark.createDataFrame(rows, "doc_id long, text string, n_chars long")).collect()}
+    assert out[1][0] == "a token = '[assign]' end" and out[1][1] == len(out[1][0])
+    assert out[2] == (None, None) and out[3] == ("clean", 5)
+    assert "abcdefg" not in out[4][0]
+
+
+def test_secret_query_on_whole_table(spark):
+    want = {}
+    for d, t in documents(spark):
+        base = plain_base(t)
+        text = ",".join(f"{('assign', 'access', 'hex')[k]}:{a}:{b}" for a, k, b in base)
+        want[d] = (*(sum(x[1] == i for x in base) for i in range(3)), hashlib.sha256(text.encode()).hexdigest())
+    assert {r.doc_id: (r.n_assign, r.n_access, r.n_hex, r.base_sha256) for r in S.op7_secret_scan(spark, SF).collect()} == want
+
+
+# ---------------------------------------------------------------- fingerprints
+
+
+def canon(t):
+    return re.sub(r"[\s\x85\xa0  -     　]+", " ", unicodedata.normalize("NFC", t).lower()).strip(" ")
+
+
+def plain_edits(rows):
+    rows = sorted(((d, t or "") for d, t in rows), key=lambda r: (r[0] is not None, r[0] or 0, r[1].encode()))
+    out = []
+    for (d, t), (_, following) in zip(rows, [*rows[1:], rows[0]]):
+        half = len(t) // 2
+        edit = t[: len(t) - half] + following[:half]
+        out.append((d, len(t), hashlib.sha256(edit.encode()).hexdigest(), float(canon(t) == canon(edit)), float(canon(t) == canon(following))))
+    return out
+
+
+def digests(t):
+    raw = canon(t).encode()
+    return f"{xxhash.xxh64_intdigest(raw, 42):016x}"
+
+
+@pytest.mark.parametrize("parts", [2, 8])
+def test_edits_against_plain_version(spark, parts):
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    rows = [(i * 3, f"text {i} é́ \U0001f600 " * (i % 7)) for i in range(60)] + [(5, None), (6, ""), (7, "Same"), (8, "same "), (8, "same "), (9, "SAME"), (None, "n"), (None, None), (400, "x " * 90_000)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").withColumn("canon", F.lit("clash"))
+    got = [(r.doc_id, r.n_chars, r.edited_sha256, r.near_edited, r.near_next) for r in P.edit_report(frame).collect()]
+    spark.conf.set("spark.sql.shuffle.partitions", 8)
+    assert sorted(got, key=str) == sorted(plain_edits(rows), key=str)
+    assert P.edit_report(frame.limit(0)).count() == 0
+    assert P.edit_report(frame.where("doc_id = 400")).count() == 1
+
+
+def test_equal_forms_share_a_group(spark):
+    rows = [(4, "Café  au\nlait"), (2, " café AU LAIT"), (7, "cafe au lait"), (9, None), (3, "  "), (None, "")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    groups = {r.group_id: r.n_copies for r in P.exact_groups(frame).collect()}
+    assert groups == {2: 2, 7: 1, 3: 3}
+    first = {r.doc_id: r.fp for r in frame.select("doc_id", P.fingerprint(F.coalesce("text", F.lit(""))).alias("fp")).collect()}
+    assert first[4] == first[2] and first[4][:16] == digests(rows[0][1]) and first[9] == first[3]
+
+
+def test_fingerprint_query_on_whole_table(spark):
+    docs = documents(spark)
+    got = P.op9_document_fingerprints(spark, SF).collect()
+    assert sorted((r.doc_id, r.n_chars, r.edited_sha256, r.near_edited, r.near_next) for r in got) == sorted(plain_edits(docs))
+    least = {}
+    for d, t in docs:
+        least[canon(t)] = min(least.get(canon(t), d), d)
+    assert {r.doc_id: r.group_id for r in got} == {d: least[canon(t)] for d, t in docs}
+
+
+# ---------------------------------------------------------------- language model
+
+
+def plain_base_scores(docs):
+    words = {d: re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")) + [""] for d, t in docs}
+    counts = Counter(w for d in words if crc(d) % 10 for w in words[d])
+    n, v = sum(counts.values()), len(counts)
+    return {d: (crc(d) % 10 == 0, len(ws), sum(counts[w] > 0 for w in ws), n, sum(math.log10((counts[w] + 0.1) / (n + 0.1 * (v + 1))) for w in ws)) for d, ws in words.items()}
+
+
+@pytest.mark.parametrize("hot", [M.HOT_WORDS, 50])
+def test_lm_query_against_plain_base(spark, monkeypatch, hot):
+    monkeypatch.setattr(M, "HOT_WORDS", hot)
+    want = plain_base_scores(documents(spark))
+    for r in M.op6_lm_score(spark, SF).collect():
+        held, n, known, total, base = want[r.doc_id]
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held, n, known, total)
+        assert math.isclose(r.base_score, base, rel_tol=1e-9)
+        assert r.score < 0
+
+
+def trained(spark, texts):
+    rows = spark.createDataFrame([(t,) for t in texts], "body string")
+    return M.train(rows, M.word_counts(rows))
+
+
+def test_states_are_distributions(spark, monkeypatch):
+    monkeypatch.setattr(M, "MAX_ARCS", 40)
+    texts = ["the cat sat on the mat", "the cat ran", "a dog sat on a cat", "The dog", ""] * 3 + ["zebra quilt"]
+    model = trained(spark, texts)
+    for context in model.speller.failure:
+        assert math.isclose(sum(10 ** model.speller.step(context, s)[1] for s in range(257)), 1, rel_tol=1e-9)
+    known = sum(10 ** model.free) - sum(10 ** (model.failure + model.speller.spell(w)) for w in model.number)
+    assert math.isclose(known + 10**model.failure, 1, rel_tol=1e-9)
+    for state in range(model.contexts + 1):
+        arcs = [i for i, k in enumerate(model.keys) if k >> M.KEY_BITS == state]
+        after = model.keys[arcs] & ((1 << M.KEY_BITS) - 1)
+        left = 10 ** model.spare[state] * (1 - sum(10 ** model.free[after]))
+        assert math.isclose(sum(10 ** model.arcs[arcs]) + left, 1, rel_tol=1e-9)
+
+
+def test_score_is_one_traversal(spark):
+    rng = random.Random(6)
+    texts = [" ".join(rng.choice("the a cat dog sat on mat".split()) for _ in range(rng.randrange(12))) for _ in range(200)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(500, None), (501, "unseen wörds the CAT"), (501, "unseen wörds the CAT"), (None, "the")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").withColumn("score", F.lit("clash"))
+    out = M.score(frame).collect()
+    assert len(out) == len(rows)
+    model = trained(spark, [t or "" for d, t in rows if d is None or crc(d) % 10])
+    arcs = dict(zip(model.keys.tolist(), model.arcs.tolist()))
+    for d, t in rows:
+        state, total = model.contexts, 0.0
+        for w in M.tokens(t or ""):
+            i = model.number.get(w, -1)
+            key = state << M.KEY_BITS | i
+            if state >= 0 and i >= 0 and key in arcs:
+                total += arcs[key]
+            else:
+                total += (model.spare[state] if state >= 0 else 0) + (model.free[i] if i >= 0 else model.terms(w, 0)[1])
+            state = i if 0 <= i < model.contexts else -1
+        assert any(math.isclose(r.score, total, rel_tol=1e-9) for r in out if r.doc_id == d)
+    assert M.score(frame.limit(0)).count() == 0
+
+
+# ---------------------------------------------------------------- toxicity
+
+
+def test_toxicity_is_learned_and_held_out(spark):
+    d = "/root/testdata/sf0.1"
+    rows = X.op2_toxicity(spark, d).join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").collect()
+    held = [r for r in rows if r.held_out]
+    assert all(r.held_out == (crc(r.doc_id) % 4 == 2) and 0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in rows)
+    right = sum(r.predicted == r.toxic for r in held) / len(held)
+    assert right >= 0.97, right
+    toxic, other = [r.score for r in held if r.toxic], [r.score for r in held if not r.toxic]
+    assert sum((t > o) + (t == o) / 2 for t in toxic for o in other) / (len(toxic) * len(other)) > 0.95
+
+
+def test_grammar_composes_clauses():
+    g = X.Grammar({}, 0, 0)
+    channel = lambda t: dict(zip(X.CHANNELS, g.channels(t)))
+    assert channel("You are an idiot.")["aimed"] > 0 and channel("What an idiot.")["plain"] > 0
+    assert channel("He is not an idiot")["negated"] > 0 and channel('They said "idiot" twice')["reported"] > 0
+    assert channel("I will kill you")["threat"] > 0 and channel("kill the process")["threat"] == 0
+    assert channel("A moron. Not now.")["negated"] == 0
+    assert not any(g.channels("")) and not any(g.channels("idiotic weather"))
+
+
+def test_toxicity_edge_cases(spark):
+    docs = spark.createDataFrame([(1, None, 1.0), (2, "", 1.0), (3, "you idiot " * 50_000, 1.0), (3, "you idiot " * 50_000, 1.0), (None, "x", 1.0)], "doc_id long, text string, score double")
+    none = spark.createDataFrame([], "doc_id long, toxic int")
+    some = spark.createDataFrame([(1, 0), (3, 1), (3, None), (None, 1)], "doc_id long, toxic int")
+    for labels in (none, some):
+        kept = X.clean_documents(docs, labels)
+        assert kept.columns == docs.columns
+        assert X.scored(docs, X.train(docs, labels)).count() == 5
+    assert X.clean_documents(docs, none).count() == 3
+    assert X.clean_documents(docs.limit(0), some).count() == 0
+
+
+# ---------------------------------------------------------------- licences
+
+
+@pytest.fixture(scope="module")
+def classifier(spark):
+    return L.LicenceClassifier(spark)
+
+
+def test_families_of_unseen_paragraphs(spark, classifier):
+    cases = [
+        ("This work is licensed under the GNU General Public License, version 2.", "GPL"), ("Licensed under CC BY-NC 2.5.", "CC-BY-NC"), ("Released under the MIT License!", "MIT"),
+        ("# Licensed under the Apache License, Version 2.0 (the License)", "Apache"), ("code: SPDX-License-Identifier: MPL-2.0", "MPL"),
+        ("Her driver license expired.", "unknown"), ("The license plate was found in the lake by two men.", "unknown"), (None, "unknown"), ("", "unknown"),
+    ]
+    rows = classifier.classify(spark.createDataFrame(cases, "paragraph string, want string")).collect()
+    for r in rows:
+        assert (r.family if r.confirmed else "unknown") == r.want, (r.paragraph, r.family, r.probability, r.confirmed)
+
+
+def test_license_edge_cases(spark, classifier):
+    rows = [(1, "plain\nReleased under the MIT License.\nmore"), (1, "plain\nReleased under the MIT License.\nmore"), (2, None), (3, ""), (None, "Her license is lost."), (4, "word " * 100_000 + "\nLicensed under CC BY-NC 4.0.\r\nReleased under the MIT License.")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").withColumn("label", F.lit("clash")).withColumn("row", F.lit(1))
+    got = sorted(((r.doc_id or 0, r.n_paragraphs, r.n_candidates, r.n_confirmed, r.licence or "-", r.licences) for r in L.scan(frame, classifier).collect()))
+    assert got[:5] == [(0, 1, 1, 0, "unknown", ""), (1, 3, 1, 1, "MIT", "MIT"), (1, 3, 1, 1, "MIT", "MIT"), (2, 0, 0, 0, "-", ""), (3, 0, 0, 0, "-", "")]
+    assert got[5][1:4] == (3, 2, 2) and got[5][5] == "CC-BY-NC,MIT"
+    assert L.scan(frame.limit(0), classifier).count() == 0
+
+
+def test_anchors_are_in_every_notice():
+    for notices in L.NOTICES.values():
+        for n in notices:
+            assert re.search(L.ANCHORS, n), n

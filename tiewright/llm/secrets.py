@@ -55,20 +55,17 @@ def describe(spans: list[tuple[int, int, int]]) -> tuple[int, int, int, str, str
     return (*(sum(k == i for _, k, _ in spans) for i in range(3)), hashlib.sha256(base.encode()).hexdigest(), ",".join(shown))
 
 
-def redact(text: str) -> str:
-    """The text with every secret replaced by its kind; of an assignment, only the value."""
+def redact(text: str, spans: str) -> str:
+    """The text with every secret of ``spans`` replaced by its kind; of an assignment, only the value."""
     cuts = []
-    for a, k, b in find(text):
-        if k == 0:
-            a = ASSIGN.match(text, a).start(2)
-        cuts.append((a, b, KINDS[k]))
+    for kind, a, b in (x.split(":") for x in spans.split(",") if x):
+        start = int(a)
+        cuts.append((ASSIGN.match(text, start).start(2) if kind == "assign" else start, int(b), kind))
     out, at = [], 0
     for a, b, kind in sorted(cuts):
-        if b <= at:
-            continue
         if a >= at:
             out += [text[at:a], f"[{kind}]"]
-        at = b
+        at = max(at, b)
     return "".join([*out, text[at:]])
 
 
@@ -90,16 +87,25 @@ class Ledger:
     def add(self, versions: DataFrame, text: str = "text") -> None:
         """Scan the blobs of ``versions`` that the ledger has not seen under these rules, and append their findings."""
         texts = versions.select(whole_text(text).alias("body")).select(F.sha2("body", 256).alias("blob"), "body")
-        blobs = texts.groupBy("blob").agg(F.first("body").alias("body"))
         if (seen := self.findings()) is not None:
-            blobs = blobs.join(seen.select("blob"), "blob", "left_anti")
+            texts = texts.join(seen.select("blob"), "blob", "left_anti")
+
+        def once(batches):
+            """One text for each blob of a task, before the shuffle."""
+            met: set = set()
+            for batch in batches:
+                yield batch.take(pa.array([i for i, b in enumerate(batch.column(0).to_pylist()) if b not in met and not met.add(b)], pa.int64()))
 
         def run(batches):
+            met: set = set()
             for batch in batches:
-                rows = [describe(find(t)) for t in batch.column(1).to_pylist()]
-                columns = list(zip(*rows)) if rows else [()] * 5
+                fresh = [i for i, b in enumerate(batch.column(0).to_pylist()) if b not in met and not met.add(b)]
+                batch = batch.take(pa.array(fresh, pa.int64()))
+                columns = list(zip(*(describe(find(t)) for t in batch.column(1).to_pylist()))) or [()] * 5
                 yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in columns[:3]), *(pa.array(c, pa.string()) for c in columns[3:])], names=[x.split()[0] for x in FINDINGS.split(", ")])
 
+        parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        blobs = texts.mapInArrow(once, "blob string, body string").repartition(parts, "blob")
         blobs.mapInArrow(run, FINDINGS).write.mode("append").parquet(f"{self.folder}/rules={RULES_VERSION}")
 
     def report(self, versions: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -119,6 +125,29 @@ def scan(versions: DataFrame, ledger: Ledger | None = None, text: str = "text",
     return ledger.report(versions, text, key)
 
 
+def redacted(docs: DataFrame, ledger: Ledger | None = None, text: str = "text") -> DataFrame:
+    """``docs`` with the secrets in their texts replaced by their kinds; n_chars, if there is one, follows a changed text.
+
+    The ledger says which blobs have findings; rows of other blobs, null texts among them, stay as they are.
+    """
+    spark = docs.sparkSession
+    ledger = ledger or Ledger(spark, f"{shared_dir(spark)}/ledger-{uuid.uuid4().hex}")
+    ledger.add(docs, text)
+    found = ledger.findings().where("spans <> ''").select(F.col("blob").alias("__blob"), F.col("spans").alias("__spans"))
+
+    @F.pandas_udf("string")
+    def clean(texts, spans):
+        return texts.combine(spans, lambda t, s: redact(t, s) if s else t)
+
+    joined = docs.withColumn("__blob", F.sha2(whole_text(text), 256)).join(found, "__blob", "left")
+    changed = F.col("__spans").isNotNull()
+    joined = joined.withColumn("__clean", clean(whole_text(text), F.coalesce("__spans", F.lit(""))))
+    columns = {text: F.when(changed, F.col("__clean")).otherwise(F.col(text))}
+    if "n_chars" in docs.columns:
+        columns["n_chars"] = F.when(changed, F.char_length("__clean").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    return joined.withColumns(columns).select(docs.columns)
+
+
 def op7_secret_scan(spark, sf_dir: str) -> DataFrame:
     found = scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")

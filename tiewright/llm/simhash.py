@@ -227,7 +227,7 @@ def links(distinct: DataFrame, bits: int = 4, block: int = BLOCK) -> DataFrame:
 
 
 def near_groups(docs: DataFrame, bits: int = 4, width: int = 4, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """Per row of ``docs``: the key as doc_id, fp, and component_id, the smallest key that links lead to.
+    """Per row of ``docs``: the key as doc_id, fp, component (a fingerprint) and component_id, the smallest key links lead to.
 
     Fingerprints link at ``bits`` or fewer differing bits. Texts without words have fingerprint 0 and link like others.
     Repeated rows and repeated keys give one result each; rows with a null key get a result and lend no id; an empty table
@@ -238,9 +238,29 @@ def near_groups(docs: DataFrame, bits: int = 4, width: int = 4, text: str = "tex
     labels = components(links(distinct.select("fp"), bits)).withColumnRenamed("node", "fp")
     linked = labels.join(distinct, "fp")
     ids = linked.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    linked = linked.join(ids, "component").select("fp", "component_id")
-    labelled = materialize(distinct.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "first_id").alias("component_id")), "labels")
-    return rows.join(labelled, "fp")
+    linked = linked.join(ids, "component").select("fp", "component", "component_id")
+    labelled = distinct.join(linked, "fp", "left").select("fp", F.coalesce("component", "fp").alias("component"), F.coalesce("component_id", "first_id").alias("component_id"))
+    return rows.join(materialize(labelled, "labels"), "fp")
+
+
+def keep_one(docs: DataFrame, bits: int = 4, width: int = 4, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """One row of ``docs`` for each near group, with all its columns: that with the smallest key (nulls last).
+
+    Of repeated rows one stays. Rows that share a key and not a group are told apart by their fingerprints.
+    """
+    groups = materialize(near_groups(docs, bits, width, text, key), "groups")
+    first = groups.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("fp").alias("mark"))).alias("x")).select("x.*")
+
+    @F.pandas_udf("long")
+    def mark(texts):
+        return texts.map(lambda t: int(np.uint64(simhash(t, width)).view(np.int64))).astype("int64")
+
+    own = docs.withColumn("__mark", mark(whole_text(text)))
+    kept = own.join(first, own[key].eqNullSafe(first.id) & (own["__mark"] == first.mark), "left_semi")
+    repeated = groups.groupBy("doc_id", "fp").count().where("count > 1")
+    if not repeated.isEmpty():
+        kept = kept.dropDuplicates([key, "__mark"])
+    return kept.drop("__mark")
 
 
 def op10_simhash_components(spark, sf_dir: str) -> DataFrame:

@@ -8,8 +8,11 @@ position of every 64th set bit as a 32-bit sample. That is about 2 + log2(ids /
 
 from __future__ import annotations
 
+import os
+import re
 import uuid
 import zlib
+from functools import lru_cache
 from itertools import accumulate
 
 import numpy as np
@@ -17,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tiewright.llm.bpe import byte_level, default_tokenizer, whole_text
+from tiewright.llm.bpe import SEGMENT_CHARS, default_tokenizer, whole_text
 from tiewright.sources.tables import shared_dir
 
 END = 2
@@ -70,6 +73,114 @@ class EliasFano:
         return ((ones - np.arange(self.n)) << self.width) | (low << np.arange(self.width)).sum(1, dtype=np.int64)
 
 
+#: What makes an ASCII text more than the sum of its units, but for white space at its ends.
+_ODD_ASCII = ("  ", " \n", "\n ", "\n\n\n", "\t", "\r", "\x0b", "\x0c", "\x1c", "\x1d", "\x1e", "\x1f")
+
+
+class LibraryEncoder:
+    """The tokenizers library's ids as bytes, for byte-level files, with a table of the units already encoded.
+
+    A single space or line break between other characters begins a token, so a text is the sum of its units: what follows a
+    space, or a line break with it. New units go through the library together, a special token between each two of them, as
+    the library encodes what stands between special tokens on its own. Texts with other white space, runs of it, or special
+    tokens in them go through the library whole.
+    """
+
+    #: Units kept, and units encoded at once.
+    MOST, AT_ONCE = 500_000, 20_000
+
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.library = Tokenizer.from_file(path)
+        self.library.no_truncation()
+        self.library.no_padding()
+        special = [(i, t.content) for i, t in self.library.get_added_tokens_decoder().items() if t.special]
+        self.mark, self.between = special[0] if special else (None, None)
+        self.size = self.library.get_vocab_size(with_added_tokens=True)
+        self.dtype = np.dtype("<u2") if self.size <= 1 << 16 else np.dtype("<u4")
+        self.odd = re.compile(r"[^\S\n ]|[ \n] | \n|\n\n\n|\A[ \n]|[ \n]\Z")
+        self.known: dict[str, bytes] = {}
+        self.contents = [t for _, t in special]
+
+    def plain(self, text: str) -> bool:
+        """Whether the text is the sum of its units."""
+        if self.between is None or any(c in text for c in self.contents):
+            return False
+        if text.isascii():
+            return text[:1] not in (" ", "\n") and text[-1:] not in (" ", "\n") and not any(c in text for c in _ODD_ASCII)
+        return not self.odd.search(text)
+
+    def whole(self, text: str) -> bytes:
+        return np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype).tobytes()
+
+    def join(self, several: list[list[str]]) -> list[bytes]:
+        """The ids of several lists of units."""
+        if len(self.known) > self.MOST:
+            self.known.clear()
+        found = [list(map(self.known.get, units)) for units in several]
+        self.learn(list({u for units, ids in zip(several, found) if None in ids for u, x in zip(units, ids) if x is None}))
+        return [b"".join(map(self.known.__getitem__, units) if None in ids else ids) for units, ids in zip(several, found)]
+
+    def learn(self, new: list[str]) -> None:
+        for at in range(0, len(new), self.AT_ONCE):
+            some = new[at : at + self.AT_ONCE]
+            joined = self.between.join([u if u[:1] == "\n" else u[1:] if u[:1] == "\r" else f" {u}" for u in some]) + self.between
+            ids = np.array(self.library.encode_batch_fast([joined], add_special_tokens=False)[0].ids, np.int64)
+            ends = np.flatnonzero(ids == self.mark)
+            data, width = ids.astype(self.dtype).tobytes(), self.dtype.itemsize
+            start = 0
+            for unit, end in zip(some, ends.tolist()):
+                self.known[unit] = data[start * width : end * width]
+                start = end + 1
+
+    @staticmethod
+    def units(text: str, first: str = "\r") -> list[str]:
+        found: list[str] = []
+        for line in text.split("\n"):
+            words = line.split(" ")
+            words[0] = first + words[0]
+            found += words
+            first = "\n"
+        return found
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text; texts are taken together up to SEGMENT_CHARS characters."""
+        out: list[bytes] = []
+        held: list[list[str] | bytes] = []
+        size = 0
+
+        def flush():
+            joined = iter(self.join([x for x in held if not isinstance(x, bytes)]))
+            out.extend(x if isinstance(x, bytes) else next(joined) for x in held)
+            held.clear()
+
+        for text in texts:
+            if len(text) > SEGMENT_CHARS and self.plain(text):
+                flush()
+                size, parts, first = 0, [], "\r"
+                while text:
+                    cut = text.find(" ", SEGMENT_CHARS)
+                    piece, text = (text, "") if cut < 0 else (text[:cut], text[cut + 1 :])
+                    parts += self.join([self.units(piece, first)])
+                    first = ""
+                out.append(b"".join(parts))
+                continue
+            held.append(self.units(text) if text and self.plain(text) else self.whole(text) if text else b"")
+            size += len(text)
+            if size > SEGMENT_CHARS:
+                flush()
+                size = 0
+        flush()
+        return out
+
+
+@lru_cache(maxsize=2)
+def library_encoder(path: str) -> LibraryEncoder:
+    return LibraryEncoder(path)
+
+
 def _store_schema(id_type: str) -> str:
     return f"shard int, segment int, shard_start long, n_docs int, n_ids long, id_bytes int, doc_ids array<{id_type}>, ids binary, ends_low binary, ends_high binary, ends_samples binary"
 
@@ -88,7 +199,7 @@ def write_store(docs: DataFrame, path: str, folder: str, end: int = END, text: s
     def run(batches):
         from pyspark import TaskContext
 
-        coder, shard = byte_level(path), TaskContext.get().partitionId()
+        coder, shard = library_encoder(path), TaskContext.get().partitionId()
         stop = np.array([end], coder.dtype).tobytes()
         unit, segment, begin = coder.dtype.itemsize, 0, 0
         keys, parts, size = [], [], 0
@@ -102,9 +213,9 @@ def write_store(docs: DataFrame, path: str, folder: str, end: int = END, text: s
             return pa.RecordBatch.from_arrays([one(shard, pa.int32()), one(segment, pa.int32()), one(begin, pa.int64()), one(len(parts), pa.int32()), one(sum(sizes), pa.int64()), one(unit, pa.int32()), lists, one(b"".join(parts), pa.binary()), one(ends.low, pa.binary()), one(ends.high, pa.binary()), one(ends.samples, pa.binary())], names=[x.split()[0] for x in _store_schema("x").split(", ")])
 
         for batch in batches:
-            for i, text in enumerate(batch.column(1).to_pylist()):
+            for i, ids in enumerate(coder.encode(batch.column(1).to_pylist())):
                 keys.append(batch.column(0).slice(i, 1))
-                parts.append(coder.encode_bytes(text) + stop)
+                parts.append(ids + stop)
                 size += len(parts[-1])
                 if size >= SEGMENT_BYTES or len(parts) >= SEGMENT_DOCS:
                     yield close()
