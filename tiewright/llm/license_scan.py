@@ -103,7 +103,7 @@ OTHERS = (
     "Poetic license is allowed here.", "Licensing fees rose again last year.", "The public domain of the king was sold.",
 )
 #: Every notice has one of these.
-ANCHORS = r"(?i)licen[cs]|copyright|rights reserved|permission is hereby|redistribut|public domain|creative commons|\bCC0\b"
+ANCHORS = r"(?i)licen[cs]|copyright|rights reserved|permission is hereby|redistribut|public domain|creative commons|\bCC(0| BY)\b|\b[AL]?GPL\b"
 
 
 def words(paragraph: Column) -> Column:
