@@ -81,7 +81,7 @@ def clean_year(raw: Column, low: int = 1600, high: int = 1915) -> Column:
 def first_year(text: Column, low: int = 1600, high: int = 1915) -> Column:
     """The first year-like piece that cleans to a year (FN28)."""
     found = F.regexp_extract_all(text, F.lit(YEAR_SHAPE), 0)
-    return F.element_at(F.filter(F.transform(found, lambda x: clean_year(x, low, high)), lambda y: y.isNotNull()), 1)
+    return F.get(F.filter(F.transform(found, lambda x: clean_year(x, low, high)), lambda y: y.isNotNull()), F.lit(0))
 
 
 def split_headword(text: Column) -> Column:
