@@ -162,3 +162,40 @@ def intersect_except(spark, d):
     e = table(spark, d, "events")
     kind = lambda k: e.where(F.col("event_type") == k).select("user_id")
     return kind("purchase").intersect(kind("signup")).exceptAll(e.where("value > 98 AND event_type = 'error'").select("user_id").distinct())
+
+
+@query("""WITH w AS (SELECT item_id, unnest(range(len(string_split(text, ' ')))) AS i, unnest(string_split(text, ' ')) AS word FROM benchmark) SELECT item_id, word FROM (SELECT *, row_number() OVER (PARTITION BY item_id, lower(word) ORDER BY i) AS r FROM w) WHERE r = 1""")
+def case_insensitive_distinct(spark, d):
+    """Words distinct but for case, the first form of each kept (SET6, SET7)."""
+    words = table(spark, d, "benchmark").select("item_id", F.posexplode(F.split("text", " ")).alias("i", "word")).withColumn("low", F.lower("word"))
+    return R.first_wins(words, ["item_id", "low"], ["i"]).select("item_id", "word")
+
+
+@query("""SELECT o_orderpriority, n, CAST(place AS INT) AS place FROM (SELECT o_orderpriority, count(*) AS n, CASE substr(o_orderpriority, 1, 1) WHEN '5' THEN 1 WHEN '3' THEN 2 WHEN '1' THEN 3 ELSE 4 END AS place FROM orders GROUP BY 1) ORDER BY place, o_orderpriority""")
+def fixed_order(spark, d):
+    """Counts in a fixed order of categories, the rest last (SRT5)."""
+    n = table(spark, d, "orders").groupBy("o_orderpriority").agg(F.count("*").alias("n"))
+    place = F.array_position(F.array(F.lit("5"), F.lit("3"), F.lit("1")), F.substring("o_orderpriority", 1, 1)).cast("int")
+    return n.withColumn("place", F.when(place > 0, place).otherwise(4)).orderBy("place", "o_orderpriority")
+
+
+@query("""WITH t AS (SELECT p_brand, count(*) AS n FROM part GROUP BY 1 ORDER BY n DESC, p_brand LIMIT 12) SELECT p.p_brand, p_type, count(*) AS n FROM part p JOIN t ON p.p_brand = t.p_brand GROUP BY 1, 2""")
+def top_groups_by_class(spark, d):
+    """The mix of classes within the twelve largest groups (SRT4)."""
+    p = table(spark, d, "part").select("p_brand", "p_type")
+    top = p.groupBy("p_brand").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "p_brand").limit(12).select("p_brand")
+    return p.join(F.broadcast(top), "p_brand").groupBy("p_brand", "p_type").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT 'purchase' AS kind, user_id AS source, CAST(floor(epoch(ts) / 3600) AS BIGINT) AS target FROM events WHERE event_type = 'purchase' UNION ALL SELECT 'signup', user_id, CAST(floor(epoch(ts) / 3600) AS BIGINT) FROM events WHERE event_type = 'signup'""")
+def combined_edges(spark, d):
+    """Edge lists of two kinds in one table, each with its kind (SET1, PRJ3, PRJ4)."""
+    parts = [ties(spark, d, 60, k, distinct=False).select(F.lit(k).alias("kind"), F.col("person").alias("source"), F.col("body").alias("target")) for k in ("purchase", "signup")]
+    return parts[0].unionByName(parts[1])
+
+
+@query("""SELECT doc_id FROM documents WHERE len(string_split(trim(text), ' ')) > 0 AND NOT EXISTS (SELECT 1 FROM (SELECT unnest(string_split(lower(text), ' ')) AS w) WHERE NOT regexp_matches(w, '^[a-z]*[.,]?$')) AND n_chars < 400""")
+def all_tokens_predicate(spark, d):
+    """Short documents whose every word has one shape (FIL7)."""
+    words = F.split(F.lower("text"), " ")
+    return table(spark, d, "documents").where("n_chars < 400").where(F.forall(words, lambda w: w.rlike("^[a-z]*[.,]?$"))).select("doc_id")

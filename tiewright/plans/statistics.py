@@ -148,3 +148,10 @@ def ols_controls(spark, d):
     o = table(spark, d, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey")).withColumn("open", (F.col("o_orderstatus") == "O").cast("double"))
     o = o.withColumns({"z_quantity": P.z_scores(o, "quantity"), "z_lines": P.z_scores(o, "n_lines")})
     return I.report_table(spark, I.least_squares(o, "o_totalprice", ["open", "z_quantity", "z_lines"]), ["term", "estimate", "std_error", "t"])
+
+
+@query(ORACLES["leave_one_body_out"].replace("SELECT body, round(r, 6) AS r, round(r - r0, 6) AS swing FROM r", "SELECT body, round(r - r0, 6) AS swing FROM r ORDER BY abs(round(r - r0, 6)) DESC, body LIMIT 6"))
+def leave_one_out_top(spark, d):
+    """The six bodies without which assortativity moves most (SRT8)."""
+    found = I.leave_one_out(ties(spark, d), segment_labels(spark, d), least=10).select("body", r6("swing").alias("swing"))
+    return found.orderBy(F.desc(F.abs("swing")), "body").limit(6)
