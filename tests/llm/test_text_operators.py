@@ -198,6 +198,7 @@ def plain_base_scores(docs):
 @pytest.mark.parametrize("hot", [M.HOT_WORDS, 50])
 def test_lm_query_against_plain_base(spark, monkeypatch, hot):
     monkeypatch.setattr(M, "HOT_WORDS", hot)
+    monkeypatch.setattr(M, "PORTION", 5000)
     want = plain_base_scores(documents(spark))
     for r in M.op6_lm_score(spark, SF).collect():
         held, n, known, total, base = want[r.doc_id]
@@ -208,7 +209,7 @@ def test_lm_query_against_plain_base(spark, monkeypatch, hot):
 
 def trained(spark, texts):
     rows = spark.createDataFrame([(t,) for t in texts], "body string")
-    return M.train(rows, M.word_counts(rows))
+    return M.train(rows, M.word_counts(rows))[0]
 
 
 def test_states_are_distributions(spark, monkeypatch):
@@ -217,7 +218,7 @@ def test_states_are_distributions(spark, monkeypatch):
     model = trained(spark, texts)
     for context in model.speller.failure:
         assert math.isclose(sum(10 ** model.speller.step(context, s)[1] for s in range(257)), 1, rel_tol=1e-9)
-    known = sum(10 ** model.free) - sum(10 ** (model.failure + model.speller.spell(w)) for w in model.number)
+    known = sum(10 ** model.free) - sum(10 ** (model.failure + model.speller.spell(w)) for w in model.numbers.number)
     assert math.isclose(known + 10**model.failure, 1, rel_tol=1e-9)
     for state in range(model.contexts + 1):
         arcs = [i for i, k in enumerate(model.keys) if k >> M.KEY_BITS == state]
@@ -238,7 +239,7 @@ def test_score_is_one_traversal(spark):
     for d, t in rows:
         state, total = model.contexts, 0.0
         for w in M.tokens(t or ""):
-            i = model.number.get(w, -1)
+            i = model.numbers.number.get(w, -1)
             key = state << M.KEY_BITS | i
             if state >= 0 and i >= 0 and key in arcs:
                 total += arcs[key]
