@@ -217,3 +217,25 @@ def body_mixing_permutation(ties: DataFrame, labels: DataFrame, draws: int, seed
 def report_table(spark: SparkSession, rows: list[tuple], names: list[str]) -> DataFrame:
     """A small table of results that were solved on the driver."""
     return spark.createDataFrame(rows, names)
+
+
+def battery(edges: DataFrame, attributes: dict[str, DataFrame], least: int = 30) -> DataFrame:
+    """(attribute, n_groups, n_edges, r, ei) for each attribute with enough labelled ties and two groups or more (ST11)."""
+    parts = []
+    for name, labels in attributes.items():
+        ends = labelled_ends(edges, labels)
+        rows = ends.groupBy("a").agg(F.count("*").alias("n"), F.count_if(F.col("a") == F.col("b")).alias("same"))
+        sums = rows.agg(F.count("*").alias("n_groups"), F.sum("n").alias("m"), F.sum("same").alias("s"), F.sum(F.col("n") * F.col("n")).alias("sq"))
+        parts.append(sums.withColumn("attribute", F.lit(name)))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    m, s, e = F.col("m"), F.col("s"), F.col("sq") / (F.col("m") * F.col("m"))
+    kept = out.where((F.col("n_groups") >= 2) & (m >= 2 * least))
+    return kept.select("attribute", "n_groups", (m / 2).cast("long").alias("n_edges"), ((s / m - e) / (1 - e)).alias("r"), ((m - 2 * s) / m).alias("ei"))
+
+
+def matched_means(values: DataFrame, members: DataFrame, labels: DataFrame, value: str) -> DataFrame:
+    """(label, n, mean) of a node measure among ``members`` (node) that have labels: like is compared with like (ST17, GR22)."""
+    kept = values.join(members.select("node").distinct(), "node", "left_semi").join(labels, "node")
+    return kept.groupBy("label").agg(F.count("*").alias("n"), F.avg(value).alias("mean"))

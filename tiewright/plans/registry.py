@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tiewright.plans import aggregates, network, relations, statistics, texts, windows
+from tiewright.plans import aggregates, comparisons, network, relations, statistics, texts, windows
 
-FAMILIES = (network, aggregates, windows, relations, statistics, texts)
+FAMILIES = (network, aggregates, windows, relations, statistics, texts, comparisons)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

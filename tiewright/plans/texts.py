@@ -86,7 +86,7 @@ def page_fields(spark, d):
 def sentence_posts(spark, d):
     """Turns cut into sentences; the order counts those left out for being short (TF4, S16)."""
     c = table(spark, d, "conversations").select("conv_id", "turn", F.regexp_replace("text", r"[.]\s+", ";;").alias("t"))
-    cut = c.select("conv_id", "turn", F.posexplode(F.split("t", ";;")).alias("position_order", "position"))
+    cut = c.select("conv_id", "turn", F.posexplode(F.split("t", ";;")).alias("position_order", "position")).withColumn("position_order", F.col("position_order").cast("long"))
     return cut.withColumn("position", F.btrim("position", F.lit(" .,"))).where(F.char_length("position") >= 6)
 
 

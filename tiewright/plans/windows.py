@@ -30,11 +30,11 @@ def lines(spark, d):
 
 LINES = "l AS (SELECT doc_id, unnest(range(len(string_split(text, chr(10))))) AS i, unnest(string_split(text, chr(10))) AS line FROM documents)"
 #: A key of a line: its first letters A to Z, in upper case.
-KEY_SQL = "substr(regexp_replace(upper(line), '[^A-Z]', '', 'g'), 1, 8)"
+KEY_SQL = "upper(substr(regexp_replace(line, '[^A-Za-z]', '', 'g'), 1, 8))"
 
 
 def keyed(spark, d):
-    key = F.substring(F.regexp_replace(F.upper("line"), "[^A-Z]", ""), 1, 8)
+    key = F.upper(F.substring(F.regexp_replace("line", "[^A-Za-z]", ""), 1, 8))
     return lines(spark, d).withColumn("key", key).where("key <> ''")
 
 
