@@ -16,6 +16,7 @@ import json
 import re
 import sys
 import unicodedata
+import weakref
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import accumulate
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 
 SCAN_LIMIT = 192
 #: Words kept by a worker before its table is emptied.
-MEMO_WORDS = 1_000_000
+MEMO_WORDS = 250_000
 #: Characters that are split into words at once.
 SEGMENT_CHARS = 1 << 20
 _NO_RANK = sys.maxsize
@@ -139,7 +140,22 @@ class Merges:
 
 
 class _Memo(dict):
-    """A table of at most MEMO_WORDS results of ``make``; keys that ``keep`` refuses are made anew each time."""
+    """A table of at most MEMO_WORDS results of ``make``; keys that ``keep`` refuses are made anew each time.
+
+    A worker serves one stage after the other: ``alone`` empties the tables of the others.
+    """
+
+    living: weakref.WeakValueDictionary = weakref.WeakValueDictionary()
+
+    def __new__(cls, *_, **__):
+        made = super().__new__(cls)
+        cls.living[id(made)] = made
+        return made
+
+    def alone(self, *others: _Memo) -> None:
+        for memo in list(self.living.values()):
+            if memo is not self and not any(memo is x for x in others):
+                memo.clear()
 
     def __init__(self, make, keep=None):
         super().__init__()
@@ -271,6 +287,7 @@ def bpe_digests(docs: DataFrame, path: str, text: str = "text", key: str = "doc_
 
     def run(batches):
         coder = byte_level(path)
+        coder.memo.alone(coder.units)
         for batch in batches:
             found = [coder.digest(t) for t in batch.column(1).to_pylist()]
             n, ids, decoded = zip(*found) if found else ((), (), ())
@@ -294,7 +311,8 @@ def bpe_encode(docs: DataFrame, path: str, text: str = "text", out: str = "ids")
 
     def run(batches):
         coder = byte_level(path)
-        for batch in batches:
+        coder.memo.alone(coder.units)
+        for batch in (b.slice(at, 512) for b in batches for at in range(0, b.num_rows, 512)):
             ids = [coder.encode(t) for t in batch.column(batch.num_columns - 1).to_pylist()]
             ends = [0, *accumulate(map(len, ids))]
             values = np.concatenate(ids).astype(np.int32) if ids else np.array([], np.int32)

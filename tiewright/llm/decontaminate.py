@@ -130,6 +130,7 @@ def containments(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD
     for index in _blocks(items, threshold, width, item_key, item_text):
 
         def run(batches, index=index):
+            _word_hash.alone()
             for batch in batches:
                 ids = batch.column(0)
                 found = [(i, *hit) for i, t in enumerate(batch.column(1).to_pylist()) for hit in index.value.hits(t)]
@@ -146,6 +147,7 @@ def without_items(docs: DataFrame, items: DataFrame, threshold: float = THRESHOL
 
         @F.pandas_udf("boolean")
         def clean(texts, index=index):
+            _word_hash.alone()
             return texts.map(lambda t: not index.value.hits(t))
 
         docs = docs.where(clean(whole_text(text)))

@@ -255,7 +255,7 @@ def keep_one(docs: DataFrame, bits: int = 4, width: int = 4, text: str = "text",
     def mark(texts):
         return texts.map(lambda t: int(np.uint64(simhash(t, width)).view(np.int64))).astype("int64")
 
-    own = docs.withColumn("__mark", mark(whole_text(text)))
+    own = docs.withColumn("__mark", mark.asNondeterministic()(whole_text(text)))  # else it would run again for a filter
     kept = own.join(first, own[key].eqNullSafe(first.id) & (own["__mark"] == first.mark), "left_semi")
     repeated = groups.groupBy("doc_id", "fp").count().where("count > 1")
     if not repeated.isEmpty():

@@ -95,6 +95,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = 2048, text: str = "tex
 
     def run(batches):
         counter = word_counter(path)
+        counter.memo.alone(counter.word_memo)
         for batch in batches:
             texts = batch.column(1).to_pylist()
             yield pa.RecordBatch.from_arrays(

@@ -189,6 +189,7 @@ def scored(docs: DataFrame, grammar: Grammar, text: str = "text", out: str = "to
 
     @F.pandas_udf("double")
     def score(texts):
+        shared.value.memo.alone()
         return texts.map(shared.value.score).astype("float64")
 
     return docs.withColumn(out, score(whole_text(text)))
