@@ -1,13 +1,14 @@
 """The pipeline's rows against a plain version of every stage."""
 
 import hashlib
+import re
 
 import numpy as np
+import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline as P
-from tests.llm.test_simhash import plain_components, plain_fingerprint
 from tests.llm.test_text_operators import plain_containments
 from tiewright.llm import secrets as S
 from tiewright.llm import simhash as H
@@ -17,6 +18,43 @@ from tiewright.llm.bpe import default_tokenizer
 SF = "/root/testdata/sf0.001"
 
 
+def plain_tables(text, width=5, tables=4):
+    words = re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text))
+    if not words:
+        return [0] * tables
+    k, top = min(width, len(words)), (1 << 64) - 1
+    hashes = [xxhash.xxh64_intdigest(" ".join(words[i : i + k]).encode(), seed=42) for i in range(len(words) - k + 1)]
+
+    def mixed(x, table):
+        if table:
+            x = (x + table * 0x9E3779B97F4A7C15) & top
+            x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & top
+            x = (x ^ x >> 27) * 0x94D049BB133111EB & top
+            x ^= x >> 31
+        return x
+
+    return [sum(1 << b for b in range(64) if 2 * sum(mixed(h, t) >> b & 1 for h in hashes) > len(hashes)) for t in range(tables)]
+
+
+def plain_groups(ids, prints, bits=4):
+    """The smallest id of each text's group, links being in any table."""
+    up = list(range(len(ids)))
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for i in range(len(ids)):
+        for j in range(i):
+            if any((a ^ b).bit_count() <= bits for a, b in zip(prints[i], prints[j])):
+                up[root(i)] = root(j)
+    least = {}
+    for i, d in enumerate(ids):
+        least[root(i)] = min(least.get(root(i), d), d)
+    return [least[root(i)] for i in range(len(ids))]
+
+
 def test_stages_have_the_asked_order():
     assert [n for n, _ in P.STAGES] == ["toxicity", "near_dedup", "decontamination", "secrets", "bpe"]
     assert P.ORACLE_SQL is None
@@ -26,8 +64,7 @@ def test_run_against_plain_version(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     grammar = X.train(docs, spark.read.parquet(f"{SF}/labels.parquet"))
     rows = [r for r in docs.collect() if grammar.score(r.text) < X.CUT]
-    fps = [plain_fingerprint(r.text) for r in rows]
-    first = plain_components([r.doc_id for r in rows], fps)
+    first = plain_groups([r.doc_id for r in rows], [plain_tables(r.text) for r in rows])
     rows = [r for r, c in zip(rows, first) if r.doc_id == c]
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     leaked = {x[0] for x in plain_containments([(r.doc_id, r.text) for r in rows], items)}
