@@ -1,4 +1,4 @@
-"""Readers and writers of the reference's file kinds (SRC1 to SRC8, SNK1 to SNK7)."""
+"""Readers and writers of CSV, JSON and page XML (SRC1 to SRC8, SNK1 to SNK7)."""
 
 from __future__ import annotations
 
