@@ -67,15 +67,18 @@ def canonical_names(names: DataFrame, generic: list[str], least: int = 2) -> Dat
     """(name, canonical) for distinct names: a name whose distinctive words all occur in an earlier one becomes that one (JN12).
 
     Names are in order of falling number of words, then length, then the name. Words in ``generic`` are not distinctive;
-    names with fewer than ``least`` distinctive words stay themselves. Pairs are met only through a common word.
+    names with fewer than ``least`` distinctive words stay themselves. A name meets others only through its rarest word.
     """
     words = F.array_distinct(F.filter(F.split("name", " "), lambda w: (w != "") & ~w.isin(generic)))
     rows = names.select("name").distinct().withColumn("words", words).withColumn("n", F.size("words"))
     rows = rows.withColumn("rank", F.struct(-F.col("n"), -F.char_length("name"), F.col("name")))
     kept = rows.where(F.col("n") >= least)
-    own = kept.select("name", "n", "rank", F.explode("words").alias("word"))
-    other = own.select(F.col("name").alias("into"), F.col("rank").alias("into_rank"), "word")
-    pairs = own.join(other, "word").where("into_rank < rank").groupBy("name", "n", "into", "into_rank").agg(F.count("*").alias("shared")).where("shared = n")
+    own = kept.select("name", F.explode("words").alias("word"))
+    seen = own.groupBy("word").agg(F.count("*").alias("seen"))
+    rarest = own.join(seen, "word").groupBy("name").agg(F.min_by("word", F.struct("seen", "word")).alias("word"))
+    small = kept.join(rarest, "name").select("name", "words", "rank", "word")
+    large = kept.select(F.col("name").alias("into"), F.col("rank").alias("into_rank"), F.col("words").alias("into_words"), F.explode("words").alias("word"))
+    pairs = small.join(large, "word").where((F.col("into_rank") < F.col("rank")) & (F.size(F.array_except("words", "into_words")) == 0))
     first = pairs.groupBy("name").agg(F.min_by("into", "into_rank").alias("into"))
     return rows.select("name").join(first, "name", "left").select("name", F.coalesce("into", "name").alias("canonical"))
 
