@@ -250,6 +250,42 @@ def test_score_is_one_traversal(spark):
     assert M.score(frame.limit(0)).count() == 0
 
 
+def plain_scores(spark, docs):
+    """Scores by all bigrams of the training texts, and the words' own terms."""
+    model = trained(spark, [t for d, t in docs if crc(d) % 10])
+    words, pairs, after = Counter(), Counter(), Counter()
+    for d, t in docs:
+        if crc(d) % 10:
+            found = M.tokens(t)
+            words.update(found)
+            words[None] += 1
+            pairs.update(zip([None, *found], found))
+    after.update(h for h, _ in pairs)
+    out = {}
+    for d, t in docs:
+        found, total = M.tokens(t), 0.0
+        for h, w in zip([None, *found], found):
+            p = 10 ** model.terms(w, words[w])[1]
+            if words[h]:
+                p = (max(pairs[h, w] - M.DISCOUNT, 0) + M.DISCOUNT * after[h] * p) / words[h]
+            total += math.log10(p)
+        out[d] = total
+    return out
+
+
+@pytest.mark.parametrize("hot,arcs", [(M.HOT_WORDS, M.MAX_BIGRAMS), (M.HOT_WORDS, 5), (12, 5), (0, 0)])
+def test_every_history_and_pair_counts(spark, monkeypatch, hot, arcs):
+    rng = random.Random(8)
+    docs = [(i, " ".join(f"w{int(rng.paretovariate(0.7)) % 300}" for _ in range(rng.randrange(20)))) for i in range(150)] + [(200, "only once here"), (201, "only once here wörd"), (202, "")]
+    want = plain_scores(spark, docs)
+    monkeypatch.setattr(M, "HOT_WORDS", hot)
+    monkeypatch.setattr(M, "MAX_BIGRAMS", arcs)
+    got = {r.doc_id: r.score for r in M.score(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got.keys() == want.keys()
+    for d in want:
+        assert math.isclose(got[d], want[d], rel_tol=1e-9), d
+
+
 # ---------------------------------------------------------------- toxicity
 
 

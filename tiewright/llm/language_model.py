@@ -1,16 +1,16 @@
 """Language-model scores from a weighted backoff automaton.
 
-Tokens are lower-cased words and one end for each text. States stand for n-grams. A state for each of the ``CONTEXTS`` most
-frequent words, and one for a text's start, has arcs for the words that follow it in training, with discounted shares. Its
-failure arc leads to the state of no history, which has an arc for every training token. That state's failure arc leads to
+Tokens are lower-cased words and one end for each text. States stand for n-grams. A state for each word of the training texts,
+and one for a text's start, has arcs for all words that follow it in training, with discounted shares. Its failure arc leads to the state of no history, which has an arc for every training token. That state's failure arc leads to
 states that spell words byte by byte: n-grams of up to ``ORDER`` bytes with Witten-Bell weights, each with a failure arc to
 the state of its longest shorter ending; the end of a text is the empty word. A failure arc has the mass that the arcs of its
 state leave, so the model is a distribution over texts. A text is scored in one left-to-right traversal that carries the
 state and adds log probabilities.
 
-Token counts are a table as large as the vocabulary. What is broadcast is bounded: at most the ``HOT_WORDS`` most frequent words, at
-most ``MAX_BIGRAMS`` arcs of two words and at most ``MAX_ARCS`` spelling arcs, the most frequent ones of the whole corpus.
-The other words of a text are looked up by a join, in which each row is one word of one text.
+Token counts are a table as large as the vocabulary, and counts of two words one as large as the pairs in training. What is
+broadcast is bounded: at most the ``HOT_WORDS`` most frequent words, at most ``MAX_BIGRAMS`` arcs of two words and at most
+``MAX_ARCS`` spelling arcs, the most frequent ones of the whole corpus. The other words and pairs of a text are looked up by a
+join, in which each row is one word or pair of one text; the bounds on words and pairs change no score.
 """
 
 from __future__ import annotations
@@ -30,10 +30,14 @@ from tiewright.sources.tables import materialize
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
-HOT_WORDS, MAX_ARCS, CONTEXTS, MAX_BIGRAMS = 200_000, 200_000, 8192, 1_000_000
+HOT_WORDS, MAX_ARCS, MAX_BIGRAMS = 200_000, 200_000, 1_000_000
 ORDER, DISCOUNT = 6, 0.75
 #: Bits of a hot word's number in the key of a bigram.
 KEY_BITS = 20
+#: Kinds of pairs, by whether the first and the second word are hot. In a key, a hot word is HOT and its number in three
+#: bytes, another one its own bytes; BETWEEN parts two others. Words have neither byte.
+BOTH, SECOND_RARE, FIRST_RARE, NEITHER = range(4)
+HOT, BETWEEN = b" ", b"\t"
 #: Symbols of the spelling states: bytes, the end of a word, and the mark before its first byte.
 STOP, START = 256, "\x00"
 FLUSH = 500_000
@@ -159,23 +163,44 @@ class Speller:
 
 
 class Numbers:
-    """Numbers of the hot words, in order, and how many of them are states."""
+    """Numbers of the hot words, in order; the number after them stands for a text's start."""
 
     def __init__(self, words: list[bytes]):
         self.number = {word: i for i, word in enumerate(words)}
-        self.contexts = min(CONTEXTS, len(words))
+        self.contexts = len(words)
 
     def of(self, found: list[bytes]) -> np.ndarray:
         """Numbers of hot words, -1 for others."""
         return np.fromiter(map(self.number.get, found, repeat(-1)), np.int64, len(found))
 
     def pairs(self, numbers: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(state before each token, key of its bigram), -1 where there is none; ``first``: where texts begin."""
+        """(state before each token, key of its bigram), -1 where a word is not hot; ``first``: where texts begin."""
         state = np.append(-1, numbers[:-1]) if len(numbers) else numbers
-        state = np.where(first, self.contexts, np.where(state < self.contexts, state, -1))
+        state = np.where(first, self.contexts, state)
         return state, np.where((state >= 0) & (numbers >= 0), state << KEY_BITS | numbers, -1)
 
 
+def _code(number: int) -> bytes:
+    return (HOT[0] << 24 | number).to_bytes(4, "big")
+
+
+def rare_pairs(words: list[bytes], numbers: np.ndarray, state: np.ndarray):
+    """(place, kind, key) of the pairs of which one word or both are not hot; ``state``: numbers of the words before."""
+    for i in np.flatnonzero((numbers < 0) | (state < 0)).tolist():
+        if numbers[i] >= 0:
+            yield i, FIRST_RARE, words[i - 1] + _code(int(numbers[i]))
+        elif state[i] >= 0:
+            yield i, SECOND_RARE, _code(int(state[i])) + words[i]
+        else:
+            yield i, NEITHER, words[i - 1] + BETWEEN + words[i]
+
+
+def hot_keys(keys: np.ndarray) -> pa.Array:
+    """Binary keys of pairs of hot words."""
+    packed = (HOT[0] << 56) | (keys >> KEY_BITS << 32) | (HOT[0] << 24) | (keys & ((1 << KEY_BITS) - 1))
+    return pa.Array.from_buffers(pa.binary(), len(keys), [None, pa.py_buffer(np.arange(0, 8 * len(keys) + 1, 8, dtype=np.int32)), pa.py_buffer(packed.astype(">i8").tobytes())])
+
+
 class Automaton:
     """The states of no history and of one word, in front of the spelling states.
 
@@ -196,19 +221,30 @@ class Automaton:
         terms = np.array([self.terms(word, c) for word, c in hot]).reshape(-1, 2)
         self.base, self.free = terms[:, 0], terms[:, 1]
         self.contexts = self.numbers.contexts
-        self.link([], [], 0)
-
-    def link(self, keys, counts, starts: int) -> None:
-        """Set the arcs of two words: ``keys`` are previous word's number << KEY_BITS | number, ``starts`` counts texts."""
+        self.sizes = np.append(self.counts, 0).astype(float)
+        self.spare = np.zeros(self.contexts + 1)
+        self.link([], [])
+
+    def follow(self, numbers, followers, starts: int) -> None:
+        """Set the failure arcs of the hot words' states: how many words follow each in training; ``starts`` counts texts."""
+        self.sizes[-1] = starts
+        at = np.asarray(numbers, np.int64)
+        self.spare[at] = np.log10(DISCOUNT * np.asarray(followers, float) / self.sizes[at])
+
+    def link(self, keys, counts) -> None:
+        """Set the arcs of two words that are broadcast: ``keys`` are previous word's number << KEY_BITS | number."""
         keys, counts = np.asarray(keys, np.int64), np.asarray(counts, np.int64)
         order = np.argsort(keys)
         self.keys, counts = keys[order], counts[order]
         before, after = self.keys >> KEY_BITS, self.keys & ((1 << KEY_BITS) - 1)
-        size = np.append(self.counts[: self.contexts], starts).astype(float)
-        mass = np.bincount(before, counts - DISCOUNT, minlength=self.contexts + 1) / np.maximum(size, 1)
-        spare = 1 - mass
-        self.spare = np.log10(spare)
-        self.arcs = np.log10((counts - DISCOUNT) / size[before] + spare[before] * 10 ** self.free[after])
+        self.arcs = np.log10((counts - DISCOUNT) / self.sizes[before] + 10 ** (self.spare[before] + self.free[after]))
+
+    def cached(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(whether the arc of each key is broadcast, its place)."""
+        if not len(self.keys):
+            return np.zeros(len(key), bool), np.zeros(len(key), np.int64)
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return (key >= 0) & (self.keys[at] == key), at
 
     def terms(self, word: bytes, c: int, speller: Speller | None = None) -> tuple[float, float]:
         """The base's log10 probability of a word that training has ``c`` times, and the model's without history."""
@@ -222,14 +258,15 @@ class Automaton:
     def __getstate__(self):
         return {k: v for k, v in self.__dict__.items() if k not in ("numbers", "speller")}
 
-    def traverse(self, numbers: np.ndarray, state: np.ndarray, key: np.ndarray) -> np.ndarray:
-        """log10 probability of each token; for tokens that are not hot, of the failure arc before their lookup."""
+    def traverse(self, numbers: np.ndarray, state: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(log10 probability of each token before its lookups, whether its arc is broadcast).
+
+        Words and states that are not hot count 0 here, and arcs that are not broadcast as if they were failure arcs.
+        """
         out = np.where(numbers >= 0, self.free[numbers] if len(self.free) else 0.0, 0.0)
         out = out + np.where(state >= 0, self.spare[state], 0.0)
-        if len(self.keys):
-            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-            out = np.where((key >= 0) & (self.keys[at] == key), self.arcs[at], out)
-        return out
+        hit, at = self.cached(key)
+        return (np.where(hit, self.arcs[at], out) if hit.any() else out), hit
 
 
 def _begins(lengths: list[int]) -> np.ndarray:
@@ -253,26 +290,44 @@ def _portions(texts: list[str]):
 
 
 def bigram_counts(docs: DataFrame, shared) -> DataFrame:
-    """(key, n) of the bigrams of ``docs`` (column body) of hot words (a broadcast Numbers), found twice or more."""
+    """(kind, key, cut, n) of all bigrams of ``docs`` (column body); ``cut``: length of the first word in the key.
+
+    ``shared``: a broadcast Numbers.
+    """
 
     def run(batches):
-        held, size = [], 0
+        held, size, rare = [], 0, [Counter() for _ in range(4)]
         for batch in batches:
             for found in _portions(batch.column(0).to_pylist()):
-                numbers = shared.value.of([w for words in found for w in words])
-                _, keys = shared.value.pairs(numbers, _begins(list(map(len, found))))
+                flat = [w for words in found for w in words]
+                numbers = shared.value.of(flat)
+                state, keys = shared.value.pairs(numbers, _begins(list(map(len, found))))
                 held.append(keys[keys >= 0])
                 size += len(held[-1])
-            if size > 4 * FLUSH:
-                yield fold(held)
-                held, size = [], 0
+                for _, kind, key in rare_pairs(flat, numbers, state):
+                    rare[kind][key] += 1
+                if size > 4 * FLUSH:
+                    yield fold(held)
+                    held, size = [], 0
+                if sum(map(len, rare)) > FLUSH:
+                    yield from dump(rare)
         yield fold(held)
+        yield from dump(rare)
 
     def fold(held):
         keys, n = np.unique(np.concatenate(held) if held else np.empty(0, np.int64), return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(n, pa.int64())], names=["key", "n"])
+        return table(BOTH, hot_keys(keys), np.full(len(keys), 4), n)
+
+    def dump(rare):
+        cuts = {SECOND_RARE: lambda k: 4, FIRST_RARE: lambda k: len(k) - 4, NEITHER: lambda k: k.index(BETWEEN)}
+        for kind, cut in cuts.items():
+            yield table(kind, pa.array(list(rare[kind]), pa.binary()), np.array(list(map(cut, rare[kind])), np.int64), np.array(list(rare[kind].values()), np.int64))
+            rare[kind].clear()
+
+    def table(kind, keys, cuts, n):
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), kind, np.int32)), keys, pa.array(cuts.astype(np.int32)), pa.array(n, pa.int64())], names=["kind", "key", "cut", "n"])
 
-    return docs.select("body").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where("n > 1")
+    return docs.select("body").mapInArrow(run, "kind int, key binary, cut int, n long").groupBy("kind", "key", "cut").agg(F.sum("n").alias("n"))
 
 
 def _room(classes: list, most: int) -> int:
@@ -289,15 +344,16 @@ def _classes(table: DataFrame) -> list:
     return table.groupBy(F.least("n", F.lit(100_000)).alias("n")).agg(F.count("*").alias("rows")).orderBy(F.desc("n")).collect()
 
 
-def train(docs: DataFrame, counts: DataFrame) -> tuple[Automaton, object]:
-    """The automaton, and its numbers as a broadcast, over training texts (column body) and their token counts (word, c), both perhaps empty.
+def train(docs: DataFrame, counts: DataFrame) -> tuple[Automaton, object, DataFrame]:
+    """The automaton, its numbers as a broadcast, and the table of what is looked up, over training texts (column body) and their token counts (word, c), both perhaps empty.
 
-    Spelling arcs of contexts of one place or none are all kept. Of the others, of words and of bigrams, those with the
-    largest counts are kept, as many whole classes of equal counts as there is room for; the mass of the rest stays with the
-    failure arcs.
+    Spelling arcs of contexts of one place or none are all kept. Of the others those with the largest counts are kept, as many
+    whole classes of equal counts as there is room for; the mass of the rest stays with the failure arcs. Words and bigrams
+    are broadcast by the same rule, and all others are in the table: (key, base, value), as ``look_up`` has them.
     """
     n, v, *once = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), *[F.count_if(F.col("c") == i) for i in (1, 2, 3, 4)]).first()
-    frequent = counts.where(F.col("c") >= _room(_classes(counts.withColumnRenamed("c", "n")), HOT_WORDS)).toArrow()
+    hottest = _room(_classes(counts.withColumnRenamed("c", "n")), HOT_WORDS)
+    frequent = counts.where(F.col("c") >= hottest).toArrow()
     hot = sorted(zip(frequent["word"].to_pylist(), frequent["c"].to_pylist()), key=lambda x: (-x[1], x[0]))
     del frequent
     spelled = materialize(spelling_counts(counts), "spelling")
@@ -310,9 +366,66 @@ def train(docs: DataFrame, counts: DataFrame) -> tuple[Automaton, object]:
     automaton = Automaton(n, v, tuple(once), hot, speller)
     numbers = docs.sparkSession.sparkContext.broadcast(automaton.numbers)
     pairs = materialize(bigram_counts(docs, numbers), "bigrams")
-    arcs = pairs.where(F.col("n") >= _room(_classes(pairs), MAX_BIGRAMS)).toArrow()
-    automaton.link(arcs["key"].to_numpy(), arcs["n"].to_numpy(), dict(hot).get(b"", 0))
-    return automaton, numbers
+    followers = materialize(pairs.groupBy(F.expr("substring(key, 1, cut)").alias("h")).agg(F.count("*").alias("t")), "followers")
+    first = followers.where(F.expr("substring(h, 1, 1) = X'20'")).toArrow()
+    starts = counts.where(F.col("word") == F.lit(b"")).first()
+    automaton.follow([int.from_bytes(h[1:], "big") for h in first["h"].to_pylist()], first["t"].to_numpy(), starts.c if starts else 0)
+    hot_pairs = pairs.where(F.col("kind") == BOTH)
+    least = _room(_classes(hot_pairs), MAX_BIGRAMS)
+    arcs = hot_pairs.where(F.col("n") >= least).select("key", "n").toArrow()
+    keys = np.frombuffer(b"".join(arcs["key"].to_pylist()), ">i8").astype(np.int64)
+    automaton.link((keys >> 32 & 0xFFFFFF) << KEY_BITS | keys & 0xFFFFFF, arcs["n"].to_numpy())
+    rare = counts.where(F.col("c") < hottest).join(followers.withColumnRenamed("h", "word"), "word", "left")
+    return automaton, numbers, look_up(automaton, rare, pairs.where((F.col("kind") != BOTH) | (F.col("n") < least)))
+
+
+def look_up(automaton: Automaton, rare: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(key, base, value): what each occurrence of a word or pair adds to the scores, beyond what ``traverse`` has.
+
+    ``rare`` are words that are not hot: word, c, and t, how many words follow; their keys are their bytes, and their value is
+    that of the word and of the failure arc of its state. The value of a pair is the share of its arc over the failure arc.
+    """
+    context = pairs.sparkSession.sparkContext
+    arcs, spelling = context.broadcast(automaton), context.broadcast(automaton.speller)
+
+    def words(batches):
+        for batch in batches:
+            found, c = batch.column(0).to_pylist(), batch.column(1).to_numpy()
+            t = batch.column(2).to_numpy(zero_copy_only=False).astype(float)
+            both = np.array([arcs.value.terms(*x, spelling.value) for x in zip(found, c.tolist())]).reshape(-1, 2)
+            spare = np.where(np.isnan(t), 0.0, np.log10(DISCOUNT * t / c))  # the end has no words after it
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(x) for x in (both[:, 0], both[:, 1], spare))], names=["word", "c", "base", "free", "spare"])
+
+    terms = materialize(rare.select("word", "c", F.col("t").cast("double")).mapInArrow(words, "word binary, c long, base double, free double, spare double"), "terms")
+
+    def gains(batches):
+        for batch in batches:
+            a, kind, n = arcs.value, batch.column(1).to_numpy(), batch.column(2).to_numpy()
+            size, spare, free = (batch.column(i).to_numpy(zero_copy_only=False).astype(float) for i in (3, 4, 5))
+            keys = batch.column(0).to_pylist()
+            at = np.flatnonzero(kind <= SECOND_RARE)
+            h = np.array([int.from_bytes(keys[i][1:4], "big") for i in at], np.int64)
+            size[at], spare[at] = a.sizes[h], a.spare[h]
+            at = np.flatnonzero((kind == BOTH) | (kind == FIRST_RARE))
+            free[at] = a.free[np.array([int.from_bytes(keys[i][-3:], "big") for i in at], np.int64)]
+            gain = np.log10(1 + (n - DISCOUNT) / size / 10 ** (spare + free))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.zeros(len(n))), pa.array(gain)], names=["key", "base", "value"])
+
+    def joined(kinds, place: str, columns: dict):
+        """The pairs of some kinds with the terms of their word at ``place``."""
+        side = terms.select("word", *[F.col(c).alias(x) for x, c in columns.items()])
+        return kinds.withColumn("word", F.expr(place)).join(side, "word").drop("word")
+
+    nil = F.lit(None).cast("double")
+    kind = F.col("kind")
+    before = {"size": "c", "spare": "spare"}
+    second = "substring(key, IF(kind = 1, 5, cut + 2))"
+    later = joined(pairs.where(kind >= FIRST_RARE), "substring(key, 1, cut)", before)
+    both = later.where(kind == NEITHER).unionByName(pairs.where(kind == SECOND_RARE).withColumn("size", nil).withColumn("spare", nil))
+    ready = joined(both, second, {"free": "free"}).unionByName(later.where(kind == FIRST_RARE).withColumn("free", nil))
+    ready = ready.unionByName(pairs.where(kind == BOTH).withColumn("size", nil).withColumn("spare", nil).withColumn("free", nil))
+    found = ready.select("key", "kind", "n", F.col("size").cast("double"), "spare", "free").mapInArrow(gains, "key binary, base double, value double")
+    return found.unionByName(terms.select(F.col("word").alias("key"), "base", (F.col("free") + F.col("spare")).alias("value")))
 
 
 def score(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -324,7 +437,7 @@ def score(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame
     rows = docs.select(F.col(key).alias("doc_id"), whole_text(text).alias("body"))
     learned = rows.where(~held_out(F.col("doc_id")))
     counts = materialize(word_counts(learned), "words")
-    model, numbers = train(learned, counts)
+    model, numbers, table = train(learned, counts)
     context = rows.sparkSession.sparkContext
     arcs, spelling = context.broadcast(model), context.broadcast(model.speller)
     id_type = rows.schema["doc_id"].dataType.simpleString()
@@ -343,35 +456,47 @@ def score(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame
         lengths = list(map(len, found))
         flat = [w for words in found for w in words]
         number = numbers.value.of(flat)
-        total = automaton.traverse(number, *numbers.value.pairs(number, _begins(lengths)))
         begin = np.cumsum([0, *lengths[:-1]])
+        state, key = numbers.value.pairs(number, _begins(lengths))
+        total, hit = automaton.traverse(number, state, key)
         hot = number >= 0
         base = np.where(hot, automaton.base[number] if len(automaton.base) else 0.0, 0.0)
         sums = [np.arange(row, row + len(found)), np.array(lengths), *(np.add.reduceat(x, begin) for x in (hot.astype(np.int64), base, total))]
-        place = np.flatnonzero(~hot)
-        rare = Counter(zip((np.searchsorted(begin, place, "right") - 1 + row).tolist(), [flat[i] for i in place]))
-        at, words, times = [k[0] for k in rare], [k[1] for k in rare], list(rare.values())
+        owner = np.repeat(np.arange(len(found)), lengths)
+        place = np.flatnonzero(~hot).tolist()
+        where = owner.tolist()
+        rare = Counter((where[i], True, flat[i]) for i in place)
+        rare.update((where[i], False, k) for i, _, k in rare_pairs(flat, number, state))
+        more = np.flatnonzero((key >= 0) & ~hit)
+        cold, times = np.unique(owner[more] << 2 * KEY_BITS + 1 | key[more], return_counts=True)
+        at = np.concatenate([np.array([k[0] for k in rare], np.int64), cold >> 2 * KEY_BITS + 1]) + row
+        words = pa.concat_arrays([pa.nulls(len(found), pa.binary()), pa.array([k[2] for k in rare], pa.binary()), hot_keys(cold & ((1 << 2 * KEY_BITS + 1) - 1))])
         ids = pa.concat_arrays([keys, pa.nulls(len(at), keys.type)])
-        both = lambda a, b, t: pa.array([*a, *b], t)
-        nil = [0] * len(at)
+        nil = np.zeros(len(at))
+        both = lambda a, b, t: pa.array(np.concatenate([a, b])).cast(t)
+        alone = np.concatenate([np.zeros(len(found), bool), np.array([k[1] for k in rare], bool), np.zeros(len(cold), bool)])
         return pa.RecordBatch.from_arrays([
-            both(sums[0], at, pa.int64()), ids, both([None] * len(found), words, pa.binary()), both([0] * len(found), times, pa.int64()),
-            both(sums[1], nil, pa.int64()), both(sums[2], nil, pa.int64()), both(sums[3], nil, pa.float64()), both(sums[4], nil, pa.float64()),
-        ], names=["row", "doc_id", "word", "tf", "n_tokens", "n_known", "base_score", "score"])
+            both(sums[0], at, pa.int64()), ids, words, pa.array(alone), both(np.zeros(len(found), np.int64), np.concatenate([np.array(list(rare.values()), np.int64), times]), pa.int64()),
+            both(sums[1], nil.astype(np.int64), pa.int64()), both(sums[2], nil.astype(np.int64), pa.int64()), both(sums[3], nil, pa.float64()), both(sums[4], nil, pa.float64()),
+        ], names=["row", "doc_id", "key", "alone", "tf", "n_tokens", "n_known", "base_score", "score"])
 
-    parts = materialize(rows.mapInArrow(look, f"row long, doc_id {id_type}, word binary, tf long, n_tokens long, n_known long, base_score double, score double"), "lookups")
+    parts = materialize(rows.mapInArrow(look, f"row long, doc_id {id_type}, key binary, alone boolean, tf long, n_tokens long, n_known long, base_score double, score double"), "lookups")
 
     def add(batches):
         for batch in batches:
-            row, tf, c = (batch.column(i).to_numpy() for i in (0, 2, 3))
-            pairs = list(zip(batch.column(1).to_pylist(), c.tolist()))
-            terms = {x: arcs.value.terms(*x, spelling.value) for x in set(pairs)}
-            found = np.array([terms[x] for x in pairs]).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([pa.array(row), pa.array(np.where(c > 0, tf, 0)), pa.array(found[:, 0] * tf), pa.array(found[:, 1] * tf)], names=["row", "n_known", "base_score", "score"])
-
-    rare = parts.where("word IS NOT NULL").select("row", "word", "tf").join(counts, "word", "left").select("row", "word", "tf", F.coalesce("c", F.lit(0)).alias("c"))
-    rare = rare.mapInArrow(add, "row long, n_known long, base_score double, score double")
-    whole = parts.where("word IS NULL").select("row", "doc_id", "n_tokens", "n_known", "base_score", "score")
+            row, tf = (batch.column(i).to_numpy() for i in (0, 2))
+            base, value = (batch.column(i).to_numpy(zero_copy_only=False).astype(float) for i in (4, 5))
+            alone, unseen = batch.column(3).to_numpy(zero_copy_only=False), np.isnan(value)
+            if unseen.any():  # words, as pairs that are not found are left out
+                words = batch.column(1).filter(pa.array(unseen)).to_pylist()
+                terms = {x: arcs.value.terms(x, 0, spelling.value) for x in set(words)}
+                found = np.array([terms[x] for x in words])
+                base[unseen], value[unseen] = found[:, 0], found[:, 1]
+            yield pa.RecordBatch.from_arrays([pa.array(row), pa.array(np.where(alone & ~unseen, tf, 0)), pa.array(base * tf), pa.array(value * tf)], names=["row", "n_known", "base_score", "score"])
+
+    rare = parts.where("key IS NOT NULL").select("row", "key", "tf", "alone").join(table, "key", "left").where("alone OR value IS NOT NULL")
+    rare = rare.select("row", "key", "tf", "alone", "base", "value").mapInArrow(add, "row long, n_known long, base_score double, score double")
+    whole = parts.where("key IS NULL").select("row", "doc_id", "n_tokens", "n_known", "base_score", "score")
     both = whole.unionByName(rare.withColumn("doc_id", F.lit(None).cast(id_type)).withColumn("n_tokens", F.lit(0).cast("long")))
     out = both.groupBy("row").agg(F.max("doc_id").alias("doc_id"), *[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score")])
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "n_tokens", "n_known", F.lit(model.n).cast("long").alias("train_tokens"), "base_score", "score")
