@@ -310,6 +310,22 @@ def test_grammar_composes_clauses():
     assert not any(g.channels("")) and not any(g.channels("idiotic weather"))
 
 
+def test_contracted_negations():
+    g = X.Grammar({}, 0, 0)
+    for text in ("You aren't stupid", "You aren’t stupid.", "He isn't an idiot", "DON'T be dumb, you"):
+        found = dict(zip(X.CHANNELS, g.channels(text)))
+        assert found["negated"] > 0 and found["aimed"] == found["plain"] == 0, text
+
+
+def test_rare_toxicity_keeps_evidence_by_share(spark):
+    rows = [(i, "blorple plain words" if i % 4 == 0 else "plain words", 1) for i in range(60)] + [(100 + i, "blorple plain words" if i % 25 == 0 else "plain words", 0) for i in range(1140)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    grammar = X.train(docs.drop("toxic"), docs.select("doc_id", "toxic"))
+    toxic, other = grammar.counts["blorple$"]
+    assert 0 < toxic < other and grammar.weights["blorple$"] > 0
+    assert "plain$" not in grammar.weights
+
+
 def test_toxicity_edge_cases(spark):
     docs = spark.createDataFrame([(1, None, 1.0), (2, "", 1.0), (3, "you idiot " * 50_000, 1.0), (3, "you idiot " * 50_000, 1.0), (None, "x", 1.0)], "doc_id long, text string, score double")
     none = spark.createDataFrame([], "doc_id long, toxic int")
