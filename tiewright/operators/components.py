@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tiewright.sources.tables import materialize
+from tiewright.sources.tables import drop, materialize
 
 
 def _tally(edges: DataFrame) -> tuple:
@@ -38,7 +38,8 @@ def components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds:
             .where("u <> v")
             .distinct()
         )
-        current = materialize(small, "edges")
+        previous, current = current, materialize(small, "edges")
+        drop(previous)  # its one reader has been written
         after = _tally(current)
         if after == before:
             break

@@ -35,4 +35,13 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    written = spark.read.schema(schema).parquet(path)
+    written.__dict__["_written_to"] = path
+    return written
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete what ``materialize`` wrote for these tables, once nothing will read them or a plan over them any more."""
+    for df in tables:
+        path = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(df.__dict__.pop("_written_to"))
+        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
