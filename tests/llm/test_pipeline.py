@@ -18,10 +18,11 @@ from tiewright.llm.bpe import default_tokenizer
 SF = "/root/testdata/sf0.001"
 
 
-def plain_tables(text, width=5, tables=4):
+def plain_print(text, width=5, sets=8):
+    """The bits of all words of a fingerprint, as one number."""
     words = re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text))
     if not words:
-        return [0] * tables
+        return 0
     k, top = min(width, len(words)), (1 << 64) - 1
     hashes = [xxhash.xxh64_intdigest(" ".join(words[i : i + k]).encode(), seed=42) for i in range(len(words) - k + 1)]
 
@@ -33,11 +34,11 @@ def plain_tables(text, width=5, tables=4):
             x ^= x >> 31
         return x
 
-    return [sum(1 << b for b in range(64) if 2 * sum(mixed(h, t) >> b & 1 for h in hashes) > len(hashes)) for t in range(tables)]
+    return sum(1 << 64 * t + b for t in range(sets) for b in range(64) if 2 * sum(mixed(h, t) >> b & 1 for h in hashes) > len(hashes))
 
 
-def plain_groups(ids, prints, bits=4):
-    """The smallest id of each text's group, links being in any table."""
+def plain_groups(ids, prints, scheme=H.WIDE):
+    """The smallest id of each text's group; links differ in few bits and agree on the counts of a grid's segments."""
     up = list(range(len(ids)))
 
     def root(i):
@@ -45,9 +46,10 @@ def plain_groups(ids, prints, bits=4):
             i = up[i]
         return i
 
+    counts = [[(p >> 2 * s & 3).bit_count() for s in range(256)] for p in prints]
     for i in range(len(ids)):
         for j in range(i):
-            if any((a ^ b).bit_count() <= bits for a, b in zip(prints[i], prints[j])):
+            if (prints[i] ^ prints[j]).bit_count() <= scheme.bits and any(all(counts[i][s] == counts[j][s] for s in g) for g in scheme.grids):
                 up[root(i)] = root(j)
     least = {}
     for i, d in enumerate(ids):
@@ -64,7 +66,7 @@ def test_run_against_plain_version(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     grammar = X.train(docs, spark.read.parquet(f"{SF}/labels.parquet"))
     rows = [r for r in docs.collect() if grammar.score(r.text) < X.CUT]
-    first = plain_groups([r.doc_id for r in rows], [plain_tables(r.text) for r in rows])
+    first = plain_groups([r.doc_id for r in rows], [plain_print(r.text) for r in rows])
     rows = [r for r, c in zip(rows, first) if r.doc_id == c]
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     leaked = {x[0] for x in plain_containments([(r.doc_id, r.text) for r in rows], items)}
@@ -93,10 +95,10 @@ def test_every_stage_keeps_columns_and_survives_edge_rows(spark):
 def test_keep_one_of_each_group(spark):
     near = " ".join(["alpha beta gamma", *(f"w{i * i % 997}" for i in range(900))])
     rows = [(4, near, "a"), (2, near, "b"), (2, near, "b"), (9, near + " omega", "c"), (7, "something else entirely here", "d"), (7, "another text under the same key", "e"), (None, "no key at all", "f"), (None, "no key at all", "g")]
-    kept = H.keep_one(spark.createDataFrame(rows, "doc_id long, text string, fp string"))
+    kept = H.keep_one(spark.createDataFrame(rows, "doc_id long, text string, mark string"))
     got = sorted((r.doc_id or 0, r.text[:9]) for r in kept.collect())
     assert got == [(0, "no key at"), (2, "alpha bet"), (7, "another t"), (7, "something")]
-    assert kept.columns == ["doc_id", "text", "fp"]
+    assert kept.columns == ["doc_id", "text", "mark"]
 
 
 def test_results_do_not_depend_on_partitions(spark):
