@@ -1,53 +1,53 @@
 """Language-model scores from a weighted backoff automaton.
 
-Tokens are lower-cased words and one end for each text. States stand for n-grams. A state for each word of the training texts,
-and one for a text's start, has arcs for all words that follow it in training, with discounted shares. Its failure arc leads to the state of no history, which has an arc for every training token. That state's failure arc leads to
-states that spell words byte by byte: n-grams of up to ``ORDER`` bytes with Witten-Bell weights, each with a failure arc to
-the state of its longest shorter ending; the end of a text is the empty word. A failure arc has the mass that the arcs of its
-state leave, so the model is a distribution over texts. A text is scored in one left-to-right traversal that carries the
-state and adds log probabilities.
-
-Token counts are a table as large as the vocabulary, and counts of two words one as large as the pairs in training. What is
-broadcast is bounded: at most the ``HOT_WORDS`` most frequent words, at most ``MAX_BIGRAMS`` arcs of two words and at most
-``MAX_ARCS`` spelling arcs, the most frequent ones of the whole corpus. The other words and pairs of a text are looked up by a
-join, in which each row is one word or pair of one text; the bounds on words and pairs change no score.
+Tokens are lower-cased words and one end for each text. States stand for histories of two words, of one word, and of none, and
+each has an arc for every token that follows it in training; a text starts in the state of two start marks. The failure arc
+of a state leads to the state of its shorter history, and from the state of no history to the states that spell words byte by
+byte, one for each byte before. With c the count of an arc and C that of its state, an arc weighs (c + m * below) / (C + m) and
+a failure arc m / (C + m), where ``below`` is the token's weight in the shorter history and m the mass of that order. So every
+state is a distribution, and no arc is left out, seen once or often. m is such that over all training tokens the failure arcs
+get the mass of the arcs seen once (``mass``). One traversal from left to right carries the two words and adds log10 weights.
+
+How it is computed. The tables of arcs are as large as the corpus, so none is broadcast or collected:
+
+1. Texts are packed into blocks of about ``BLOCK_CHARS`` characters, one row each, and written to the shared folder.
+2. Each block counts its distinct n-grams, known by 64-bit hashes, and sends them, sorted and delta coded, to ranges of keys.
+3. Each range adds up the counts of all blocks, and answers each block with the totals of those n-grams whose total is not
+   the block's own count; what only one block has needs no answer.
+4. Each block meets its answers and traverses its texts.
+
+Everything but the sums is vector arithmetic over the bytes of many texts. n-grams are told apart by 62 bits of a hash: with
+10^9 different n-grams about 0.1 pairs of them would be counted as one.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections import Counter
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tiewright.llm.bpe import whole_text
 from tiewright.sources.tables import materialize
 
-WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
-HOT_WORDS, MAX_ARCS, MAX_BIGRAMS = 200_000, 200_000, 1_000_000
-ORDER, DISCOUNT = 6, 0.75
-#: Bits of a hot word's number in the key of a bigram.
-KEY_BITS = 20
-#: Kinds of pairs, by whether the first and the second word are hot. In a key, a hot word is HOT and its number in three
-#: bytes, another one its own bytes; BETWEEN parts two others. Words have neither byte.
-BOTH, SECOND_RARE, FIRST_RARE, NEITHER = range(4)
-HOT, BETWEEN = b" ", b"\t"
-#: Symbols of the spelling states: bytes, the end of a word, and the mark before its first byte.
-STOP, START = 256, "\x00"
-FLUSH = 500_000
-#: Characters of text whose tokens a task holds at once.
-PORTION = 1 << 20
-
-
-def tokens(text: str) -> list[bytes]:
-    """The words of a text and its end, the empty word."""
-    return [*WORD.findall(text.encode("utf-8", "surrogatepass").translate(LOWER)), b""]
+SPACE = re.compile(rb"[\x20\x09-\x0D]")
+#: Characters of a block, bytes of text that are looked at in one vector operation, and bytes of text for each range of keys.
+BLOCK_CHARS, PORTION, RANGE_BYTES = 12_000_000, 1 << 20, 1 << 22
+ORDERS = 3
+#: The byte that stands for the end of a text (no UTF-8 has it), and the symbol between words.
+END, GAP = 0xFF, 256
+_SPACED = np.array([b == 0x20 or 0x09 <= b <= 0x0D for b in range(256)])
+_SYMBOL = np.where(_SPACED, GAP, np.arange(256)).astype(np.int32)
+_FACTOR = 0x9E3779B97F4A7C15 | 1
+_START = np.uint64(0x243F6A8885A308D3)
+_MIX = [np.uint64(x) for x in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93)]
+#: Exact small counts, then eight classes for each doubling.
+_EXACT = 64
 
 
 def held_out(key: Column) -> Column:
@@ -55,451 +55,401 @@ def held_out(key: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(key.cast("string")), F.lit(10)) == 0, F.lit(False))
 
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """(word, c) over the tokens of ``docs`` (column body); counts are summed within a task before the shuffle."""
+# ---------------------------------------------------------------- tokens of many texts at once
 
-    def run(batches):
-        counts: Counter = Counter()
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                counts.update(tokens(text))
-                if len(counts) > FLUSH:
-                    yield _pairs(counts)
-                    counts.clear()
-        yield _pairs(counts)
-
-    return docs.select("body").mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
+class Powers:
+    """Powers of an odd factor and of its inverse, by which the hash of any part of a byte array comes from running sums."""
 
-def _pairs(counts: Counter) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], names=["word", "c"])
+    def __init__(self):
+        self.up = self.down = np.ones(1, np.uint64)
 
-
-def spelling_counts(vocabulary: DataFrame) -> DataFrame:
-    """(context, symbol, n): how many words of the vocabulary have the symbol after the context of up to ORDER - 1 places.
-
-    Contexts are Latin-1 strings of a word's bytes, the first one after START.
-    """
-
-    def run(batches):
-        counts: Counter = Counter()
-        for batch in batches:
-            for word in batch.column(0).to_pylist():
-                path = START + word.decode("latin-1")
-                for i, symbol in enumerate([*word, STOP]):
-                    counts[path[max(0, i + 2 - ORDER) : i + 1], symbol] += 1
-            if len(counts) > FLUSH:
-                yield dump(counts)
-                counts.clear()
-        yield dump(counts)
-
-    def dump(counts):
-        keys = list(counts)
-        return pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int32()), pa.array(list(counts.values()), pa.int64())], names=["context", "symbol", "n"])
-
-    longest = vocabulary.select("word").mapInArrow(run, "context string, symbol int, n long").groupBy("context", "symbol").agg(F.sum("n").alias("n"))
-    endings = F.explode(F.sequence(F.lit(0), F.char_length("context"))).alias("k")
-    every = longest.select("context", "symbol", "n", endings).select(F.expr("right(context, k)").alias("context"), "symbol", "n")
-    return every.groupBy("context", "symbol").agg(F.sum("n").alias("n"))
-
-
-class Speller:
-    """Spelling states: arcs[context + symbol] is a log10 probability, failure[context] the weight of its failure arc."""
-
-    def __init__(self, rows: list[tuple[str, int, int]], totals: dict[str, int]):
-        """``rows``: arcs that are kept, with counts; ``totals``: each context's count with the arcs that are not."""
-        kept: dict[str, list[tuple[int, int]]] = {}
-        for context, symbol, n in rows:
-            kept.setdefault(context, []).append((symbol, n))
-        self.failure: dict[str, float] = {}
-        uniform = 1 / 257
-        exact: dict[tuple[str, int], float] = {}
-        for context in sorted(kept, key=len):
-            seen = sum(n for _, n in kept[context])
-            spare = len(kept[context]) + max(0, totals.get(context, seen) - seen)
-            self.failure[context] = spare / (seen + spare)
-            for symbol, n in kept[context]:
-                below = self._probability(context[1:], symbol, exact, uniform) if context else uniform
-                exact[context, symbol] = (n + spare * below) / (seen + spare)
-        for k, p in exact.items():
-            exact[k] = math.log10(p)
-        self.arcs = exact
-        self.failure = {k: math.log10(p) for k, p in self.failure.items()}
-        self.uniform = math.log10(uniform)
-
-    def _probability(self, context, symbol, exact, uniform) -> float:
-        factor = 1.0
-        while True:
-            if (p := exact.get((context, symbol))) is not None:
-                return factor * p
-            factor *= self.failure.get(context, 1.0)
-            if not context:
-                return factor * uniform
-            context = context[1:]
-
-    def step(self, state: str, symbol: int) -> tuple[str, float]:
-        """Follow failure arcs to a state with the symbol; the state after it is the longest ending that is one."""
-        total, context = 0.0, state
-        while (p := self.arcs.get((context, symbol))) is None:
-            total += self.failure.get(context, 0.0)
-            if not context:
-                p = self.uniform
-                break
-            context = context[1:]
-        following = (state + chr(symbol))[1 - ORDER :] if symbol != STOP else ""
-        while following and following not in self.failure:
-            following = following[1:]
-        return following, total + p
-
-    def spell(self, word: bytes) -> float:
-        """log10 probability of the bytes of a word and its end."""
-        state, total = START, 0.0
-        while state and state not in self.failure:
-            state = state[1:]
-        for symbol in [*word, STOP]:
-            state, p = self.step(state, symbol)
-            total += p
-        return total
-
-
-class Numbers:
-    """Numbers of the hot words, in order; the number after them stands for a text's start."""
-
-    def __init__(self, words: list[bytes]):
-        self.number = {word: i for i, word in enumerate(words)}
-        self.contexts = len(words)
-
-    def of(self, found: list[bytes]) -> np.ndarray:
-        """Numbers of hot words, -1 for others."""
-        return np.fromiter(map(self.number.get, found, repeat(-1)), np.int64, len(found))
-
-    def pairs(self, numbers: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(state before each token, key of its bigram), -1 where a word is not hot; ``first``: where texts begin."""
-        state = np.append(-1, numbers[:-1]) if len(numbers) else numbers
-        state = np.where(first, self.contexts, state)
-        return state, np.where((state >= 0) & (numbers >= 0), state << KEY_BITS | numbers, -1)
-
-
-def _code(number: int) -> bytes:
-    return (HOT[0] << 24 | number).to_bytes(4, "big")
-
-
-def rare_pairs(words: list[bytes], numbers: np.ndarray, state: np.ndarray):
-    """(place, kind, key) of the pairs of which one word or both are not hot; ``state``: numbers of the words before."""
-    for i in np.flatnonzero((numbers < 0) | (state < 0)).tolist():
-        if numbers[i] >= 0:
-            yield i, FIRST_RARE, words[i - 1] + _code(int(numbers[i]))
-        elif state[i] >= 0:
-            yield i, SECOND_RARE, _code(int(state[i])) + words[i]
-        else:
-            yield i, NEITHER, words[i - 1] + BETWEEN + words[i]
+    def of(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.up) < n:
+            size = max(n, PORTION + (PORTION >> 2))
+            self.up, self.down = (np.full(size, f, np.uint64) for f in (_FACTOR, pow(_FACTOR, -1, 1 << 64)))
+            for powers in (self.up, self.down):
+                powers[0] = 1
+                np.cumprod(powers, out=powers)
+        return self.up[:n], self.down[:n]
 
 
-def hot_keys(keys: np.ndarray) -> pa.Array:
-    """Binary keys of pairs of hot words."""
-    packed = (HOT[0] << 56) | (keys >> KEY_BITS << 32) | (HOT[0] << 24) | (keys & ((1 << KEY_BITS) - 1))
-    return pa.Array.from_buffers(pa.binary(), len(keys), [None, pa.py_buffer(np.arange(0, 8 * len(keys) + 1, 8, dtype=np.int32)), pa.py_buffer(packed.astype(">i8").tobytes())])
+_powers = Powers()
 
 
-class Automaton:
-    """The states of no history and of one word, in front of the spelling states.
+def mixed(x: np.ndarray, salt: int) -> np.ndarray:
+    x = x + np.uint64(salt * _FACTOR & 0xFFFFFFFFFFFFFFFF)
+    x = (x ^ (x >> np.uint64(30))) * _MIX[0]
+    x = (x ^ (x >> np.uint64(27))) * _MIX[1]
+    return x ^ (x >> np.uint64(31))
 
-    Pickled, it leaves out its numbers and its speller, which are sent on their own to the tasks that need them.
-    """
 
-    def __init__(self, n: int, v: int, once: tuple[int, int, int, int], hot: list[tuple[bytes, int]], speller: Speller):
-        """``once``: how many words training has once, twice, three and four times; ``hot``: words with counts, in order."""
-        self.n, self.v, self.speller = n, v, speller
-        n1, n2, n3, n4 = once
-        d = n1 / (n1 + 2 * n2) if n1 and n2 else DISCOUNT
-        ratio = lambda k, a, b: min(k - 0.05, max(0.05, k - (k + 1) * d * b / a)) if a and b else min(k - 0.05, DISCOUNT)
-        self.discounts = (0.0, ratio(1, n1, n2), ratio(2, n2, n3), ratio(3, n3, n4))
-        taken = self.discounts[1] * n1 + self.discounts[2] * n2 + self.discounts[3] * max(0, v - n1 - n2)
-        self.failure = math.log10(taken / n) if n else 0.0
-        self.numbers = Numbers([word for word, _ in hot])
-        self.counts = np.array([c for _, c in hot], np.int64)
-        terms = np.array([self.terms(word, c) for word, c in hot]).reshape(-1, 2)
-        self.base, self.free = terms[:, 0], terms[:, 1]
-        self.contexts = self.numbers.contexts
-        self.sizes = np.append(self.counts, 0).astype(float)
-        self.spare = np.zeros(self.contexts + 1)
-        self.link([], [])
-
-    def follow(self, numbers, followers, starts: int) -> None:
-        """Set the failure arcs of the hot words' states: how many words follow each in training; ``starts`` counts texts."""
-        self.sizes[-1] = starts
-        at = np.asarray(numbers, np.int64)
-        self.spare[at] = np.log10(DISCOUNT * np.asarray(followers, float) / self.sizes[at])
-
-    def link(self, keys, counts) -> None:
-        """Set the arcs of two words that are broadcast: ``keys`` are previous word's number << KEY_BITS | number."""
-        keys, counts = np.asarray(keys, np.int64), np.asarray(counts, np.int64)
-        order = np.argsort(keys)
-        self.keys, counts = keys[order], counts[order]
-        before, after = self.keys >> KEY_BITS, self.keys & ((1 << KEY_BITS) - 1)
-        self.arcs = np.log10((counts - DISCOUNT) / self.sizes[before] + 10 ** (self.spare[before] + self.free[after]))
-
-    def cached(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(whether the arc of each key is broadcast, its place)."""
-        if not len(self.keys):
-            return np.zeros(len(key), bool), np.zeros(len(key), np.int64)
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        return (key >= 0) & (self.keys[at] == key), at
-
-    def terms(self, word: bytes, c: int, speller: Speller | None = None) -> tuple[float, float]:
-        """The base's log10 probability of a word that training has ``c`` times, and the model's without history."""
-        base = math.log10((c + 0.1) / (self.n + 0.1 * (self.v + 1)))
-        spelled = (speller or self.speller).spell(word)
-        if not self.n:
-            return base, spelled
-        backoff = self.failure + spelled
-        return base, backoff if not c else math.log10((c - self.discounts[min(c, 3)]) / self.n + 10**backoff)
-
-    def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k not in ("numbers", "speller")}
-
-    def traverse(self, numbers: np.ndarray, state: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(log10 probability of each token before its lookups, whether its arc is broadcast).
-
-        Words and states that are not hot count 0 here, and arcs that are not broadcast as if they were failure arcs.
-        """
-        out = np.where(numbers >= 0, self.free[numbers] if len(self.free) else 0.0, 0.0)
-        out = out + np.where(state >= 0, self.spare[state], 0.0)
-        hit, at = self.cached(key)
-        return (np.where(hit, self.arcs[at], out) if hit.any() else out), hit
-
-
-def _begins(lengths: list[int]) -> np.ndarray:
-    """Marks of the first token of each text."""
-    first = np.zeros(sum(lengths), bool)
-    first[np.cumsum([0, *lengths[:-1]])] = True
-    return first
-
-
-def _portions(texts: list[str]):
-    """The token lists of some texts at a time, about PORTION characters."""
+def portions(texts: list[str]):
+    """The lower-cased bytes of texts one after the other, each behind its end mark, cut between words into PORTIONs."""
     held, size = [], 0
     for text in texts:
-        held.append(tokens(text))
-        size += len(text)
+        data = text.encode("utf-8", "surrogatepass").translate(LOWER)
+        at = 0
+        while len(data) - at > PORTION:
+            cut = SPACE.search(data, at + PORTION)
+            if not cut:
+                break
+            held.append(data[at : cut.start()])
+            yield b" ".join([*held, b""])
+            held, size, at = [], 0, cut.start()
+        held += [data[at:] if at else data, b"\xff"]
+        size += len(data) - at + 3
         if size >= PORTION:
-            yield held
+            yield b" ".join([*held, b""])
             held, size = [], 0
     if held:
-        yield held
+        yield b" ".join([*held, b""])
 
 
-def bigram_counts(docs: DataFrame, shared) -> DataFrame:
-    """(kind, key, cut, n) of all bigrams of ``docs`` (column body); ``cut``: length of the first word in the key.
+def words_of(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash of each word, whether it is the end of a text, transitions of bytes): of bytes that end with a space.
 
-    ``shared``: a broadcast Numbers.
+    A transition is 257 times a symbol and the next one; the first is that from the space before the bytes. Between spaces
+    there is none, and that is -1.
     """
+    raw = np.frombuffer(data, np.uint8)
+    space = _SPACED[raw]
+    before = np.concatenate([[True], space[:-1]])
+    start, stop = np.flatnonzero(before & ~space), np.flatnonzero(~before & space)
+    up, down = _powers.of(len(raw))
+    sums = np.cumsum((raw + np.uint64(1)) * up, dtype=np.uint64)
+    head = np.where(start > 0, sums[start - 1], np.uint64(0)) if len(start) else np.empty(0, np.uint64)
+    hashes = mixed((sums[stop - 1] - head) * down[start], 1) if len(start) else np.empty(0, np.uint64)
+    symbol = _SYMBOL[raw]
+    moves = np.concatenate([[np.int32(GAP)], symbol[:-1]]) * np.int32(257) + symbol
+    moves[before & space] = -1
+    return hashes, (raw[start] == END) if len(start) else np.empty(0, bool), moves
 
-    def run(batches):
-        held, size, rare = [], 0, [Counter() for _ in range(4)]
-        for batch in batches:
-            for found in _portions(batch.column(0).to_pylist()):
-                flat = [w for words in found for w in words]
-                numbers = shared.value.of(flat)
-                state, keys = shared.value.pairs(numbers, _begins(list(map(len, found))))
-                held.append(keys[keys >= 0])
-                size += len(held[-1])
-                for _, kind, key in rare_pairs(flat, numbers, state):
-                    rare[kind][key] += 1
-                if size > 4 * FLUSH:
-                    yield fold(held)
-                    held, size = [], 0
-                if sum(map(len, rare)) > FLUSH:
-                    yield from dump(rare)
-        yield fold(held)
-        yield from dump(rare)
-
-    def fold(held):
-        keys, n = np.unique(np.concatenate(held) if held else np.empty(0, np.int64), return_counts=True)
-        return table(BOTH, hot_keys(keys), np.full(len(keys), 4), n)
-
-    def dump(rare):
-        cuts = {SECOND_RARE: lambda k: 4, FIRST_RARE: lambda k: len(k) - 4, NEITHER: lambda k: k.index(BETWEEN)}
-        for kind, cut in cuts.items():
-            yield table(kind, pa.array(list(rare[kind]), pa.binary()), np.array(list(map(cut, rare[kind])), np.int64), np.array(list(rare[kind].values()), np.int64))
-            rare[kind].clear()
-
-    def table(kind, keys, cuts, n):
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), kind, np.int32)), keys, pa.array(cuts.astype(np.int32)), pa.array(n, pa.int64())], names=["kind", "key", "cut", "n"])
-
-    return docs.select("body").mapInArrow(run, "kind int, key binary, cut int, n long").groupBy("kind", "key", "cut").agg(F.sum("n").alias("n"))
-
-
-def _room(classes: list, most: int) -> int:
-    """The least count to keep, given (count, rows) by falling count, so that at most ``most`` rows remain."""
-    least = 1 << 62
-    for n, rows in classes:
-        if rows > most:
-            break
-        least, most = n, most - rows
-    return least
-
-
-def _classes(table: DataFrame) -> list:
-    return table.groupBy(F.least("n", F.lit(100_000)).alias("n")).agg(F.count("*").alias("rows")).orderBy(F.desc("n")).collect()
-
-
-def train(docs: DataFrame, counts: DataFrame) -> tuple[Automaton, object, DataFrame]:
-    """The automaton, its numbers as a broadcast, and the table of what is looked up, over training texts (column body) and their token counts (word, c), both perhaps empty.
-
-    Spelling arcs of contexts of one place or none are all kept. Of the others those with the largest counts are kept, as many
-    whole classes of equal counts as there is room for; the mass of the rest stays with the failure arcs. Words and bigrams
-    are broadcast by the same rule, and all others are in the table: (key, base, value), as ``look_up`` has them.
-    """
-    n, v, *once = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), *[F.count_if(F.col("c") == i) for i in (1, 2, 3, 4)]).first()
-    hottest = _room(_classes(counts.withColumnRenamed("c", "n")), HOT_WORDS)
-    frequent = counts.where(F.col("c") >= hottest).toArrow()
-    hot = sorted(zip(frequent["word"].to_pylist(), frequent["c"].to_pylist()), key=lambda x: (-x[1], x[0]))
-    del frequent
-    spelled = materialize(spelling_counts(counts), "spelling")
-    least = _room(_classes(spelled.where(F.char_length("context") > 1)), MAX_ARCS)
-    kept = spelled.where((F.char_length("context") <= 1) | (F.col("n") >= least))
-    totals = spelled.groupBy("context").agg(F.sum("n").alias("total"))
-    rows = kept.join(totals, "context").select("context", "symbol", "n", "total").toArrow().to_pydict()
-    speller = Speller(list(zip(rows["context"], rows["symbol"], rows["n"])), dict(zip(rows["context"], rows["total"])))
-    del rows
-    automaton = Automaton(n, v, tuple(once), hot, speller)
-    numbers = docs.sparkSession.sparkContext.broadcast(automaton.numbers)
-    pairs = materialize(bigram_counts(docs, numbers), "bigrams")
-    followers = materialize(pairs.groupBy(F.expr("substring(key, 1, cut)").alias("h")).agg(F.count("*").alias("t")), "followers")
-    first = followers.where(F.expr("substring(h, 1, 1) = X'20'")).toArrow()
-    starts = counts.where(F.col("word") == F.lit(b"")).first()
-    automaton.follow([int.from_bytes(h[1:], "big") for h in first["h"].to_pylist()], first["t"].to_numpy(), starts.c if starts else 0)
-    hot_pairs = pairs.where(F.col("kind") == BOTH)
-    least = _room(_classes(hot_pairs), MAX_BIGRAMS)
-    arcs = hot_pairs.where(F.col("n") >= least).select("key", "n").toArrow()
-    keys = np.frombuffer(b"".join(arcs["key"].to_pylist()), ">i8").astype(np.int64)
-    automaton.link((keys >> 32 & 0xFFFFFF) << KEY_BITS | keys & 0xFFFFFF, arcs["n"].to_numpy())
-    rare = counts.where(F.col("c") < hottest).join(followers.withColumnRenamed("h", "word"), "word", "left")
-    return automaton, numbers, look_up(automaton, rare, pairs.where((F.col("kind") != BOTH) | (F.col("n") < least)))
-
-
-def look_up(automaton: Automaton, rare: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(key, base, value): what each occurrence of a word or pair adds to the scores, beyond what ``traverse`` has.
-
-    ``rare`` are words that are not hot: word, c, and t, how many words follow; their keys are their bytes, and their value is
-    that of the word and of the failure arc of its state. The value of a pair is the share of its arc over the failure arc.
-    """
-    context = pairs.sparkSession.sparkContext
-    arcs, spelling = context.broadcast(automaton), context.broadcast(automaton.speller)
 
-    def words(batches):
-        for batch in batches:
-            found, c = batch.column(0).to_pylist(), batch.column(1).to_numpy()
-            t = batch.column(2).to_numpy(zero_copy_only=False).astype(float)
-            both = np.array([arcs.value.terms(*x, spelling.value) for x in zip(found, c.tolist())]).reshape(-1, 2)
-            spare = np.where(np.isnan(t), 0.0, np.log10(DISCOUNT * t / c))  # the end has no words after it
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(x) for x in (both[:, 0], both[:, 1], spare))], names=["word", "c", "base", "free", "spare"])
+def spelled(moves: np.ndarray, log_moves: np.ndarray) -> np.ndarray:
+    """log10 weight of spelling each word."""
+    real = moves[moves >= 0]
+    if not len(real):
+        return np.empty(0)
+    return np.add.reduceat(log_moves[real], np.flatnonzero(real // 257 == GAP))
 
-    terms = materialize(rare.select("word", "c", F.col("t").cast("double")).mapInArrow(words, "word binary, c long, base double, free double, spare double"), "terms")
 
-    def gains(batches):
-        for batch in batches:
-            a, kind, n = arcs.value, batch.column(1).to_numpy(), batch.column(2).to_numpy()
-            size, spare, free = (batch.column(i).to_numpy(zero_copy_only=False).astype(float) for i in (3, 4, 5))
-            keys = batch.column(0).to_pylist()
-            at = np.flatnonzero(kind <= SECOND_RARE)
-            h = np.array([int.from_bytes(keys[i][1:4], "big") for i in at], np.int64)
-            size[at], spare[at] = a.sizes[h], a.spare[h]
-            at = np.flatnonzero((kind == BOTH) | (kind == FIRST_RARE))
-            free[at] = a.free[np.array([int.from_bytes(keys[i][-3:], "big") for i in at], np.int64)]
-            gain = np.log10(1 + (n - DISCOUNT) / size / 10 ** (spare + free))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.zeros(len(n))), pa.array(gain)], names=["key", "base", "value"])
-
-    def joined(kinds, place: str, columns: dict):
-        """The pairs of some kinds with the terms of their word at ``place``."""
-        side = terms.select("word", *[F.col(c).alias(x) for x, c in columns.items()])
-        return kinds.withColumn("word", F.expr(place)).join(side, "word").drop("word")
-
-    nil = F.lit(None).cast("double")
-    kind = F.col("kind")
-    before = {"size": "c", "spare": "spare"}
-    second = "substring(key, IF(kind = 1, 5, cut + 2))"
-    later = joined(pairs.where(kind >= FIRST_RARE), "substring(key, 1, cut)", before)
-    both = later.where(kind == NEITHER).unionByName(pairs.where(kind == SECOND_RARE).withColumn("size", nil).withColumn("spare", nil))
-    ready = joined(both, second, {"free": "free"}).unionByName(later.where(kind == FIRST_RARE).withColumn("free", nil))
-    ready = ready.unionByName(pairs.where(kind == BOTH).withColumn("size", nil).withColumn("spare", nil).withColumn("free", nil))
-    found = ready.select("key", "kind", "n", F.col("size").cast("double"), "spare", "free").mapInArrow(gains, "key binary, base double, value double")
-    return found.unionByName(terms.select(F.col("word").alias("key"), "base", (F.col("free") + F.col("spare")).alias("value")))
+def ngrams(words: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
+    """Keys of the 1-, 2- and 3-gram that each token ends; texts begin with start marks. The low two bits are the order."""
+    first = np.concatenate([[True], ends[:-1]]) if len(ends) else np.empty(0, bool)
+    before = np.where(first, _START, np.concatenate([[_START], words[:-1]])) if len(words) else words
+    second = np.concatenate([[True], first[:-1]]) | first if len(first) else first
+    twice = np.where(second, _START, np.concatenate([[_START, _START], words[:-2]])[: len(words)]) if len(words) else words
+    pair = mixed(before, 3) * _MIX[2] + words
+    keys = [words, mixed(pair, 5), mixed(mixed(mixed(twice, 7) + before, 9) * _MIX[2] + words, 11)]
+    return [(k & ~np.uint64(3)) | np.uint64(i) for i, k in enumerate(keys)]
 
 
-def score(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """Per row of ``docs``: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
+# ---------------------------------------------------------------- blocks and coded keys
 
-    The model learns from the rows that are not held out. Null texts count as empty: one token, the end. Repeated rows each
-    count and each get a result; an empty table gives an empty result.
-    """
-    rows = docs.select(F.col(key).alias("doc_id"), whole_text(text).alias("body"))
-    learned = rows.where(~held_out(F.col("doc_id")))
-    counts = materialize(word_counts(learned), "words")
-    model, numbers, table = train(learned, counts)
-    context = rows.sparkSession.sparkContext
-    arcs, spelling = context.broadcast(model), context.broadcast(model.speller)
-    id_type = rows.schema["doc_id"].dataType.simpleString()
-
-    def look(batches):
+
+def encoded(values: np.ndarray) -> bytes:
+    """Numbers in ascending order or small: their number, and the bytes of the (first) differences plane by plane, compressed."""
+    planes = np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8).T)
+    return b"".join([len(values).to_bytes(4, "little"), pa.Codec("zstd", 1).compress(planes.tobytes(), asbytes=True)])
+
+
+def decoded(data: bytes, at: int = 0) -> np.ndarray:
+    n = int.from_bytes(data[at : at + 4], "little")
+    planes = np.frombuffer(pa.Codec("zstd").decompress(data[at + 4 :], 8 * n, asbytes=True), np.uint8).reshape(8, n)
+    return np.ascontiguousarray(planes.T).view("<u8").ravel()
+
+
+def differences(ascending: np.ndarray) -> np.ndarray:
+    return np.diff(ascending, prepend=ascending[:1] * 0)
+
+
+def two(a: np.ndarray, b: np.ndarray) -> bytes:
+    x, y = encoded(a), encoded(b)
+    return len(x).to_bytes(4, "little") + x + y
+
+
+def both(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n = int.from_bytes(data[:4], "little")
+    return decoded(data[4 : 4 + n]), decoded(data[4 + n :])
+
+
+def pack(rows: DataFrame) -> DataFrame:
+    """(block, n_bytes, n_learned, texts): about BLOCK_CHARS characters of (doc_id, held_out, body), as one compressed value."""
+
+    def run(batches):
         from pyspark import TaskContext
 
-        automaton, row = arcs.value, TaskContext.get().partitionId() << 33
+        number, held, size = TaskContext.get().partitionId() << 32, [], 0
         for batch in batches:
+            lengths = np.diff(np.frombuffer(batch.column(2).buffers()[1], np.int32)[batch.column(2).offset :][: batch.num_rows + 1]) if batch.num_rows else []
             at = 0
-            for found in _portions(batch.column(1).to_pylist()):
-                yield portion(automaton, row, batch.column(0).slice(at, len(found)), found)
-                at, row = at + len(found), row + len(found)
-
-    def portion(automaton, row, keys, found):
-        lengths = list(map(len, found))
-        flat = [w for words in found for w in words]
-        number = numbers.value.of(flat)
-        begin = np.cumsum([0, *lengths[:-1]])
-        state, key = numbers.value.pairs(number, _begins(lengths))
-        total, hit = automaton.traverse(number, state, key)
-        hot = number >= 0
-        base = np.where(hot, automaton.base[number] if len(automaton.base) else 0.0, 0.0)
-        sums = [np.arange(row, row + len(found)), np.array(lengths), *(np.add.reduceat(x, begin) for x in (hot.astype(np.int64), base, total))]
-        owner = np.repeat(np.arange(len(found)), lengths)
-        place = np.flatnonzero(~hot).tolist()
-        where = owner.tolist()
-        rare = Counter((where[i], True, flat[i]) for i in place)
-        rare.update((where[i], False, k) for i, _, k in rare_pairs(flat, number, state))
-        more = np.flatnonzero((key >= 0) & ~hit)
-        cold, times = np.unique(owner[more] << 2 * KEY_BITS + 1 | key[more], return_counts=True)
-        at = np.concatenate([np.array([k[0] for k in rare], np.int64), cold >> 2 * KEY_BITS + 1]) + row
-        words = pa.concat_arrays([pa.nulls(len(found), pa.binary()), pa.array([k[2] for k in rare], pa.binary()), hot_keys(cold & ((1 << 2 * KEY_BITS + 1) - 1))])
-        ids = pa.concat_arrays([keys, pa.nulls(len(at), keys.type)])
-        nil = np.zeros(len(at))
-        both = lambda a, b, t: pa.array(np.concatenate([a, b])).cast(t)
-        alone = np.concatenate([np.zeros(len(found), bool), np.array([k[1] for k in rare], bool), np.zeros(len(cold), bool)])
-        return pa.RecordBatch.from_arrays([
-            both(sums[0], at, pa.int64()), ids, words, pa.array(alone), both(np.zeros(len(found), np.int64), np.concatenate([np.array(list(rare.values()), np.int64), times]), pa.int64()),
-            both(sums[1], nil.astype(np.int64), pa.int64()), both(sums[2], nil.astype(np.int64), pa.int64()), both(sums[3], nil, pa.float64()), both(sums[4], nil, pa.float64()),
-        ], names=["row", "doc_id", "key", "alone", "tf", "n_tokens", "n_known", "base_score", "score"])
-
-    parts = materialize(rows.mapInArrow(look, f"row long, doc_id {id_type}, key binary, alone boolean, tf long, n_tokens long, n_known long, base_score double, score double"), "lookups")
-
-    def add(batches):
-        for batch in batches:
-            row, tf = (batch.column(i).to_numpy() for i in (0, 2))
-            base, value = (batch.column(i).to_numpy(zero_copy_only=False).astype(float) for i in (4, 5))
-            alone, unseen = batch.column(3).to_numpy(zero_copy_only=False), np.isnan(value)
-            if unseen.any():  # words, as pairs that are not found are left out
-                words = batch.column(1).filter(pa.array(unseen)).to_pylist()
-                terms = {x: arcs.value.terms(x, 0, spelling.value) for x in set(words)}
-                found = np.array([terms[x] for x in words])
-                base[unseen], value[unseen] = found[:, 0], found[:, 1]
-            yield pa.RecordBatch.from_arrays([pa.array(row), pa.array(np.where(alone & ~unseen, tf, 0)), pa.array(base * tf), pa.array(value * tf)], names=["row", "n_known", "base_score", "score"])
-
-    rare = parts.where("key IS NOT NULL").select("row", "key", "tf", "alone").join(table, "key", "left").where("alone OR value IS NOT NULL")
-    rare = rare.select("row", "key", "tf", "alone", "base", "value").mapInArrow(add, "row long, n_known long, base_score double, score double")
-    whole = parts.where("key IS NULL").select("row", "doc_id", "n_tokens", "n_known", "base_score", "score")
-    both = whole.unionByName(rare.withColumn("doc_id", F.lit(None).cast(id_type)).withColumn("n_tokens", F.lit(0).cast("long")))
-    out = both.groupBy("row").agg(F.max("doc_id").alias("doc_id"), *[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score")])
-    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "n_tokens", "n_known", F.lit(model.n).cast("long").alias("train_tokens"), "base_score", "score")
+            for i, n in enumerate(lengths):
+                size += int(n)
+                if size >= BLOCK_CHARS:
+                    held.append(batch.slice(at, i + 1 - at))
+                    yield row(number, held)
+                    number, held, size, at = number + 1, [], 0, i + 1
+            if at < batch.num_rows:
+                held.append(batch.slice(at))
+        if held:
+            yield row(number, held)
+
+    def row(number, held):
+        table = pa.Table.from_batches(held).combine_chunks()
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 3))) as writer:
+            writer.write_table(table)
+        n_bytes = pc.sum(pc.binary_length(table.column("body"))).as_py() or 0
+        learned = table.num_rows - sum(table.column("held_out").to_pylist())
+        return pa.RecordBatch.from_arrays([pa.array([number]), pa.array([n_bytes]), pa.array([learned]), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["block", "n_bytes", "n_learned", "texts"])
+
+    return rows.mapInArrow(run, "block long, n_bytes long, n_learned long, texts binary")
+
+
+def unpacked(texts: bytes) -> pa.Table:
+    return pa.ipc.open_stream(texts).read_all()
+
+
+class Block:
+    """The tokens of a block's texts, their n-grams and the block's own counts of them in texts that are learned from."""
+
+    def __init__(self, texts: bytes, log_moves: np.ndarray | None = None):
+        table = unpacked(texts)
+        self.ids, self.held = table.column("doc_id").combine_chunks(), table.column("held_out").to_numpy()
+        words, ends, spell, runs = [], [], [], []
+        for data in portions(table.column("body").to_pylist()):
+            found = words_of(data)
+            words.append(found[0])
+            ends.append(found[1])
+            if log_moves is None:
+                runs.append(found[2])
+            else:
+                spell.append(spelled(found[2], log_moves))
+        self.words, self.ends = np.concatenate([np.empty(0, np.uint64), *words]), np.concatenate([np.empty(0, bool), *ends])
+        self.begin = np.concatenate([[0], np.flatnonzero(self.ends) + 1])[:-1]
+        self.lengths = np.diff(np.concatenate([self.begin, [len(self.words)]]))
+        learned = np.repeat(~self.held, self.lengths)
+        self.keys, self.place, self.counts = [], [], []
+        for key in ngrams(self.words, self.ends):
+            distinct, place = np.unique(key, return_inverse=True)
+            self.keys.append(distinct)
+            self.place.append(place)
+            self.counts.append(np.bincount(place[learned], minlength=len(distinct)))
+        self.spelled = np.concatenate([np.empty(0), *spell])
+        self.moves = self._moves(runs, learned) if log_moves is None else None
+
+    def _moves(self, runs: list, learned: np.ndarray) -> np.ndarray:
+        """How often each transition of bytes occurs in texts that are learned from."""
+        every = np.concatenate([np.empty(0, np.int32), *runs])
+        every = every[every >= 0]
+        of_word = np.cumsum(every // 257 == GAP) - 1
+        return np.bincount(every[learned[of_word]], minlength=257 * 257)
+
+    def all_keys(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(keys of all orders in order, their counts, where each order's keys are among them)."""
+        keys, counts = np.concatenate(self.keys), np.concatenate(self.counts)
+        order = np.argsort(keys, kind="stable")
+        return keys[order], counts[order], order
+
+
+# ---------------------------------------------------------------- counts of the corpus
+
+SENT, ANSWER, TALLY, MOVES, TEXTS = range(5)
+
+
+def _tables(kind: int, columns: list) -> pa.RecordBatch:
+    block, where, n, blob = columns
+    rows = len(block)
+    return pa.RecordBatch.from_arrays([
+        pa.array(np.full(rows, kind, np.int32)), pa.array(np.asarray(block, np.int64)), pa.array(np.asarray(where, np.int32)), pa.array(np.asarray(n, np.int64)), pa.array(blob, pa.binary()),
+    ], names=["kind", "block", "range", "n", "data"])
+
+
+ROWS = "kind int, block long, range int, n long, data binary"
+
+
+def send(batches, bits: int):
+    """The n-grams of each block with its own counts, by ranges of keys, and the transitions of bytes."""
+    for batch in batches:
+        for number, texts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            block = Block(texts)
+            keys, counts, _ = block.all_keys()
+            bounds = np.searchsorted(keys, np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits))
+            for r, (k, c) in enumerate(zip(np.split(keys, bounds), np.split(counts, bounds))):
+                if len(k):
+                    yield _tables(SENT, [[number], [r], [0], [two(differences(k >> np.uint64(2)), c * 4 + (k & np.uint64(3)).astype(np.int64))]])
+            seen = np.flatnonzero(block.moves)
+            yield _tables(MOVES, [seen, (seen % (1 << bits)), block.moves[seen], [None] * len(seen)])
+
+
+def class_of(counts: np.ndarray) -> np.ndarray:
+    """The class of a count: itself if it is small, else by its logarithm."""
+    large = _EXACT + np.floor(8 * np.log2(np.maximum(counts, _EXACT) / _EXACT)).astype(np.int64)
+    return np.where(counts < _EXACT, counts, large)
+
+
+def answer(batches):
+    """For whole ranges, which come one after the other: answers to the blocks, and tallies of the counts."""
+    held: list[tuple[int, bytes]] = []
+    present = None
+    for batch in batches:
+        kinds, ranges = batch.column(0).to_numpy(), batch.column(2).to_numpy()
+        moves = np.flatnonzero(kinds == MOVES)
+        if len(moves):
+            yield _tables(MOVES, [batch.column(1).to_numpy()[moves], ranges[moves], batch.column(3).to_numpy()[moves], [None] * len(moves)])
+        for i in np.flatnonzero(kinds == SENT).tolist():
+            if ranges[i] != present:
+                if held:
+                    yield from settle(present, held)
+                present, held = ranges[i], []
+            held.append((batch.column(1)[i].as_py(), batch.column(4)[i].as_py()))
+    if held:
+        yield from settle(present, held)
+
+
+def settle(number: int, held: list[tuple[int, bytes]]):
+    keys, counts, sizes = [], [], []
+    for _, data in held:
+        d, c = both(data)
+        counts.append((c >> np.uint64(2)).astype(np.int64))
+        keys.append((np.cumsum(d, dtype=np.uint64) << np.uint64(2)) | (c & np.uint64(3)))
+        sizes.append(len(d))
+    distinct, place = np.unique(np.concatenate(keys), return_inverse=True)
+    total = np.bincount(place, weights=np.concatenate(counts), minlength=len(distinct)).astype(np.int64)
+    answers = [], []
+    for (block, _), own, at in zip(held, counts, np.split(place, np.cumsum(sizes)[:-1])):
+        other = np.flatnonzero(total[at] != own)
+        if len(other):
+            answers[0].append(block)
+            answers[1].append(two(differences(other), total[at[other]]))
+    yield _tables(ANSWER, [answers[0], [number] * len(answers[0]), [0] * len(answers[0]), answers[1]])
+    order = (distinct & np.uint64(3)).astype(np.int64)
+    classes = class_of(total) * 4 + order
+    n = np.bincount(classes)
+    sums = np.bincount(classes, weights=total).astype(np.int64)
+    some = np.flatnonzero(n)
+    yield _tables(TALLY, [np.concatenate([2 * some, 2 * some + 1]), [number] * 2 * len(some), np.concatenate([n[some], sums[some]]), [None] * 2 * len(some)])
+
+
+# ---------------------------------------------------------------- the model
+
+
+def mass(contexts: list[tuple[float, float]], once: float) -> float:
+    """The mass of failure arcs: with it, states of given (count, number of states) leave ``once`` of all tokens to them."""
+    total = sum(c * n for c, n in contexts)
+    if not once or not total:
+        return 0.5
+    low, high = 1e-6, 1e12
+    for _ in range(200):
+        middle = math.sqrt(low * high)
+        if sum(n * c * middle / (c + middle) for c, n in contexts) < once:
+            low = middle
+        else:
+            high = middle
+    return min(low, total)
+
+
+class Model:
+    """What the whole corpus says in a few numbers: masses, numbers of tokens and words, and weights of byte transitions."""
+
+    def __init__(self, tally: dict[int, int], moves: dict[int, int], n_texts: int):
+        counts: list[list[tuple[float, float]]] = [[] for _ in range(ORDERS)]
+        once, distinct, tokens = [0] * ORDERS, [0] * ORDERS, [0] * ORDERS
+        for key in {k // 2 for k in tally}:
+            kind, order = divmod(key, 4)
+            n, total = tally.get(2 * key, 0), tally.get(2 * key + 1, 0)
+            if kind:
+                counts[order].append((total / n, n))
+                distinct[order] += n
+                tokens[order] += total
+                once[order] += n if kind == 1 else 0
+        self.n, self.v, self.n_texts = tokens[0], distinct[0], n_texts
+        self.masses = [mass([(self.n, 1)], once[0]), mass(sorted(counts[0]), once[1]), mass(sorted(counts[1]), once[2])]
+        table = np.zeros((257, 257))
+        for k, c in moves.items():
+            table[divmod(k, 257)] = c
+        can = np.append(~_SPACED, True) * np.ones((257, 1))  # no byte of white space is inside a word,
+        can[GAP, GAP], can[:GAP, END], can[END] = 0, 0, np.arange(257) == GAP  # and the end is a word of one symbol
+        weights = (table + can / can.sum(axis=1, keepdims=True)) / (table.sum(axis=1, keepdims=True) + 1)
+        with np.errstate(divide="ignore"):
+            self.log_moves = np.log10(weights).ravel()
+
+    def traverse(self, block: Block, totals: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """(log10 weight of each token, count of each token): arcs and failure arcs along all texts of a block."""
+        c = [t[p].astype(float) for t, p in zip(totals, block.place)]
+        below = (c[0] + self.masses[0] * 10**block.spelled) / (self.n + self.masses[0])
+        for order in (1, 2):
+            states = np.concatenate([[0.0], c[order - 1][:-1]])
+            states[block.begin] = self.n_texts
+            m = self.masses[order]
+            below = np.where(states > 0, (c[order] + m * below) / (states + m), below)
+        return np.log10(np.maximum(below, 1e-300)), c[0]
+
+
+def traverse(batches, model: Model, id_type: pa.DataType):
+    """Scores of the texts of whole blocks; the answers to a block come before its texts."""
+    answers: dict[int, bytes] = {}
+    present = None
+    for batch in batches:
+        for i in range(batch.num_rows):
+            number = batch.column(1)[i].as_py()
+            if number != present:
+                present, answers = number, {}
+            if batch.column(0)[i].as_py() == ANSWER:
+                answers[batch.column(2)[i].as_py()] = batch.column(4)[i].as_py()
+                continue
+            yield scores(Block(batch.column(4)[i].as_py(), model.log_moves), answers, batch.column(3)[i].as_py(), model, id_type)
+            answers = {}
+
+
+def scores(block: Block, answers: dict[int, bytes], bits: int, model: Model, id_type: pa.DataType) -> pa.RecordBatch:
+    keys, total, order = block.all_keys()
+    bounds = np.searchsorted(keys, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits))
+    for r, data in answers.items():
+        at, n = both(data)
+        total[bounds[r] + np.cumsum(at).astype(np.int64)] = n.astype(np.int64)
+    back = np.empty(len(keys), np.int64)
+    back[order] = total
+    log, c = model.traverse(block, np.split(back, np.cumsum(list(map(len, block.keys)))[:-1]))
+    base = np.log10((c + 0.1) / (model.n + 0.1 * (model.v + 1)))
+    add = lambda x: np.add.reduceat(x, block.begin) if len(block.begin) else np.empty(0)
+    return pa.RecordBatch.from_arrays([
+        block.ids.cast(id_type), pa.array(block.held), pa.array(block.lengths.astype(np.int64)), pa.array(add((c > 0).astype(np.int64)).astype(np.int64)),
+        pa.array(np.full(len(block.ids), model.n, np.int64)), pa.array(add(base).astype(float)), pa.array(add(log).astype(float)),
+    ], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+
+
+def learn(blocks: DataFrame) -> tuple[Model, DataFrame, int]:
+    """(the model, the answers to the blocks, bits of a range's number) over packed ``blocks``, perhaps none."""
+    n_bytes, n_texts = blocks.agg(F.coalesce(F.sum("n_bytes"), F.lit(0)), F.coalesce(F.sum("n_learned"), F.lit(0))).first()
+    bits = max(1, math.ceil(math.log2(max(2, n_bytes / RANGE_BYTES))))
+    sent = blocks.select("block", "texts").mapInArrow(lambda it: send(it, bits), ROWS)
+    dealt = sent.repartition("range").sortWithinPartitions("range")
+    found = materialize(dealt.mapInArrow(answer, ROWS), "counts")
+    sums = found.where(F.col("kind").isin(TALLY, MOVES)).groupBy("kind", "block").agg(F.sum("n").alias("n")).collect()
+    model = Model({r.block: r.n for r in sums if r.kind == TALLY}, {r.block: r.n for r in sums if r.kind == MOVES}, n_texts)
+    return model, found.where(F.col("kind") == ANSWER), bits
+
+
+def score(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """Per row of ``docs``: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
+
+    The model learns from the rows that are not held out. Null texts count as empty: one token, the end. A very long text is
+    looked at in portions; its tokens are held as numbers. Repeated rows each count and each get a result; an empty table
+    gives an empty result; other columns are not read.
+    """
+    rows = docs.select(F.col(key).alias("doc_id"), held_out(F.col(key)).alias("held_out"), whole_text(text).alias("body"))
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    id_type = to_arrow_type(rows.schema["doc_id"].dataType)
+    blocks = materialize(pack(rows), "blocks")
+    model, answers, bits = learn(blocks)
+    shared = rows.sparkSession.sparkContext.broadcast(model)
+    texts = blocks.select(F.lit(TEXTS).alias("kind"), "block", F.lit(0).alias("range"), F.lit(bits).cast("long").alias("n"), F.col("texts").alias("data"))
+    met = answers.unionByName(texts).repartition("block").sortWithinPartitions("block", "kind")
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    return met.mapInArrow(lambda it: traverse(it, shared.value, id_type), f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def op6_lm_score(spark, sf_dir: str) -> DataFrame:
