@@ -17,14 +17,23 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
-def join_counted(rows: DataFrame, side: DataFrame, key: str) -> DataFrame:
-    """Inner join of ``rows`` with ``side`` on the column ``key``; ``side`` has each key once and ``n``, how many rows have it.
+def hot_keys(counts: DataFrame, key: str) -> DataFrame:
+    """The keys of ``counts`` (each once, with ``n`` rows) that have more than 1/HOT_SHARE of all rows: HOT_SHARE at most."""
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    return counts.where(F.col("n") * HOT_SHARE > F.lit(total)).select(key)
+
+
+def join_spread(rows: DataFrame, side: DataFrame, key: str, hot: DataFrame, how: str = "inner") -> DataFrame:
+    """Join (inner or left) of ``rows`` with ``side``, which has each key at most once, on the column ``key``.
 
-    Keys with more than 1/HOT_SHARE of all rows are met by a broadcast: by their counts, at most HOT_SHARE rows of ``side``
-    can be such. All other rows are joined by a shuffle. The column ``n`` is not part of the result.
+    Rows whose key is in ``hot``, at most HOT_SHARE keys, meet the few rows of ``side`` by a broadcast; all others are
+    joined by a shuffle.
     """
-    total = side.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    is_hot = F.col("n") * HOT_SHARE > F.lit(total)
-    hot, cold = side.where(is_hot).drop("n"), side.where(~is_hot).drop("n")
-    met = rows.join(F.broadcast(hot), key)
-    return met.unionByName(rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key))
+    hot = F.broadcast(hot)
+    met = rows.join(hot, key, "left_semi").join(F.broadcast(side.join(hot, key, "left_semi")), key, how)
+    return met.unionByName(rows.join(hot, key, "left_anti").join(side, key, how))
+
+
+def join_counted(rows: DataFrame, side: DataFrame, key: str) -> DataFrame:
+    """Inner join of ``rows`` with ``side``, which has each key once and ``n``, how many rows have it; n is not in the result."""
+    return join_spread(rows, side.drop("n"), key, hot_keys(side, key))
