@@ -1,8 +1,9 @@
 """Canonical exact digests of documents, as DataFrame expressions only.
 
-The canonical form of a text is its Unicode composition (NFC), in lower case, with every run of white space as one space and
-none at the ends. Its fingerprint is 128 bits of xxhash: two 64-bit values over the bytes and, apart from these, over the
-bytes behind a prefix. Texts are grouped by fingerprint; inside a bucket the canonical bytes themselves are compared.
+The canonical form of a text is its Unicode composition (NFC), its full case folding, that composed again, with every run of
+white space as one space and none at the ends. Its fingerprint is 128 bits of xxhash: two 64-bit values over the bytes and,
+apart from these, over the bytes behind a prefix. Texts are grouped by fingerprint; inside a bucket the canonical bytes
+themselves are compared. Texts are taken whole, however long; null texts count as empty.
 """
 
 from __future__ import annotations
@@ -11,13 +12,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tiewright.llm.bpe import whole_text
+from tiewright.llm.skew import join_counted
 from tiewright.sources.tables import materialize
 
 
 def canonical(text: Column) -> Column:
-    """The canonical form; the composition is the ICU library's, which comes with Spark."""
-    composed = F.when(text.rlike(r"[^\x00-\x7F]"), F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), text, F.lit(False))).otherwise(text)
-    return F.btrim(F.regexp_replace(F.lower(composed), r"[\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+", " "))
+    """The canonical form; composition and folding are the ICU library's, which comes with Spark."""
+
+    def composed(c: Column) -> Column:
+        return F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), c, F.lit(False))
+
+    folded = F.reflect(F.lit("com.ibm.icu.lang.UCharacter"), F.lit("foldCase"), composed(text), F.lit(True))
+    form = F.when(text.rlike(r"[^\x00-\x7F]"), composed(folded)).otherwise(F.lower(text))
+    return F.btrim(F.regexp_replace(form, r"[\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+", " "))
 
 
 def digest(canon: Column) -> Column:
@@ -44,32 +51,50 @@ def exact_groups(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Da
     return buckets.select("fingerprint", "canon_sha256", "group_id", one.alias("n_copies"))
 
 
+#: Splits of the key's ranges in one block; a row's range is found among the blocks' ends, then inside one block.
+BLOCK = 128
+
+
+def _range_of(key: Column, splits: list) -> Column:
+    """How many of the ascending ``splits`` do not exceed the key; 0 for a null key."""
+    if not splits:
+        return F.lit(0)
+    blocks = [splits[i : i + BLOCK] for i in range(0, len(splits), BLOCK)]
+    below = lambda values: F.size(F.filter(values, lambda s: s <= key))
+    array = lambda values: F.array(*map(F.lit, values)) if values else F.filter(F.array(F.lit(splits[0])), lambda s: F.lit(False))
+    block = below(array([b[-1] for b in blocks]))
+    inside = below(F.element_at(F.array(*map(array, [*blocks, []])), block + 1)) if len(blocks) > 1 else below(array(splits))
+    return F.coalesce(F.when(key.isNotNull(), F.least(block * BLOCK + inside, F.lit(len(splits))) if len(blocks) > 1 else inside), F.lit(0))
+
+
 def with_next(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(doc_id, body, next_body): each text with that of the next row in ascending order of the key, the last with the first.
 
-    Rows with a null key come first and rows with equal keys follow each other by text. The order is made in ranges of the
-    key: approximate quantiles, as many as shuffle partitions, bound the ranges; each range is one window; the first rows
-    of a range are also sent to the end of the range before it.
+    Keys may be of any type that has an order. Rows with a null key come first, and rows with equal keys follow each other by
+    text. Spark's own range partitioner bounds the ranges, as many as shuffle partitions; only the least key of each range
+    comes to the driver. A range is one partition and one window, and the rows of its least key are also sent to the end of
+    the range before it. An empty table gives an empty result.
     """
     spark = docs.sparkSession
     parts = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows = docs.select(F.col(key).alias("doc_id"), whole_text(text).alias("body"))
-    keys = rows.select(F.col("doc_id").cast("double").alias("k"))
-    splits = sorted(set(keys.approxQuantile("k", [i / parts for i in range(1, parts)], 0.2 / parts) or []))
-    place = F.size(F.filter(F.array(*map(F.lit, splits)), lambda s: s <= F.col("doc_id").cast("double"))) if splits else F.lit(0)
-    placed = rows.withColumn("range", F.coalesce(F.when(F.col("doc_id").isNotNull(), place), F.lit(0)))
-    # the least key of each range: one row a range
-    firsts = {r["range"]: (r["null_key"], r["least"]) for r in placed.groupBy("range").agg(F.max(F.col("doc_id").isNull()).alias("null_key"), F.min("doc_id").alias("least")).collect()}
-    order = sorted(firsts)
-    if not order:
+    keys = rows.select("doc_id").where("doc_id IS NOT NULL").repartitionByRange(parts, "doc_id")
+    least = sorted(r[1] for r in keys.groupBy(F.spark_partition_id()).agg(F.min("doc_id")).collect())
+    placed = rows.withColumn("range", _range_of(F.col("doc_id"), least[1:]))
+    heads, target = [], {}
+    if least:
+        heads.append(F.col("doc_id").isin(least))
+        target = {i: (i - 1) % len(least) for i in range(len(least))}
+    # rows with a null key are the head of the first range, if there are any
+    without_key = bool(rows.where("doc_id IS NULL").limit(1).count())
+    if without_key:
+        heads = [F.col("doc_id").isNull(), *[h & (F.col("range") > 0) for h in heads]]
+        target = target or {0: 0}
+    if not heads:
         return rows.withColumn("next_body", F.col("body"))
-    before = dict(zip(order, [order[-1], *order[:-1]]))
-    wanted = [firsts[r][1] for r in order if firsts[r][1] is not None]
-    heads = placed.where(F.col("doc_id").isin(wanted) | (F.col("doc_id").isNull() if firsts[order[0]][0] else F.lit(False)))
-    if firsts[order[0]][0]:  # rows with a null key are the head of the first range
-        heads = heads.where((F.col("range") != order[0]) | F.col("doc_id").isNull())
-    target = F.element_at(F.create_map(*[F.lit(x) for pair in before.items() for x in pair]), F.col("range"))
-    both = placed.withColumn("tail", F.lit(False)).unionByName(heads.withColumn("range", target).withColumn("tail", F.lit(True)))
+    before = F.when(F.col("range") > 0, F.col("range") - 1).otherwise(len(target) - 1)
+    first = placed.where(heads[0] if len(heads) == 1 else heads[0] | heads[1]).withColumn("range", before)
+    both = placed.withColumn("tail", F.lit(False)).unionByName(first.withColumn("tail", F.lit(True))).repartitionByRange(parts, "range")
     window = Window.partitionBy("range").orderBy("tail", F.col("doc_id").asc_nulls_first(), "body")
     return both.withColumn("next_body", F.lead("body").over(window)).where(~F.col("tail")).select("doc_id", "body", "next_body")
 
@@ -87,7 +112,10 @@ def likeness(fp_a: Column, canon_a: Column, fp_b: Column, canon_b: Column) -> Co
 
 
 def edit_report(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """Fingerprints of each text and of its edited text, and how alike they are to each other and to the next text's."""
+    """Fingerprints of each text and of its edited text, and how alike they are to each other and to the next text's.
+
+    One row for each row of ``docs``, repeated ones too; other columns are not read.
+    """
     rows = with_next(docs, text, key).withColumn("edited", edited(F.col("body"), F.col("next_body")))
     rows = rows.select("doc_id", F.char_length("body").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), *[canonical(F.col(c)).alias(c) for c in ("body", "edited", "next_body")])
     rows = rows.withColumns({"fingerprint": digest(F.col("body")), "edited_fingerprint": digest(F.col("edited")), "next_fingerprint": digest(F.col("next_body"))})
@@ -99,7 +127,14 @@ def edit_report(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Dat
     )
 
 
+def with_groups(report: DataFrame, groups: DataFrame) -> DataFrame:
+    """The report's rows with group_id and n_copies; texts that very many rows share are met by a bounded broadcast."""
+    both = lambda df: df.withColumn("canon_key", F.concat("fingerprint", "canon_sha256"))
+    side = both(groups).select("canon_key", "group_id", "n_copies", F.col("n_copies").alias("n"))
+    return join_counted(materialize(both(report), "report"), side, "canon_key").drop("canon_key", "canon_sha256")
+
+
 def op9_document_fingerprints(spark, sf_dir: str) -> DataFrame:
     """The edit report, each row with the group of equal canonical texts and its size."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return edit_report(docs).join(materialize(exact_groups(docs), "groups"), ["fingerprint", "canon_sha256"]).drop("canon_sha256")
+    return with_groups(edit_report(docs), materialize(exact_groups(docs), "groups"))
