@@ -1,14 +1,18 @@
 """Toxicity by a weighted finite-state pattern grammar over clauses.
 
-Each word is read by transducers that run side by side: insults (a trie of words and word beginnings with weights), threats,
-targets, negations and reported speech. A clause's arcs compose their outputs: insults and threats add weight, which goes to
-one of the clause's channels, as the state says whether a negation or reported speech stands before it and whether a target
-is in the clause. A document is scored by what its clauses matched, never by words alone.
-
-Seed patterns are few; the insult trie is learned from labelled rows, as the log odds of a word or beginning in toxic against
-other documents, less a standard error. Channels are weighed by a logistic model, so that negation and quotation discount as
-much as the labels say. Labels come from at most ``MAX_TRAIN`` rows, those with the smallest hashes of their ids; the trie
-has at most ``MAX_PATTERNS`` patterns.
+Words are symbols, told by their marks: insult, negation, speech, quotation mark, target, modal, violence. Five transducers
+read them: ``insult`` tags a word as an insult, ``negation`` tags an insult after a negation as negated, ``reported`` one
+after a verb of speech or inside quotation marks as reported, ``threat`` adds a tag to violence after a modal, and ``target``
+says at the end of the clause whether anybody was meant. They are arc tables, composed once into one machine (``compose``),
+which reads a clause from left to right; a clause's weight goes to channels by the tags. A document is scored by what its
+clauses matched, never by words alone.
+
+The insult marks come from a trie of weighted arcs over characters. Its words and word beginnings are few seeds, and what is
+learned from labelled rows, as the log odds in toxic against other documents, less a standard error. Channels are weighed by
+a logistic model, so that negation and quotation discount as much as the labels say. Labels come from at most ``MAX_TRAIN``
+rows, those with the smallest hashes of their ids; that alone bounds the trie.
+
+Texts are scored whole, however long; null texts count as empty.
 """
 
 from __future__ import annotations
@@ -16,6 +20,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -23,8 +28,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tiewright.llm.bpe import _Memo, whole_text
+from tiewright.llm.skew import unused
+from tiewright.sources.tables import drop, materialize
 
-MAX_TRAIN, MAX_PATTERNS = 20_000, 20_000
+MAX_TRAIN = 20_000
 MIN_SUPPORT = 3
 PREFIXES = (3, 4, 5, 6)
 #: Standard errors of log odds that a pattern needs if most of its documents are not toxic: among all words of a corpus,
@@ -60,17 +67,129 @@ def weight(toxic: float, other: float, n_toxic: float, n_other: float) -> float:
     return odds - math.sqrt(1 / (toxic + 0.5) + 1 / (other + 0.5))
 
 
+#: Marks of a symbol, and tags of an output.
+INSULT, NEGATION, REPORT, QUOTE, TARGET, MODAL, VIOLENCE = (1 << k for k in range(7))
+SYMBOLS, TAGS = 1 << 7, 8
+NONE, PLAIN, NEGATED, SAID, THREAT = 0, 1, 2, 3, 4
+#: Symbols that can give a tag; a clause without any gives none.
+ACTIVE = frozenset(s for s in range(SYMBOLS) if s & (INSULT | VIOLENCE))
+
+
+@dataclass(frozen=True)
+class Transducer:
+    """Arc tables by [state, symbol, tag]: the state after the arc, and the tag it gives. State 0 is the start."""
+
+    after: np.ndarray
+    gives: np.ndarray
+
+
+def transducer(states: int, arc) -> Transducer:
+    """``arc(state, symbol, tag)`` -> (state, tag), for every state, symbol and tag that comes in."""
+    table = np.array([[[arc(q, s, t) for t in range(TAGS)] for s in range(SYMBOLS)] for q in range(states)])
+    return Transducer(table[..., 0], table[..., 1])
+
+
+def _countdown(mark: int):
+    """States that tell how many more words a mark governs: REACH after it, one less with each word."""
+    return lambda q, s: REACH if s & mark else max(0, q - 1)
+
+
+def grammar_transducers() -> dict[str, Transducer]:
+    negation, reported, modal = _countdown(NEGATION), _countdown(REPORT), _countdown(MODAL)
+
+    def speech(q, s, t):
+        """The state is the countdown and, from REACH + 1 on, the same inside quotation marks."""
+        inside, left = divmod(q, REACH + 1)
+        now = inside ^ bool(s & QUOTE)
+        return now * (REACH + 1) + reported(left, s), t - PLAIN + SAID if t & 3 == PLAIN and (left or now) else t
+
+    return {
+        "insult": transducer(1, lambda q, s, t: (0, t | PLAIN if s & INSULT else t)),
+        "negation": transducer(REACH + 1, lambda q, s, t: (negation(q, s), t - PLAIN + NEGATED if t & 3 == PLAIN and q else t)),
+        "reported": transducer(2 * (REACH + 1), speech),
+        "threat": transducer(REACH + 1, lambda q, s, t: (modal(q, s), t | THREAT if s & VIOLENCE and q else t)),
+        "target": transducer(2, lambda q, s, t: (int(q or bool(s & TARGET)), t)),
+    }
+
+
+def compose(first: Transducer, second: Transducer) -> Transducer:
+    """Both run side by side; the second reads the tags that the first gives. A state is first * states of second + second."""
+    n, m = len(first.after), len(second.after)
+    symbols = np.arange(SYMBOLS)[None, None, :, None]
+    tag = first.gives[:, None]  # (n, 1, symbols, tags)
+    state = np.arange(m)[None, :, None, None]
+    after = first.after[:, None] * m + second.after[state, symbols, tag]
+    return Transducer(after.reshape(n * m, SYMBOLS, TAGS), second.gives[state, symbols, tag].reshape(n * m, SYMBOLS, TAGS))
+
+
+class Machine:
+    """The composed transducers: rows of arcs by state, the states after which a target was named being odd."""
+
+    def __init__(self):
+        whole = None
+        for part in grammar_transducers().values():
+            whole = part if whole is None else compose(whole, part)
+        self.after: list[list[int]] = whole.after[:, :, NONE].tolist()
+        self.gives: list[list[int]] = whole.gives[:, :, NONE].tolist()
+
+    def read(self, symbols: list[int]) -> tuple[list[int], bool]:
+        """(the tag of each symbol, whether a target was named) of one clause."""
+        state, tags = 0, []
+        for s in symbols:
+            tags.append(self.gives[state][s])
+            state = self.after[state][s]
+        return tags, bool(state & 1)
+
+
+MACHINE = Machine()
+
+
+class Lexicon:
+    """A trie of weighted arcs over characters: a word's weight is the largest one that its path meets or ends with."""
+
+    def __init__(self, weights: dict[str, float]):
+        self.arcs: dict[tuple[int, str], int] = {}
+        self.passing, self.ending = [0.0], [0.0]
+        for pattern, w in weights.items():
+            node = 0
+            for c in pattern.removesuffix("$"):
+                node = self.arcs.setdefault((node, c), len(self.passing))
+                if node == len(self.passing):
+                    self.passing.append(0.0)
+                    self.ending.append(0.0)
+            side = self.ending if pattern.endswith("$") else self.passing
+            side[node] = max(side[node], w)
+
+    def weight(self, word: str) -> float:
+        node, best = 0, 0.0
+        for k, c in enumerate(word):
+            if k and self.passing[node] > best:
+                best = self.passing[node]
+            node = self.arcs.get((node, c), -1)
+            if node < 0:
+                return best
+        return max(best, self.ending[node])
+
+
+def marks(word: str) -> int:
+    """The marks that a word has whatever was learned."""
+    kinds = ((NEGATION, NEGATIONS), (REPORT, REPORTED), (QUOTE, QUOTES), (TARGET, TARGETS), (MODAL, THREAT_MODALS), (VIOLENCE, THREATS))
+    return sum(mark for mark, listed in kinds if word in listed)
+
+
 class Grammar:
-    """The composed transducers. ``counts``: pattern to (toxic, other) numbers of training documents that have it."""
+    """Weights and channels. ``counts``: pattern to (toxic, other) numbers of training documents that have it."""
 
     def __init__(self, counts: dict[str, tuple[int, int]], n_toxic: int, n_other: int):
         self.counts, self.n_toxic, self.n_other = counts, n_toxic, n_other
         self.weights = {p: w for p, (t, o) in counts.items() if t >= MIN_SUPPORT and (w := weight(t, o, n_toxic, n_other)) > 0}
-        self.memo = _Memo(self._insult)
+        seeds = {f"{word}$": max(w, self.weights.get(f"{word}$", 0.0)) for word, w in INSULTS.items()}
+        self.lexicon = Lexicon(self.weights | seeds)
+        self.memo = _Memo(self._symbol)
         self.coefficients: np.ndarray | None = None
 
-    def _insult(self, word: str) -> float:
-        return max([self.weights.get(p, 0.0) for p in patterns_of(word)] + [INSULTS.get(word, 0.0)])
+    def _symbol(self, word: str) -> int:
+        return marks(word) | (INSULT if self.lexicon.weight(word) > 0 else 0)
 
     def without(self, word: str, label: int) -> float:
         """A word's weight as if one document of that label, which has the word, had not been counted."""
@@ -83,31 +202,32 @@ class Grammar:
         return best
 
     def channels(self, text: str, insult=None) -> list[float]:
-        """What the clauses of a text sum up to in each channel."""
-        insult = insult or self.memo.__getitem__
+        """What the clauses of a text sum up to in each channel; ``insult``: other weights of the words marked as insults."""
+        insult, symbol = insult or self.lexicon.weight, self.memo.__getitem__
         sums, peak, matched = dict.fromkeys(CHANNELS, 0.0), 0.0, 0
         for clause in CLAUSE.findall(text.lower()):
             words = WORD.findall(clause)
-            hits = [(i, w) for i, w in enumerate(map(insult, words)) if w > 0]
-            threats = [i for i, w in enumerate(words) if w in THREATS and any(x in THREAT_MODALS for x in words[max(0, i - REACH) : i])] if not THREATS.isdisjoint(words) else []
-            if not hits and not threats:
+            symbols = list(map(symbol, words))
+            if ACTIVE.isdisjoint(symbols):
+                continue
+            heavy = {}
+            for i, s in enumerate(symbols):
+                if s & INSULT:
+                    if (w := insult(words[i])) > 0:
+                        heavy[i] = w
+                    else:
+                        symbols[i] = s & ~INSULT
+            tags, aimed = MACHINE.read(symbols)
+            if not any(tags):
                 continue
             matched += 1
-            aimed = not TARGETS.isdisjoint(words)
-            quoted = False
-            opened = [quoted := quoted ^ (w in QUOTES) for w in words] if not QUOTES.isdisjoint(words) else None
-            for i, w in hits:
-                near = words[max(0, i - REACH) : i]
-                if not NEGATIONS.isdisjoint(near):
-                    sums["negated"] += w
-                elif not REPORTED.isdisjoint(near) or (opened is not None and opened[i]):
-                    sums["reported"] += w
-                elif aimed:
-                    sums["aimed"] += w
-                else:
-                    sums["plain"] += w
-                peak = max(peak, w)
-            sums["threat"] += len(threats)
+            channel = {PLAIN: "aimed" if aimed else "plain", NEGATED: "negated", SAID: "reported"}
+            for i, tag in enumerate(tags):
+                if tag & 3:
+                    sums[channel[tag & 3]] += heavy[i]
+                    peak = max(peak, heavy[i])
+                if tag & THREAT:
+                    sums["threat"] += 1
         sums["peak"], sums["clauses"] = peak, float(matched)
         return [math.log1p(sums[c]) if c != "peak" else sums[c] for c in CHANNELS]
 
@@ -131,20 +251,25 @@ class Grammar:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(body, toxic) of at most MAX_TRAIN labelled documents outside the held-out quarter, by the smallest hashes."""
+    """(body, toxic) of at most MAX_TRAIN labelled documents outside the held-out quarter, by the smallest hashes.
+
+    Of rows that share a key one is taken, that whose text has the smallest hash; of several labels the largest.
+    """
     marked = labels.select("doc_id", "toxic").where("doc_id IS NOT NULL AND toxic IS NOT NULL").where(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) != 2)
     marked = marked.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_TRAIN)
-    return docs.select("doc_id", whole_text("text").alias("body")).join(F.broadcast(chosen), "doc_id").select("body", F.col("toxic").cast("int").alias("toxic"))
+    found = docs.select("doc_id", whole_text("text").alias("body")).join(F.broadcast(chosen), "doc_id")
+    one = found.groupBy("doc_id").agg(F.min_by("body", F.xxhash64("body")).alias("body"), F.max("toxic").alias("toxic"))
+    return one.select("body", F.col("toxic").cast("int").alias("toxic"))
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Grammar:
     """Learn the insult trie and the channels' weights from labelled documents.
 
     A training document's own count is taken out of the weights with which its channels are measured. Without any labelled
-    rows of both kinds, the seeds stand alone.
+    rows of both kinds, as with empty tables, the seeds stand alone. Rows with a null key or label teach nothing.
     """
-    rows = training_rows(docs, labels)
+    rows = materialize(training_rows(docs, labels), "training")
 
     def tally(batches):
         counts: Counter = Counter()
@@ -163,13 +288,12 @@ def train(docs: DataFrame, labels: DataFrame) -> Grammar:
 
     sums = rows.mapInArrow(tally, "pattern string, toxic int, n long").groupBy("pattern").agg(F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("t"), F.sum(F.when(F.col("toxic") == 1, 0).otherwise(F.col("n"))).alias("o"))
     n_toxic, n_other = rows.agg(F.count_if(F.col("toxic") == 1), F.count_if(F.col("toxic") != 1)).first()
-    # more often in toxic documents than in others, by share; largest weight first
+    # more often in toxic documents than in others, by share
     t, o = F.col("t"), F.col("o")
     odds = F.log((t + 0.5) / F.lit(n_toxic + 1)) - F.log((o + 0.5) / F.lit(n_other + 1))
     error = F.sqrt(1 / (t + 0.5) + 1 / (o + 0.5))
     more = (t * F.lit(n_other) > o * F.lit(n_toxic)) & ((t > o) | (odds >= STRONG * error))
-    kept = sums.where((t >= MIN_SUPPORT) & more).orderBy(F.desc(odds - error), "pattern").limit(MAX_PATTERNS)
-    counts = {r.pattern: (r.t, r.o) for r in kept.collect()}
+    counts = {r.pattern: (r.t, r.o) for r in sums.where((t >= MIN_SUPPORT) & more & (odds > error)).collect()}
     grammar = Grammar(counts, n_toxic, n_other)
     shared = rows.sparkSession.sparkContext.broadcast(grammar)
 
@@ -177,11 +301,12 @@ def train(docs: DataFrame, labels: DataFrame) -> Grammar:
         for batch in batches:
             g, out = shared.value, []
             for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                out.append([*g.channels(text, lambda w: g.without(w, label) if g.memo[w] > 0 else 0.0), float(label)])
+                out.append([*g.channels(text, lambda w: g.without(w, label)), float(label)])
             columns = list(zip(*out)) if out else [()] * (len(CHANNELS) + 1)
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.float64()) for c in columns], names=[*CHANNELS, "label"])
 
     measured = rows.mapInArrow(measure, ", ".join(f"{c} double" for c in (*CHANNELS, "label"))).collect() if n_toxic and n_other else []
+    drop(rows)
     if measured:
         table = np.array(sorted(map(tuple, measured)))
         grammar.fit(table[:, :-1], table[:, -1])
@@ -191,7 +316,10 @@ def train(docs: DataFrame, labels: DataFrame) -> Grammar:
 
 
 def scored(docs: DataFrame, grammar: Grammar, text: str = "text", out: str = "toxicity"):
-    """``docs`` with a column ``out`` of scores from 0 to 1; null texts count as empty and get the score of no match."""
+    """``docs`` with a column ``out`` of scores from 0 to 1; null texts count as empty and get the score of no match.
+
+    Repeated rows get repeated scores; an empty table stays empty; a column named ``out`` is replaced.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(grammar)
 
     @F.pandas_udf("double")
@@ -203,12 +331,13 @@ def scored(docs: DataFrame, grammar: Grammar, text: str = "text", out: str = "to
 
 
 def clean_documents(docs: DataFrame, labels: DataFrame, cut: float = CUT) -> DataFrame:
-    """The rows of ``docs`` with scores below ``cut``, with all their columns."""
-    return scored(docs, train(docs, labels), out="__toxicity").where(F.col("__toxicity") < cut).drop("__toxicity")
+    """The rows of ``docs`` with scores below ``cut``, with all their columns, whatever their names; repeated rows stay repeated."""
+    out = unused(docs, "toxicity")
+    return scored(docs, train(docs, labels), out=out).where(F.col(out) < cut).drop(out)
 
 
 def op2_toxicity(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     found = scored(docs, train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")), out="score")
-    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) == 2
+    held_out = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) == 2, F.lit(False))
     return found.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= CUT).cast("int").alias("predicted"))
