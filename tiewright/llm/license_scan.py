@@ -1,14 +1,21 @@
 """Licence scans: a trained paragraph classifier, confirmed by comparison with templates. DataFrame operations only.
 
-A paragraph is a line of a text. A multinomial logistic regression over sparse counts of word 1-, 2- and 3-grams is trained
-on licence notices of each family and on paragraphs that only sound like them, which are the unknown class. Some of the
-training paragraphs are left out of the fit and set the least probability that counts (``calibrate``). A predicted family is
-confirmed if the paragraph shares enough word 2-grams with a notice of that family. Paragraphs without any of the words that
-every notice has one of could not be confirmed, and are left out before the classifier.
+A paragraph is a run of lines between blank ones, its lines joined, so that a wrapped notice is whole; in a paragraph of
+several lines each line is looked at by itself, too. A multinomial logistic regression over sparse counts of word 1-, 2- and
+3-grams is trained on notices of each family and on paragraphs that only sound like them, which are the unknown class. Other
+notices and paragraphs, none of them in training, set the least probability that counts (``calibrate``). A predicted family is
+confirmed if the paragraph shares a distinctive word pair and at least ``CONFIRM`` of the word pairs, its own or the
+notice's, with one notice of that family.
+
+Distinctive are the notices' word pairs with a word that is not in ``COMMON``. A paragraph without any cannot be confirmed by
+that rule, and is no candidate: it is not given to the classifier. Nothing else keeps a paragraph from it.
+
+Texts are taken whole, however long; a long paragraph is one row of word n-grams.
 """
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.ml.classification import LogisticRegression
@@ -102,8 +109,27 @@ OTHERS = (
     "They were creative and common sense prevailed.", "All rights and duties pass to the heirs.", "Use of this road is governed by the council.",
     "Poetic license is allowed here.", "Licensing fees rose again last year.", "The public domain of the king was sold.",
 )
-#: Every notice has one of these.
-ANCHORS = r"(?i)licen[cs]|copyright|rights reserved|permission is hereby|redistribut|public domain|creative commons|\bCC(0| BY)\b|\b[AL]?GPL\b"
+#: Notices and paragraphs for the least probability; none of them is in training.
+CALIBRATION = {
+    "Apache": ("Distributed under the terms of the Apache License 2.0, see LICENSE.", "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0", "The code is covered by Apache License, Version 2.0."),
+    "BSD": ("Redistributions of source code must retain the above copyright notice; redistribution and use in source and binary forms are permitted.", "This module is governed by a BSD-style license.", "Available under the 2-clause BSD license."),
+    "CC-BY": ("The figures are licensed under a Creative Commons Attribution 3.0 International License.", "Shared under CC BY 3.0."),
+    "CC-BY-NC": ("The photographs are licensed under a Creative Commons Attribution-NonCommercial 3.0 License.", "Shared under CC BY-NC 2.0."),
+    "CC-BY-SA": ("The article is available under the Creative Commons Attribution-ShareAlike 3.0 License.", "Shared under CC BY-SA 3.0."),
+    "CC0": ("The authors have waived all copyright and related rights under CC0 1.0.", "The data are dedicated to the public domain."),
+    "GPL": ("You can redistribute it under the terms of the GNU General Public License version 2.", "Licensed under the GNU GPL version 3 or later."),
+    "LGPL": ("The library is released under the GNU Lesser General Public License, version 3.", "You may use this library under the terms of the LGPL version 2.1."),
+    "MIT": ("This package is licensed under the terms of the MIT license.", "Permission is granted, free of charge, to any person obtaining a copy of this software."),
+    "MPL": ("The file is subject to the Mozilla Public License version 2.0.", "Distributed under the Mozilla Public License, v. 2.0."),
+    "proprietary": ("All rights reserved. Unauthorized copying of this file is prohibited.", "Proprietary and confidential. All rights reserved."),
+    UNKNOWN: (
+        "You need a license to drive a lorry in most countries.", "The permission slip was signed by both parents.", "Source code was printed in the back of the magazine.", "The public may copy old maps at the library.",
+        "He reserved all the rooms of the hotel.", "The software came free of charge with the printer.", "A creative license to film was granted in common by the towns.", "The terms of use of the pool are posted at the door.",
+        "Mozilla released version 2.0 of the browser in October.", "The foundation published its report on general practice.", "The Berkeley campus lies on a hill.", "Apache helicopters landed north of the city.",
+    ),
+}
+#: Words that make no pair distinctive.
+COMMON = frozenset("a all also an and any are as at be been but by can each for from has have he her his if in into is it its may more most must no not of on one only or other our out same she should so some such than that the their them then there these they this those to under up use used was we were which who will with without work you your".split())
 
 
 def words(paragraph: Column) -> Column:
@@ -114,7 +140,22 @@ def ngrams(ws: Column, n: int) -> Column:
     """The n-grams of an array of words, empty if it is shorter."""
     if n == 1:
         return ws
-    return F.when(F.size(ws) < n, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(F.size(ws) - n + 1, F.lit(1))), lambda i: F.array_join(F.slice(ws, i, n), " ")))
+    length = F.greatest(F.size(ws) - n + 1, F.lit(0))
+    grams = ws
+    for k in range(1, n):
+        grams = F.zip_with(F.slice(grams, F.lit(1), length), F.slice(ws, F.lit(k + 1), length), lambda a, b: F.concat(a, F.lit(" "), b))
+    return grams
+
+
+def _pairs(paragraph: str) -> list[str]:
+    """The distinct word pairs of a notice."""
+    ws = [w for w in re.split(r"[^A-Za-z0-9]+", paragraph.lower()) if w]
+    return list(dict.fromkeys(map(" ".join, zip(ws, ws[1:]))))
+
+
+DISTINCTIVE = sorted({p for notices in NOTICES.values() for n in notices for p in _pairs(n) if not COMMON.issuperset(p.split())})
+#: Every distinctive pair has one of these words.
+CONTENT = sorted({w for p in DISTINCTIVE for w in p.split()} - COMMON)
 
 
 def features(paragraph: Column) -> Column:
@@ -122,18 +163,23 @@ def features(paragraph: Column) -> Column:
     return F.concat(*(ngrams(ws, n) for n in (1, 2, 3)))
 
 
-def training_table(spark: SparkSession) -> DataFrame:
-    """(family, paragraph, fit): the notices and the unknown paragraphs, each also inside other words; fit: used for the fit."""
+def _table(spark: SparkSession, paragraphs: dict[str, tuple[str, ...]], around: list) -> DataFrame:
+    """(label, paragraph): the paragraphs of each family, each as ``around`` says."""
     families = [UNKNOWN, *NOTICES]
-    entries = [(0, p) for p in OTHERS] + [(i, p) for i, f in enumerate(families) if f != UNKNOWN for p in NOTICES[f]]
+    entries = [(families.index(f), p) for f, listed in paragraphs.items() for p in listed]
     base = spark.range(1).select(F.explode(F.array(*[F.struct(F.lit(float(i)).alias("label"), F.lit(p).alias("paragraph")) for i, p in entries])).alias("x")).select("x.*")
-    around = F.array(
-        F.struct(F.lit(True).alias("fit"), F.col("paragraph").alias("p")),
-        F.struct(F.lit(True).alias("fit"), F.concat(F.lit("Note. "), F.upper("paragraph")).alias("p")),
-        F.struct(F.lit(True).alias("fit"), F.concat(F.lit("This file: "), F.col("paragraph"), F.lit(" See the notice for details.")).alias("p")),
-        F.struct(F.lit(False).alias("fit"), F.concat(F.lit("Unless stated otherwise, "), F.lower("paragraph"), F.lit(" Contact the author.")).alias("p")),
-    )
-    return base.select("label", F.explode(around).alias("x")).select("label", F.col("x.p").alias("paragraph"), F.col("x.fit").alias("fit"))
+    return base.select("label", F.explode(F.array(*[a(F.col("paragraph")) for a in around])).alias("paragraph"))
+
+
+def training_table(spark: SparkSession) -> DataFrame:
+    """(label, paragraph) for the fit: the notices and the unknown paragraphs, each also inside other words."""
+    around = [lambda p: p, lambda p: F.concat(F.lit("Note. "), F.upper(p)), lambda p: F.concat(F.lit("This file: "), p, F.lit(" See the notice for details.")), lambda p: F.concat(F.lit("Unless stated otherwise, "), F.lower(p), F.lit(" Contact the author."))]
+    return _table(spark, {UNKNOWN: OTHERS, **NOTICES}, around)
+
+
+def calibration_table(spark: SparkSession) -> DataFrame:
+    """(label, paragraph) for the least probability."""
+    return _table(spark, CALIBRATION, [lambda p: p, lambda p: F.concat(F.lit("About the files. "), p)])
 
 
 class LicenceClassifier:
@@ -141,11 +187,11 @@ class LicenceClassifier:
 
     def __init__(self, spark: SparkSession):
         self.families = [UNKNOWN, *NOTICES]
-        table = training_table(spark).withColumn("ngrams", features(F.col("paragraph")))
-        self.vectorizer = CountVectorizer(inputCol="ngrams", outputCol="vector", binary=True, minDF=2.0).fit(table.where("fit"))
-        fit = self.vectorizer.transform(table.where("fit"))
-        self.model = LogisticRegression(featuresCol="vector", maxIter=40, regParam=0.005, family="multinomial").fit(fit)
-        self.least = self.calibrate(table.where("NOT fit"))
+        with_ngrams = lambda t: t.withColumn("ngrams", features(F.col("paragraph"))).coalesce(1)  # noqa: E731  a fixed list
+        table = with_ngrams(training_table(spark))
+        self.vectorizer = CountVectorizer(inputCol="ngrams", outputCol="vector", binary=True, minDF=2.0).fit(table)
+        self.model = LogisticRegression(featuresCol="vector", maxIter=40, regParam=0.005, family="multinomial").fit(self.vectorizer.transform(table))
+        self.least = self.calibrate(with_ngrams(calibration_table(spark)))
 
     def probabilities(self, rows: DataFrame) -> DataFrame:
         """``rows`` (with ngrams) with the array ``probability``, by family."""
@@ -162,43 +208,64 @@ class LicenceClassifier:
     def classify(self, paragraphs: DataFrame) -> DataFrame:
         """``paragraphs`` (column paragraph, null allowed) with family, probability and confirmed.
 
-        family is unknown below the calibrated probability. confirmed: at least CONFIRM of the paragraph's word pairs, or of
-        a notice's, agree with one notice of the family.
+        family is unknown below the calibrated probability. confirmed: a distinctive pair, and at least CONFIRM of the
+        paragraph's word pairs or of a notice's, agree with one notice of the family.
         """
         rows = self.probabilities(paragraphs.withColumn("ngrams", features(F.coalesce("paragraph", F.lit("")))))
         likely = F.slice("probability", 2, len(self.families) - 1)
         rows = rows.withColumn("best", F.array_max(likely)).withColumn("family", F.element_at(F.array(*map(F.lit, NOTICES)), F.array_position(likely, F.col("best")).cast("int")))
-        pairs = ngrams(words(F.coalesce("paragraph", F.lit(""))), 2)
+        rows = rows.withColumn("pairs", F.array_distinct(ngrams(words(F.coalesce("paragraph", F.lit(""))), 2)))
 
         def agrees(notice: str) -> Column:
-            ws = F.lit(notice)
-            own = ngrams(words(ws), 2)
-            shared = F.size(F.array_intersect(pairs, own))
-            return shared >= CONFIRM * F.least(F.size(F.array_distinct(pairs)), F.size(F.array_distinct(own)))
+            own = _pairs(notice)
+            shared = F.size(F.array_intersect("pairs", F.array(*map(F.lit, own))))
+            return shared >= CONFIRM * F.least(F.size("pairs"), F.lit(len(own)))
 
         confirmed = F.lit(False)
         for family, notices in NOTICES.items():
             confirmed = F.when(F.col("family") == family, reduce(lambda a, b: a | b, map(agrees, notices))).otherwise(confirmed)
         sure = F.col("best") >= self.least
-        return rows.withColumn("confirmed", sure & (F.size(pairs) > 0) & confirmed).withColumn("family", F.when(sure, F.col("family")).otherwise(UNKNOWN)).withColumn("probability", F.col("best")).drop("best", "ngrams")
+        rows = rows.withColumn("confirmed", sure & F.arrays_overlap("pairs", F.array(*map(F.lit, DISTINCTIVE))) & confirmed)
+        return rows.withColumn("family", F.when(sure, F.col("family")).otherwise(UNKNOWN)).withColumn("probability", F.col("best")).drop("best", "ngrams", "pairs")
+
+
+_fitted: dict[str, LicenceClassifier] = {}
+
+
+def classifier_of(spark: SparkSession) -> LicenceClassifier:
+    """The classifier of this application, fitted once."""
+    name = spark.sparkContext.applicationId
+    if name not in _fitted:
+        _fitted[name] = LicenceClassifier(spark)
+    return _fitted[name]
+
+
+LINE_END = r"(?:\r\n|\r|\n)"
+BLANK = rf"{LINE_END}[ \t]*{LINE_END}\s*"
 
 
 def scan(docs: DataFrame, classifier: LicenceClassifier | None = None, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Per row of ``docs``: doc_id, n_paragraphs, n_candidates, n_confirmed, licence, probability, licences.
 
-    licence is the confirmed family with the highest probability (ties: by name), unknown if there are candidates and none
-    is confirmed, and null if there are no candidates; licences are all confirmed families. Null and empty texts have no
-    paragraphs. Repeated rows give repeated results; an empty table gives none.
+    Counts are of paragraphs; one is confirmed if it or one of its lines is. licence is the confirmed family with the highest
+    probability (ties: the last by name), unknown if there are candidates and none is confirmed, and null if there are no
+    candidates; licences are all confirmed families. Null and empty texts have no paragraphs. Repeated rows give repeated
+    results; an empty table gives none; other columns are not read.
     """
-    classifier = classifier or LicenceClassifier(docs.sparkSession)
+    classifier = classifier or classifier_of(docs.sparkSession)
     rows = docs.select(F.col(key).alias("doc_id"), whole_text(text).alias("body"))
-    lines = F.filter(F.split("body", r"[\r\n]+"), lambda p: F.btrim(p) != "")
-    rows = rows.select("doc_id", F.monotonically_increasing_id().alias("row"), lines.alias("lines"))
-    rows = rows.select("doc_id", "row", F.size("lines").cast("long").alias("n_paragraphs"), F.filter("lines", lambda p: p.rlike(ANCHORS)).alias("candidates"))
-    found = classifier.classify(rows.select("doc_id", "row", "n_paragraphs", F.explode_outer("candidates").alias("paragraph")))
+    blocks = F.filter(F.split("body", BLANK), lambda p: F.btrim(p, F.lit(" \t\r\n")) != "")
+    rows = rows.select("doc_id", F.monotonically_increasing_id().alias("row"), blocks.alias("blocks"))
+    rows = rows.select("doc_id", "row", F.size("blocks").cast("long").alias("n_paragraphs"), F.filter("blocks", lambda p: F.exists(words(p), lambda w: w.isin(CONTENT))).alias("some"))
+    distinctive = F.array(*map(F.lit, DISTINCTIVE))
+    candidate = lambda p: F.arrays_overlap(ngrams(words(p), 2), distinctive)
+    rows = rows.select("doc_id", "row", "n_paragraphs", F.posexplode_outer(F.filter("some", candidate)).alias("at", "block"))
+    lines = F.filter(F.split("block", LINE_END), lambda p: F.btrim(p) != "")
+    units = F.when(F.size(lines) > 1, F.concat(F.array("block"), F.filter(lines, candidate))).otherwise(F.array("block"))
+    found = classifier.classify(rows.select("doc_id", "row", "n_paragraphs", "at", F.explode(units).alias("paragraph")))
     best = F.max(F.when(F.col("confirmed"), F.struct(F.col("probability"), F.col("family"))))
     out = found.groupBy("row").agg(
-        F.max("doc_id").alias("doc_id"), F.max("n_paragraphs").alias("n_paragraphs"), F.count("paragraph").alias("n_candidates"), F.count_if(F.col("paragraph").isNotNull() & F.col("confirmed")).alias("n_confirmed"),
+        F.max("doc_id").alias("doc_id"), F.max("n_paragraphs").alias("n_paragraphs"), F.count_distinct("at").alias("n_candidates"), F.count_distinct(F.when(F.col("paragraph").isNotNull() & F.col("confirmed"), F.col("at"))).alias("n_confirmed"),
         best.alias("best"), F.array_join(F.array_sort(F.collect_set(F.when(F.col("confirmed"), F.col("family")))), ",").alias("licences"),
     )
     licence = F.when(F.col("n_confirmed") > 0, F.col("best.family")).when(F.col("n_candidates") > 0, F.lit(UNKNOWN))
