@@ -384,10 +384,10 @@ def test_score_beats_the_base_on_held_out_texts(spark):
 
 def test_coded_numbers():
     rng = np.random.default_rng(1)
-    for n in (1, 2, 1000):
+    for n in (0, 1, 2, 1000):
         keys = np.unique(rng.integers(0, 2**62, n, dtype=np.uint64))
-        d, c = M.both(M.two(M.differences(keys), np.arange(len(keys))))
-        assert (np.cumsum(d, dtype=np.uint64) == keys).all() and (c == np.arange(len(keys))).all()
+        d, c, none = M.parted(M.joined([M.differences(keys), np.arange(len(keys)), np.empty(0, np.int64)]))
+        assert (np.cumsum(d, dtype=np.uint64) == keys).all() and (c == np.arange(len(keys))).all() and not len(none)
     counts = np.array([0, 1, 63, 64, 69, 70, 128, 10**12])
     assert (np.diff(M.class_of(counts)) >= 0).all() and M.class_of(counts)[:4].tolist() == [0, 1, 63, 64]
 
