@@ -16,8 +16,9 @@ How it is computed. The tables of arcs are as large as the corpus, so none is br
    the block's own count; what only one block has needs no answer.
 4. Each block meets its answers and traverses its texts.
 
-Everything but the sums is vector arithmetic over the bytes of many texts. n-grams are told apart by 62 bits of a hash: with
-10^9 different n-grams about 0.1 pairs of them would be counted as one.
+Everything but the sums is vector arithmetic over the bytes of many texts. Words are told apart by 62 bits of a hash: among
+10^9 different words about 0.1 pairs would be counted as one. 2- and 3-grams are told apart by ``NGRAM_BITS``: of 10^10
+different ones, one in 28,000 shares its count with another; for far larger corpora take more bits and more disk.
 """
 
 from __future__ import annotations
@@ -37,8 +38,8 @@ from tiewright.sources.tables import materialize
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 SPACE = re.compile(rb"[\x20\x09-\x0D]")
 #: Characters of a block, bytes of text that are looked at in one vector operation, and bytes of text for each range of keys.
-BLOCK_CHARS, PORTION, RANGE_BYTES = 12_000_000, 1 << 20, 1 << 22
-ORDERS = 3
+BLOCK_CHARS, PORTION, RANGE_BYTES = 8_000_000, 1 << 18, 1 << 22
+ORDERS, NGRAM_BITS = 3, 48
 #: The byte that stands for the end of a text (no UTF-8 has it), and the symbol between words.
 END, GAP = 0xFF, 256
 _SPACED = np.array([b == 0x20 or 0x09 <= b <= 0x0D for b in range(256)])
@@ -46,6 +47,8 @@ _SYMBOL = np.where(_SPACED, GAP, np.arange(256)).astype(np.int32)
 _FACTOR = 0x9E3779B97F4A7C15 | 1
 _START = np.uint64(0x243F6A8885A308D3)
 _MIX = [np.uint64(x) for x in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93)]
+#: Low bits of a key that are not used, by order.
+UNUSED = [np.uint64(2), np.uint64(64 - NGRAM_BITS), np.uint64(64 - NGRAM_BITS)]
 #: Exact small counts, then eight classes for each doubling.
 _EXACT = 64
 
@@ -134,15 +137,15 @@ def spelled(moves: np.ndarray, log_moves: np.ndarray) -> np.ndarray:
     return np.add.reduceat(log_moves[real], np.flatnonzero(real // 257 == GAP))
 
 
-def ngrams(words: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
-    """Keys of the 1-, 2- and 3-gram that each token ends; texts begin with start marks. The low two bits are the order."""
+def ngrams(words: np.ndarray, ends: np.ndarray):
+    """Keys of the 1-, 2- and 3-gram that each token ends; texts begin with start marks."""
     first = np.concatenate([[True], ends[:-1]]) if len(ends) else np.empty(0, bool)
     before = np.where(first, _START, np.concatenate([[_START], words[:-1]])) if len(words) else words
     second = np.concatenate([[True], first[:-1]]) | first if len(first) else first
     twice = np.where(second, _START, np.concatenate([[_START, _START], words[:-2]])[: len(words)]) if len(words) else words
-    pair = mixed(before, 3) * _MIX[2] + words
-    keys = [words, mixed(pair, 5), mixed(mixed(mixed(twice, 7) + before, 9) * _MIX[2] + words, 11)]
-    return [(k & ~np.uint64(3)) | np.uint64(i) for i, k in enumerate(keys)]
+    yield words >> UNUSED[0] << UNUSED[0]
+    yield mixed(mixed(before, 3) * _MIX[2] + words, 5) >> UNUSED[1] << UNUSED[1]
+    yield mixed(mixed(mixed(twice, 7) + before, 9) * _MIX[2] + words, 11) >> UNUSED[2] << UNUSED[2]
 
 
 # ---------------------------------------------------------------- blocks and coded keys
@@ -154,9 +157,11 @@ def encoded(values: np.ndarray) -> bytes:
     return b"".join([len(values).to_bytes(4, "little"), pa.Codec("zstd", 1).compress(planes.tobytes(), asbytes=True)])
 
 
-def decoded(data: bytes, at: int = 0) -> np.ndarray:
-    n = int.from_bytes(data[at : at + 4], "little")
-    planes = np.frombuffer(pa.Codec("zstd").decompress(data[at + 4 :], 8 * n, asbytes=True), np.uint8).reshape(8, n)
+def decoded(data: bytes) -> np.ndarray:
+    n = int.from_bytes(data[:4], "little")
+    if not n:
+        return np.empty(0, np.uint64)
+    planes = np.frombuffer(pa.Codec("zstd").decompress(data[4:], 8 * n, asbytes=True), np.uint8).reshape(8, n)
     return np.ascontiguousarray(planes.T).view("<u8").ravel()
 
 
@@ -164,14 +169,23 @@ def differences(ascending: np.ndarray) -> np.ndarray:
     return np.diff(ascending, prepend=ascending[:1] * 0)
 
 
-def two(a: np.ndarray, b: np.ndarray) -> bytes:
-    x, y = encoded(a), encoded(b)
-    return len(x).to_bytes(4, "little") + x + y
+def joined(arrays: list[np.ndarray]) -> bytes:
+    parts = list(map(encoded, arrays))
+    return b"".join([x for p in parts for x in (len(p).to_bytes(4, "little"), p)])
 
 
-def both(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    n = int.from_bytes(data[:4], "little")
-    return decoded(data[4 : 4 + n]), decoded(data[4 + n :])
+def parted(data: bytes) -> list[np.ndarray]:
+    out, at = [], 0
+    while at < len(data):
+        n = int.from_bytes(data[at : at + 4], "little")
+        out.append(decoded(data[at + 4 : at + 4 + n]))
+        at += 4 + n
+    return out
+
+
+def range_starts(bits: int) -> np.ndarray:
+    """The least key of each range."""
+    return np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)
 
 
 def pack(rows: DataFrame) -> DataFrame:
@@ -217,40 +231,35 @@ class Block:
     def __init__(self, texts: bytes, log_moves: np.ndarray | None = None):
         table = unpacked(texts)
         self.ids, self.held = table.column("doc_id").combine_chunks(), table.column("held_out").to_numpy()
-        words, ends, spell, runs = [], [], [], []
+        words, ends, spell, text = [np.empty(0, np.uint64)], [np.empty(0, bool)], [np.empty(0)], 0
+        self.moves = np.zeros(257 * 257, np.int64)
         for data in portions(table.column("body").to_pylist()):
             found = words_of(data)
             words.append(found[0])
             ends.append(found[1])
+            of_word = text + np.cumsum(found[1]) - found[1]
+            text += int(found[1].sum())
             if log_moves is None:
-                runs.append(found[2])
+                self._count_moves(found[2], ~self.held[of_word])
             else:
                 spell.append(spelled(found[2], log_moves))
-        self.words, self.ends = np.concatenate([np.empty(0, np.uint64), *words]), np.concatenate([np.empty(0, bool), *ends])
-        self.begin = np.concatenate([[0], np.flatnonzero(self.ends) + 1])[:-1]
-        self.lengths = np.diff(np.concatenate([self.begin, [len(self.words)]]))
+        del table
+        self.spelled, ends = np.concatenate(spell), np.concatenate(ends)
+        self.begin = np.concatenate([[0], np.flatnonzero(ends) + 1])[:-1]
+        self.lengths = np.diff(np.concatenate([self.begin, [len(ends)]]))
         learned = np.repeat(~self.held, self.lengths)
         self.keys, self.place, self.counts = [], [], []
-        for key in ngrams(self.words, self.ends):
+        for key in ngrams(np.concatenate(words), ends):
             distinct, place = np.unique(key, return_inverse=True)
             self.keys.append(distinct)
-            self.place.append(place)
-            self.counts.append(np.bincount(place[learned], minlength=len(distinct)))
-        self.spelled = np.concatenate([np.empty(0), *spell])
-        self.moves = self._moves(runs, learned) if log_moves is None else None
-
-    def _moves(self, runs: list, learned: np.ndarray) -> np.ndarray:
-        """How often each transition of bytes occurs in texts that are learned from."""
-        every = np.concatenate([np.empty(0, np.int32), *runs])
-        every = every[every >= 0]
-        of_word = np.cumsum(every // 257 == GAP) - 1
-        return np.bincount(every[learned[of_word]], minlength=257 * 257)
+            self.place.append(place.astype(np.int32))
+            self.counts.append(np.bincount(place[learned], minlength=len(distinct)).astype(np.int32))
 
-    def all_keys(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(keys of all orders in order, their counts, where each order's keys are among them)."""
-        keys, counts = np.concatenate(self.keys), np.concatenate(self.counts)
-        order = np.argsort(keys, kind="stable")
-        return keys[order], counts[order], order
+    def _count_moves(self, moves: np.ndarray, learned: np.ndarray) -> None:
+        """How often each transition of bytes occurs in words that are learned from."""
+        moves = moves[moves >= 0]
+        of_word = np.cumsum(moves // 257 == GAP, dtype=np.int32) - 1
+        self.moves += np.bincount(moves[learned[of_word]], minlength=257 * 257)
 
 
 # ---------------------------------------------------------------- counts of the corpus
@@ -274,11 +283,11 @@ def send(batches, bits: int):
     for batch in batches:
         for number, texts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             block = Block(texts)
-            keys, counts, _ = block.all_keys()
-            bounds = np.searchsorted(keys, np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits))
-            for r, (k, c) in enumerate(zip(np.split(keys, bounds), np.split(counts, bounds))):
-                if len(k):
-                    yield _tables(SENT, [[number], [r], [0], [two(differences(k >> np.uint64(2)), c * 4 + (k & np.uint64(3)).astype(np.int64))]])
+            starts = range_starts(bits)[1:]
+            cut = [(np.split(x, bounds), np.split(c, bounds)) for x, c, bounds in ((k, c, np.searchsorted(k, starts)) for k, c in zip(block.keys, block.counts))]
+            for r in range(1 << bits):
+                if any(len(k[r]) for k, _ in cut):
+                    yield _tables(SENT, [[number], [r], [0], [joined([x for (k, c), unused in zip(cut, UNUSED) for x in (differences(k[r] >> unused), c[r])])]])
             seen = np.flatnonzero(block.moves)
             yield _tables(MOVES, [seen, (seen % (1 << bits)), block.moves[seen], [None] * len(seen)])
 
@@ -309,27 +318,23 @@ def answer(batches):
 
 
 def settle(number: int, held: list[tuple[int, bytes]]):
-    keys, counts, sizes = [], [], []
-    for _, data in held:
-        d, c = both(data)
-        counts.append((c >> np.uint64(2)).astype(np.int64))
-        keys.append((np.cumsum(d, dtype=np.uint64) << np.uint64(2)) | (c & np.uint64(3)))
-        sizes.append(len(d))
-    distinct, place = np.unique(np.concatenate(keys), return_inverse=True)
-    total = np.bincount(place, weights=np.concatenate(counts), minlength=len(distinct)).astype(np.int64)
-    answers = [], []
-    for (block, _), own, at in zip(held, counts, np.split(place, np.cumsum(sizes)[:-1])):
-        other = np.flatnonzero(total[at] != own)
-        if len(other):
-            answers[0].append(block)
-            answers[1].append(two(differences(other), total[at[other]]))
-    yield _tables(ANSWER, [answers[0], [number] * len(answers[0]), [0] * len(answers[0]), answers[1]])
-    order = (distinct & np.uint64(3)).astype(np.int64)
-    classes = class_of(total) * 4 + order
-    n = np.bincount(classes)
-    sums = np.bincount(classes, weights=total).astype(np.int64)
-    some = np.flatnonzero(n)
-    yield _tables(TALLY, [np.concatenate([2 * some, 2 * some + 1]), [number] * 2 * len(some), np.concatenate([n[some], sums[some]]), [None] * 2 * len(some)])
+    parts = [parted(data) for _, data in held]
+    answers: list[list[np.ndarray]] = [[] for _ in held]
+    for order in range(ORDERS):
+        keys = [np.cumsum(p[2 * order], dtype=np.uint64) for p in parts]
+        counts = [p[2 * order + 1].astype(np.int64) for p in parts]
+        distinct, place = np.unique(np.concatenate(keys), return_inverse=True)
+        total = np.bincount(place, weights=np.concatenate(counts), minlength=len(distinct)).astype(np.int64)
+        for to, own, at in zip(answers, counts, np.split(place, np.cumsum(list(map(len, keys)))[:-1])):
+            other = np.flatnonzero(total[at] != own)
+            to += [differences(other), total[at[other]]]
+        classes = class_of(total) * 4 + order
+        n = np.bincount(classes)
+        sums = np.bincount(classes, weights=total).astype(np.int64)
+        some = np.flatnonzero(n)
+        yield _tables(TALLY, [np.concatenate([2 * some, 2 * some + 1]), [number] * 2 * len(some), np.concatenate([n[some], sums[some]]), [None] * 2 * len(some)])
+    some = [i for i, a in enumerate(answers) if any(map(len, a))]
+    yield _tables(ANSWER, [[held[i][0] for i in some], [number] * len(some), [0] * len(some), [joined(answers[i]) for i in some]])
 
 
 # ---------------------------------------------------------------- the model
@@ -404,14 +409,13 @@ def traverse(batches, model: Model, id_type: pa.DataType):
 
 
 def scores(block: Block, answers: dict[int, bytes], bits: int, model: Model, id_type: pa.DataType) -> pa.RecordBatch:
-    keys, total, order = block.all_keys()
-    bounds = np.searchsorted(keys, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits))
+    totals = [c.astype(np.int64) for c in block.counts]
+    starts = [np.searchsorted(k, range_starts(bits)) for k in block.keys]
     for r, data in answers.items():
-        at, n = both(data)
-        total[bounds[r] + np.cumsum(at).astype(np.int64)] = n.astype(np.int64)
-    back = np.empty(len(keys), np.int64)
-    back[order] = total
-    log, c = model.traverse(block, np.split(back, np.cumsum(list(map(len, block.keys)))[:-1]))
+        parts = parted(data)
+        for order in range(ORDERS):
+            totals[order][starts[order][r] + np.cumsum(parts[2 * order]).astype(np.int64)] = parts[2 * order + 1].astype(np.int64)
+    log, c = model.traverse(block, totals)
     base = np.log10((c + 0.1) / (model.n + 0.1 * (model.v + 1)))
     add = lambda x: np.add.reduceat(x, block.begin) if len(block.begin) else np.empty(0)
     return pa.RecordBatch.from_arrays([
