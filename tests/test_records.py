@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from tiewright.functions import fixed_values as V
 from tiewright.functions import names as N
 from tiewright.functions import records as R
 from tiewright.functions import text as T
@@ -75,5 +76,5 @@ def test_place_and_body_fields(spark):
     text = "Cercle nautique, 3 mai 1898. Siège social : 12 rue de Rome, Tunis. 1.250 membres. BUT : la natation."
     o = R.organisation_fields(entries(spark, [("Cercle nautique", text, 120)])).first()
     assert (o.founded_year, o.n_members, o.purpose, o.kind) == (1898, 1250, "la natation.", "sport_leisure")
-    s = spark.createDataFrame([(text,)], "t string").select(T.sections(F.col("t"), R.RUBRICS).alias("s")).first().s
+    s = spark.createDataFrame([(text,)], "t string").select(T.sections(F.col("t"), V.RUBRICS).alias("s")).first().s
     assert set(s) == {"head", "but"}

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tiewright.functions import fixed_values as V
+
 #: Letters with accents and the letters without, of Latin-1 and Latin Extended-A; ligatures stay.
 ACCENTED = "ÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝàáâãäåçèéêëìíîïñòóôõöùúûüýÿĀāĂăĄąĆćČčĎďĒēĖėĘęĚěĞğĪīĮįŃńŇňŌōŐőŘřŚśŞşŠšŢţŤťŪūŮůŰűŲųŹźŻżŽž"
 PLAIN = "AAAAAACEEEEIIIINOOOOOUUUUYaaaaaaceeeeiiiinooooouuuuyyAaAaAaCcCcDdEeEeEeEeGgIiIiNnNnOoOoRrSsSsSsTtTtUuUuUuUuZzZzZz"
@@ -84,6 +86,49 @@ def first_year(text: Column, low: int = 1600, high: int = 1915) -> Column:
     return F.get(F.filter(F.transform(found, lambda x: clean_year(x, low, high)), lambda y: y.isNotNull()), F.lit(0))
 
 
+def first_date(text: Column) -> Column:
+    """struct(raw, day, month, year) of the first date-like piece whose year is one (FN28); day and month may be null."""
+    shape = rf"(?iuU)(?:(\d{{1,2}})\s*(?:er|\"|°|')?\s*)?({V.MONTH})?\s*({V.YEAR_LOOSE})"
+    pieces = [F.regexp_extract_all(text, F.lit(shape), g).alias(n) for g, n in enumerate(("raw", "day", "month", "year"))]
+    stem = lambda m: F.substring(F.lower(strip_accents(m)), 1, 3)
+    months = ("jan", "fev", "mar", "avr", "mai", "jui", "jui", "aou", "sep", "oct", "nov", "dec")
+    number = lambda m: F.when(stem(m) == "jui", F.when(F.lower(m).startswith("juil"), 7).otherwise(6)).otherwise(F.nullif(F.array_position(F.array(*map(F.lit, months)), stem(m)), F.lit(0)).cast("int"))
+    dates = F.transform(F.arrays_zip(*pieces), lambda d: F.struct(F.btrim(d["raw"], F.lit(" ,.")).alias("raw"), d["day"].try_cast("int").alias("day"), number(d["month"]).alias("month"), clean_year(d["year"]).alias("year")))
+    return F.get(F.filter(dates, lambda d: d["year"].isNotNull()), F.lit(0))
+
+
+def join_lines(df: DataFrame, by: list[str], order: str, text: str = "text", out: str = "text") -> DataFrame:
+    """One row for each paragraph: its lines in order with single spaces between words (FN26)."""
+    lines = F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(text).alias("t")))), lambda x: x["t"])
+    return df.groupBy(*by).agg(squeeze(F.array_join(lines, " ")).alias(out))
+
+
+def shorten(label: Column, width: int = 20, lines: int = 2) -> Column:
+    """A label in at most ``lines`` lines of ``width`` characters, cut with an ellipsis (FN11).
+
+    Words are parted by spaces; one longer than a line stands on a line of its own.
+    """
+    empty = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("now"))
+    fits = lambda a, w: F.char_length(a["now"]) + 1 + F.char_length(w) <= width
+    step = lambda a, w: F.when(a["now"] == "", F.struct(a["done"].alias("done"), w.alias("now"))).when(fits(a, w), F.struct(a["done"].alias("done"), F.concat(a["now"], F.lit(" "), w).alias("now"))).otherwise(F.struct(F.array_append(a["done"], a["now"]).alias("done"), w.alias("now")))
+    whole = F.aggregate(F.split(squeeze(label), " "), empty, step, lambda a: F.array_append(a["done"], a["now"]))
+    last = F.concat(F.rtrim(F.substring(F.element_at(whole, lines), 1, width - 1)), F.lit("…"))
+    return F.array_join(F.when(F.size(whole) > lines, F.concat(F.slice(whole, 1, lines - 1), F.array(last))).otherwise(whole), "\n")
+
+
+def number_text(value: Column, digits: int = 10) -> Column:
+    """A number in so many significant figures, without zeros at the end (FN12)."""
+    shown = F.format_string(f"%.{digits - 1}e", F.abs(value))
+    figures = F.regexp_replace(F.regexp_replace(F.substring_index(shown, "e", 1), r"\.", ""), "0+$", "")
+    power = F.substring_index(shown, "e", -1).cast("int")
+    padded = F.rpad(figures, F.greatest(power + 1, F.char_length(figures)), F.lit("0"))
+    whole = F.concat(F.substring(padded, F.lit(1), power + 1), F.when(F.char_length(figures) > power + 1, F.concat(F.lit("."), F.substring(figures, power + 2, F.lit(digits)))).otherwise(""))
+    small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -power - 1), figures)
+    far = F.concat(F.substring(figures, 1, 1), F.when(F.char_length(figures) > 1, F.concat(F.lit("."), F.substring(figures, 2, digits))).otherwise(""), F.lit("e"), F.when(power < 0, "-").otherwise("+"), F.lpad(F.abs(power).cast("string"), 2, "0"))
+    text = F.when(value == 0, F.lit("0")).when(power.between(0, digits - 1), whole).when(power.between(-4, -1), small).otherwise(far)
+    return F.when(value < 0, F.concat(F.lit("-"), text)).otherwise(text)
+
+
 def split_headword(text: Column) -> Column:
     """What stands before the first bracket, comma, semicolon, colon or sentence period that is not at the start (FN22)."""
     head = F.regexp_extract(text, r"^(.(?:(?!\s*\(|[,;:]|\.(?:\s|$)).)*)", 1)
@@ -146,9 +191,9 @@ def running_head(text: Column) -> Column:
     )
 
 
-def is_fragment(head: Column, verbs: tuple[str, ...] = ("était", "étaient", "est", "sont", "fut", "furent", "signifie", "désigne", "a", "ont")) -> Column:
+def is_fragment(head: Column, verbs: str = V.VERBS) -> Column:
     """A printed headword that is none: it starts with a digit, or a conjugated verb follows its first word (FN31)."""
-    return head.rlike("^[0-9]") | head.rlike(rf"(?U)^\S+\s(?:.*\s)?({'|'.join(verbs)})(\s|$)")
+    return head.rlike(r"^[^A-Za-zÀ-ÿ]{0,2}\d") | head.rlike(rf"(?U)^\S+\s(?:.*\W)?(?:{verbs})(?:\W|$)")
 
 
 def sections(text: Column, labels: dict[str, str]) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tiewright.operators.ranking import values_at
+
 
 def filled(column: Column) -> Column:
     """Whether a text column has something: null, empty and blank count as missing."""
@@ -24,12 +26,9 @@ def z_scores(df: DataFrame, value: str, by: str | None = None) -> Column:
     return (F.col(value) - F.avg(value).over(w)) / F.coalesce(F.nullif(F.stddev_pop(value).over(w), F.lit(0.0)), F.lit(1.0))
 
 
-def upper_median(column: Column) -> Column:
-    """The value at position n div 2 of the sorted values, not interpolated (S9).
-
-    The exact percentile at that position: memory is one counter for each distinct value, whatever the number of rows.
-    """
-    return F.element_at(F.array_sort(F.collect_list(column)), F.floor(F.count(column) / 2).cast("int") + 1)
+def upper_medians(df: DataFrame, value: str, by: list[str]) -> DataFrame:
+    """(by, n, upper_median): the value at position n div 2 of the sorted values of a group, not interpolated (AGG25)."""
+    return values_at(df, value, by, {"upper_median": 0.5})
 
 
 def equal_count_quartiles(df: DataFrame, order: list[Column], by: list[str]) -> DataFrame:
@@ -41,9 +40,7 @@ def equal_count_quartiles(df: DataFrame, order: list[Column], by: list[str]) ->
 
 def index_cut_quartiles(df: DataFrame, value: str, by: list[str]) -> DataFrame:
     """``df`` with stratum 0 to 3: the number of the cuts v[int(f * n)], f in 1/4, 1/2, 3/4, that the value exceeds (AGG23)."""
-    cuts = df.groupBy(*by).agg(F.array_sort(F.collect_list(value)).alias("__v"))
-    at = lambda f: F.element_at("__v", F.floor(F.size("__v") * f).cast("int") + 1)
-    cuts = cuts.select(*by, *[at(f).alias(f"__c{i}") for i, f in enumerate((0.25, 0.5, 0.75))])
+    cuts = values_at(df, value, by, {"__c0": 0.25, "__c1": 0.5, "__c2": 0.75}).drop("n")
     joined = df.join(cuts, by)
     return joined.withColumn("stratum", sum((F.col(value) > F.col(f"__c{i}")).cast("int") for i in range(3))).drop("__c0", "__c1", "__c2")
 

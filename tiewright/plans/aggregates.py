@@ -110,7 +110,7 @@ def box_stats(spark, d):
 
 @query("SELECT o_orderpriority, list_sort(list(o_totalprice))[count(*) // 2 + 1] AS upper_median FROM orders GROUP BY 1")
 def upper_median(spark, d):
-    return table(spark, d, "orders").groupBy("o_orderpriority").agg(P.upper_median(F.col("o_totalprice")).alias("upper_median"))
+    return P.upper_medians(table(spark, d, "orders"), "o_totalprice", ["o_orderpriority"]).drop("n")
 
 
 @query("SELECT p_brand, p_type, count(*) AS n, round(avg(p_retailprice), 6) AS mean_price FROM part GROUP BY 1, 2 HAVING count(*) >= 3")

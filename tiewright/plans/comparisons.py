@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tiewright.operators import components as C
 from tiewright.operators import graph as G
 from tiewright.operators import inference as I
+from tiewright.operators import profile as P
 from tiewright.plans.network import ORACLES as NETWORK_SQL
 from tiewright.plans.network import edges_sql, small_graph, ties, ties_sql
 from tiewright.plans.statistics import segment_labels
@@ -82,8 +83,17 @@ def degree_vs_betweenness(spark, d):
     """The upper median of betweenness at each degree that five nodes have (GR21)."""
     edges = small_graph(spark, d)
     both = G.betweenness(edges).join(G.degrees(edges), "node").withColumn("betweenness", r6("betweenness"))
-    found = both.groupBy("degree").agg(F.count("*").alias("n"), F.element_at(F.array_sort(F.collect_list("betweenness")), F.floor(F.count("*") / 2).cast("int") + 1).alias("upper_median"))
-    return found.where("n >= 5")
+    return P.upper_medians(both, "betweenness", ["degree"]).where("n >= 5")
+
+
+@query(f"""WITH bb AS ({NETWORK_SQL['betweenness']}), {edges_sql(10)}, x AS (SELECT bb.node, degree, betweenness, betweenness / degree AS per_tie FROM bb JOIN deg ON bb.node = deg.node)
+  SELECT round(corr(degree, betweenness), 6) AS r, count(*) AS n, (SELECT node FROM x WHERE betweenness > 0 ORDER BY round(per_tie, 9) DESC, node LIMIT 1) AS leanest FROM x""")
+def degree_betweenness_correlation(spark, d):
+    """Pearson's r of degree and betweenness, and the broker with the most betweenness for each tie (GR21)."""
+    edges = small_graph(spark, d)
+    both = G.betweenness(edges).join(G.degrees(edges), "node").withColumn("betweenness", r6("betweenness"))
+    lean = F.struct((-F.round(F.col("betweenness") / F.col("degree"), 9)).alias("k"), "node")
+    return both.agg(r6(F.corr("degree", "betweenness")).alias("r"), F.count("*").alias("n"), F.min(F.when(F.col("betweenness") > 0, lean))["node"].alias("leanest"))
 
 
 @query("""WITH b AS (SELECT user_id, CAST(floor(min(value) / 10) * 10 AS INT) AS cohort, count(DISTINCT event_type) AS kinds FROM events GROUP BY 1), g AS (SELECT cohort, count(*) AS n, round(avg(CAST(kinds >= 5 AS INT)), 6) AS share_wide FROM b GROUP BY 1) SELECT least(cohort, 20) AS cohort, CAST(sum(n) AS BIGINT) AS n, round(sum(n * share_wide) / sum(n), 4) AS share_wide FROM g GROUP BY 1""")

@@ -102,12 +102,12 @@ def canonicalise_subset(spark, d):
     return R.canonical_names(names, ["small", "economy"])
 
 
-@query("""WITH i AS (SELECT l_orderkey AS g, l_linenumber * 100000000 + l_orderkey AS item, min(l_quantity) AS low, max(l_quantity + l_discount * 100) AS high FROM lineitem WHERE l_orderkey < 500 GROUP BY 1, 2),
-  s AS (SELECT l_orderkey AS g, l_partkey AS span, min(l_quantity) * 0.9 AS low, min(l_quantity) * 0.9 + 4 AS high FROM lineitem WHERE l_orderkey < 500 GROUP BY 1, 2),
+@query("""WITH i AS (SELECT l_orderkey AS g, l_linenumber * 100000000 + l_orderkey AS item, min(l_quantity) AS low, max(l_quantity + l_discount * 100) AS high FROM lineitem GROUP BY 1, 2),
+  s AS (SELECT l_orderkey AS g, l_partkey AS span, min(l_quantity) * 0.9 AS low, min(l_quantity) * 0.9 + 4 AS high FROM lineitem GROUP BY 1, 2),
   j AS (SELECT item, span, least(i.high, s.high) - greatest(i.low, s.low) AS overlap, abs(i.low - s.low) AS away FROM i JOIN s ON i.g = s.g)
   SELECT item, span, round(overlap, 6) AS overlap FROM (SELECT *, row_number() OVER (PARTITION BY item ORDER BY overlap DESC, away, span) AS r FROM j) WHERE r = 1""")
 def interval_overlap_argmax(spark, d):
-    lines = table(spark, d, "lineitem").where("l_orderkey < 500").withColumnRenamed("l_orderkey", "g")
+    lines = table(spark, d, "lineitem").withColumnRenamed("l_orderkey", "g")
     items = lines.groupBy("g", (F.col("l_linenumber") * 100000000 + F.col("g")).alias("item")).agg(F.min("l_quantity").alias("low"), F.max(F.col("l_quantity") + F.col("l_discount") * 100).alias("high"))
     spans = lines.groupBy("g", F.col("l_partkey").alias("span")).agg(F.min("l_quantity").alias("q")).select("g", "span", (F.col("q") * 0.9).alias("low"), (F.col("q") * 0.9 + 4).alias("high"))
     return R.best_overlap(items, spans, ["g"]).withColumn("overlap", F.round("overlap", 6))

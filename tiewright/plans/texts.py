@@ -38,38 +38,37 @@ def rule_cascade(spark, d):
     return table(spark, d, "documents").select("doc_id", T.cascade(rules, ("note", "residual")).alias("x")).select("doc_id", "x.type", "x.rule")
 
 
-LABELS = [("german", r"\b(der|die|und|nicht)\b"), ("english", r"\b(the|and|with)\b"), ("french", r"\b(le|les|dans|pour)\b"), ("spanish", r"\b(el|los|para|una)\b"), ("secret", "(?i)token|password"), ("address", "[a-z0-9.]+@[a-z]+[.]")]
+LABELS = [("german", r"(^|[^\p{L}])(der|die|und|nicht)([^\p{L}]|$)"), ("english", r"(^|[^\p{L}])(the|and|with)([^\p{L}]|$)"), ("french", r"(^|[^\p{L}])(le|les|dans|pour)([^\p{L}]|$)"), ("spanish", r"(^|[^\p{L}])(el|los|para|una)([^\p{L}]|$)"), ("secret", "(?i)token|password"), ("address", "[a-z0-9.]+@[a-z]+[.]")]
 
 
-@query(r"""SELECT doc_id, concat_ws(';', CASE WHEN regexp_matches(text, '\b(der|die|und|nicht)\b') THEN 'german' END, CASE WHEN regexp_matches(text, '\b(the|and|with)\b') THEN 'english' END, CASE WHEN regexp_matches(text, '\b(le|les|dans|pour)\b') THEN 'french' END,
-  CASE WHEN regexp_matches(text, '\b(el|los|para|una)\b') THEN 'spanish' END, CASE WHEN regexp_matches(text, '(?i)token|password') THEN 'secret' END, CASE WHEN regexp_matches(text, '[a-z0-9.]+@[a-z]+[.]') THEN 'address' END) AS labels FROM documents WHERE NOT regexp_matches(text, '[^\x00-\x7F]')""")
+@query(r"""SELECT doc_id, concat_ws(';', CASE WHEN regexp_matches(text, '(^|[^\p{L}])(der|die|und|nicht)([^\p{L}]|$)') THEN 'german' END, CASE WHEN regexp_matches(text, '(^|[^\p{L}])(the|and|with)([^\p{L}]|$)') THEN 'english' END, CASE WHEN regexp_matches(text, '(^|[^\p{L}])(le|les|dans|pour)([^\p{L}]|$)') THEN 'french' END,
+  CASE WHEN regexp_matches(text, '(^|[^\p{L}])(el|los|para|una)([^\p{L}]|$)') THEN 'spanish' END, CASE WHEN regexp_matches(text, '(?i)token|password') THEN 'secret' END, CASE WHEN regexp_matches(text, '[a-z0-9.]+@[a-z]+[.]') THEN 'address' END) AS labels FROM documents""")
 def multi_label(spark, d):
-    """All labels of ASCII documents in fixed order, the first being the primary one (FN40, S13)."""
-    docs = table(spark, d, "documents").where(~F.col("text").rlike(r"[^\x00-\x7F]"))
-    return docs.select("doc_id", F.array_join(T.labels(F.col("text"), LABELS), ";").alias("labels"))
+    """All labels of documents in fixed order, the first being the primary one (FN40, S13)."""
+    return table(spark, d, "documents").select("doc_id", F.array_join(T.labels(F.col("text"), LABELS), ";").alias("labels"))
 
 
-@query(r"""SELECT item_id, trim(regexp_replace(regexp_replace(upper(strip_accents(substr(text, 1, 60))), '[^A-Z ]+', '', 'g'), '\s+', ' ', 'g')) AS sort_key, substr(regexp_replace(regexp_replace(upper(strip_accents(substr(text, 1, 60))), '[^A-Z ]+', '', 'g'), ' ', '', 'g'), 1, 6) AS cmp_key FROM benchmark WHERE NOT contains(text, 'ß')""")
+@query(r"""SELECT item_id, trim(regexp_replace(regexp_replace(upper(strip_accents(replace(text, 'ß', 'ss'))), '[^A-Z ]+', '', 'g'), '\s+', ' ', 'g')) AS sort_key, substr(regexp_replace(regexp_replace(upper(strip_accents(replace(text, 'ß', 'ss'))), '[^A-Z ]+', '', 'g'), ' ', '', 'g'), 1, 6) AS cmp_key FROM benchmark""")
 def sort_keys(spark, d):
     """Filing keys of passages (FN1, FN4, FN5)."""
-    key = T.sort_key(F.substring("text", 1, 60))
-    return table(spark, d, "benchmark").where("NOT contains(text, 'ß')").select("item_id", key.alias("sort_key"), T.cmp_key(key).alias("cmp_key"))
+    key = T.sort_key(F.col("text"))
+    return table(spark, d, "benchmark").select("item_id", key.alias("sort_key"), T.cmp_key(key).alias("cmp_key"))
 
 
-@query(r"""SELECT DISTINCT w AS word, trim(regexp_replace(regexp_replace(upper(strip_accents(w)), '[^A-Z ]+', ' ', 'g'), '\s+', ' ', 'g')) AS name_key, trim(regexp_replace(regexp_replace(lower(strip_accents(w)), '[^a-z0-9 ]+', ' ', 'g'), '\s+', ' ', 'g')) AS norm_key FROM (SELECT unnest(string_split(text, ' ')) AS w FROM benchmark) WHERE NOT contains(w, 'ß')""")
+@query(r"""SELECT DISTINCT w AS word, trim(regexp_replace(regexp_replace(upper(strip_accents(replace(w, 'ß', 'ss'))), '[^A-Z ]+', ' ', 'g'), '\s+', ' ', 'g')) AS name_key, trim(regexp_replace(regexp_replace(regexp_replace(lower(strip_accents(w)), '^(l''|la |le |les |de |du |des )+', ''), '[^a-z0-9 ]+', ' ', 'g'), '\s+', ' ', 'g')) AS norm_key FROM (SELECT unnest(string_split(text, ' ')) AS w FROM benchmark)""")
 def normalised_keys(spark, d):
     """Comparison keys of words (FN2, FN6, FN7)."""
-    words = table(spark, d, "benchmark").select(F.explode(F.split("text", " ")).alias("word")).where("NOT contains(word, 'ß')").distinct()
-    return words.select("word", T.name_key(F.col("word"), ("FILS",)).alias("name_key"), T.org_key(F.col("word"), ("@@",)).alias("norm_key"))
+    words = table(spark, d, "benchmark").select(F.explode(F.split("text", " ")).alias("word")).distinct()
+    return words.select("word", T.name_key(F.col("word"), ("FILS",)).alias("name_key"), T.org_key(F.col("word")).alias("norm_key"))
 
 
-@query(r"""WITH x AS (SELECT event_id, CAST(1500 + event_id % 500 AS VARCHAR) AS y FROM events WHERE event_id < 3000), r AS (SELECT event_id, y, CASE event_id % 4 WHEN 0 THEN replace(y, '8', 'S') WHEN 1 THEN '1.' || substr(y, 2) WHEN 2 THEN replace(y, '0', 'O') ELSE replace(y, '6', '(i') END AS raw FROM x)
+@query(r"""WITH x AS (SELECT event_id, CAST(1500 + event_id % 500 AS VARCHAR) AS y FROM events), r AS (SELECT event_id, y, CASE event_id % 4 WHEN 0 THEN replace(y, '8', 'S') WHEN 1 THEN '1.' || substr(y, 2) WHEN 2 THEN replace(y, '0', 'O') ELSE replace(y, '6', '(i') END AS raw FROM x)
   SELECT event_id, raw, CASE WHEN NOT contains(raw, '(') AND CAST(y AS INT) BETWEEN 1600 AND 1915 THEN CAST(y AS INT) END AS year FROM r""")
 def year_repair(spark, d):
     """Years damaged in known ways and mended, or refused (FN27)."""
     y = (F.lit(1500) + F.col("event_id") % 500).cast("string")
     raw = F.when(F.col("event_id") % 4 == 0, F.replace(y, F.lit("8"), F.lit("S"))).when(F.col("event_id") % 4 == 1, F.concat(F.lit("1."), F.substring(y, 2, 9))).when(F.col("event_id") % 4 == 2, F.replace(y, F.lit("0"), F.lit("O"))).otherwise(F.replace(y, F.lit("6"), F.lit("(i")))
-    return table(spark, d, "events").where("event_id < 3000").select("event_id", raw.alias("raw")).withColumn("year", T.clean_year(F.col("raw")))
+    return table(spark, d, "events").select("event_id", raw.alias("raw")).withColumn("year", T.clean_year(F.col("raw")))
 
 
 @query(r"""SELECT page_id, trim(regexp_extract(html, '<title>([^<]*)</title>', 1)) AS title, regexp_extract(url, '^https?://([^/]+)', 1) AS host, len(regexp_extract_all(html, '<a href=')) AS n_links FROM pages""")
@@ -102,12 +101,12 @@ def templated_url(spark, d):
     return table(spark, d, "part").select("p_partkey", url.alias("url")).withColumn("view", view_number(F.col("url")))
 
 
-@query(r"""WITH x AS (SELECT item_id, 'HEAD. ETUDES: ' || substr(text, 1, 20) || ' BUT : ' || substr(text, 21, 10) || ' ETUDES : last' AS t FROM benchmark)
-  SELECT item_id, 'HEAD.' AS head, trim(substr(t, 14, 21)) || ' last' AS studies, trim(regexp_extract(t, 'BUT :(.*) ETUDES : last', 1)) AS aim FROM x WHERE NOT regexp_matches(t, '(?s)\n')""")
+@query(r"""SELECT item_id, 'HEAD.' AS head, trim(substr(text, 1, length(text) // 2)) || ' last' AS studies, nullif(trim(substr(text, length(text) // 2 + 1)), '') AS aim FROM benchmark""")
 def section_split(spark, d):
     """Labelled parts of a text, repeated ones joined (FN30)."""
-    t = F.concat(F.lit("HEAD. ETUDES: "), F.substring("text", 1, 20), F.lit(" BUT : "), F.substring("text", 21, 10), F.lit(" ETUDES : last"))
-    rows = table(spark, d, "benchmark").select("item_id", t.alias("t")).where(~F.col("t").contains("\n"))
+    half = F.floor(F.char_length("text") / 2).cast("int")
+    t = F.concat(F.lit("HEAD. ETUDES: "), F.substring(F.col("text"), F.lit(1), half), F.lit(" BUT : "), F.substring(F.col("text"), half + 1, F.char_length("text")), F.lit(" ETUDES : last"))
+    rows = table(spark, d, "benchmark").select("item_id", t.alias("t"))
     rows = rows.withColumn("s", T.sections(F.col("t"), {"studies": r"ETUDES?\s*:", "aim": r"BUT\s*:"}))
     return rows.select("item_id", *[F.element_at("s", k).alias(k) for k in ("head", "studies", "aim")])
 
@@ -135,15 +134,15 @@ def rule_agreement(spark, d):
     return L.agreement(rows, "rule", "prior").withColumn("precision", F.round("precision", 6))
 
 
-@query(r"""SELECT conv_id, turn, regexp_extract(text, '^[^,.;:(]+', 0) AS head FROM conversations WHERE regexp_matches(text, '^[A-Za-z][^,.;:(\s]') AND NOT contains(text, '(')""")
+@query(r"""WITH x AS (SELECT conv_id, turn, substr(text, 1, 1) AS a, regexp_replace(regexp_replace(substr(text, 2), '\s*\(', ';', 'g'), '\.(\s|$)', ';', 'g') AS b FROM conversations)
+  SELECT conv_id, turn, trim(CASE WHEN a = chr(10) THEN '' ELSE a || regexp_extract(b, '^[^,;:\n]*', 0) END, ' .,:;-—') AS head FROM x""")
 def headwords(spark, d):
     """What stands before the first delimiter of a turn (FN22)."""
-    c = table(spark, d, "conversations").where(F.col("text").rlike(r"^[A-Za-z][^,.;:(\s]") & ~F.col("text").contains("("))
-    return c.select("conv_id", "turn", T.split_headword(F.col("text")).alias("head"))
+    return table(spark, d, "conversations").select("conv_id", "turn", T.split_headword(F.col("text")).alias("head"))
 
 
-@query()
+@query("""SELECT c_custkey, role, CASE role WHEN 'president' THEN 'Marcille' WHEN 'treasurer' THEN 'Vilatte L.-E' ELSE upper(substr(c_mktsegment, 1, 1)) || lower(substr(c_mktsegment, 2)) END AS name FROM customer, (VALUES ('president'), ('vice_president'), ('treasurer')) r(role)""")
 def officer_lists(spark, d):
     """Officers read out of made-up lists of customers' names (TF1)."""
-    c = table(spark, d, "customer").where("c_custkey < 200").select("c_custkey", F.concat(F.lit("Prés., M. Marcille; v.-prés., M. "), F.initcap("c_mktsegment"), F.lit("; Vilatte L.-E., trés.")).alias("text"))
+    c = table(spark, d, "customer").select("c_custkey", F.concat(F.lit("Prés., M. Marcille; v.-prés., M. "), F.initcap("c_mktsegment"), F.lit("; Vilatte L.-E., trés.")).alias("text"))
     return N.officers(c, "text").select("c_custkey", "role", "name")

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tiewright.operators import sequence as S
+from tiewright.operators.ranking import global_rank
 from tiewright.sources.tables import table
 
 QUERIES: dict = {}
@@ -83,13 +84,15 @@ def window_scan(spark, d):
     return S.alphabetical_window(rows, "key", "anchor", "plausible", ["doc_id"], ["i"]).groupBy("reason").agg(F.count("*").alias("n"))
 
 
-@query(f"""WITH RECURSIVE {LINES}, k AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS i, {KEY_SQL} AS key FROM l WHERE {KEY_SQL} <> ''),
-  small AS (SELECT doc_id FROM k GROUP BY doc_id HAVING count(*) <= 30), s AS (SELECT * FROM k WHERE doc_id IN (SELECT doc_id FROM small)),
-  r AS (SELECT doc_id, i, key, 1 AS len FROM s UNION SELECT s.doc_id, s.i, s.key, r.len + 1 FROM r JOIN s ON r.doc_id = s.doc_id AND s.i > r.i AND s.key >= r.key)
-  SELECT doc_id, max(len) AS longest FROM r GROUP BY doc_id""")
+#: For each length, the least key that ends a run of that length, replaced step by step: the fold is the patience method.
+LNDS = """list_reduce(list_prepend([]::VARCHAR[], list_transform(keys, lambda k: [k])), lambda a, k: CASE WHEN len(list_filter(a, lambda x: x <= k[1])) = len(a) THEN list_append(a, k[1])
+  ELSE list_concat(list_append(a[1:len(list_filter(a, lambda x: x <= k[1]))], k[1]), a[len(list_filter(a, lambda x: x <= k[1])) + 2:]) END)"""
+
+
+@query(f"""WITH {LINES}, k AS (SELECT doc_id, list({KEY_SQL} ORDER BY i) AS keys FROM l WHERE {KEY_SQL} <> '' GROUP BY doc_id) SELECT doc_id, CAST(len({LNDS}) AS INT) AS longest FROM k""")
 def lnds_length(spark, d):
-    """Length of a longest non-decreasing run of line keys in documents of up to 30 keyed lines (WIN6)."""
-    keys = keyed(spark, d).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("i", "key"))).alias("x")).where(F.size("x") <= 30)
+    """Length of a longest non-decreasing run of each document's line keys (WIN6)."""
+    keys = keyed(spark, d).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("i", "key"))).alias("x"))
     return keys.select("doc_id", F.size(S.longest_nondecreasing(F.transform("x", lambda x: x["key"]))).alias("longest"))
 
 
@@ -144,4 +147,4 @@ def change_headers(spark, d):
 def systematic_sample(spark, d):
     """Every 97th order by key (FIL9)."""
     o = table(spark, d, "orders").select("o_orderkey", "o_custkey")
-    return o.withColumn("r", F.row_number().over(Window.orderBy("o_orderkey"))).where("r % 97 = 0").drop("r")
+    return global_rank(o, ["o_orderkey"], "r").where("r % 97 = 0").drop("r")
