@@ -28,7 +28,8 @@ def components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds:
         if not before[0]:
             break
         both = current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        # written, so that a hub's rows may be split in the join: below an aggregate they could not
+        least = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         small = (
@@ -39,7 +40,7 @@ def components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds:
             .distinct()
         )
         previous, current = current, materialize(small, "edges")
-        drop(previous)  # its one reader has been written
+        drop(previous, least)  # their readers have been written
         after = _tally(current)
         if after == before:
             break

@@ -8,7 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tiewright.sources.tables import materialize
+from tiewright.operators.ranking import global_rank
+from tiewright.sources.tables import drop, materialize
 
 
 def canonical_edges(pairs: DataFrame, a: str = "src", b: str = "dst") -> DataFrame:
@@ -50,11 +51,17 @@ def project(ties: DataFrame, cap: int = 60, body: str = "body", person: str = "p
 
 
 def triangles(edges: DataFrame) -> DataFrame:
-    """(a, b, c) with a < b < c for each triangle: wedges on the canonical direction closed by a third edge."""
-    ab = edges.select(F.col("src").alias("a"), F.col("dst").alias("b"))
-    bc = edges.select(F.col("src").alias("b"), F.col("dst").alias("c"))
-    ac = edges.select(F.col("src").alias("a"), F.col("dst").alias("c"))
-    return ab.join(bc, "b").join(ac, ["a", "c"]).select("a", "b", "c")
+    """(a, b, c), b < c, for each triangle once: a is its corner of the least degree (of equal degrees, the smaller node).
+
+    Edges point from the lower to the higher degree, so that no node has more than the square root of twice the edges ahead
+    of it, however many neighbours it has; pairs of nodes ahead are closed by a third edge.
+    """
+    d = degrees(edges)
+    ends = edges.select("src", "dst").join(d.select(F.col("node").alias("src"), F.col("degree").alias("ds")), "src").join(d.select(F.col("node").alias("dst"), F.col("degree").alias("dd")), "dst")
+    forward = F.struct("ds", "src") < F.struct("dd", "dst")
+    ahead = ends.select(F.when(forward, F.col("src")).otherwise(F.col("dst")).alias("a"), F.when(forward, F.col("dst")).otherwise(F.col("src")).alias("b"))
+    wedges = ahead.join(ahead.withColumnRenamed("b", "c"), "a").where("b < c")
+    return wedges.join(edges.select(F.col("src").alias("b"), F.col("dst").alias("c")), ["b", "c"]).select("a", "b", "c")
 
 
 def clustering(edges: DataFrame) -> DataFrame:
@@ -94,81 +101,132 @@ def constraint(edges: DataFrame, max_degree: int | None = 40) -> DataFrame:
 
 
 def core_numbers(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
-    """(node, core): each round a node takes the h-index of its neighbours' values; the fixed point is the core number (GR11)."""
+    """(node, core): each round a node takes the h-index of its neighbours' values; the fixed point is the core number (GR11).
+
+    After the first round only the neighbours of nodes that changed are looked at again.
+    """
     both = materialize(symmetric(edges), "both")
     values = materialize(both.groupBy("node").agg(F.count("*").alias("core")), "core")
+    written, moved = values, None
     for _ in range(max_rounds):
-        seen = both.join(values.select(F.col("node").alias("other"), F.col("core").alias("v")), "other").groupBy("node", "v").agg(F.count("*").alias("n"))
+        near = both if moved is None else both.join(both.join(moved.select(F.col("node").alias("other")), "other").select("node").distinct(), "node", "left_semi")
+        seen = near.join(values.select(F.col("node").alias("other"), F.col("core").alias("v")), "other").groupBy("node", "v").agg(F.count("*").alias("n"))
         # h-index: the largest h with at least h neighbours of value h or more
         from pyspark.sql import Window
 
         above = F.sum("n").over(Window.partitionBy("node").orderBy(F.desc("v")))
         h = seen.withColumn("h", F.least(F.col("v"), above)).groupBy("node").agg(F.max("h").alias("h"))
-        following = materialize(values.join(h, "node").select("node", F.least("core", "h").alias("core"), (F.col("h") < F.col("core")).alias("changed")), "core")
-        changed = not following.where("changed").isEmpty()
-        values = following.select("node", "core")
-        if not changed:
+        following = materialize(values.join(h, "node", "left").select("node", F.least("core", "h").alias("core"), F.coalesce(F.col("h") < F.col("core"), F.lit(False)).alias("changed")), "core")
+        drop(written)
+        written, values, moved = following, following.select("node", "core"), following.where("changed")
+        if moved.isEmpty():
+            drop(both)
             return values
     raise RuntimeError(f"core numbers did not settle in {max_rounds} rounds")
 
 
+def _levels(both: DataFrame, start: DataFrame, max_depth: int) -> list[DataFrame]:
+    """The tables (source, node, dist, paths) of the levels from the nodes of ``start``; ``both`` are edges in both directions.
+
+    A neighbour of a level lies in it, in the one before, or in the next: only the last two are looked at.
+    """
+    start = start.select("node").distinct().join(both.select("node").distinct(), "node", "left_semi")
+    levels = [materialize(start.select(F.col("node").alias("source"), "node", F.lit(0).alias("dist"), F.lit(1.0).alias("paths")), "level")]
+    for depth in range(1, max_depth + 1):
+        ahead = levels[-1].join(both, "node").groupBy("source", F.col("other").alias("node")).agg(F.sum("paths").alias("paths"))
+        for last in levels[-2:]:
+            ahead = ahead.join(last.select("source", "node"), ["source", "node"], "left_anti")
+        level = materialize(ahead.select("source", "node", F.lit(depth).alias("dist"), "paths"), "level")
+        if level.isEmpty():
+            drop(level)
+            return levels
+        levels.append(level)
+    raise RuntimeError(f"some shortest path is longer than {max_depth}")
+
+
+def _union(tables: list[DataFrame]) -> DataFrame:
+    out = tables[0]
+    for table in tables[1:]:
+        out = out.unionByName(table)
+    return out
+
+
 def shortest_paths(edges: DataFrame, sources: DataFrame | None = None, max_depth: int = 60) -> DataFrame:
-    """(source, node, dist, paths): breadth-first search from all sources at once, level by level (GR7, GR10).
+    """(source, node, dist, paths): breadth-first search from all sources at once, level by level (GR10).
 
     ``paths`` counts the shortest paths. A level is one join and one aggregation over the frontier only, written to the shared
     folder; sources are all nodes unless a table with a column node is given.
     """
     both = materialize(symmetric(edges), "both")
-    start = (sources.select("node") if sources is not None else both.select("node")).distinct()
-    start = start.join(both.select("node").distinct(), "node", "left_semi")
-    frontier = materialize(start.select(F.col("node").alias("source"), "node", F.lit(0).alias("dist"), F.lit(1.0).alias("paths")), "level")
-    reached = frontier
-    for depth in range(1, max_depth + 1):
-        ahead = frontier.join(both, "node").groupBy("source", F.col("other").alias("node")).agg(F.sum("paths").alias("paths"))
-        frontier = materialize(ahead.join(reached, ["source", "node"], "left_anti").select("source", "node", F.lit(depth).alias("dist"), "paths"), "level")
-        if frontier.isEmpty():
-            return reached
-        reached = reached.unionByName(frontier)
-    raise RuntimeError(f"some shortest path is longer than {max_depth}")
+    return _union(_levels(both, sources if sources is not None else both, max_depth))
+
 
+#: Sources whose paths are on disk at one time, in closeness and betweenness.
+SOURCES = 4096
 
-def closeness(edges: DataFrame) -> DataFrame:
+
+def _by_batches(edges: DataFrame, sums, size: int | None, max_depth: int) -> DataFrame:
+    """What ``sums(both, levels)`` gives for each batch of about ``size`` sources, the paths of a batch being deleted after it."""
+    both = materialize(symmetric(edges), "both")
+    nodes = materialize(both.select("node").distinct(), "nodes")
+    count = max(1, -(-nodes.count() // (size or SOURCES)))
+    parts = []
+    for i in range(count):
+        levels = _levels(both, nodes.where(F.pmod(F.xxhash64("node"), F.lit(count)) == i), max_depth)
+        parts.append(materialize(sums(both, levels), "sums"))
+        drop(*levels)
+    return _union(parts)
+
+
+def closeness(edges: DataFrame, size: int | None = None, max_depth: int = 60) -> DataFrame:
     """(node, closeness): (r / total) * (r / (n - 1)) over the r nodes reached, n being all nodes (GR7)."""
-    paths = shortest_paths(edges)
+
+    def sums(both, levels):
+        return _union(levels).where("dist > 0").groupBy(F.col("source").alias("node")).agg(F.count("*").alias("r"), F.sum("dist").alias("total"))
+
     n = F.broadcast(symmetric(edges).agg(F.countDistinct("node").alias("n")))
-    sums = paths.where("dist > 0").groupBy(F.col("source").alias("node")).agg(F.count("*").alias("r"), F.sum("dist").alias("total"))
-    return sums.crossJoin(n).select("node", (F.col("r") / F.col("total") * F.col("r") / (F.col("n") - 1)).alias("closeness"))
+    return _by_batches(edges, sums, size, max_depth).crossJoin(n).select("node", (F.col("r") / F.col("total") * F.col("r") / (F.col("n") - 1)).alias("closeness"))
 
 
-def betweenness(edges: DataFrame) -> DataFrame:
+def betweenness(edges: DataFrame, size: int | None = None, max_depth: int = 60) -> DataFrame:
     """(node, betweenness), scaled by 1 / ((n - 1)(n - 2)) with n the component's size; 0 for n of 2 or less (GR6).
 
     Dependencies are summed back from the farthest level: a node passes (1 + its dependency) times the share of its shortest
-    paths to each predecessor. A level is one join and one aggregation.
+    paths to each predecessor. A level is one join and one aggregation. Sources are taken in batches of about ``size``; of a
+    batch only the sums by node are kept.
     """
-    both = materialize(symmetric(edges), "both")
-    paths = materialize(shortest_paths(edges), "paths")
-    deepest = paths.agg(F.max("dist")).first()[0] or 0
-    empty = paths.select("source", "node", F.lit(0.0).alias("dep")).limit(0)
-    done, below = empty, empty
-    for depth in range(deepest, 0, -1):
-        level = paths.where(F.col("dist") == depth).join(below, ["source", "node"], "left")
-        share = level.select("source", F.col("node").alias("w"), ((1 + F.coalesce("dep", F.lit(0.0))) / F.col("paths")).alias("share"))
-        before = paths.where(F.col("dist") == depth - 1).select("source", F.col("node").alias("v"), F.col("paths").alias("pv"))
-        passed = share.join(both.select(F.col("node").alias("w"), F.col("other").alias("v")), "w").join(before, ["source", "v"])
-        below = materialize(passed.groupBy("source", F.col("v").alias("node")).agg(F.sum(F.col("pv") * F.col("share")).alias("dep")), "dependency")
-        done = done.unionByName(below.where("source <> node"))
-    sizes = paths.groupBy(F.col("source").alias("node")).agg(F.count("*").alias("n"))
-    total = done.groupBy("node").agg(F.sum("dep").alias("dep"))
+
+    def sums(both, levels):
+        below, kept = None, []
+        for level, before in zip(levels[:0:-1], levels[-2::-1]):
+            own = F.lit(0.0) if below is None else F.coalesce("dep", F.lit(0.0))
+            level = level if below is None else level.join(below, ["source", "node"], "left")
+            share = level.select("source", F.col("node").alias("w"), ((1 + own) / F.col("paths")).alias("share"))
+            to = before.select("source", F.col("node").alias("v"), F.col("paths").alias("pv"))
+            passed = share.join(both.select(F.col("node").alias("w"), F.col("other").alias("v")), "w").join(to, ["source", "v"])
+            below = materialize(passed.groupBy("source", F.col("v").alias("node")).agg(F.sum(F.col("pv") * F.col("share")).alias("dep")), "dependency")
+            kept.append(below)
+        sizes = _union(levels).groupBy(F.col("source").alias("node")).agg(F.count("*").alias("n")).withColumn("dep", F.lit(0.0))
+        if not kept:
+            return sizes
+        deps = _union(kept).where("source <> node").groupBy("node").agg(F.sum("dep").alias("dep"))
+        return sizes.unionByName(deps.select("node", F.lit(0).cast("long").alias("n"), "dep"))
+
+    total = _by_batches(edges, sums, size, max_depth).groupBy("node").agg(F.sum("n").alias("n"), F.sum("dep").alias("dep"))
     n = F.col("n")
-    scaled = F.when(n <= 2, F.lit(0.0)).otherwise(F.coalesce("dep", F.lit(0.0)) / ((n - 1) * (n - 2)))
-    return sizes.join(total, "node", "left").select("node", scaled.alias("betweenness"))
+    scaled = F.when(n <= 2, F.lit(0.0)).otherwise(F.col("dep") / ((n - 1) * (n - 2)))
+    return total.select("node", scaled.alias("betweenness"))
+
+
+def areas(value: str, top: float, floor: float = 7.0, ceiling: float = 520.0):
+    """A node's area as a column, linear in its value from ``floor`` to ``ceiling`` at ``top``, the largest value or 1 (GR25)."""
+    return floor + (ceiling - floor) * F.col(value) / F.lit(float(top or 1.0))
 
 
 def ego_redundancy(ties: DataFrame, brokers: DataFrame) -> DataFrame:
     """(person, n_bodies, n_pairs, n_redundant): a broker's pairs of bodies, and those that share another member (GR20, JN19)."""
     distinct = ties.select("person", "body").distinct()
-    own = distinct.join(F.broadcast(brokers.select("person")), "person")
+    own = distinct.join(brokers.select("person").distinct(), "person")
     a, b = own.select("person", F.col("body").alias("b1")), own.select("person", F.col("body").alias("b2"))
     pairs = a.join(b, "person").where("b1 < b2")
     left = pairs.join(distinct.select(F.col("body").alias("b1"), F.col("person").alias("other")), "b1").where("other <> person")
@@ -186,16 +244,10 @@ def attack_tolerance(edges: DataFrame, steps: list[int], seed: int = 42) -> Data
 
     All steps are one graph: a node's key carries the strategy and the step, and the components are found once.
     """
-    from pyspark.sql import Window
-
     from tiewright.operators.components import components
 
-    d = degrees(edges)
-    order = d.select(
-        "node",
-        F.row_number().over(Window.orderBy(F.desc("degree"), "node")).alias("targeted"),
-        F.row_number().over(Window.orderBy(F.xxhash64(F.lit(seed), "node"), "node")).alias("random"),
-    )
+    ranked = global_rank(degrees(edges), [-F.col("degree"), F.col("node")], "targeted")
+    order = global_rank(ranked, [F.xxhash64(F.lit(seed), "node"), F.col("node")], "random").select("node", F.col("targeted").cast("int"), F.col("random").cast("int"))
     ranks = order.select("node", F.explode(F.create_map(F.lit("targeted"), F.col("targeted"), F.lit("random"), F.col("random"))).alias("strategy", "rank"))
     left = ranks.withColumn("removed", F.explode(F.array(*map(F.lit, steps)))).where("rank > removed").select("node", "strategy", "removed")
     left = materialize(left, "left")

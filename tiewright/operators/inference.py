@@ -12,7 +12,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tiewright.operators.graph import symmetric
+from tiewright.operators.graph import capped_bodies, symmetric
+from tiewright.sources.tables import materialize
 
 
 def labelled_ends(edges: DataFrame, labels: DataFrame) -> DataFrame:
@@ -73,28 +74,28 @@ def mixing(edges: DataFrame, labels: DataFrame) -> DataFrame:
     return observed.join(left, "a").join(right, "b").select("a", "b", "n", "share", (double * F.col("p") * F.col("p2")).alias("by_size"), (double * F.col("q") * F.col("q2")).alias("by_ends"))
 
 
-def leave_one_out(ties: DataFrame, labels: DataFrame, least: int = 30) -> DataFrame:
+def leave_one_out(ties: DataFrame, labels: DataFrame, least: int = 30, cap: int = 60) -> DataFrame:
     """(body, r, swing): assortativity without each body in turn, in one pass (ST12).
 
-    Without a body, the edges go that no other body makes. Sums over all edges are corrected by the sums over those.
-    Bodies that leave fewer than ``least`` edges are left out.
+    Without a body, the edges go that no other body makes. Sums over all edges are corrected by the sums over those: what a
+    body does not touch is never listed for it. Bodies of more than ``cap`` people make no edges, as in the projection;
+    bodies that leave fewer than ``least`` edges are left out.
     """
-    named = ties.select("person", "body").distinct().join(labels.select(F.col("node").alias("person"), "label"), "person")
+    named = capped_bodies(ties, cap).join(labels.select(F.col("node").alias("person"), "label"), "person")
     x = named.select("body", F.col("person").alias("src"), F.col("label").alias("a"))
     y = named.select("body", F.col("person").alias("dst"), F.col("label").alias("b"))
     edges = x.join(y, "body").where("src < dst").groupBy("src", "dst", "a", "b").agg(F.count("*").alias("k"), F.min("body").alias("body"))
     ends = edges.select("k", "body", F.explode(F.array(F.struct(F.col("a").alias("x"), F.col("b").alias("y")), F.struct(F.col("b").alias("x"), F.col("a").alias("y")))).alias("e")).select("k", "body", "e.x", "e.y")
     total = ends.groupBy("x").agg(F.count("*").alias("ends"), F.count_if(F.col("x") == F.col("y")).alias("same"))
     gone = ends.where("k = 1").groupBy("body", "x").agg(F.count("*").alias("g_ends"), F.count_if(F.col("x") == F.col("y")).alias("g_same"))
-    bodies = gone.select("body").distinct()
-    grid = bodies.crossJoin(F.broadcast(total)).join(gone, ["body", "x"], "left")
-    left = F.col("ends") - F.coalesce("g_ends", F.lit(0))
-    same = F.col("same") - F.coalesce("g_same", F.lit(0))
-    sums = grid.groupBy("body").agg(F.sum(left).alias("m"), F.sum(same).alias("s"), F.sum(left * left).alias("sq"))
+    # (ends - g)^2 summed over all labels is the sum of ends^2, less 2 * ends * g - g^2 over the labels that the body touches
+    less = F.sum(2 * F.col("ends") * F.col("g_ends") - F.col("g_ends") * F.col("g_ends"))
+    sums = gone.join(total.select("x", "ends"), "x").groupBy("body").agg(F.sum("g_ends").alias("dm"), F.sum("g_same").alias("ds"), less.alias("dsq"))
     r = lambda m, s, sq: (s / m - sq / (m * m)) / (1 - sq / (m * m))
     whole = total.agg(F.sum("ends").alias("m0"), F.sum("same").alias("s0"), F.sum(F.col("ends") * F.col("ends")).alias("sq0"))
     c = F.col
-    out = sums.where(F.col("m") >= 2 * least).crossJoin(F.broadcast(whole)).withColumn("r", r(c("m"), c("s"), c("sq")))
+    sums = sums.crossJoin(F.broadcast(whole)).select("body", "m0", "s0", "sq0", (c("m0") - c("dm")).alias("m"), (c("s0") - c("ds")).alias("s"), (c("sq0") - c("dsq")).alias("sq"))
+    out = sums.where(F.col("m") >= 2 * least).withColumn("r", r(c("m"), c("s"), c("sq")))
     return out.select("body", "r", (c("r") - r(c("m0"), c("s0"), c("sq0"))).alias("swing"))
 
 
@@ -144,34 +145,73 @@ def least_squares(df: DataFrame, y: str, xs: list[str]) -> list[tuple[str, float
     return [(t, float(b), float(s), float(b / s) if s else math.nan) for t, b, s in zip(terms, beta, se)]
 
 
-def _seed(seed: int, draw) -> object:
-    return F.xxhash64(F.lit(seed), draw)
+#: Draws that are dealt in one plan.
+DRAWS = 500
+
+
+def _dealt(rows: DataFrame, draws: range) -> DataFrame:
+    """``rows`` once for each draw, with the column draw."""
+    return rows.withColumn("draw", F.explode(F.sequence(F.lit(draws.start).cast("long"), F.lit(draws.stop - 1).cast("long"))))
+
+
+def _places(rows: DataFrame, by: list[str], key: str, seed: int) -> DataFrame:
+    """``rows`` with place, from 1 in an order of seeded hashes of by and key within each group of ``by``.
+
+    A group is cut into 1024 classes by the first bits of the hash: rows are numbered within a class, and the sizes of the
+    classes before are added, so that no task ever sees a whole group.
+    """
+    mixed = rows.withColumn("__h", F.xxhash64(F.lit(seed), *by, key)).withColumn("__class", F.shiftrightunsigned("__h", 54))
+    sizes = mixed.groupBy(*by, "__class").agg(F.count("*").alias("__size"))
+    before = sizes.withColumn("__before", F.sum("__size").over(Window.partitionBy(*by).orderBy("__class")) - F.col("__size")).drop("__size")
+    inside = mixed.withColumn("__n", F.row_number().over(Window.partitionBy(*by, "__class").orderBy("__h", key)))
+    return inside.join(before, [*by, "__class"]).withColumn("place", F.col("__n") + F.col("__before")).drop("__h", "__class", "__n", "__before")
+
+
+def _batched(draws: int, one) -> DataFrame:
+    """The union of what ``one(range)`` gives for batches of the draws, each written before the next one is made."""
+    parts = [materialize(one(range(at, min(draws, at + DRAWS))), "draws") for at in range(0, draws, DRAWS)]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
 
 
-def label_permutation(edges: DataFrame, labels: DataFrame, draws: int, seed: int = 17, strata: DataFrame | None = None) -> DataFrame:
+def label_permutation(edges: DataFrame, labels: DataFrame, draws: int, seed: int = 17, strata: DataFrame | None = None, least: int = 0) -> DataFrame:
     """(observed, mean, sd, p, draws): assortativity against labels shuffled over the labelled nodes with ties (ST4).
 
-    A draw deals the same labels in an order of seeded hashes, within strata (node, stratum) if given: both orders are ranks,
-    so a draw is a window and two joins, and all draws are one plan. One-sided, add-one.
+    A draw deals the same labels in an order of seeded hashes, within strata (node, stratum) if given: both orders are places
+    in classes of hashes, and DRAWS draws are one plan. One-sided, add-one. With fewer than ``least`` labelled nodes nothing
+    is drawn, and p is null (ST19).
     """
-    spark = edges.sparkSession
     tied = labelled_ends(edges, labels).select("node", F.col("a").alias("label")).distinct()
     tied = tied.join(strata, "node") if strata is not None else tied.withColumn("stratum", F.lit(0))
-    fixed = tied.withColumn("place", F.row_number().over(Window.partitionBy("stratum").orderBy("node")))
-    drawn = spark.range(draws).withColumnRenamed("id", "draw")
-    shuffled = drawn.crossJoin(fixed.select("node", "stratum")).withColumn("place", F.row_number().over(Window.partitionBy("draw", "stratum").orderBy(F.xxhash64(F.lit(seed), "draw", "node"), "node")))
-    dealt = shuffled.join(fixed.select("stratum", "place", "label"), ["stratum", "place"]).select("draw", "node", "label")
-    dealt = dealt.unionByName(tied.select(F.lit(-1).cast("long").alias("draw"), "node", "label"))
-    both = symmetric(edges)
+    tied = materialize(tied, "tied")
+    fixed = materialize(_places(tied, ["stratum"], "node", seed + 1), "fixed")
+    both = materialize(symmetric(edges), "both")
+    few = bool(least) and tied.count() < least
+
+    def one(some: range) -> DataFrame:
+        if some.start < 0:
+            return _sums(both, tied.select(F.lit(-1).cast("long").alias("draw"), "node", "label"))
+        shuffled = _places(_dealt(tied.select("node", "stratum"), some), ["draw", "stratum"], "node", seed)
+        return _sums(both, shuffled.join(fixed.select("stratum", "place", "label"), ["stratum", "place"]).select("draw", "node", "label"))
+
+    observed = one(range(-1, 0)).select(F.col("r").alias("observed"))
+    if few:
+        nil = F.lit(None).cast("double")
+        return observed.select("observed", nil.alias("mean"), nil.alias("sd"), nil.alias("p"), F.lit(0).cast("long").alias("draws"))
+    null = _batched(draws, one).crossJoin(F.broadcast(observed))
+    return null.groupBy("observed").agg(F.avg("r").alias("mean"), F.stddev_pop("r").alias("sd"), ((F.count_if(F.col("r") >= F.col("observed") - 1e-12) + 1) / (F.count("*") + 1)).alias("p"), F.count("*").alias("draws"))
+
+
+def _sums(both: DataFrame, dealt: DataFrame) -> DataFrame:
+    """(draw, r): assortativity of labels (draw, node, label) over edges in both directions."""
     ends = both.join(dealt.withColumnRenamed("label", "a"), "node").join(dealt.select("draw", F.col("node").alias("other"), F.col("label").alias("b")), ["draw", "other"])
     cells = ends.groupBy("draw", "a", "b").agg(F.count("*").alias("n"))
     rows = cells.groupBy("draw", "a").agg(F.sum("n").alias("row"), F.sum(F.when(F.col("a") == F.col("b"), F.col("n")).otherwise(0)).alias("same"))
     sums = rows.groupBy("draw").agg(F.sum("row").alias("m"), F.sum("same").alias("same"), F.sum(F.col("row") * F.col("row")).alias("sq"))
     e = F.col("sq") / (F.col("m") * F.col("m"))
-    r = sums.select("draw", ((F.col("same") / F.col("m") - e) / (1 - e)).alias("r"))
-    observed = r.where("draw = -1").select(F.col("r").alias("observed"))
-    null = r.where("draw >= 0").crossJoin(F.broadcast(observed))
-    return null.groupBy("observed").agg(F.avg("r").alias("mean"), F.stddev_pop("r").alias("sd"), ((F.count_if(F.col("r") >= F.col("observed") - 1e-12) + 1) / (F.count("*") + 1)).alias("p"), F.count("*").alias("draws"))
+    return sums.select("draw", ((F.col("same") / F.col("m") - e) / (1 - e)).alias("r"))
 
 
 def mean_difference_permutation(df: DataFrame, value: str, group: str, draws: int, seed: int = 42, add_one: bool = True) -> DataFrame:
@@ -180,18 +220,15 @@ def mean_difference_permutation(df: DataFrame, value: str, group: str, draws: in
     A draw gives the first group's number of rows, those with the smallest seeded hashes, to the first side. ``add_one``:
     (hits + 1) / (draws + 1), else hits / draws.
     """
-    spark = df.sparkSession
     rows = df.select(F.col(value).cast("double").alias("v"), F.col(group).alias("g")).where("v IS NOT NULL AND g IS NOT NULL")
-    rows = rows.withColumn("id", F.row_number().over(Window.partitionBy("g").orderBy("v")))
+    rows = materialize(rows.withColumn("id", F.monotonically_increasing_id()), "numbered")
     sizes = rows.groupBy("g").agg(F.count("*").alias("k"), F.avg("v").alias("mean")).orderBy("g").collect()
     if len(sizes) != 2:
         raise ValueError(f"two groups are needed, not {len(sizes)}")
     first, n = sizes[0]["k"], sizes[0]["k"] + sizes[1]["k"]
     observed = sizes[0]["mean"] - sizes[1]["mean"]
-    dealt = spark.range(draws).withColumnRenamed("id", "draw").crossJoin(rows)
-    dealt = dealt.withColumn("place", F.row_number().over(Window.partitionBy("draw").orderBy(F.xxhash64(F.lit(seed), "draw", "g", "id"), "g", "id")))
     side = F.col("place") <= first
-    sums = dealt.groupBy("draw").agg(F.sum(F.when(side, F.col("v")).otherwise(0.0)).alias("s"), F.sum("v").alias("t"))
+    sums = _batched(draws, lambda some: _places(_dealt(rows.select("id", "v"), some), ["draw"], "id", seed).groupBy("draw").agg(F.sum(F.when(side, F.col("v")).otherwise(0.0)).alias("s"), F.sum("v").alias("t")))
     diff = F.col("s") / first - (F.col("t") - F.col("s")) / (n - first)
     hits = F.count_if(F.abs(diff) >= abs(observed) - 1e-12)
     p = (hits + 1) / (F.count("*") + 1) if add_one else hits / F.count("*")
@@ -200,17 +237,20 @@ def mean_difference_permutation(df: DataFrame, value: str, group: str, draws: in
 
 def body_mixing_permutation(ties: DataFrame, labels: DataFrame, draws: int, seed: int = 11) -> DataFrame:
     """(observed, mean, p, draws): share of mixed pairs, counted in each body, against shuffled labels; one-sided, low (ST5)."""
-    spark = ties.sparkSession
-    named = ties.select("person", "body").distinct().join(labels.select(F.col("node").alias("person"), "label"), "person")
-    people = named.select("person", "label").distinct()
-    fixed = people.withColumn("place", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("person")))
-    shuffled = spark.range(draws).withColumnRenamed("id", "draw").crossJoin(people.select("person")).withColumn("place", F.row_number().over(Window.partitionBy("draw").orderBy(F.xxhash64(F.lit(seed), "draw", "person"), "person")))
-    dealt = shuffled.join(fixed.select("place", "label"), "place").select("draw", "person", "label").unionByName(people.select(F.lit(-1).cast("long").alias("draw"), "person", "label"))
-    counts = named.select("person", "body").join(dealt, "person").groupBy("draw", "body", "label").agg(F.count("*").alias("k"))
-    bodies = counts.groupBy("draw", "body").agg(F.sum("k").alias("k"), F.sum(F.col("k") * (F.col("k") - 1) / 2).alias("same"))
-    share = bodies.groupBy("draw").agg((1 - F.sum("same") / F.sum(F.col("k") * (F.col("k") - 1) / 2)).alias("mixed"))
-    observed = share.where("draw = -1").select(F.col("mixed").alias("observed"))
-    null = share.where("draw >= 0").crossJoin(F.broadcast(observed))
+    named = materialize(ties.select("person", "body").distinct().join(labels.select(F.col("node").alias("person"), "label"), "person"), "named")
+    people = materialize(named.select("person", "label").distinct().withColumn("one", F.lit(0)), "people")
+    fixed = materialize(_places(people, ["one"], "person", seed + 1), "fixed")
+
+    def mixed(dealt: DataFrame) -> DataFrame:
+        counts = named.select("person", "body").join(dealt, "person").groupBy("draw", "body", "label").agg(F.count("*").alias("k"))
+        bodies = counts.groupBy("draw", "body").agg(F.sum("k").alias("k"), F.sum(F.col("k") * (F.col("k") - 1) / 2).alias("same"))
+        return bodies.groupBy("draw").agg((1 - F.sum("same") / F.sum(F.col("k") * (F.col("k") - 1) / 2)).alias("mixed"))
+
+    def one(some: range) -> DataFrame:
+        return mixed(_places(_dealt(people.select("person"), some), ["draw"], "person", seed).join(fixed.select("place", "label"), "place").select("draw", "person", "label"))
+
+    observed = mixed(people.select(F.lit(-1).cast("long").alias("draw"), "person", "label")).select(F.col("mixed").alias("observed"))
+    null = _batched(draws, one).crossJoin(F.broadcast(observed))
     return null.groupBy("observed").agg(F.avg("mixed").alias("mean"), ((F.count_if(F.col("mixed") <= F.col("observed") + 1e-12) + 1) / (F.count("*") + 1)).alias("p"), F.count("*").alias("draws"))
 
 
