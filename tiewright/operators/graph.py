@@ -247,7 +247,7 @@ def attack_tolerance(edges: DataFrame, steps: list[int], seed: int = 42) -> Data
     from tiewright.operators.components import components
 
     ranked = global_rank(degrees(edges), [-F.col("degree"), F.col("node")], "targeted")
-    order = global_rank(ranked, [F.xxhash64(F.lit(seed), "node"), F.col("node")], "random").select("node", F.col("targeted").cast("int"), F.col("random").cast("int"))
+    order = global_rank(ranked, [F.md5(F.concat(F.lit(f"{seed}:"), F.col("node").cast("string"))), F.col("node")], "random").select("node", F.col("targeted").cast("int"), F.col("random").cast("int"))
     ranks = order.select("node", F.explode(F.create_map(F.lit("targeted"), F.col("targeted"), F.lit("random"), F.col("random"))).alias("strategy", "rank"))
     left = ranks.withColumn("removed", F.explode(F.array(*map(F.lit, steps)))).where("rank > removed").select("node", "strategy", "removed")
     left = materialize(left, "left")

@@ -16,6 +16,13 @@ def last_wins(df: DataFrame, key: list[str], order: list) -> DataFrame:
     return first_wins(df, key, [F.desc(c) for c in order])
 
 
+def join_required(df: DataFrame, index: DataFrame, key: str, column: str) -> DataFrame:
+    """``df`` with ``column`` looked up by ``key``, of which ``index`` has each once; a key that it lacks stops the query (JN1)."""
+    found = index.select(key, F.struct(F.col(column).alias("v")).alias("__found"))
+    missing = F.raise_error(F.concat(F.lit(f"no {column} for {key} "), F.coalesce(F.col(key).cast("string"), F.lit("null")))).cast(index.schema[column].dataType)
+    return df.join(found, key, "left").withColumn(column, F.when(F.col("__found").isNotNull(), F.col("__found.v")).otherwise(missing)).drop("__found")
+
+
 def keyed_or_synthetic(df: DataFrame, index: DataFrame, key: str, id_column: str, prefix: str) -> DataFrame:
     """``df`` with ``id_column`` looked up by ``key``, or else the key behind a prefix (JN7)."""
     return df.join(index.select(key, id_column), key, "left").withColumn(id_column, F.coalesce(F.col(id_column).cast("string"), F.concat(F.lit(prefix), F.col(key))))

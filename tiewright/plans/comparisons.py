@@ -58,14 +58,17 @@ def _robust_sql(name: str, where: str) -> str:
 
 
 @query(f"""WITH {ties_sql()}, n AS (SELECT p.person, p.body, c_mktsegment AS label FROM p JOIN customer ON c_custkey = person), b AS (SELECT x.body, avg(CAST(x.label = y.label AS INT)) AS pure FROM n x JOIN n y ON x.body = y.body AND x.person < y.person GROUP BY x.body)
-  {_robust_sql('all', 'true')} UNION ALL {_robust_sql('without_marked', 'i.body % 5 <> 0')} UNION ALL SELECT 'equal_bodies', round(avg(pure), 6) FROM b""")
+  {_robust_sql('all', 'true')} UNION ALL {_robust_sql('without_marked', 'i.body % 5 <> 0')} UNION ALL {_robust_sql('within_quartiles', 'true')} UNION ALL SELECT 'equal_bodies', round(avg(pure), 6) FROM b""")
 def robustness_battery(spark, d):
-    """The same measure with bodies left out, and with bodies counting alike (ST13, FIL6)."""
+    """The same measure with bodies left out, against labels shuffled within quartiles of degree, and with bodies counting alike (ST13, FIL6)."""
     found, labels = ties(spark, d), segment_labels(spark, d)
     make = lambda t: I.nominal_assortativity(G.project(t, shared=False).select("src", "dst"), labels).select(F.col("r").alias("value"))
-    parts = {"all": make(found), "without_marked": make(found.where("body % 5 <> 0")), "equal_bodies": I.body_purity(found, labels).select(F.col("purity").alias("value"))}
+    edges = G.project(found, shared=False).select("src", "dst")
+    strata = P.index_cut_quartiles(G.degrees(edges).withColumn("all", F.lit(1)), "degree", ["all"]).select("node", "stratum")
+    within = I.label_permutation(edges, labels, draws=1, strata=strata).select(F.col("observed").alias("value"))
+    parts = {"within_quartiles": within, "all": make(found), "without_marked": make(found.where("body % 5 <> 0")), "equal_bodies": I.body_purity(found, labels).select(F.col("purity").alias("value"))}
     rows = [df.select(F.lit(k).alias("variant"), r6("value").alias("value")) for k, df in parts.items()]
-    return rows[0].unionByName(rows[1]).unionByName(rows[2])
+    return rows[0].unionByName(rows[1]).unionByName(rows[2]).unionByName(rows[3])
 
 
 @query(f"""WITH RECURSIVE {edges_sql(10)}, reach AS (SELECT DISTINCT node, node AS seen FROM s UNION SELECT reach.node, s.other FROM reach JOIN s ON reach.seen = s.node), lab AS (SELECT node, min(seen) AS component FROM reach GROUP BY node),

@@ -125,11 +125,11 @@ def path_lengths(spark, d):
     return found.withColumn("share", F.round(F.col("n_pairs") / F.sum("n_pairs").over(Window.partitionBy()), 6))
 
 
-@query()
+@query(f"WITH RECURSIVE {PATHS} SELECT dist, count(*) AS n_pairs FROM dist WHERE dist > 0 AND source IN (SELECT node FROM deg ORDER BY md5('11:' || node), node LIMIT 120) GROUP BY dist")
 def path_lengths_sampled(spark, d):
     """Distances from 120 nodes chosen by a seeded hash (FIL10)."""
     edges = small_graph(spark, d)
-    chosen = G.degrees(edges).select("node").orderBy(F.xxhash64(F.lit(11), "node"), "node").limit(120)
+    chosen = G.degrees(edges).select("node").orderBy(F.md5(F.concat(F.lit("11:"), F.col("node").cast("string"))), "node").limit(120)
     return G.shortest_paths(edges, chosen).where("dist > 0").groupBy("dist").agg(F.count("*").alias("n_pairs"))
 
 
@@ -203,7 +203,10 @@ def ego_redundancy(spark, d):
     return G.ego_redundancy(found, top)
 
 
-@query()
+@query(f"""WITH RECURSIVE {edges_sql(10)}, rk AS (SELECT node, row_number() OVER (ORDER BY degree DESC, node) AS targeted, row_number() OVER (ORDER BY md5('42:' || node), node) AS random FROM deg),
+  st AS (SELECT unnest(range(0, 101, 10)) AS removed), alive AS (SELECT 'targeted' AS strategy, removed, node FROM rk, st WHERE targeted > removed UNION ALL SELECT 'random', removed, node FROM rk, st WHERE random > removed),
+  reach AS (SELECT strategy, removed, node, node AS seen FROM alive UNION SELECT r.strategy, r.removed, r.node, s.other FROM reach r JOIN s ON r.seen = s.node JOIN alive a ON a.strategy = r.strategy AND a.removed = r.removed AND a.node = s.other)
+  SELECT strategy, CAST(removed AS INT) AS removed, max(n) AS giant FROM (SELECT strategy, removed, node, count(*) AS n FROM reach GROUP BY ALL) GROUP BY 1, 2""")
 def attack_tolerance(spark, d):
     return G.attack_tolerance(small_graph(spark, d), list(range(0, 101, 10)))
 

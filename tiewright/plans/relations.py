@@ -61,6 +61,13 @@ def node_table(spark, d):
     return R.first_wins(found, ["node"], ["o"]).select("node", "kind", "label")
 
 
+@query("SELECT s_suppkey, n_name AS nation FROM supplier JOIN nation ON s_nationkey = n_nationkey")
+def required_lookup(spark, d):
+    """Suppliers with their nation, which each must have (JN1)."""
+    nations = table(spark, d, "nation").select(F.col("n_nationkey").alias("s_nationkey"), F.col("n_name").alias("nation"))
+    return R.join_required(table(spark, d, "supplier").select("s_suppkey", "s_nationkey"), nations, "s_nationkey", "nation").select("s_suppkey", "nation")
+
+
 @query("""WITH k AS (SELECT c_custkey, CAST(c_custkey AS VARCHAR) AS key FROM customer WHERE c_custkey % 3 = 0), e AS (SELECT DISTINCT CAST(user_id AS VARCHAR) AS key FROM events)
   SELECT e.key, coalesce(CAST(c_custkey AS VARCHAR), 'NAME:' || e.key) AS node FROM e LEFT JOIN k ON e.key = k.key""")
 def synthetic_key_fallback(spark, d):

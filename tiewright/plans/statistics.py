@@ -70,7 +70,7 @@ def mixing_expected(spark, d):
     return I.mixing(edges(spark, d), segment_labels(spark, d)).withColumns({c: r6(c) for c in ("share", "by_size", "by_ends")})
 
 
-@query(f"""WITH {ties_sql(60)}, n AS (SELECT p.person, p.body, c_mktsegment AS label FROM p JOIN customer ON c_custkey = person),
+@query(f"""WITH {ties_sql(60)}, n AS (SELECT p.person, p.body, c_mktsegment AS label FROM p JOIN customer ON c_custkey = person WHERE p.body IN (SELECT body FROM p GROUP BY body HAVING count(*) BETWEEN 2 AND 60)),
   e AS (SELECT x.person AS src, y.person AS dst, x.label AS a, y.label AS b, count(*) AS k, min(x.body) AS body FROM n x JOIN n y ON x.body = y.body AND x.person < y.person GROUP BY 1, 2, 3, 4),
   en AS (SELECT k, body, a AS x, b AS y FROM e UNION ALL SELECT k, body, b, a FROM e),
   bodies AS (SELECT DISTINCT body FROM en WHERE k = 1),
@@ -141,13 +141,25 @@ def ols_simple(spark, d):
     return I.report_table(spark, [(t, b, s) for t, b, s, _ in found], ["term", "estimate", "std_error"]).withColumns({"estimate": F.round("estimate", 4), "std_error": F.round("std_error", 4)})
 
 
-@query()
+OLS_CONTROLS = """WITH lines AS (SELECT l_orderkey, sum(l_quantity) AS q, count(*) AS k FROM lineitem GROUP BY 1), j AS (SELECT o_totalprice::DOUBLE AS y, CAST(o_orderstatus = 'O' AS INT)::DOUBLE AS a, q::DOUBLE AS q, k::DOUBLE AS k FROM orders JOIN lines ON o_orderkey = l_orderkey),
+  o AS (SELECT y, a, (q - avg(q) OVER ()) / stddev_pop(q) OVER () AS b, (k - avg(k) OVER ()) / stddev_pop(k) OVER () AS c FROM j),
+  s AS (SELECT count(*)::DOUBLE AS n, avg(y) AS my, avg(a) AS ma, avg(b) AS mb, avg(c) AS mc, n * var_pop(a) AS aa, n * covar_pop(a, b) AS ab, n * covar_pop(a, c) AS ac, n * var_pop(b) AS bb, n * covar_pop(b, c) AS bc, n * var_pop(c) AS cc,
+    n * covar_pop(y, a) AS ya, n * covar_pop(y, b) AS yb, n * covar_pop(y, c) AS yc, n * var_pop(y) AS yy FROM o),
+  i AS (SELECT *, aa * (bb * cc - bc * bc) - ab * (ab * cc - bc * ac) + ac * (ab * bc - bb * ac) AS det FROM s),
+  v AS (SELECT *, (bb * cc - bc * bc) / det AS iaa, (ac * bc - ab * cc) / det AS iab, (ab * bc - ac * bb) / det AS iac, (aa * cc - ac * ac) / det AS ibb, (ab * ac - aa * bc) / det AS ibc, (aa * bb - ab * ab) / det AS icc FROM i),
+  e AS (SELECT *, iaa * ya + iab * yb + iac * yc AS e1, iab * ya + ibb * yb + ibc * yc AS e2, iac * ya + ibc * yb + icc * yc AS e3 FROM v),
+  f AS (SELECT *, sqrt((yy - e1 * ya - e2 * yb - e3 * yc) / (n - 4)) AS sd, my - e1 * ma - e2 * mb - e3 * mc AS e0, 1 / n + ma * (ma * iaa + mb * iab + mc * iac) + mb * (ma * iab + mb * ibb + mc * ibc) + mc * (ma * iac + mb * ibc + mc * icc) AS i00 FROM e),
+  t AS (SELECT '(intercept)' AS term, e0 AS b, sd * sqrt(i00) AS se FROM f UNION ALL SELECT 'open', e1, sd * sqrt(iaa) FROM f UNION ALL SELECT 'z_quantity', e2, sd * sqrt(ibb) FROM f UNION ALL SELECT 'z_lines', e3, sd * sqrt(icc) FROM f)
+  SELECT term, round(b, 2) AS estimate, round(se, 2) AS std_error, round(b / se, 3) AS t FROM t"""
+
+
+@query(OLS_CONTROLS)
 def ols_controls(spark, d):
     """Order totals on a group and two z-scored controls."""
     lines = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.sum("l_quantity").alias("quantity"), F.count("*").alias("n_lines"))
     o = table(spark, d, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey")).withColumn("open", (F.col("o_orderstatus") == "O").cast("double"))
     o = o.withColumns({"z_quantity": P.z_scores(o, "quantity"), "z_lines": P.z_scores(o, "n_lines")})
-    return I.report_table(spark, I.least_squares(o, "o_totalprice", ["open", "z_quantity", "z_lines"]), ["term", "estimate", "std_error", "t"])
+    return I.report_table(spark, I.least_squares(o, "o_totalprice", ["open", "z_quantity", "z_lines"]), ["term", "estimate", "std_error", "t"]).withColumns({"estimate": F.round("estimate", 2), "std_error": F.round("std_error", 2), "t": F.round("t", 3)})
 
 
 @query(ORACLES["leave_one_body_out"].replace("SELECT body, round(r, 6) AS r, round(r - r0, 6) AS swing FROM r", "SELECT body, round(r - r0, 6) AS swing FROM r ORDER BY abs(round(r - r0, 6)) DESC, body LIMIT 6"))
