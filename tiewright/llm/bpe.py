@@ -27,8 +27,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SCAN_LIMIT = 192
-#: Words kept by a worker before its table is emptied.
-MEMO_WORDS = 250_000
+#: Words kept by a worker before its table is emptied, and the characters of the longest one that is kept at all.
+MEMO_WORDS, MEMO_CHARS = 250_000, 64
 #: Characters that are split into words at once.
 SEGMENT_CHARS = 1 << 20
 _NO_RANK = sys.maxsize
@@ -140,7 +140,9 @@ class Merges:
 
 
 class _Memo(dict):
-    """A table of at most MEMO_WORDS results of ``make``; keys that ``keep`` refuses are made anew each time.
+    """A table of at most MEMO_WORDS results of ``make`` for keys of at most MEMO_CHARS; others are made anew each time.
+
+    Keys that ``keep`` refuses are not kept either.
 
     A worker serves one stage after the other: ``alone`` empties the tables of the others.
     """
@@ -163,7 +165,7 @@ class _Memo(dict):
 
     def __missing__(self, key):
         made = self.make(key)
-        if self.keep is None or self.keep(key):
+        if len(key) <= MEMO_CHARS and (self.keep is None or self.keep(key)):
             if len(self) >= MEMO_WORDS:
                 self.clear()
             self[key] = made
