@@ -200,7 +200,8 @@ def write_store(docs: DataFrame, path: str, folder: str, end: int = END, text: s
     """Encode the texts of ``docs`` in ascending order of the key, each followed by ``end``, and write them to ``folder``.
 
     Null texts count as empty: one id, the end. Rows with a null key come first; rows with equal keys follow each other in
-    the order of their texts. Texts are dealt out by ranges of the key and encoded where they are written.
+    the order of their texts. Texts are dealt out by ranges of the key and encoded where they are written; a very long one is
+    encoded in pieces. Repeated rows are written each; an empty table gives a store without rows; other columns are not read.
     """
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -241,7 +242,8 @@ def write_store(docs: DataFrame, path: str, folder: str, end: int = END, text: s
 def read_store(spark: SparkSession, folder: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) for each document of a store, start counting the ids of all before it.
 
-    Only the sizes of shards, one row for each, pass through the driver.
+    Documents are located by select. Only the sizes of shards, one row for each, pass through the driver. A store without
+    rows gives none.
     """
     stored = spark.read.parquet(folder)
     sizes = stored.groupBy("shard").agg(F.sum("n_ids")).orderBy("shard").collect()
@@ -251,7 +253,8 @@ def read_store(spark: SparkSession, folder: str) -> DataFrame:
     def run(batches):
         for batch in batches:
             for i, row in enumerate(batch.drop_columns(["doc_ids"]).to_pylist()):
-                ends = EliasFano(row["n_docs"] + 1, row["n_ids"], row["ends_low"], row["ends_high"], row["ends_samples"]).all()
+                bounds = EliasFano(row["n_docs"] + 1, row["n_ids"], row["ends_low"], row["ends_high"], row["ends_samples"])
+                ends = np.array([bounds.select(k) for k in range(row["n_docs"] + 1)], np.int64)
                 ids = np.frombuffer(row["ids"], f"<u{row['id_bytes']}")
                 sums = [zlib.crc32(ids[a:b].astype("<u4").tobytes()) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
                 keys = batch.column("doc_ids").slice(i, 1).flatten()
