@@ -6,8 +6,9 @@ partition needs: an item with containment t misses at most (1-t) of its shingles
 always include one that the document has. A document's hashes are looked up in the sketches whatever the document's length;
 every candidate is then verified by comparing the shingles themselves. So no passage is lost, however long the document.
 
-Items are taken in blocks of at most ``BLOCK_BYTES`` of text, the only data that is broadcast; a larger benchmark takes more
-passes over the documents, not more memory.
+Items are taken in blocks of about ``BLOCK_BYTES`` of text, the only data that is broadcast. A larger benchmark takes more
+passes over the documents, one after the other: what a pass finds or keeps is written, and its index is given back, before the
+next block is read, so that one block is in memory at any time.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tiewright.llm.bpe import _Memo, whole_text
+from tiewright.sources.tables import materialize
 
 WIDTH, THRESHOLD = 5, 0.8
 BLOCK_BYTES = 16 << 20
@@ -106,19 +108,20 @@ class ContainmentIndex:
 
 
 def _blocks(items: DataFrame, threshold: float, width: int, key: str, text: str):
-    """A broadcast index for each block of items, the blocks being dealt by a hash of the item."""
+    """(broadcast index, whether it is the last) for each block of items, the blocks being dealt by a hash of the item."""
     rows = items.select(F.col(key).alias("item_id"), whole_text(text).alias("body"))
     size = rows.agg(F.sum(F.octet_length("body") + 32)).first()[0] or 0
     count = -(-size // BLOCK_BYTES)
     for i in range(count):
         block = rows.where(F.pmod(F.xxhash64("item_id", "body"), F.lit(count)) == i).collect() if count > 1 else rows.collect()
-        yield rows.sparkSession.sparkContext.broadcast(ContainmentIndex([tuple(r) for r in block], threshold, width))
+        yield rows.sparkSession.sparkContext.broadcast(ContainmentIndex([tuple(r) for r in block], threshold, width)), i + 1 == count
 
 
 def containments(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH, text: str = "text", key: str = "doc_id", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
     """(doc_id, item_id, n_shingles, n_shared, containment) for every document row and item it contains.
 
-    Null and empty texts contain nothing. Repeated documents or items give repeated rows. Other columns are not read.
+    Null and empty texts contain nothing, and contain no item; a document is searched whole, however long. Repeated documents
+    or items give repeated rows; without documents or items there are none. Other columns are not read.
     """
     rows = docs.select(F.col(key).alias("doc_id"), whole_text(text).alias("body"))
     doc_type, item_type = rows.schema["doc_id"].dataType.simpleString(), items.schema[item_key].dataType.simpleString()
@@ -127,7 +130,7 @@ def containments(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD
     from pyspark.sql.pandas.types import to_arrow_type
 
     arrow_item = to_arrow_type(items.schema[item_key].dataType)
-    for index in _blocks(items, threshold, width, item_key, item_text):
+    for index, last in _blocks(items, threshold, width, item_key, item_text):
 
         def run(batches, index=index):
             _word_hash.alone()
@@ -137,13 +140,21 @@ def containments(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD
                 at, item, size, shared = zip(*found) if found else ((), (), (), ())
                 yield pa.RecordBatch.from_arrays([ids.take(pa.array(at, pa.int64())), pa.array(item, arrow_item), pa.array(size, pa.int64()), pa.array(shared, pa.int64())], names=["doc_id", "item_id", "n_shingles", "n_shared"])
 
-        out = out.unionByName(rows.mapInArrow(run, schema))
+        found = rows.mapInArrow(run, schema)
+        if not last:
+            found = materialize(found, "hits")
+            index.destroy()
+        out = out.unionByName(found)
     return out.withColumn("containment", F.col("n_shared") / F.col("n_shingles"))
 
 
 def without_items(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH, text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that contain no item, with all their columns."""
-    for index in _blocks(items, threshold, width, item_key, item_text):
+    """The rows of ``docs`` that contain no item, with all their columns, whatever their names.
+
+    Rows with null or empty texts stay, repeated rows stay repeated, and without items all rows stay. A document is searched
+    whole, however long.
+    """
+    for index, last in _blocks(items, threshold, width, item_key, item_text):
 
         @F.pandas_udf("boolean")
         def clean(texts, index=index):
@@ -151,6 +162,9 @@ def without_items(docs: DataFrame, items: DataFrame, threshold: float = THRESHOL
             return texts.map(lambda t: not index.value.hits(t))
 
         docs = docs.where(clean(whole_text(text)))
+        if not last:
+            docs = materialize(docs, "kept")
+            index.destroy()
     return docs
 
 
