@@ -1,4 +1,7 @@
-"""Hand-worked values for the operators that the driver's tables do not exercise, and conventions that are easy to lose."""
+"""Hand-worked values for the operators that the driver's tables do not exercise, and conventions that are easy to lose.
+
+Strings of printed entries, and what must come of them, are fixed values.
+"""
 
 import math
 import random
@@ -276,3 +279,49 @@ def test_stream_of_slots(spark, tmp_path):
     q.stop()
     closed = spark.table("slots").collect()
     assert len(closed) == 9 and sum(r.n_ties for r in closed) < len(rows)
+
+
+def test_global_ranks_and_values_at(spark):
+    from tiewright.operators.ranking import global_rank, values_at
+
+    rng = random.Random(12)
+    rows = [(rng.randrange(50), i) for i in range(500)] + [(None, 900)]
+    df = spark.createDataFrame(rows, "v int, i int")
+    got = {r.i: r.rank for r in global_rank(df, [F.col("v"), F.col("i")]).collect()}
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    assert got == {i: n + 1 for n, (_, i) in enumerate(order)}
+    assert global_rank(df.limit(0), ["i"]).count() == 0
+    one = values_at(df.withColumn("g", F.col("i") % 3), "v", ["g"], {"q1": 0.25, "q3": 0.75}).collect()
+    for r in one:
+        vs = sorted(v for v, i in rows if v is not None and i % 3 == r.g)
+        assert (r.n, r.q1, r.q3) == (len(vs), vs[len(vs) // 4], vs[len(vs) * 3 // 4])
+
+
+def test_places_are_a_permutation(spark):
+    df = spark.range(3000).select(F.col("id").alias("node"))
+    got = I._places(I._dealt(df, range(3)), ["draw"], "node", 5).collect()
+    for draw in range(3):
+        assert sorted(r.place for r in got if r.draw == draw) == list(range(1, 3001))
+    assert [r.node for r in sorted(got, key=lambda r: (r.draw, r.place))[:5]] != [0, 1, 2, 3, 4]
+
+
+def test_batches_of_sources_give_the_same(spark):
+    rng = random.Random(3)
+    e = G.canonical_edges(spark.createDataFrame([(rng.randrange(40), rng.randrange(40)) for _ in range(70)], "src int, dst int"))
+    for f in (G.betweenness, G.closeness):
+        a, b = ({r[0]: round(r[1], 9) for r in f(e, size).collect()} for size in (None, 7))
+        assert a == b and len(a) > 20
+
+
+def test_a_stage_with_few_nodes_is_not_tested(spark):
+    e = G.canonical_edges(spark.createDataFrame([(1, 2), (2, 3)], "src int, dst int"))
+    labels = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b")], "node int, label string")
+    r = I.label_permutation(e, labels, 10, least=40).first()
+    assert r.p is None and r.draws == 0
+
+
+def test_a_missing_key_stops_the_query(spark):
+    left, index = spark.createDataFrame([(1,), (2,)], "k int"), spark.createDataFrame([(1, "a")], "k int, v string")
+    assert R.join_required(left.where("k = 1"), index, "k", "v").first().v == "a"
+    with pytest.raises(Exception, match="no v for k 2"):
+        R.join_required(left, index, "k", "v").collect()

@@ -6,24 +6,7 @@ from tiewright.functions import fixed_values as V
 from tiewright.functions import names as N
 from tiewright.functions import records as R
 from tiewright.functions import text as T
-
-CASES = [
-    ("MELLITA", "MELLITA. C. c. de Gabès, ann. de Djerba, caïdat de l'Arad.", 200, "place", "administrative_unit"),
-    ("SIDI-TABET", "SIDI-TABET (Domaine cle). C. c. de Tunis, caïdat cle la banlieue. Haras.", 200, "place", None),
-    ("BREIEAN", "BREIEAN (Paul-Auguste-René). 26 avril 1884, Paris. Secrétaire cle Contrôle civil, 44 (bis), avenue de Paris, Tunis.", 200, "person", None),
-    ("Association sténo graphique unitaire", "Association sténo graphique unitaire (méthode Prévost-Delaunay). 20 octobre 1897. Groupe de Tunis. BUT : vulgariser la sténographie. 19 membres.", 200, "organisation", None),
-    ("MUSCAT fils", "MUSCAT fils (C), mai 1866, Tunis. Entrepreneur de charpente.", 200, "person", None),
-    ("Association des Elèves", "Association des Elèves (A.E.E.A.T.). 13 juillet 1902. Tunis. Siège social : Hôtel des Sociétés françaises. 50 membres.", 200, "organisation", "organisational_template"),
-    ("Office Postal", "Office Postal (Direction de V). Les premières lignes télégraphiques datent de 1847.", 200, "state_body", "directorate_or_office"),
-    ("FORETS", "FORETS (Direction des). La Direction des Forêts est un service.", 200, "state_body", None),
-    ("AZEDINEBEY", "AZEDINEBEY. 1SS2, La Marsa. Grand cordon de l'Ordre du Sang. Prince de la famille beylicale.", 200, "person", "caps_headword_with_date"),
-    ("BOULANGER Georges-Ernest-Jean-Alarie", "BOULANGER Georges-Ernest-Jean-Alarie. 1S37. Rennes. Général et homme politique français.", 200, "person", None),
-    ("YAOULED", "YAOULED (arabe ya ouled, vocatif de garçon). En français local : jeune arabe, cireur, portefaix.", 109, "topic", "glossary_gloss"),
-    ("Collège Sadiki", "Collège Sadiki. Voir Sadiki (Collège).", 38, "cross_reference", "see_also_only"),
-    ("BORDJ-EL-ALAOUINE", "BORDJ-EL-ALAOUINE. C. c. de Tunis, caïdat de la Banlieue. Centre de colonisation français. (Voy. Massicault.)", 110, "place", None),
-    ("STALIO", ". STALIO (Matteo di Vincenzo), Citlaventria, Dalmasia (Autriche), 20 mai 1854. Eponges en gros.", 200, "person", None),
-]
-
+from tests.goldens import CASES
 
 def entries(spark, cases=CASES):
     return spark.createDataFrame([(f"E{i}", h, t, n) for i, (h, t, n, *_) in enumerate(cases)], "entry_id string, head string, text string, n_chars int")
@@ -78,3 +61,16 @@ def test_place_and_body_fields(spark):
     assert (o.founded_year, o.n_members, o.purpose, o.kind) == (1898, 1250, "la natation.", "sport_leisure")
     s = spark.createDataFrame([(text,)], "t string").select(T.sections(F.col("t"), V.RUBRICS).alias("s")).first().s
     assert set(s) == {"head", "but"}
+
+
+def test_a_found_place_needs_no_entry(spark):
+    persons = spark.createDataFrame([("P1", "Sousse", "Lyon"), ("P2", None, "sousse"), ("P3", "", None)], "entry_id string, city string, birth_place string")
+    places = spark.createDataFrame([("L1", "SOUSSE"), ("L2", "Sousse")], "entry_id string, head string")
+    got = sorted(map(tuple, R.place_ties(persons, places).collect()))
+    assert got == [("P1", "L2", "Sousse", "residence"), ("P1", "PLACE:lyon", "Lyon", "birthplace"), ("P2", "L2", "sousse", "birthplace")]
+
+
+def test_dates_with_day_and_month(spark):
+    texts = {"12 mai 1861, Lyon": (12, 5, 1861), "1er juill. 1S76": (1, 7, 1876), "juin 1880": (None, 6, 1880), "3 août 1799": (3, 8, 1799), "en 1.870": (None, None, 1870), "12 rue de Rome": None, "1.8(i6": None, "5 déc. 1901": (5, 12, 1901)}
+    frame = spark.createDataFrame([(t,) for t in texts], "t string").select("t", T.first_date(F.col("t")).alias("d"))
+    assert {r.t: (r.d.day, r.d.month, r.d.year) if r.d else None for r in frame.collect()} == texts

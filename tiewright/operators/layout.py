@@ -86,5 +86,5 @@ def page_dump(lines: DataFrame) -> DataFrame:
     w = Window.partitionBy("page").orderBy("column", "place")
     changed = ~F.lag("column").over(w).eqNullSafe(F.col("column"))
     header = F.format_string("=== page %s column %s", F.col("page").cast("string"), F.col("column").cast("string"))
-    rows = lines.withColumn("value", F.explode(F.when(changed, F.array(header, F.col("text"))).otherwise(F.array("text"))))
-    return rows.select("page", "column", "place", "value")
+    rows = lines.withColumn("__changed", changed)
+    return rows.select("page", "column", "place", F.explode(F.when(F.col("__changed"), F.array(header, F.col("text"))).otherwise(F.array("text"))).alias("value"))

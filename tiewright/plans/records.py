@@ -37,12 +37,16 @@ ENTRIES = [
 ]
 
 
-def query(rows=None, columns=None):
+def values(rows, columns: str) -> str:
+    """SQL text of a table of given rows."""
+    show = lambda v: "NULL" if v is None else str(v).lower() if isinstance(v, bool) else str(v) if isinstance(v, (int, float)) else "'" + v.replace("'", "''") + "'"
+    return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(show, r)) + ')' for r in rows)}) AS t({columns})"
+
+
+def query(rows, columns):
     def add(f):
         QUERIES[f.__name__] = f
-        if rows:
-            show = lambda v: "NULL" if v is None else str(v).lower() if isinstance(v, bool) else str(v) if isinstance(v, (int, float)) else "'" + v.replace("'", "''") + "'"
-            ORACLES[f.__name__] = f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(show, r)) + ')' for r in rows)}) AS t({columns})"
+        ORACLES[f.__name__] = values(rows, columns)
         return f
 
     return add

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tiewright.plans import aggregates, comparisons, network, records, relations, statistics, texts, windows
+from tiewright.plans import aggregates, comparisons, network, pages, records, relations, statistics, texts, windows
 
-FAMILIES = (network, aggregates, windows, relations, statistics, texts, comparisons, records)
+FAMILIES = (network, aggregates, windows, relations, statistics, texts, comparisons, records, pages)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

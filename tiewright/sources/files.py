@@ -93,3 +93,10 @@ def summary(counts: dict[str, DataFrame]) -> DataFrame:
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
+
+
+def manifest_canvases(spark: SparkSession, path: str) -> DataFrame:
+    """(place, id, view) of the canvases of all sequences of a document, in order (SRC4)."""
+    found = read_json_document(spark, path, "sequences array<struct<canvases: array<struct<`@id`: string>>>>")
+    ids = F.flatten(F.transform("sequences", lambda s: F.transform(s["canvases"], lambda c: c["@id"])))
+    return found.select(F.posexplode(ids).alias("place", "id")).withColumn("view", view_number(F.col("id")))
