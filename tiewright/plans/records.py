@@ -11,6 +11,7 @@ from tiewright.functions import names as N
 from tiewright.functions import records as R
 from tiewright.functions import text as T
 from tiewright.operators import label as L
+from tiewright.operators import resolve as X
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -216,3 +217,34 @@ def birth_contexts(spark, d):
     rows = [("a", ["birth_tunisia", "birth_europe"], "colonist", "french"), ("b", ["birth_algeria"], "native", "tunisian_jewish"), ("c", ["birth_italy"], "colonist", "italian"), ("d", ["name"], "native", "tunisian_muslim"), ("e", [], "unknown", ""), ("f", [], "colonist", "french"), ("g", ["birth_tunisia"], "native", "tunisian_jewish")]
     where = L.birth_context(F.col("evidence"))
     return spark.createDataFrame(rows, "id string, evidence array<string>, position string, community string").select("id", where.alias("birth"), L.position_detail(F.col("position"), F.col("community"), where).alias("detail"))
+
+
+KEYS = [(1, "MARCILLE PAUL"), (2, "BLANC JEAN"), (3, "BLANC LUC"), (4, "MAZIERE"), (5, "LI PO")]
+
+
+@query([(1, "MARCILLE PAUL"), (1, "MARCILLE"), (2, "BLANC JEAN"), (2, "BLANC"), (3, "BLANC LUC"), (3, "BLANC"), (4, "MAZIERE"), (5, "LI PO")], "entity, key")
+def index_of_keys(spark, d):
+    """Whole keys and first words of four letters or more (JN11)."""
+    return X.index_keys(spark.createDataFrame(KEYS, "id int, name string"), "id", "name")
+
+
+@query([("a", 1, "resolved", 1), ("b", None, "ambiguous", 2), ("c", 4, "resolved_fuzzy", 1), ("d", None, "unmatched", 0), ("e", None, "ambiguous", 2), ("f", 1, "resolved_fuzzy", 1), ("g", 2, "resolved", 1), ("h", 5, "resolved", 1)], "mention, entity, resolution, n_candidates")
+def resolve_cascade(spark, d):
+    """Names of several words: the whole key, then each word, then one edit (JN8 to JN10)."""
+    index = X.index_keys(spark.createDataFrame(KEYS, "id int, name string"), "id", "name")
+    mentions = [("a", "MARCILLE"), ("b", "BLANC"), ("c", "MAZIERES"), ("d", "NOBODY"), ("e", "L BLANC"), ("f", "MARCILE"), ("g", "BLANC JEAN"), ("h", "LI PO")]
+    return X.resolve(spark.createDataFrame(mentions, "mention string, name_key string"), index)
+
+
+@query([("a", True), ("b", False), ("c", True), ("d", False)], "id, heading")
+def sequence_headings(spark, d):
+    """Headings at which the filing order starts anew (FN25)."""
+    rows = [("a", "SUPPLÉMENT", "SUPPLÉMENT."), ("b", "Supplément", "Supplément au dictionnaire illustré de la Régence, lettre A"), ("c", "Addenda", "Addenda"), ("d", "SUPPLIQUE", "SUPPLIQUE")]
+    return spark.createDataFrame(rows, "id string, head string, text string").select("id", T.is_sequence_heading(F.col("head"), F.col("text")).alias("heading"))
+
+
+@query([("a", False), ("b", True), ("c", False)], "id, merged")
+def merged_entries(spark, d):
+    """Texts that hold more than one notice (FN47)."""
+    rows = [("a", "ROUX (Jean), avocat."), ("b", "ROUX (Jean), avocat.  VIAL\n(Paul), médecin."), ("c", "")]
+    return spark.createDataFrame(rows, "id string, text string").select("id", T.is_merged(F.col("text"), r"\p{Lu}{3,} \(\p{Lu}").alias("merged"))
