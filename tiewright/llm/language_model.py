@@ -16,6 +16,10 @@ How it is computed. The tables of arcs are as large as the corpus, so none is br
    the block's own count; what only one block has needs no answer.
 4. Each block meets its answers and traverses its texts.
 
+A row that a block sends to a range holds the fewer n-grams the more ranges there are: with the constants below some hundred
+for 30 GB of text, and about ten for 1 TB, beyond which the rows' own size would outweigh what they hold; for such corpora take
+larger blocks and ranges.
+
 Everything but the sums is vector arithmetic over the bytes of many texts. Words are told apart by 62 bits of a hash: among
 10^9 different words about 0.1 pairs would be counted as one. 2- and 3-grams are told apart by ``NGRAM_BITS``: of 10^10
 different ones, one in 28,000 shares its count with another; for far larger corpora take more bits and more disk.
@@ -183,9 +187,9 @@ def parted(data: bytes) -> list[np.ndarray]:
     return out
 
 
-def range_starts(bits: int) -> np.ndarray:
-    """The least key of each range."""
-    return np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)
+def range_starts(ranges: np.ndarray, bits: int) -> np.ndarray:
+    """The least keys of the ranges of these numbers."""
+    return ranges.astype(np.uint64) << np.uint64(64 - bits)
 
 
 def pack(rows: DataFrame) -> DataFrame:
@@ -281,13 +285,13 @@ ROWS = "kind int, block long, range int, n long, data binary"
 def send(batches, bits: int):
     """The n-grams of each block with its own counts, by ranges of keys, and the transitions of bytes."""
     for batch in batches:
-        for number, texts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            block = Block(texts)
-            starts = range_starts(bits)[1:]
+        for i in range(batch.num_rows):
+            number, block = batch.column(0)[i].as_py(), Block(batch.column(1)[i].as_py())
+            ranges = np.unique(np.concatenate([k >> np.uint64(64 - bits) for k in block.keys]))
+            starts = range_starts(ranges[1:], bits)
             cut = [(np.split(x, bounds), np.split(c, bounds)) for x, c, bounds in ((k, c, np.searchsorted(k, starts)) for k, c in zip(block.keys, block.counts))]
-            for r in range(1 << bits):
-                if any(len(k[r]) for k, _ in cut):
-                    yield _tables(SENT, [[number], [r], [0], [joined([x for (k, c), unused in zip(cut, UNUSED) for x in (differences(k[r] >> unused), c[r])])]])
+            for at, r in enumerate(ranges.tolist()):
+                yield _tables(SENT, [[number], [r], [0], [joined([x for (k, c), unused in zip(cut, UNUSED) for x in (differences(k[at] >> unused), c[at])])]])
             seen = np.flatnonzero(block.moves)
             yield _tables(MOVES, [seen, (seen % (1 << bits)), block.moves[seen], [None] * len(seen)])
 
@@ -410,11 +414,12 @@ def traverse(batches, model: Model, id_type: pa.DataType):
 
 def scores(block: Block, answers: dict[int, bytes], bits: int, model: Model, id_type: pa.DataType) -> pa.RecordBatch:
     totals = [c.astype(np.int64) for c in block.counts]
-    starts = [np.searchsorted(k, range_starts(bits)) for k in block.keys]
-    for r, data in answers.items():
+    ranges = range_starts(np.array(list(answers), np.int64), bits)
+    starts = [np.searchsorted(k, ranges) for k in block.keys]
+    for i, data in enumerate(answers.values()):
         parts = parted(data)
         for order in range(ORDERS):
-            totals[order][starts[order][r] + np.cumsum(parts[2 * order]).astype(np.int64)] = parts[2 * order + 1].astype(np.int64)
+            totals[order][starts[order][i] + np.cumsum(parts[2 * order]).astype(np.int64)] = parts[2 * order + 1].astype(np.int64)
     log, c = model.traverse(block, totals)
     base = np.log10((c + 0.1) / (model.n + 0.1 * (model.v + 1)))
     add = lambda x: np.add.reduceat(x, block.begin) if len(block.begin) else np.empty(0)
