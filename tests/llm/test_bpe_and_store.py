@@ -121,6 +121,15 @@ def test_store_on_edge_cases(spark, tmp_path, monkeypatch):
     assert S.read_store(spark, f"file://{tmp_path}/none").count() == 0
 
 
+def test_generations_of_units(monkeypatch):
+    """Units that pass from one generation to the next, and are forgotten, keep their ids."""
+    monkeypatch.setattr(S.LibraryEncoder, "MOST", 7)
+    coder, library = S.LibraryEncoder(BYTE), Tokenizer.from_file(BYTE)
+    texts = [" ".join(f"w{(i * j) % 23}" for j in range(1, 9)) + "\nend" for i in range(40)]
+    for some in (texts[:3], texts[3:20], texts[20:], texts):
+        assert [np.frombuffer(x, coder.dtype).tolist() for x in coder.encode(some)] == [library.encode(t, add_special_tokens=False).ids for t in some]
+
+
 def test_queries_on_whole_tables(spark):
     d = "/root/testdata/sf0.001"
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{d}/documents.parquet").collect()]

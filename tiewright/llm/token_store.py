@@ -85,8 +85,9 @@ class LibraryEncoder:
     the library whole.
     """
 
-    #: Units kept, and units encoded at once.
-    MOST, AT_ONCE = 900_000, 4000
+    #: Units of a generation, of which two are kept (what is met again passes from the old one to the new one), and units
+    #: encoded at once.
+    MOST, AT_ONCE = 600_000, 4000
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -102,6 +103,7 @@ class LibraryEncoder:
         self.mark = line_break[0] if len(line_break) == 1 else None
         self.line_break = np.array(line_break, self.dtype).tobytes()
         self.known: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def plain(self, text: str) -> bool:
         """Whether the text is the sum of its units."""
@@ -115,7 +117,7 @@ class LibraryEncoder:
     def join(self, several: list[list[str]]) -> list[bytes]:
         """The ids of several lists of units."""
         if len(self.known) > self.MOST:
-            self.known.clear()
+            self.old, self.known = self.known, {}
         found, open_, new = [], [], {}
         for units in several:
             ids = list(map(self.known.get, units))
@@ -123,7 +125,11 @@ class LibraryEncoder:
             if None in ids:
                 at = [i for i, x in enumerate(ids) if x is None]
                 lacking = [units[i] for i in at]
-                new.update(dict.fromkeys(lacking))
+                for unit in lacking:
+                    if (known := self.old.get(unit)) is None:
+                        new[unit] = None
+                    else:
+                        self.known[unit] = known
                 open_.append((ids, at, lacking))
         self.learn(list(new))
         for ids, at, lacking in open_:
