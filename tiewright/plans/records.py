@@ -148,14 +148,14 @@ OFFICERS = [
     ("O1", "BUREAU : prés., M. Marchand; v.-prés., M. Roux; Vidal L.-E., trés.; secr. adj., M. Petit"),
     ("O2", "Prés. d'honneur, M. Blanc; v.-prés. d'honn., M. Noir; anc. prés., M. Gris; archiviste, M. Vert"),
     ("O3", "Assesseurs : MM. Faure, L. Blanc, Girod et Verry; membres du bureau : Duval et Morin; commissaires : Lucas, Henry"),
-    ("O4", "trés.-adj., M. Simon; membres d'honneur : Colin et Brun; directeur, Dr Lambert; rien ici"),
+    ("O4", "trés.-adj., M. Simon; membres d'honneur : Colin et Brun; directeur, Dr Martel; rien ici"),
 ]
 
 
 @query([
     ("O1", "president", "Marchand"), ("O1", "vice_president", "Roux"), ("O1", "treasurer", "Vidal L.-E"), ("O1", "deputy_secretary", "Petit"), ("O2", "honorary_president", "Blanc"), ("O2", "honorary_vice_president", "Noir"), ("O2", "past_president", "Gris"),
     ("O2", "archivist_librarian", "Vert"), ("O3", "assessor", "Faure"), ("O3", "assessor", "L Blanc"), ("O3", "assessor", "Girod"), ("O3", "assessor", "Verry"), ("O3", "board_member", "Duval"), ("O3", "board_member", "Morin"),
-    ("O3", "commissioner", "Lucas"), ("O3", "commissioner", "Henry"), ("O4", "deputy_treasurer", "Simon"), ("O4", "honorary_member", "Colin"), ("O4", "honorary_member", "Brun"), ("O4", "director", "Lambert"),
+    ("O3", "commissioner", "Lucas"), ("O3", "commissioner", "Henry"), ("O4", "deputy_treasurer", "Simon"), ("O4", "honorary_member", "Colin"), ("O4", "honorary_member", "Brun"), ("O4", "director", "Martel"),
 ], "body, role, name")
 def record_officers(spark, d):
     """Officers of all roles in both printed orders (TF1, FN36, FN37, FN49, SRT6)."""
