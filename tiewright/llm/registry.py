@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tiewright.llm import decontaminate, divergence
+from tiewright.llm import decontaminate, divergence, negatives
 from tiewright.llm.bpe import op3_bpe_roundtrip
 from tiewright.llm.fingerprint import op9_document_fingerprints
 from tiewright.llm.language_model import op6_lm_score
@@ -22,10 +22,10 @@ QUERIES = {
     for f in (
         op1_license_scan, op2_toxicity, op3_bpe_roundtrip, decontaminate.op4_benchmark_decontamination, op5_token_counts,
         op6_lm_score, op7_secret_scan, op8_token_store, op9_document_fingerprints, op10_simhash_components,
-        divergence.op12_source_divergence,
+        divergence.op12_source_divergence, negatives.op13_hard_negatives,
     )
 }
-ORACLES: dict[str, str] = {"op4_benchmark_decontamination": decontaminate.SQL, "op12_source_divergence": divergence.SQL}
+ORACLES: dict[str, str] = {"op4_benchmark_decontamination": decontaminate.SQL, "op12_source_divergence": divergence.SQL, "op13_hard_negatives": negatives.SQL}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
