@@ -5,7 +5,6 @@ Blocks and lines are rows with page, hpos, vpos, width, height. Windows are boun
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,26 +40,27 @@ def reading_order(blocks: DataFrame, share: float = 0.4) -> DataFrame:
     """``blocks`` (with column) and their place in reading order within page and column (WIN7).
 
     Blocks go from top to bottom; those that overlap the ones before by more than ``share`` of the shortest height stand side
-    by side and are read from the left. Clusters grow one block at a time, so a page's column is one small group.
+    by side and are read from the left. Blocks of one corner go by their other columns. A page's column is one small group,
+    folded in one array.
     """
-
-    def order(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["vpos", "hpos"], kind="stable").reset_index(drop=True)
-        clusters, bottom, shortest, number = [], None, None, -1
-        for top, height in zip(rows.vpos, rows.height):
-            joined = bottom is not None and bottom - top > share * min(shortest, height)
-            if joined:
-                bottom, shortest = min(bottom, top + height), min(shortest, height)
-            else:
-                number, bottom, shortest = number + 1, top + height, height
-            clusters.append(number)
-        rows["cluster"] = clusters
-        rows = rows.sort_values(["cluster", "hpos"], kind="stable").drop(columns="cluster")
-        rows["place"] = range(len(rows))
-        return rows
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in blocks.schema) + ", place long"
-    return blocks.groupBy("page", "column").applyInPandas(order, schema)
+    first = ["vpos", "hpos"]
+    others = [c for c in blocks.columns if c not in ("page", "column", *first)]
+    rows = blocks.groupBy("page", "column").agg(F.array_sort(F.collect_list(F.struct(*first, *others))).alias("b"))
+    top, number = lambda b: b["vpos"].cast("double"), lambda x, kind="double": F.lit(x).cast(kind)
+    start = F.struct(F.array().cast("array<struct<cluster:int,hpos:double,i:int>>").alias("done"), number(None).alias("bottom"), number(None).alias("shortest"), number(-1, "int").alias("n"))
+
+    def step(state, b):
+        height = b["height"].cast("double")
+        joined = F.coalesce(state["bottom"] - top(b) > share * F.least(state["shortest"], height), F.lit(False))
+        n = F.when(joined, state["n"]).otherwise(state["n"] + 1)
+        placed = F.struct(n.alias("cluster"), b["hpos"].cast("double").alias("hpos"), F.size(state["done"]).alias("i"))
+        end = top(b) + height
+        return F.struct(F.array_append(state["done"], placed).alias("done"), F.when(joined, F.least(state["bottom"], end)).otherwise(end).alias("bottom"), F.when(joined, F.least(state["shortest"], height)).otherwise(height).alias("shortest"), n.alias("n"))
+
+    order = F.transform(F.array_sort(F.aggregate("b", start, step)["done"]), lambda x: x["i"])
+    placed = rows.select("page", "column", "b", F.posexplode(order).alias("place", "i"))
+    at = F.get("b", F.col("i"))
+    return placed.select(*[F.col(f"`{c}`") if c in ("page", "column") else at[c].alias(c) for c in blocks.columns], F.col("place").cast("long").alias("place"))
 
 
 def indents(lines: DataFrame, reach: int = 4) -> DataFrame:

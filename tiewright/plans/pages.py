@@ -1,8 +1,7 @@
-"""Queries for files, pages and small text functions: round trips through the shared folder, and rows worked out by hand."""
+"""Queries for files, pages and small text functions; files are written to the shared folder from the tables and read again."""
 
 from __future__ import annotations
 
-import json
 import uuid
 
 from pyspark.sql import functions as F
@@ -10,7 +9,8 @@ from pyspark.sql import functions as F
 from tiewright.functions import text as T
 from tiewright.operators import graph as G
 from tiewright.operators import layout as Y
-from tiewright.plans.records import values
+from tiewright.plans.volumes import CAPS, LOWER, OPENERS, SORT_KEY, UPPER
+from tiewright.plans.windows import LINES, lines
 from tiewright.sources import files as S
 from tiewright.sources.tables import shared_dir, table
 
@@ -18,13 +18,10 @@ QUERIES: dict = {}
 ORACLES: dict = {}
 
 
-def query(sql=None, rows=None, columns=None):
+def query(sql):
     def add(f):
         QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        if rows:
-            ORACLES[f.__name__] = values(rows, columns)
+        ORACLES[f.__name__] = sql
         return f
 
     return add
@@ -34,14 +31,6 @@ def folder(spark, name):
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def put(spark, path: str, text: str) -> None:
-    """Write one small file to where Spark writes."""
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    out = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(where)
-    out.write(bytearray(text.encode()))
-    out.close()
-
-
 @query("SELECT CAST(n_nationkey AS VARCHAR) AS n_nationkey, n_name, n_name || ';' || n_nationkey AS tags FROM nation")
 def csv_round_trip(spark, d):
     """A table written as CSV, fields in a fixed order and arrays joined, and read again as text (SRC1, SNK1, SNK3)."""
@@ -51,14 +40,18 @@ def csv_round_trip(spark, d):
     return S.read_csv(spark, to, ["n_nationkey", "n_name", "tags"])
 
 
-@query("SELECT 'n_nationkey,n_name' AS header, 0 AS n_rows, 0 AS n_missing")
+@query("SELECT 'c_custkey,c_name' AS header, 0 AS n_rows, 0 AS n_missing, CAST(count(*) FILTER (c_acctbal < 0) AS INT) AS n_negative FROM customer")
 def csv_empty_round_trip(spark, d):
-    """An empty table keeps its header; a missing file gives no rows (SRC2, SNK2)."""
-    to = folder(spark, "csv")
-    S.write_csv(table(spark, d, "nation").limit(0), to, ["n_nationkey", "n_name"])
-    read = S.read_csv_or_none(spark, to, ["n_nationkey", "n_name"]).agg(F.count("*").cast("int").alias("n_rows"))
-    missing = S.read_csv_or_none(spark, folder(spark, "none"), ["k"]).agg(F.count("*").cast("int").alias("n_missing"))
-    return spark.read.text(to).select(F.col("value").alias("header")).crossJoin(read).crossJoin(missing)
+    """A table without rows keeps its header, another its rows; a missing file gives none (SRC2, SNK2)."""
+    customers, columns = table(spark, d, "customer"), ["c_custkey", "c_name"]
+    read = {}
+    for name, rows in (("n_rows", customers.where("c_acctbal > 1e300")), ("n_negative", customers.where("c_acctbal < 0")), ("n_missing", None)):
+        to = folder(spark, "csv")
+        if rows is not None:
+            S.write_csv(rows, to, columns)
+        read[name] = (to, S.read_csv_or_none(spark, to, columns).agg(F.count("*").cast("int").alias(name)))
+    header = spark.read.text(read["n_rows"][0]).select(F.col("value").alias("header")).distinct()
+    return header.crossJoin(read["n_rows"][1]).crossJoin(read["n_missing"][1]).crossJoin(read["n_negative"][1])
 
 
 @query("SELECT r_regionkey, r_name, [r_name, 'é\"'] AS names FROM region")
@@ -69,54 +62,16 @@ def json_round_trip(spark, d):
     return S.read_json_lines(spark, to, "r_regionkey long, r_name string, names array<string>").select(F.col("r_regionkey").cast("int"), "r_name", "names")
 
 
-@query(rows=[(0, "https://example.org/c/f1", 1), (1, "https://example.org/c/f2", 2), (2, "https://example.org/d/f9", 9)], columns="place, id, view")
-def json_manifest(spark, d):
-    """The canvases of a document of nested sequences, in order (SRC4, SRC7)."""
-    canvas = lambda u: {"@id": u, "label": "x"}
-    to = f"{folder(spark, 'manifest')}/m.json"
-    put(spark, to, json.dumps({"sequences": [{"canvases": [canvas("https://example.org/c/f1"), canvas("https://example.org/c/f2")]}, {"canvases": [canvas("https://example.org/d/f9")]}]}, indent=1))
-    return S.manifest_canvases(spark, to)
-
-
-PAGE = """<?xml version="1.0" encoding="UTF-8"?><alto xmlns="http://x"><TextBlock ID="b" HPOS="1" VPOS="2" WIDTH="30" HEIGHT="4"><TextLine HPOS="1" VPOS="2"><String CONTENT="{0}" WC="0.5"/>
-<String CONTENT="pri" SUBS_TYPE="HypPart1" SUBS_CONTENT="primaires" WC="1.0"/><String CONTENT="maires" SUBS_TYPE="HypPart2" SUBS_CONTENT="primaires" WC="0.1"/></TextLine><TextLine HPOS="5" VPOS="6"><String CONTENT="{1}" WC="0.8"/></TextLine></TextBlock></alto>"""
-
-
-@query(rows=[(7, 0, "Écoles primaires", 0.75), (7, 1, "Ville", 0.8), (12, 0, "Routes primaires", 0.75), (12, 1, "Port", 0.8)], columns="page, i, text, confidence")
-def page_lines(spark, d):
-    """Lines of scanned pages, hyphenated words whole, page numbers from the files' names (SRC5, SRC8, TF8, FN9, FN21)."""
-    to = folder(spark, "pages")
-    put(spark, f"{to}/f0007.xml", PAGE.format("Écoles", "Ville"))
-    put(spark, f"{to}/f0012.xml", PAGE.format("Routes", "Port"))
-    return Y.line_texts(S.block_lines(S.read_blocks(spark, f"{to}/*.xml"))).select("page", "i", "text", F.round("confidence", 6).alias("confidence"))
-
-
-BLOCKS = [(1, "a", 250, 0, 653, 10), (1, "b", 262, 20, 657, 10), (1, "c", 660, 40, 243, 10), (1, "d", 957, 60, 661, 10), (1, "e", 968, 80, 653, 10), (2, "f", 250, 0, 1400, 5), (2, "g", 250, 9, 1400, 5), (3, "h", 0, 500, 900, 300), (3, "i", 250, 900, 900, 200), (3, "j", 140, 505, 900, 300)]
-
-
-def blocks(spark):
-    return spark.createDataFrame(BLOCKS, "page int, name string, hpos int, vpos int, width int, height int")
-
-
-@query(rows=[(1, "a", 0, 0), (1, "b", 0, 1), (1, "c", 0, 2), (1, "d", 1, 0), (1, "e", 1, 1), (2, "f", 0, 0), (2, "g", 0, 1), (3, "h", 0, 0), (3, "j", 0, 1), (3, "i", 0, 2)], columns='page, name, "column", place')
-def page_reading_order(spark, d):
-    """Blocks in columns, an inset in the one that it overlaps more, and in reading order (WIN7, WIN8, JN14)."""
-    placed = Y.assign_columns(blocks(spark)).select("page", "name", "hpos", "vpos", "width", "height", "column")
-    return Y.reading_order(placed).select("page", "name", "column", "place")
-
-
-@query(rows=[(1, 0, 0, "=== page 1 column 0"), (1, 0, 0, "a"), (1, 0, 1, "b"), (1, 1, 0, "=== page 1 column 1"), (1, 1, 0, "c")], columns='page, "column", place, value')
-def page_dumps(spark, d):
-    """Texts in order, with a line at each change of column (SNK5, WIN16)."""
-    rows = [(1, 0, 0, "a"), (1, 0, 1, "b"), (1, 1, 0, "c")]
-    return Y.page_dump(spark.createDataFrame(rows, "page int, column int, place int, text string"))
-
-
-@query("""SELECT * FROM (VALUES (0, '| r_name | share |'), (1, '| --- | --- |'), (2, '| AFRICA | 0.500 |'), (3, '| ASIA | 0.500 |')) t(i, line)""")
+@query("""WITH c AS (SELECT r_name, count(c_custkey) AS n, avg(c_acctbal) AS mean FROM region JOIN nation ON n_regionkey = r_regionkey LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY 1),
+  t AS (SELECT 1 + row_number() OVER (ORDER BY r_name) AS i, concat('| ', r_name, ' | ', n, ' | ', printf('%.3f', n::DOUBLE / (SELECT count(*) FROM customer)), ' | ', coalesce(printf('%.3f', mean), ''), ' |') AS line FROM c)
+  SELECT CAST(i AS INT) AS i, line FROM t UNION ALL SELECT 0, '| r_name | n | share | mean |' UNION ALL SELECT 1, '| --- | --- | --- | --- |'""")
 def markdown_report(spark, d):
-    """A report table as lines of text (SNK6)."""
-    rows = table(spark, d, "region").where("r_name IN ('AFRICA', 'ASIA')").orderBy("r_name").select("r_name", F.lit(0.5).alias("share"))
-    return spark.createDataFrame(list(enumerate(S.markdown(rows).splitlines())), "i int, line string")
+    """Customers by region as a report table, as lines of text (SNK6)."""
+    regions = table(spark, d, "region").join(table(spark, d, "nation"), F.col("n_regionkey") == F.col("r_regionkey")).select("r_name", "n_nationkey")
+    c = table(spark, d, "customer")
+    rows = regions.join(c, F.col("c_nationkey") == F.col("n_nationkey"), "left").groupBy("r_name").agg(F.count("c_custkey").alias("n"), F.avg("c_acctbal").alias("mean"))
+    report = rows.crossJoin(F.broadcast(c.agg(F.count("*").alias("all")))).select("r_name", "n", (F.col("n") / F.col("all")).alias("share"), "mean").orderBy("r_name")
+    return spark.createDataFrame(list(enumerate(S.markdown(report).splitlines())), "i int, line string")
 
 
 @query("SELECT 'nation' AS name, count(*) AS n_rows FROM nation UNION ALL SELECT 'supplier', count(*) FROM supplier")
@@ -145,34 +100,102 @@ def null_bucket_count(spark, d):
     return table(spark, d, "customer").groupBy(F.when(F.col("c_acctbal") >= 0, F.col("c_mktsegment")).alias("segment")).agg(F.count("*").alias("n"))
 
 
-STRINGS = [("a", "  Société   Générale d’Études "), ("b", "ÉCOLE L'Été"), ("c", "ORG:PORT DE SFAX ( )"), ("d", "BEN-SALAH"), ("e", "XIV")]
+@query("SELECT s_suppkey, round(7.0 + 513.0 * s_acctbal / (SELECT max(s_acctbal) FROM supplier), 6) AS area FROM supplier WHERE s_acctbal >= 0")
+def node_areas(spark, d):
+    """Areas linear in a value (GR25)."""
+    s = table(spark, d, "supplier")
+    return s.where("s_acctbal >= 0").select("s_suppkey", F.round(G.areas("s_acctbal", s.agg(F.max("s_acctbal")).first()[0]), 6).alias("area"))
+
+
+@query("""SELECT CAST(row_number() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal < 0, s_suppkey) - 1 AS INT) AS place, concat('https://example.org/', s_nationkey, '/f', s_suppkey) AS id, CAST(s_suppkey AS INT) AS view FROM supplier""")
+def json_manifest(spark, d):
+    """The canvases of documents of nested sequences, in order: a document for each nation's suppliers (SRC4, SRC7)."""
+    to = folder(spark, "manifest")
+    canvas = F.struct(F.col("s_suppkey"), F.concat(F.lit("https://example.org/"), "s_nationkey", F.lit("/f"), "s_suppkey").alias("@id"), F.col("s_name").alias("label"))
+    s = table(spark, d, "supplier").groupBy("s_nationkey", (F.col("s_acctbal") < 0).alias("low")).agg(F.array_sort(F.collect_list(canvas)).alias("canvases"))
+    documents = s.groupBy("s_nationkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("low", "canvases"))), lambda x: F.struct(x["canvases"].alias("canvases"))).alias("sequences"))
+    documents.select("s_nationkey", F.to_json(F.struct("sequences"), {"pretty": "true"}).alias("value")).repartition("s_nationkey").write.partitionBy("s_nationkey").text(to)
+    return S.manifest_canvases(spark, to)
+
+
+XML = """<?xml version="1.0" encoding="UTF-8"?><alto xmlns="http://x"><TextBlock ID="b" HPOS="1" VPOS="2" WIDTH="30" HEIGHT="4"><TextLine HPOS="1" VPOS="2"><String CONTENT="Écoles" WC="0.5"/>
+<String CONTENT="{0}" SUBS_TYPE="HypPart1" SUBS_CONTENT="{1}" WC="{2}"/><String CONTENT="x" SUBS_TYPE="HypPart2" SUBS_CONTENT="{1}" WC="0.1"/></TextLine><TextLine HPOS="5" VPOS="6"><String CONTENT="{3} &amp; Cie" WC="0.8"/></TextLine></TextBlock></alto>"""
+
+
+@query("""SELECT CAST(s_suppkey AS INT) AS page, 0 AS i, 'Écoles ' || s_name AS text, round((0.5 + (s_suppkey % 9) / 10e0) / 2, 6) AS confidence FROM supplier UNION ALL SELECT s_suppkey, 1, concat(s_nationkey, ' & Cie'), 0.8 FROM supplier""")
+def page_lines(spark, d):
+    """Lines of pages as XML, one for each supplier, hyphenated words whole, page numbers from the files' paths (SRC5, SRC8, TF8, FN9, FN21)."""
+    to = folder(spark, "pages")
+    parts = [F.substring("s_name", 1, 5), F.col("s_name"), (F.col("s_suppkey") % 9 / 10).cast("string"), F.col("s_nationkey").cast("string")]
+    xml = F.lit(XML)
+    for i, part in enumerate(parts):
+        xml = F.replace(xml, F.lit(f"{{{i}}}"), part)
+    table(spark, d, "supplier").select(F.col("s_suppkey").alias("page"), xml.alias("value")).repartition("page").write.partitionBy("page").text(to)
+    found = S.block_lines(S.read_blocks(spark, to, "page=([0-9]+)/"))
+    return Y.line_texts(found).select("page", "i", "text", F.round("confidence", 6).alias("confidence"))
+
+
+#: Blocks of pages: an order's goods, in two columns or one, some of them insets.
+BLOCKS = """SELECT CAST(l_orderkey AS BIGINT) AS page, CAST(l_linenumber AS BIGINT) AS name, CAST(CASE WHEN l_orderkey % 5 = 4 THEN 250 WHEN l_linenumber % 2 = 0 THEN 250 ELSE 960 END + l_partkey % 9 + CASE WHEN l_suppkey % 4 = 3 THEN 300 ELSE 0 END AS BIGINT) AS hpos,
+  CAST(l_quantity * 20 AS BIGINT) AS vpos, CAST(CASE WHEN l_suppkey % 4 = 3 THEN 240 ELSE 650 END + l_partkey % 7 AS BIGINT) AS width, CAST(40 + l_partkey % 90 AS BIGINT) AS height FROM lineitem"""
+
+
+@query(f"""WITH RECURSIVE b AS ({BLOCKS}), m AS (SELECT *, max(width) OVER (PARTITION BY page) AS widest FROM b),
+  g AS (SELECT page, hpos - lag(hpos) OVER w AS gap, floor((hpos + lag(hpos) OVER w) / 2.0) AS middle, lag(hpos) OVER w AS lo FROM m WHERE width >= 0.8 * widest WINDOW w AS (PARTITION BY page ORDER BY hpos)),
+  t AS (SELECT page, arg_max(middle, (gap, -lo)) AS gutter, max(gap) AS gap FROM g WHERE gap IS NOT NULL GROUP BY page HAVING max(gap) >= 150),
+  c AS (SELECT m.*, CASE WHEN gutter IS NULL OR hpos < gutter THEN 0 ELSE 1 END AS side, width < 0.6 * widest AS narrow FROM m LEFT JOIN t USING (page)),
+  e AS (SELECT *, min(CASE WHEN side = 0 AND NOT narrow THEN hpos END) OVER w AS lo0, max(CASE WHEN side = 0 AND NOT narrow THEN hpos + width END) OVER w AS hi0, min(CASE WHEN side = 1 AND NOT narrow THEN hpos END) OVER w AS lo1, max(CASE WHEN side = 1 AND NOT narrow THEN hpos + width END) OVER w AS hi1 FROM c WINDOW w AS (PARTITION BY page)),
+  o AS (SELECT *, greatest(0, least(hpos + width, hi0) - greatest(hpos, lo0)) AS over0, greatest(0, least(hpos + width, hi1) - greatest(hpos, lo1)) AS over1 FROM e),
+  p AS (SELECT page, name, hpos, vpos, height, CASE WHEN narrow AND lo0 IS NOT NULL AND lo1 IS NOT NULL AND greatest(over0, over1) > 0 THEN CAST(over1 > over0 AS INT) ELSE side END AS "column" FROM o),
+  n AS (SELECT *, row_number() OVER (PARTITION BY page, "column" ORDER BY vpos, hpos, name) AS r FROM p),
+  k AS (SELECT page, "column", name, hpos, r, 0 AS cluster, vpos + height AS bottom, height AS shortest FROM n WHERE r = 1 UNION ALL
+    SELECT n.page, n."column", n.name, n.hpos, n.r, CASE WHEN joined THEN cluster ELSE cluster + 1 END, CASE WHEN joined THEN least(bottom, vpos + height) ELSE vpos + height END, CASE WHEN joined THEN least(shortest, height) ELSE height END
+    FROM (SELECT k.cluster, k.bottom, k.shortest, n.*, k.bottom - n.vpos > 0.4 * least(k.shortest, n.height) AS joined FROM k JOIN n ON n.page = k.page AND n."column" = k."column" AND n.r = k.r + 1) n)
+  SELECT page, name, "column", row_number() OVER (PARTITION BY page, "column" ORDER BY cluster, hpos, r) - 1 AS place FROM k""")
+def page_reading_order(spark, d):
+    """Blocks in columns, an inset in the one that it overlaps more, and in reading order (WIN7, WIN8, JN14)."""
+    blocks = spark.sql(BLOCKS.replace("FROM lineitem", "FROM {lineitem}"), lineitem=table(spark, d, "lineitem"))
+    placed = Y.assign_columns(blocks).select("page", "name", "hpos", "vpos", "width", "height", "column")
+    return Y.reading_order(placed).select("page", "name", "column", "place")
 
 
-@query(rows=[
-    ("a", "societe generale d’etudes", "societe generale d-etudes", "societe;generale;etudes", "Société Générale d’Études"), ("b", "ecole l'ete", "ecole l-ete", "ecole;ete", "École L'Été"),
-    ("c", "org:port de sfax ( )", "org:port de sfax ( )", "org;port;sfax", "Port De Sfax"), ("d", "ben-salah", "ben-salah", "ben;salah", "Ben-salah"), ("e", "xiv", "xiv", "xiv", "Xiv"),
-], columns="id, norm, coded, tokens, label")
+@query(f"""WITH {LINES} SELECT doc_id AS page, CAST(i // 10 AS INT) AS "column", CAST(i % 10 AS INT) AS place, line AS value FROM l UNION ALL SELECT doc_id, CAST(i // 10 AS INT), 0, concat('=== page ', doc_id, ' column ', i // 10) FROM l WHERE i % 10 = 0""")
+def page_dumps(spark, d):
+    """Lines of documents in columns of ten, with a line at each change of column (SNK5, WIN16)."""
+    rows = lines(spark, d).select(F.col("doc_id").alias("page"), F.expr("cast(i div 10 as int)").alias("column"), (F.col("i") % 10).alias("place"), F.col("line").alias("text"))
+    return Y.page_dump(rows)
+
+
+#: Words of the benchmark, some with a prefix, an empty bracket or a second word behind them.
+WORDS = "SELECT DISTINCT concat(CASE WHEN length(w) % 3 = 0 THEN 'ORG:' ELSE '' END, w, CASE WHEN length(w) % 2 = 0 THEN '  L’ÉTAT ( )' ELSE ' d''Or' END) AS s FROM (SELECT {} AS w FROM {})"
+
+
+@query(rf"""WITH w AS ({WORDS.format("unnest(string_split(text, ' '))", "benchmark")}), n AS (SELECT s, trim(regexp_replace(lower(strip_accents(s)), '\s+', ' ', 'g')) AS norm, trim(regexp_replace(lower(strip_accents(translate(s, '''’', '--'))), '\s+', ' ', 'g')) AS coded,
+    trim(regexp_replace(regexp_replace(regexp_replace(s, '^[A-Z]+:', ''), '\(\s*\)', '', 'g'), '\s+', ' ', 'g')) AS bare FROM w), t AS (SELECT *, [x FOR x IN regexp_split_to_array(norm, '[^a-z0-9]+') IF length(x) > 2] AS x FROM n)
+  SELECT s, norm, coded, array_to_string(list_filter(x, lambda y, i: list_position(x, y) = i), ';') AS tokens, array_to_string([CASE WHEN p = upper(p) THEN concat(upper(substr(p, 1, 1)), lower(substr(p, 2))) ELSE p END FOR p IN string_split(bare, ' ')], ' ') AS label FROM t""")
 def text_keys(spark, d):
     """Keys and labels of names (FN2, FN3, FN8, FN10)."""
+    words = spark.sql(WORDS.format("explode(split(text, ' '))", "{benchmark}"), benchmark=table(spark, d, "benchmark"))
     c = F.col("s")
-    return spark.createDataFrame(STRINGS, "id string, s string").select("id", T.norm(c).alias("norm"), T.norm_hyphen(c).alias("coded"), F.array_join(T.name_tokens(c), ";").alias("tokens"), T.pretty(c).alias("label"))
-
-
-@query(rows=[("a", None, True, False, 0.1364), ("b", None, True, False, 0.7778), ("c", None, True, True, 1.0), ("d", "BEN — SALAH", True, True, 1.0), ("e", "", True, False, 1.0)], columns="id, head_line, is_headword, is_surname, caps")
-def head_tests(spark, d):
-    """Running heads, headwords and surnames in capitals (FN20, FN23, FN24)."""
-    c = F.btrim("s")
-    return spark.createDataFrame(STRINGS, "id string, s string").select("id", T.running_head(c).alias("head_line"), T.is_headword(c).alias("is_headword"), T.is_caps_surname(c).alias("is_surname"), F.round(T.caps_share(c), 4).alias("caps"))
+    return words.select("s", T.norm(c).alias("norm"), T.norm_hyphen(c).alias("coded"), F.array_join(T.name_tokens(c), ";").alias("tokens"), T.pretty(c).alias("label"))
 
 
-@query(rows=[("0.0004", "< 0.001"), ("0.0314159", "0.031"), ("1", "1.000")], columns="name, p")
-def p_values_shown(spark, d):
-    """p-values as they are printed (FN13)."""
-    return spark.createDataFrame([("0.0004", 0.0004), ("0.0314159", 0.0314159), ("1", 1.0)], "name string, v double").select("name", T.p_text(F.col("v")).alias("p"))
+CAP, MARK = "A-ZÉÈÊÀÇÔÏÎÛËÜÄÖ", r"[^\p{L}\p{N}_]"
+GUIDE = f"[{CAP}][A-Za-zÉÈÊÀÇÔÏÎÛËÜÄÖ.''’-]{{0,5}}"
+PAIR = rf"^{MARK}{{0,3}}[0-9]{{0,3}}{MARK}{{0,3}}({GUIDE})\s*[—–;:.,■-]{{1,3}}\s*({GUIDE}){MARK}{{0,3}}[0-9]{{0,3}}{MARK}{{0,2}}$"
+ONE = rf"^{MARK}{{0,3}}[0-9]{{0,3}}{MARK}{{0,3}}[{CAP}][{CAP}''’.-]{{1,5}}{MARK}{{0,3}}[0-9]{{0,3}}{MARK}{{0,2}}$"
 
 
-@query("SELECT s_suppkey, round(7.0 + 513.0 * s_acctbal / (SELECT max(s_acctbal) FROM supplier), 6) AS area FROM supplier WHERE s_acctbal >= 0")
-def node_areas(spark, d):
-    """Areas linear in a value (GR25)."""
-    s = table(spark, d, "supplier")
-    return s.where("s_acctbal >= 0").select("s_suppkey", F.round(G.areas("s_acctbal", s.agg(F.max("s_acctbal")).first()[0]), 6).alias("area"))
+@query(rf"""WITH {LINES}, w AS (SELECT doc_id, i, string_split(trim(line), ' ') AS w, trim(line) AS line FROM l),
+  h AS (SELECT doc_id, i, CASE i % 5 WHEN 0 THEN translate(w[1], '{LOWER}', '{UPPER}') WHEN 1 THEN concat(substr(w[1], 1, 3), ' — ', coalesce(substr(w[2], 1, 3), '')) WHEN 2 THEN concat(i, '.') WHEN 3 THEN translate(substr(w[1], 1, 4), '{LOWER}', '{UPPER}') ELSE line END AS head FROM w),
+  c AS (SELECT *, string_split({SORT_KEY.format("replace(head, '-', ' ')")}, ' ')[1] AS word FROM h)
+  SELECT doc_id, CAST(i AS INT) AS i, CASE WHEN regexp_matches(head, '^[0-9IVXLCivxlc—.'' -]{{1,8}}$') THEN '' WHEN regexp_matches(head, '{PAIR}') THEN concat(regexp_extract(head, '{PAIR}', 1), ' — ', regexp_extract(head, '{PAIR}', 2)) WHEN regexp_matches(head, '{ONE}') AND length(head) <= 12 THEN trim(head, ' .0123456789''') END AS head_line,
+    length(head) BETWEEN 1 AND 90 AND length(regexp_replace(head, '[^\p{{L}}]', '', 'g')) >= 2 AND regexp_matches(head, '^\p{{Lu}}') AND regexp_split_to_array(lower(strip_accents(head)), '[\s''’]')[1] NOT IN ({OPENERS}) AS is_headword, {CAPS} AS is_surname,
+    round(CASE WHEN length(regexp_replace(strip_accents(head), '[^\p{{L}}]', '', 'g')) > 0 THEN length(regexp_replace(strip_accents(head), '[^\p{{Lu}}]', '', 'g'))::DOUBLE / length(regexp_replace(strip_accents(head), '[^\p{{L}}]', '', 'g')) ELSE 0 END, 6) AS caps FROM c""")
+def head_tests(spark, d):
+    """Running heads, headwords and surnames in capitals, of lines as pages would print them (FN20, FN23, FN24)."""
+    w, i, caps = F.split(F.trim("line"), " "), F.col("i") % 5, lambda c: F.translate(c, LOWER, UPPER)
+    pair = F.concat(F.substring(w[0], 1, 3), F.lit(" — "), F.coalesce(F.substring(F.get(w, F.lit(1)), 1, 3), F.lit("")))
+    head = F.when(i == 0, caps(w[0])).when(i == 1, pair).when(i == 2, F.concat("i", F.lit("."))).when(i == 3, caps(F.substring(w[0], 1, 4))).otherwise(F.trim("line"))
+    c = F.col("head")
+    return lines(spark, d).select("doc_id", "i", head.alias("head")).select("doc_id", "i", T.running_head(c).alias("head_line"), T.is_headword(c).alias("is_headword"), T.is_caps_surname(c).alias("is_surname"), F.round(T.caps_share(c), 6).alias("caps"))

@@ -27,7 +27,7 @@ def query(sql=None):
 @query(r"""SELECT doc_id, CASE WHEN regexp_matches(text, '(?i)licen[cs]e') THEN 'notice' WHEN regexp_matches(substr(text, 1, 200), '[|]') THEN 'table' WHEN n_chars < 140 THEN 'stub' WHEN regexp_matches(text, '^[A-Z][a-z]+ ') AND n_chars >= 4000 THEN 'article' ELSE 'note' END AS type,
   CASE WHEN regexp_matches(text, '(?i)licen[cs]e') THEN 'licence_word' WHEN regexp_matches(substr(text, 1, 200), '[|]') THEN 'bars_in_opening' WHEN n_chars < 140 THEN 'short' WHEN regexp_matches(text, '^[A-Z][a-z]+ ') AND n_chars >= 4000 THEN 'capital_and_long' ELSE 'residual' END AS rule FROM documents""")
 def rule_cascade(spark, d):
-    """Documents typed by ordered rules, with the rule that decided (FN35)."""
+    """Documents typed by ordered rules, with the rule that decided (S12)."""
     text, n = F.col("text"), F.col("n_chars")
     rules = [
         (text.rlike("(?i)licen[cs]e"), "notice", "licence_word"),
@@ -44,7 +44,7 @@ LABELS = [("german", r"(^|[^\p{L}])(der|die|und|nicht)([^\p{L}]|$)"), ("english"
 @query(r"""SELECT doc_id, concat_ws(';', CASE WHEN regexp_matches(text, '(^|[^\p{L}])(der|die|und|nicht)([^\p{L}]|$)') THEN 'german' END, CASE WHEN regexp_matches(text, '(^|[^\p{L}])(the|and|with)([^\p{L}]|$)') THEN 'english' END, CASE WHEN regexp_matches(text, '(^|[^\p{L}])(le|les|dans|pour)([^\p{L}]|$)') THEN 'french' END,
   CASE WHEN regexp_matches(text, '(^|[^\p{L}])(el|los|para|una)([^\p{L}]|$)') THEN 'spanish' END, CASE WHEN regexp_matches(text, '(?i)token|password') THEN 'secret' END, CASE WHEN regexp_matches(text, '[a-z0-9.]+@[a-z]+[.]') THEN 'address' END) AS labels FROM documents""")
 def multi_label(spark, d):
-    """All labels of documents in fixed order, the first being the primary one (FN40, S13)."""
+    """All labels of documents in fixed order, the first being the primary one (S13)."""
     return table(spark, d, "documents").select("doc_id", F.array_join(T.labels(F.col("text"), LABELS), ";").alias("labels"))
 
 
@@ -73,7 +73,7 @@ def year_repair(spark, d):
 
 @query(r"""SELECT page_id, trim(regexp_extract(html, '<title>([^<]*)</title>', 1)) AS title, regexp_extract(url, '^https?://([^/]+)', 1) AS host, len(regexp_extract_all(html, '<a href=')) AS n_links FROM pages""")
 def page_fields(spark, d):
-    """Fields taken out of pages by patterns (FN43)."""
+    """Fields taken out of pages by patterns."""
     return table(spark, d, "pages").select(
         "page_id", F.trim(F.regexp_extract("html", "<title>([^<]*)</title>", 1)).alias("title"), F.regexp_extract("url", "^https?://([^/]+)", 1).alias("host"),
         F.size(F.regexp_extract_all("html", F.lit("<a href="), 0)).cast("long").alias("n_links"),
@@ -83,7 +83,7 @@ def page_fields(spark, d):
 @query(r"""WITH s AS (SELECT conv_id, turn, role, regexp_split_to_array(text, '[.]\s+') AS parts FROM conversations), e AS (SELECT conv_id, turn, unnest(range(len(parts))) AS position_order, unnest(parts) AS position FROM s)
   SELECT conv_id, turn, position_order, trim(position, ' .,') AS position FROM e WHERE length(trim(position, ' .,')) >= 6""")
 def sentence_posts(spark, d):
-    """Turns cut into sentences; the order counts those left out for being short (TF4, S16)."""
+    """Turns cut into sentences; the order counts those left out for being short (S16)."""
     c = table(spark, d, "conversations").select("conv_id", "turn", F.regexp_replace("text", r"[.]\s+", ";;").alias("t"))
     cut = c.select("conv_id", "turn", F.posexplode(F.split("t", ";;")).alias("position_order", "position")).withColumn("position_order", F.col("position_order").cast("long"))
     return cut.withColumn("position", F.btrim("position", F.lit(" .,"))).where(F.char_length("position") >= 6)

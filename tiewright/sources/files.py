@@ -40,16 +40,15 @@ def read_json_document(spark: SparkSession, path: str, schema: str) -> DataFrame
     return spark.read.schema(schema).option("multiLine", True).json(path)
 
 
-def read_blocks(spark: SparkSession, path: str) -> DataFrame:
-    """Text blocks of page XML, with the page number from the file's name (f0025.xml: 25) (SRC5, SRC8).
+def read_blocks(spark: SparkSession, path: str, page: str = r"([0-9]+)\.xml$") -> DataFrame:
+    """Text blocks of page XML, read block by block, with the page number from the file's path (f0025.xml: 25) (SRC5, SRC8).
 
-    Pages are read as UTF-8 whatever encoding they declare. A block that cannot be parsed gives nulls.
+    ``page`` is a pattern whose group is the number. Pages are read as UTF-8; a block that cannot be parsed gives nulls, and a
+    file without blocks gives no rows.
     """
-    raw = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value")
-    page = F.regexp_extract(F.element_at(F.split("file", "/"), -1), r"([0-9]+)\.xml", 1).cast("int")
-    blocks = raw.select(page.alias("page"), F.explode(F.regexp_extract_all("value", F.lit(r"(?s)<TextBlock\b.*?</TextBlock>"), 0)).alias("xml"))
-    parsed = blocks.select("page", F.from_xml("xml", ALTO_BLOCK, {"rowTag": "TextBlock", "mode": "PERMISSIVE"}).alias("b"))
-    return parsed.select("page", *[F.col(f"b._{c}").alias(c.lower()) for c in ("HPOS", "VPOS", "WIDTH", "HEIGHT")], F.col("b.TextLine").alias("lines"))
+    blocks = spark.read.format("xml").schema(ALTO_BLOCK).options(rowTag="TextBlock", mode="PERMISSIVE", encoding="UTF-8").load(path)
+    number = F.regexp_extract("_metadata.file_path", page, 1).cast("int")
+    return blocks.select(number.alias("page"), *[F.col(f"_{c}").alias(c.lower()) for c in ("HPOS", "VPOS", "WIDTH", "HEIGHT")], F.col("TextLine").alias("lines"))
 
 
 def block_lines(blocks: DataFrame) -> DataFrame:
