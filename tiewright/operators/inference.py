@@ -6,9 +6,11 @@ Edges are (src, dst), canonical; labels are (node, label), one row for a node.
 from __future__ import annotations
 
 import math
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -119,39 +121,150 @@ def fisher(cells: DataFrame, by: str) -> DataFrame:
 
 
 def least_squares(df: DataFrame, y: str, xs: list[str]) -> list[tuple[str, float, float, float]]:
-    """(term, coefficient, standard error, t) by the normal equations (ST16).
+    """(term, coefficient, standard error, t) of a regression with an intercept (ST16).
 
-    One aggregation gives the sums of products, (k + 2)^2 numbers; they are solved on the driver. Rows with a missing value
-    are left out; a singular system gives NaN.
+    One aggregation gives means and centred co-moments, which Spark merges pair by pair, so large means do not swallow small
+    spreads; (k + 2)^2 numbers are solved on the driver, each column in units of its own deviation. Rows with a missing value
+    are left out; a singular system, or as many terms as rows, gives NaN.
     """
     terms = ["(intercept)", *xs]
-    columns = [F.lit(1.0), *[F.col(x).cast("double") for x in xs]]
-    kept = df.select(*[c.alias(f"x{i}") for i, c in enumerate(columns)], F.col(y).cast("double").alias("y")).dropna()
-    k = len(columns)
-    pairs = [(i, j) for i in range(k) for j in range(i, k)]
-    sums = kept.agg(F.count("*").alias("n"), F.sum(F.col("y") * F.col("y")).alias("yy"), *[F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"s{i}_{j}") for i, j in pairs], *[F.sum(F.col(f"x{i}") * F.col("y")).alias(f"t{i}") for i in range(k)]).first()
-    nan = [(t, math.nan, math.nan, math.nan) for t in terms]
-    if sums["n"] <= k:
+    kept = df.select(*[F.col(x).cast("double").alias(f"x{i}") for i, x in enumerate(xs)], F.col(y).cast("double").alias(f"x{len(xs)}")).dropna()
+    k, names = len(xs), [f"x{i}" for i in range(len(xs) + 1)]
+    pairs = [(i, j) for i in range(k + 1) for j in range(i, k + 1)]
+    got = kept.agg(F.count("*").alias("n"), *[F.avg(c).alias(f"m{i}") for i, c in enumerate(names)], *[F.covar_pop(f"x{i}", f"x{j}").alias(f"c{i}_{j}") for i, j in pairs]).first()
+    nan, n = [(t, math.nan, math.nan, math.nan) for t in terms], got["n"]
+    if n <= k + 1:
         return nan
-    xx, xy = np.zeros((k, k)), np.array([sums[f"t{i}"] for i in range(k)])
+    means, moments = np.array([got[f"m{i}"] for i in range(k + 1)]), np.zeros((k + 1, k + 1))
     for i, j in pairs:
-        xx[i, j] = xx[j, i] = sums[f"s{i}_{j}"]
-    if np.linalg.matrix_rank(xx) < k:
+        moments[i, j] = moments[j, i] = got[f"c{i}_{j}"]
+    scale = np.sqrt(np.diag(moments))[:k]
+    if not scale.all() or np.linalg.matrix_rank(correlation := moments[:k, :k] / np.outer(scale, scale)) < k:
         return nan
-    inverse = np.linalg.inv(xx)
-    beta = inverse @ xy
-    spread = math.sqrt(max(0.0, (sums["yy"] - beta @ xy) / (sums["n"] - k)))
-    se = spread * np.sqrt(np.diag(inverse))
-    return [(t, float(b), float(s), float(b / s) if s else math.nan) for t, b, s in zip(terms, beta, se)]
+    inverse = np.linalg.inv(correlation) / np.outer(scale, scale)
+    beta = inverse @ moments[:k, k]
+    variance = max(0.0, (moments[k, k] - beta @ moments[:k, k]) * n / (n - k - 1))
+    values = [means[k] - beta @ means[:k], *beta]
+    errors = np.sqrt(variance / n * np.r_[1 + means[:k] @ inverse @ means[:k], np.diag(inverse)])
+    return [(t, float(b), float(s), float(b / s) if s else math.nan) for t, b, s in zip(terms, values, errors)]
 
 
-#: Draws that are dealt in one plan.
-DRAWS = 500
+#: Draws whose labels a task holds at once, and entries of a table of counts that may go to the tasks.
+DRAWS, MAX_COUNTS = 500, 100_000
+#: Members of a body above which it is dealt out in parts; places up to which draws are tables.
+HEAVY, SORTED = 50_000, 2048
 
 
-def _dealt(rows: DataFrame, draws: range) -> DataFrame:
-    """``rows`` once for each draw, with the column draw."""
-    return rows.withColumn("draw", F.explode(F.sequence(F.lit(draws.start).cast("long"), F.lit(draws.stop - 1).cast("long"))))
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint32(16))) * np.uint32(0x7FEB352D)
+    x = (x ^ (x >> np.uint32(15))) * np.uint32(0x846CA68B)
+    return x ^ (x >> np.uint32(16))
+
+
+@lru_cache(maxsize=64)
+def _sorted_places(n: int, first: int, last: int, seed: int) -> np.ndarray:
+    """For each draw from first to last the ranks of n seeded random numbers."""
+    out = np.empty((n, last - first), np.uint32)
+    for draw in range(first, last):
+        out[np.random.Generator(np.random.PCG64([seed, draw])).permutation(n), draw - first] = np.arange(n, dtype=np.uint32)
+    return out
+
+
+def shuffled_places(places: np.ndarray, n: int, draws: np.ndarray, seed: int) -> np.ndarray:
+    """Where each of consecutive draws puts the places 0 to n - 1: a row for each place, a column for each draw, a permutation in each.
+
+    Up to SORTED places are shuffled as a table. Beyond, a keyed bijection (eight Feistel rounds over the least square of a power
+    of two that holds n, walked until it is below n) gives a place's new place without sorting and without the others; over
+    few places its rounds would not be even enough. n is to be below 2^32.
+    """
+    if n <= SORTED:
+        return _sorted_places(n, int(draws[0]), int(draws[-1]) + 1, seed)[places]
+    half = np.uint32(((n - 1).bit_length() + 1) // 2)
+    mask = np.uint32((1 << int(half)) - 1)
+    with np.errstate(over="ignore"):
+        keys = [_mixed(_mixed(draws.astype(np.uint32)) + np.uint32((seed * 8 + r + 1) * 0x9E3779B1 & 0xFFFFFFFF)) for r in range(8)]
+
+        def once(x: np.ndarray, at: np.ndarray) -> np.ndarray:
+            left, right = (x >> half) & mask, x & mask
+            for key in keys:
+                left, right = right, left ^ (_mixed(right ^ key[at]) & mask)
+            return (left << half) | right
+
+        columns = np.broadcast_to(np.arange(len(draws)), (len(places), len(draws)))
+        out = once(np.broadcast_to(places.astype(np.uint32)[:, None], columns.shape), columns)
+        while (beyond := out >= n).any():
+            out[beyond] = once(out[beyond], columns[beyond])
+    return out
+
+
+class Deck:
+    """The labels of each stratum, by their numbers: what a draw deals to a place."""
+
+    def __init__(self, placed: DataFrame, seed: int):
+        """``placed``: node, label, stratum, place. Labels and strata are few (MAX_COUNTS pairs); more stop the query."""
+        counts = placed.groupBy("stratum", "label").agg(F.count("*").alias("n")).limit(MAX_COUNTS + 1).collect()
+        if len(counts) > MAX_COUNTS:
+            raise ValueError(f"more than {MAX_COUNTS} pairs of stratum and label")
+        self.labels = sorted({r.label for r in counts}, key=str)
+        code, self.seed, self.below = {label: i for i, label in enumerate(self.labels)}, seed, {}
+        for stratum in {r.stratum for r in counts}:
+            sizes = np.zeros(len(self.labels), np.int64)
+            for r in counts:
+                if r.stratum == stratum:
+                    sizes[code[r.label]] = r.n
+            self.below[stratum] = np.cumsum(sizes)
+
+    def dealt(self, strata: np.ndarray, places: np.ndarray, draws: np.ndarray) -> np.ndarray:
+        """Numbers of the labels that the draws deal to places (from 1) of strata."""
+        out = np.zeros((len(places), len(draws)), np.int32)
+        for stratum in np.unique(strata):
+            below, here = self.below[stratum.item()], np.flatnonzero(strata == stratum)
+            to = shuffled_places(places[here] - 1, int(below[-1]), draws, self.seed + 7919 * list(self.below).index(stratum.item()))
+            out[here] = np.searchsorted(below, to, side="right")
+        return out
+
+
+def _summed(rows: DataFrame, draws: int, width: int, add) -> DataFrame:
+    """(draw, code, n): what ``add(batch, draws, sums)`` adds to the columns of ``sums``, over all rows; one row a task and pair."""
+
+    def run(batches):
+        sums = np.zeros((draws, width))
+        for batch in batches:
+            for at in range(0, draws, DRAWS):
+                add(batch, np.arange(at, min(draws, at + DRAWS)), sums[at : at + DRAWS])
+        where = np.indices(sums.shape).reshape(2, -1)
+        yield pa.RecordBatch.from_arrays([pa.array(where[0], pa.int64()), pa.array(where[1], pa.int32()), pa.array(sums.ravel())], names=["draw", "code", "n"])
+
+    return rows.mapInArrow(run, "draw long, code int, n double").groupBy("draw", "code").agg(F.sum("n").alias("n"))
+
+
+def _numpy(batch: pa.RecordBatch) -> list[np.ndarray]:
+    return [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+
+
+def _add_pairs(deck: Deck):
+    """For edges as (stratum, place) of both ends: how many get one label at both."""
+
+    def add(batch, draws, sums):
+        strata, places, other_strata, others = _numpy(batch)
+        nodes, back = np.unique(np.stack([np.r_[strata, other_strata], np.r_[places, others]]), axis=1, return_inverse=True)
+        labels = deck.dealt(nodes[0], nodes[1], draws)
+        back = back.reshape(-1)
+        sums[:, 0] += (labels[back[: len(places)]] == labels[back[len(places) :]]).sum(0)
+
+    return add
+
+
+def _add_ends(deck: Deck):
+    """For nodes as (stratum, place, degree): how many ends of edges each label gets."""
+
+    def add(batch, draws, sums):
+        strata, places, degrees = _numpy(batch)
+        labels = deck.dealt(strata, places, draws)
+        for code in range(len(deck.labels)):
+            sums[:, code] += ((labels == code) * degrees[:, None]).sum(0)
+
+    return add
 
 
 def _places(rows: DataFrame, by: list[str], key: str, seed: int) -> DataFrame:
@@ -167,90 +280,153 @@ def _places(rows: DataFrame, by: list[str], key: str, seed: int) -> DataFrame:
     return inside.join(before, [*by, "__class"]).withColumn("place", F.col("__n") + F.col("__before")).drop("__h", "__class", "__n", "__before")
 
 
-def _batched(draws: int, one) -> DataFrame:
-    """The union of what ``one(range)`` gives for batches of the draws, each written before the next one is made."""
-    parts = [materialize(one(range(at, min(draws, at + DRAWS))), "draws") for at in range(0, draws, DRAWS)]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+def placed_ends(edges: DataFrame, labels: DataFrame, strata: DataFrame | None, seed: int) -> tuple[DataFrame, DataFrame]:
+    """(node, label, stratum, degree, place) of the labelled nodes with ties, and the edges as places of both ends; written."""
+    ends = labelled_ends(edges, labels)
+    tied = ends.groupBy("node").agg(F.first("a").alias("label"), F.count("*").alias("degree"))
+    tied = tied.join(strata.select("node", "stratum"), "node") if strata is not None else tied.withColumn("stratum", F.lit(0))
+    placed = materialize(_places(tied, ["stratum"], "node", seed), "placed")
+    two = placed.select(F.col("node").alias("other"), F.col("stratum").alias("other_stratum"), F.col("place").alias("other_place"))
+    pairs = ends.where("node < other").select("node", "other").join(placed.select("node", "stratum", "place"), "node").join(two, "other")
+    return placed, materialize(pairs.select("stratum", "place", "other_stratum", "other_place"), "pairs")
 
 
 def label_permutation(edges: DataFrame, labels: DataFrame, draws: int, seed: int = 17, strata: DataFrame | None = None, least: int = 0) -> DataFrame:
-    """(observed, mean, sd, p, draws): assortativity against labels shuffled over the labelled nodes with ties (ST4).
+    """(observed, mean, sd, p, draws, same, same_mean): assortativity against labels shuffled over the labelled nodes with ties (ST4).
 
-    A draw deals the same labels in an order of seeded hashes, within strata (node, stratum) if given: both orders are places
-    in classes of hashes, and DRAWS draws are one plan. One-sided, add-one. With fewer than ``least`` labelled nodes nothing
-    is drawn, and p is null (ST19).
+    A draw deals the same labels anew, within strata (node, stratum; integers) if given. Every edge is read once for all
+    draws: its ends know their places, a keyed bijection says where a draw puts them, and each task adds up all draws.
+    One-sided, add-one. ``same`` is the share of edges within labels, ``same_mean`` its mean over the draws. With fewer than
+    ``least`` labelled nodes nothing is drawn, and p is null (ST19).
     """
-    tied = labelled_ends(edges, labels).select("node", F.col("a").alias("label")).distinct()
-    tied = tied.join(strata, "node") if strata is not None else tied.withColumn("stratum", F.lit(0))
-    tied = materialize(tied, "tied")
-    fixed = materialize(_places(tied, ["stratum"], "node", seed + 1), "fixed")
-    both = materialize(symmetric(edges), "both")
-    few = bool(least) and tied.count() < least
-
-    def one(some: range) -> DataFrame:
-        if some.start < 0:
-            return _sums(both, tied.select(F.lit(-1).cast("long").alias("draw"), "node", "label"))
-        shuffled = _places(_dealt(tied.select("node", "stratum"), some), ["draw", "stratum"], "node", seed)
-        return _sums(both, shuffled.join(fixed.select("stratum", "place", "label"), ["stratum", "place"]).select("draw", "node", "label"))
-
-    observed = one(range(-1, 0)).select(F.col("r").alias("observed"))
-    if few:
+    placed, pairs = placed_ends(edges, labels, strata, seed + 1)
+    ends = labelled_ends(edges, labels)
+    share = ends.agg(F.avg((F.col("a") == F.col("b")).cast("double")).alias("same"))
+    observed = nominal_assortativity(edges, labels).select(F.col("r").alias("observed")).crossJoin(F.broadcast(share))
+    if least and placed.count() < least:
         nil = F.lit(None).cast("double")
-        return observed.select("observed", nil.alias("mean"), nil.alias("sd"), nil.alias("p"), F.lit(0).cast("long").alias("draws"))
-    null = _batched(draws, one).crossJoin(F.broadcast(observed))
-    return null.groupBy("observed").agg(F.avg("r").alias("mean"), F.stddev_pop("r").alias("sd"), ((F.count_if(F.col("r") >= F.col("observed") - 1e-12) + 1) / (F.count("*") + 1)).alias("p"), F.count("*").alias("draws"))
+        return observed.select("observed", nil.alias("mean"), nil.alias("sd"), nil.alias("p"), F.lit(0).cast("long").alias("draws"), "same", nil.alias("same_mean"))
+    deck = Deck(placed, seed)
+    same = _summed(pairs, draws, 1, _add_pairs(deck)).select("draw", F.col("n").alias("same_n"))
+    rows = _summed(placed.select("stratum", "place", "degree"), draws, len(deck.labels), _add_ends(deck)).groupBy("draw").agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.col("n")).alias("sq"))
+    e = F.col("sq") / (F.col("m") * F.col("m"))
+    null = same.join(rows, "draw").select((2 * F.col("same_n") / F.col("m")).alias("s"), ((2 * F.col("same_n") / F.col("m") - e) / (1 - e)).alias("r")).crossJoin(F.broadcast(observed))
+    return null.groupBy("observed", "same").agg(
+        F.avg("r").alias("mean"), F.stddev_pop("r").alias("sd"), ((F.count_if(F.col("r") >= F.col("observed") - 1e-12) + 1) / (F.count("*") + 1)).alias("p"), F.count("*").alias("draws"), F.avg("s").alias("same_mean"),
+    ).select("observed", "mean", "sd", "p", "draws", "same", "same_mean")
 
 
-def _sums(both: DataFrame, dealt: DataFrame) -> DataFrame:
-    """(draw, r): assortativity of labels (draw, node, label) over edges in both directions."""
-    ends = both.join(dealt.withColumnRenamed("label", "a"), "node").join(dealt.select("draw", F.col("node").alias("other"), F.col("label").alias("b")), ["draw", "other"])
-    cells = ends.groupBy("draw", "a", "b").agg(F.count("*").alias("n"))
-    rows = cells.groupBy("draw", "a").agg(F.sum("n").alias("row"), F.sum(F.when(F.col("a") == F.col("b"), F.col("n")).otherwise(0)).alias("same"))
-    sums = rows.groupBy("draw").agg(F.sum("row").alias("m"), F.sum("same").alias("same"), F.sum(F.col("row") * F.col("row")).alias("sq"))
-    e = F.col("sq") / (F.col("m") * F.col("m"))
-    return sums.select("draw", ((F.col("same") / F.col("m") - e) / (1 - e)).alias("r"))
+def expected_same(edges: DataFrame, labels: DataFrame, strata: DataFrame | None = None) -> DataFrame:
+    """(same, expected): the share of edges within labels, and its exact mean over all ways to deal the labels within strata (ST13).
+
+    An edge between strata s and t has one label at both ends with probability sum of p_s p_t over labels; within a stratum
+    of n nodes with sum of n_k (n_k - 1) / (n (n - 1)). Edges are counted by pairs of strata first.
+    """
+    ends = labelled_ends(edges, labels)
+    of = strata.select("node", "stratum") if strata is not None else ends.select("node").distinct().withColumn("stratum", F.lit(0))
+    ends = ends.join(of, "node").join(of.select(F.col("node").alias("other"), F.col("stratum").alias("t")), "other")
+    counts = ends.select("node", "stratum", "a").distinct().groupBy("stratum", "a").agg(F.count("*").alias("k")).withColumn("n", F.sum("k").over(Window.partitionBy("stratum")))
+    two = counts.select(F.col("stratum").alias("t"), "a", F.col("k").alias("k2"), F.col("n").alias("n2"))
+    chance = F.when(F.col("stratum") == F.col("t"), F.col("k") * (F.col("k") - 1) / (F.col("n") * F.nullif(F.col("n") - 1, F.lit(0)))).otherwise(F.col("k") * F.col("k2") / (F.col("n") * F.col("n2")))
+    chances = counts.join(two, "a").groupBy("stratum", "t").agg(F.sum(chance).alias("chance"))
+    met = ends.groupBy("stratum", "t").agg(F.count("*").alias("m"), F.count_if(F.col("a") == F.col("b")).alias("same"))
+    sums = met.join(chances, ["stratum", "t"], "left").agg(F.sum("m").alias("m"), F.sum("same").alias("same"), F.sum(F.col("m") * F.coalesce("chance", F.lit(0.0))).alias("e"))
+    return sums.select((F.col("same") / F.col("m")).alias("same"), (F.col("e") / F.col("m")).alias("expected"))
 
 
 def mean_difference_permutation(df: DataFrame, value: str, group: str, draws: int, seed: int = 42, add_one: bool = True) -> DataFrame:
     """(observed, p, draws): difference of two groups' means, first less second by name, two-sided (ST2, ST3).
 
-    A draw gives the first group's number of rows, those with the smallest seeded hashes, to the first side. ``add_one``:
+    A draw gives the first group's number of rows to the first side; every row is read once for all draws. ``add_one``:
     (hits + 1) / (draws + 1), else hits / draws.
     """
     rows = df.select(F.col(value).cast("double").alias("v"), F.col(group).alias("g")).where("v IS NOT NULL AND g IS NOT NULL")
     rows = materialize(rows.withColumn("id", F.monotonically_increasing_id()), "numbered")
-    sizes = rows.groupBy("g").agg(F.count("*").alias("k"), F.avg("v").alias("mean")).orderBy("g").collect()
+    sizes = rows.groupBy("g").agg(F.count("*").alias("k"), F.avg("v").alias("mean"), F.sum("v").alias("sum")).orderBy("g").limit(3).collect()
     if len(sizes) != 2:
         raise ValueError(f"two groups are needed, not {len(sizes)}")
-    first, n = sizes[0]["k"], sizes[0]["k"] + sizes[1]["k"]
+    first, n, total = sizes[0]["k"], sizes[0]["k"] + sizes[1]["k"], sizes[0]["sum"] + sizes[1]["sum"]
     observed = sizes[0]["mean"] - sizes[1]["mean"]
-    side = F.col("place") <= first
-    sums = _batched(draws, lambda some: _places(_dealt(rows.select("id", "v"), some), ["draw"], "id", seed).groupBy("draw").agg(F.sum(F.when(side, F.col("v")).otherwise(0.0)).alias("s"), F.sum("v").alias("t")))
-    diff = F.col("s") / first - (F.col("t") - F.col("s")) / (n - first)
-    hits = F.count_if(F.abs(diff) >= abs(observed) - 1e-12)
+
+    def add(batch, some, sums):
+        places, values = _numpy(batch)
+        sums[:, 0] += values @ (shuffled_places(places - 1, n, some, seed) < first)
+
+    placed = _places(rows.select("id", "v").withColumn("one", F.lit(0)), ["one"], "id", seed).select("place", "v")
+    diff = F.col("n") / first - (F.lit(total) - F.col("n")) / (n - first)
+    sums = _summed(placed, draws, 1, add)
+    hits = F.count_if(F.abs(diff) >= abs(observed) - 1e-9 * (1 + abs(observed)))
     p = (hits + 1) / (F.count("*") + 1) if add_one else hits / F.count("*")
     return sums.agg(F.lit(observed).alias("observed"), p.alias("p"), F.count("*").alias("draws"))
 
 
 def body_mixing_permutation(ties: DataFrame, labels: DataFrame, draws: int, seed: int = 11) -> DataFrame:
-    """(observed, mean, p, draws): share of mixed pairs, counted in each body, against shuffled labels; one-sided, low (ST5)."""
-    named = materialize(ties.select("person", "body").distinct().join(labels.select(F.col("node").alias("person"), "label"), "person"), "named")
-    people = materialize(named.select("person", "label").distinct().withColumn("one", F.lit(0)), "people")
-    fixed = materialize(_places(people, ["one"], "person", seed + 1), "fixed")
+    """(observed, mean, p, draws): share of mixed pairs, counted in each body, against shuffled labels; one-sided, low (ST5).
 
-    def mixed(dealt: DataFrame) -> DataFrame:
-        counts = named.select("person", "body").join(dealt, "person").groupBy("draw", "body", "label").agg(F.count("*").alias("k"))
-        bodies = counts.groupBy("draw", "body").agg(F.sum("k").alias("k"), F.sum(F.col("k") * (F.col("k") - 1) / 2).alias("same"))
-        return bodies.groupBy("draw").agg((1 - F.sum("same") / F.sum(F.col("k") * (F.col("k") - 1) / 2)).alias("mixed"))
-
-    def one(some: range) -> DataFrame:
-        return mixed(_places(_dealt(people.select("person"), some), ["draw"], "person", seed).join(fixed.select("place", "label"), "place").select("draw", "person", "label"))
-
-    observed = mixed(people.select(F.lit(-1).cast("long").alias("draw"), "person", "label")).select(F.col("mixed").alias("observed"))
-    null = _batched(draws, one).crossJoin(F.broadcast(observed))
+    A body's pairs come from its counts of labels. Members of a body stand together in a task, which reads them once for all
+    draws; bodies of more than HEAVY members are dealt out in parts, whose counts are added before pairs are.
+    """
+    named = materialize(ties.select("person", "body").distinct().join(labels.select(F.col("node").alias("person"), "label"), "person"), "named")
+    people = named.select("person", "label").distinct().withColumn("stratum", F.lit(0))
+    placed = materialize(_places(people, ["stratum"], "person", seed + 1).withColumnRenamed("person", "node"), "placed")
+    deck = Deck(placed, seed)
+    width = len(deck.labels)
+    sizes = named.groupBy("body").agg(F.ceil(F.count("*") / HEAVY).alias("parts"))
+    members = named.select(F.col("person").alias("node"), "body").join(placed.select("node", "place"), "node").join(sizes, "body")
+    members = members.select(F.col("body").cast("string").alias("body"), F.expr("pmod(xxhash64(node), parts)").alias("part"), "parts", "place")
+    ordered = members.repartition("body", "part").sortWithinPartitions("body", "part")
+
+    def pairs(counts: np.ndarray) -> np.ndarray:
+        return (counts * (counts - 1) / 2).sum(1)
+
+    def run(batches):
+        """Pairs within labels of whole bodies, added up in row null; counts of parts of bodies each."""
+        within, key, held, whole = np.zeros(draws), None, None, True
+
+        def close():
+            if key is not None and whole:
+                within[:] += pairs(held)
+            elif key is not None:
+                yield pa.RecordBatch.from_arrays([pa.array([key[0]], pa.string()), pa.array([held.tobytes()], pa.binary())], names=["body", "counts"])
+
+        for batch in batches:
+            bodies, part, parts = (batch.column(i).to_pylist() for i in range(3))
+            places = batch.column(3).to_numpy(zero_copy_only=False)
+            at = 0
+            while at < len(bodies):
+                end = at
+                while end < len(bodies) and (bodies[end], part[end]) == (bodies[at], part[at]):
+                    end += 1
+                if key != (bodies[at], part[at]):
+                    yield from close()
+                    key, held, whole = (bodies[at], part[at]), np.zeros((draws, width)), parts[at] == 1
+                for begin in range(0, draws, DRAWS):
+                    some = np.arange(begin, min(draws, begin + DRAWS))
+                    dealt = deck.dealt(np.zeros(end - at, np.int64), places[at:end], some)
+                    for code in range(width):
+                        held[some, code] += (dealt == code).sum(0)
+                at = end
+        yield from close()
+        yield pa.RecordBatch.from_arrays([pa.array([None], pa.string()), pa.array([within.tobytes()], pa.binary())], names=["body", "counts"])
+
+    def merged(batches):
+        """The sums of all tasks, and the pairs of bodies whose parts are added here."""
+        within, parts = np.zeros(draws), {}
+        for batch in batches:
+            for body, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if body is None:
+                    within += np.frombuffer(counts)
+                else:
+                    parts[body] = parts.get(body, 0) + np.frombuffer(counts).reshape(draws, width)
+        for counts in parts.values():
+            within += pairs(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(draws), pa.int64()), pa.array(within)], names=["draw", "same"])
+
+    parts = ordered.mapInArrow(run, "body string, counts binary").withColumn("key", F.coalesce("body", F.spark_partition_id().cast("string")))
+    sums = parts.repartition("key").drop("key").mapInArrow(merged, "draw long, same double").groupBy("draw").agg(F.sum("same").alias("same"))
+    counts = named.groupBy("body", "label").agg(F.count("*").alias("k"))
+    totals = counts.groupBy("body").agg(F.sum("k").alias("k"), F.sum(F.col("k") * (F.col("k") - 1) / 2).alias("same")).agg(F.sum("same").alias("same0"), F.sum(F.col("k") * (F.col("k") - 1) / 2).alias("all"))
+    null = sums.crossJoin(F.broadcast(totals)).select((1 - F.col("same") / F.col("all")).alias("mixed"), (1 - F.col("same0") / F.col("all")).alias("observed"))
     return null.groupBy("observed").agg(F.avg("mixed").alias("mean"), ((F.count_if(F.col("mixed") <= F.col("observed") + 1e-12) + 1) / (F.count("*") + 1)).alias("p"), F.count("*").alias("draws"))
 
 

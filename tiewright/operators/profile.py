@@ -20,10 +20,21 @@ def coverage(df: DataFrame, columns: list[str]) -> DataFrame:
     return sums.selectExpr("n_rows", f"stack({len(columns)}, {pairs}) AS (column, n_filled)").select("column", "n_filled", "n_rows", (F.col("n_filled") / F.col("n_rows")).alias("share"))
 
 
-def z_scores(df: DataFrame, value: str, by: str | None = None) -> Column:
-    """Distance from the mean in population standard deviations, a deviation of 0 counting as 1 (AGG9)."""
-    w = Window.partitionBy(*([by] if by else []))
-    return (F.col(value) - F.avg(value).over(w)) / F.coalesce(F.nullif(F.stddev_pop(value).over(w), F.lit(0.0)), F.lit(1.0))
+def z_scores(df: DataFrame, values: dict[str, str], by: str | None = None) -> DataFrame:
+    """``df`` with a column for each of ``values`` (its name: the value's): distances from the mean in population standard
+    deviations, a deviation of 0 counting as 1, within groups of ``by`` or over all rows (AGG9).
+
+    Means and deviations come from one aggregate, joined back: a row for all, or one for each group. Null groups are groups.
+    """
+    shown = list(values.items())
+    moments = [f(v).alias(f"__{m}{i}") for i, (_, v) in enumerate(shown) for m, f in (("m", F.avg), ("s", F.stddev_pop))]
+    if by:
+        sums = df.groupBy(F.col(by).alias("__by")).agg(*moments)
+        joined = df.join(sums, df[by].eqNullSafe(sums["__by"])).drop("__by")
+    else:
+        joined = df.crossJoin(F.broadcast(df.agg(*moments)))
+    scores = {out: (F.col(v) - F.col(f"__m{i}")) / F.coalesce(F.nullif(F.col(f"__s{i}"), F.lit(0.0)), F.lit(1.0)) for i, (out, v) in enumerate(shown)}
+    return joined.withColumns(scores).drop(*[f"__{m}{i}" for i in range(len(shown)) for m in "ms"])
 
 
 def upper_medians(df: DataFrame, value: str, by: list[str]) -> DataFrame:

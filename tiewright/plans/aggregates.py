@@ -38,7 +38,7 @@ def coverage_profile(spark, d):
 @query("""SELECT c_custkey, round((c_acctbal - avg(c_acctbal) OVER w) / coalesce(nullif(stddev_pop(c_acctbal) OVER w, 0), 1), 6) AS z FROM customer WINDOW w AS (PARTITION BY c_mktsegment)""")
 def zscore(spark, d):
     c = table(spark, d, "customer")
-    return c.select("c_custkey", r6(P.z_scores(c, "c_acctbal", "c_mktsegment")).alias("z"))
+    return P.z_scores(c, {"z": "c_acctbal"}, "c_mktsegment").select("c_custkey", r6("z").alias("z"))
 
 
 @query("SELECT l_returnflag, round(corr(l_quantity, l_extendedprice), 6) AS r, round(avg(CAST(l_discount = 0 AS INT)), 6) AS zero_share FROM lineitem GROUP BY l_returnflag")

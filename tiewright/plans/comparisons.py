@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from tiewright.operators import components as C
@@ -57,18 +59,38 @@ def _robust_sql(name: str, where: str) -> str:
       SELECT a, count(*) AS n, sum(CAST(a = b AS INT)) AS same FROM (SELECT x.c_mktsegment AS a, y.c_mktsegment AS b FROM (SELECT DISTINCT i.person AS node, j.person AS other FROM p i JOIN p j ON i.body = j.body AND i.person <> j.person WHERE {where}) q JOIN customer x ON q.node = x.c_custkey JOIN customer y ON q.other = y.c_custkey) GROUP BY a))"""
 
 
-@query(f"""WITH {ties_sql()}, n AS (SELECT p.person, p.body, c_mktsegment AS label FROM p JOIN customer ON c_custkey = person), b AS (SELECT x.body, avg(CAST(x.label = y.label AS INT)) AS pure FROM n x JOIN n y ON x.body = y.body AND x.person < y.person GROUP BY x.body)
-  {_robust_sql('all', 'true')} UNION ALL {_robust_sql('without_marked', 'i.body % 5 <> 0')} UNION ALL {_robust_sql('within_quartiles', 'true')} UNION ALL SELECT 'equal_bodies', round(avg(pure), 6) FROM b""")
+#: Edges with the labels and strata of both ends: quartiles of degree, cut at values, among all nodes with ties.
+STRATA = """v AS (SELECT list_sort(list(degree)) AS v FROM deg), st AS (SELECT node, CAST(degree > v[1 + CAST(floor(0.25 * len(v)) AS INT)] AS INT) + CAST(degree > v[1 + CAST(floor(0.5 * len(v)) AS INT)] AS INT) + CAST(degree > v[1 + CAST(floor(0.75 * len(v)) AS INT)] AS INT) AS stratum FROM deg, v),
+  en AS (SELECT s.node, s.other, x.c_mktsegment AS a, y.c_mktsegment AS b, g.stratum AS s, h.stratum AS t FROM s JOIN customer x ON s.node = x.c_custkey JOIN customer y ON s.other = y.c_custkey JOIN st g ON g.node = s.node JOIN st h ON h.node = s.other)"""
+
+
+def chance_sql(stratum: str) -> str:
+    """The mean share of edges within labels when labels move within ``stratum`` (s or t of an edge, or one for all)."""
+    s, t = (stratum, stratum) if stratum == "0" else ("s", "t")
+    return f"""(WITH k AS (SELECT stratum, a, count(*)::DOUBLE AS k, sum(count(*)) OVER (PARTITION BY stratum) AS n FROM (SELECT DISTINCT node, {s} AS stratum, a FROM en) GROUP BY 1, 2),
+      c AS (SELECT x.stratum AS s, y.stratum AS t, sum(CASE WHEN x.stratum = y.stratum THEN x.k * (x.k - 1) / (x.n * (x.n - 1)) ELSE x.k * y.k / (x.n * y.n) END) AS chance FROM k x JOIN k y ON x.a = y.a GROUP BY 1, 2)
+      SELECT avg(coalesce(chance, 0)) FROM en LEFT JOIN c ON c.s = {'0' if stratum == '0' else 'en.s'} AND c.t = {'0' if stratum == '0' else 'en.t'})"""
+
+
+@query(f"""WITH {edges_sql()}, {STRATA}, n AS (SELECT p.person, p.body, c_mktsegment AS label FROM p JOIN customer ON c_custkey = person), b AS (SELECT x.body, avg(CAST(x.label = y.label AS INT)) AS pure FROM n x JOIN n y ON x.body = y.body AND x.person < y.person GROUP BY x.body)
+  {_robust_sql('all', 'i.body IN (SELECT body FROM ok)')} UNION ALL {_robust_sql('without_marked', "i.body IN (SELECT body FROM ok) AND NOT regexp_matches(CAST(i.body AS VARCHAR), '[05]$')")} UNION ALL {_robust_sql('marked_only', "i.body IN (SELECT body FROM ok) AND regexp_matches(CAST(i.body AS VARCHAR), '[05]$')")}
+  UNION ALL SELECT 'beyond_chance', round(avg(CAST(a = b AS INT)) - {chance_sql('0')}, 6) FROM en UNION ALL SELECT 'beyond_chance_within_quartiles', round(avg(CAST(a = b AS INT)) - {chance_sql('s')}, 6) FROM en
+  UNION ALL SELECT 'equal_bodies', round(avg(pure), 6) FROM b""")
 def robustness_battery(spark, d):
-    """The same measure with bodies left out, against labels shuffled within quartiles of degree, and with bodies counting alike (ST13, FIL6)."""
+    """One measure under five conditions: bodies left out or kept by a pattern of their names, what it exceeds chance by when
+    labels move freely and within quartiles of degree only, and with bodies counting alike (ST13, FIL6)."""
     found, labels = ties(spark, d), segment_labels(spark, d)
+    marked = F.col("body").cast("string").rlike("[05]$")
     make = lambda t: I.nominal_assortativity(G.project(t, shared=False).select("src", "dst"), labels).select(F.col("r").alias("value"))
     edges = G.project(found, shared=False).select("src", "dst")
     strata = P.index_cut_quartiles(G.degrees(edges).withColumn("all", F.lit(1)), "degree", ["all"]).select("node", "stratum")
-    within = I.label_permutation(edges, labels, draws=1, strata=strata).select(F.col("observed").alias("value"))
-    parts = {"within_quartiles": within, "all": make(found), "without_marked": make(found.where("body % 5 <> 0")), "equal_bodies": I.body_purity(found, labels).select(F.col("purity").alias("value"))}
+    beyond = lambda s: I.expected_same(edges, labels, s).select((F.col("same") - F.col("expected")).alias("value"))
+    parts = {
+        "all": make(found), "without_marked": make(found.where(~marked)), "marked_only": make(found.where(marked)), "beyond_chance": beyond(None), "beyond_chance_within_quartiles": beyond(strata),
+        "equal_bodies": I.body_purity(found, labels).select(F.col("purity").alias("value")),
+    }
     rows = [df.select(F.lit(k).alias("variant"), r6("value").alias("value")) for k, df in parts.items()]
-    return rows[0].unionByName(rows[1]).unionByName(rows[2]).unionByName(rows[3])
+    return reduce(lambda a, b: a.unionByName(b), rows)
 
 
 @query(f"""WITH RECURSIVE {edges_sql(10)}, reach AS (SELECT DISTINCT node, node AS seen FROM s UNION SELECT reach.node, s.other FROM reach JOIN s ON reach.seen = s.node), lab AS (SELECT node, min(seen) AS component FROM reach GROUP BY node),

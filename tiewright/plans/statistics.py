@@ -85,8 +85,8 @@ def leave_one_body_out(spark, d):
 
 @query()
 def label_permutation(spark, d):
-    found = I.label_permutation(edges(spark, d), segment_labels(spark, d), draws=100)
-    return found.withColumns({c: r6(c) for c in ("observed", "mean", "sd", "p")})
+    found = I.label_permutation(edges(spark, d), segment_labels(spark, d), draws=2000)
+    return found.withColumns({c: r6(c) for c in ("observed", "mean", "sd", "p", "same", "same_mean")})
 
 
 @query()
@@ -94,7 +94,7 @@ def label_permutation_stratified(spark, d):
     """Labels move within quartiles of degree only (ST10, ST13)."""
     e = edges(spark, d)
     strata = P.index_cut_quartiles(G.degrees(e).withColumn("all", F.lit(1)), "degree", ["all"]).select("node", "stratum")
-    return I.label_permutation(e, segment_labels(spark, d), draws=100, strata=strata).withColumns({c: r6(c) for c in ("observed", "mean", "sd", "p")})
+    return I.label_permutation(e, segment_labels(spark, d), draws=2000, strata=strata).withColumns({c: r6(c) for c in ("observed", "mean", "sd", "p", "same", "same_mean")})
 
 
 @query(f"""WITH {ENDS}, m AS (SELECT count(*)::DOUBLE AS m, sum(CAST(a = b AS INT)) AS same FROM en), q AS (SELECT sum(n * n)::DOUBLE AS sq FROM (SELECT a, count(*) AS n FROM en GROUP BY a)) SELECT round((same / m - sq / (m * m)) / (1 - sq / (m * m)), 6) AS observed FROM m, q""")
@@ -105,7 +105,7 @@ def label_permutation_observed(spark, d):
 @query()
 def mean_diff_permutation(spark, d):
     c = table(spark, d, "customer").where("c_mktsegment IN ('BUILDING', 'MACHINERY')")
-    return I.mean_difference_permutation(c, "c_acctbal", "c_mktsegment", draws=200)
+    return I.mean_difference_permutation(c, "c_acctbal", "c_mktsegment", draws=20_000)
 
 
 @query("""SELECT round(avg(c_acctbal) FILTER (c_mktsegment = 'BUILDING') - avg(c_acctbal) FILTER (c_mktsegment = 'MACHINERY'), 6) AS observed FROM customer""")
@@ -114,9 +114,24 @@ def mean_diff_observed(spark, d):
     return I.mean_difference_permutation(c, "c_acctbal", "c_mktsegment", draws=2).select(r6("observed").alias("observed"))
 
 
+@query(f"""WITH {ENDS} SELECT count(DISTINCT node) AS n_nodes, CASE WHEN count(DISTINCT node) >= 40 THEN 'tested' ELSE 'too few' END AS stage FROM en""")
+def stage_guard(spark, d):
+    """Whether a stage has the forty labelled nodes that a test needs (ST19)."""
+    found = edges(spark, d)
+    tested = I.label_permutation(found, segment_labels(spark, d), draws=3, least=40).select(F.when(F.col("p").isNull(), "too few").otherwise("tested").alias("stage"))
+    return I.labelled_ends(found, segment_labels(spark, d)).agg(F.countDistinct("node").alias("n_nodes")).crossJoin(F.broadcast(tested))
+
+
+@query(f"""WITH {ties_sql()}, n AS (SELECT p.person, p.body, c_mktsegment AS label FROM p JOIN customer ON c_custkey = person), k AS (SELECT body, label, count(*)::DOUBLE AS k FROM n GROUP BY 1, 2), b AS (SELECT sum(k * (k - 1) / 2) AS same, sum(k) * (sum(k) - 1) / 2 AS pairs FROM k GROUP BY body)
+  SELECT round(1 - sum(same) / sum(pairs), 6) AS observed FROM b""")
+def body_mixing_observed(spark, d):
+    """The share of mixed pairs that the draws are held against (ST5)."""
+    return I.body_mixing_permutation(ties(spark, d), segment_labels(spark, d), draws=2).select(r6("observed").alias("observed"))
+
+
 @query()
 def body_mixing_permutation(spark, d):
-    return I.body_mixing_permutation(ties(spark, d), segment_labels(spark, d), draws=100).withColumns({c: r6(c) for c in ("observed", "mean", "p")})
+    return I.body_mixing_permutation(ties(spark, d), segment_labels(spark, d), draws=2000).withColumns({c: r6(c) for c in ("observed", "mean", "p")})
 
 
 FISHER = """WITH t AS (SELECT lang, count(*) FILTER (quality = 1 AND toxic = 1) AS a, count(*) FILTER (quality = 1 AND toxic = 0) AS b, count(*) FILTER (quality = 0 AND toxic = 1) AS c, count(*) FILTER (quality = 0 AND toxic = 0) AS d FROM labels l JOIN documents x ON l.doc_id = x.doc_id GROUP BY lang),
@@ -158,7 +173,7 @@ def ols_controls(spark, d):
     """Order totals on a group and two z-scored controls."""
     lines = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.sum("l_quantity").alias("quantity"), F.count("*").alias("n_lines"))
     o = table(spark, d, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey")).withColumn("open", (F.col("o_orderstatus") == "O").cast("double"))
-    o = o.withColumns({"z_quantity": P.z_scores(o, "quantity"), "z_lines": P.z_scores(o, "n_lines")})
+    o = P.z_scores(o, {"z_quantity": "quantity", "z_lines": "n_lines"})
     return I.report_table(spark, I.least_squares(o, "o_totalprice", ["open", "z_quantity", "z_lines"]), ["term", "estimate", "std_error", "t"]).withColumns({"estimate": F.round("estimate", 2), "std_error": F.round("std_error", 2), "t": F.round("t", 3)})
 
 

@@ -41,14 +41,15 @@ def read_json_document(spark: SparkSession, path: str, schema: str) -> DataFrame
 
 
 def read_blocks(spark: SparkSession, path: str, page: str = r"([0-9]+)\.xml$") -> DataFrame:
-    """Text blocks of page XML, read block by block, with the page number from the file's path (f0025.xml: 25) (SRC5, SRC8).
+    """Text blocks of page XML, with the page number from the file's path (f0025.xml: 25) (SRC5, SRC8).
 
-    ``page`` is a pattern whose group is the number. Pages are read as UTF-8; a block that cannot be parsed gives nulls, and a
-    file without blocks gives no rows.
+    Files are cut at the blocks' ends while they are read, so no row holds more than one block, and one file may go to several
+    tasks; each block is parsed with a declared schema. ``page`` is a pattern whose group is the number. Pages are read as
+    UTF-8 whatever encoding they declare. A block that cannot be parsed gives nulls, and a file without blocks no rows.
     """
-    blocks = spark.read.format("xml").schema(ALTO_BLOCK).options(rowTag="TextBlock", mode="PERMISSIVE", encoding="UTF-8").load(path)
-    number = F.regexp_extract("_metadata.file_path", page, 1).cast("int")
-    return blocks.select(number.alias("page"), *[F.col(f"_{c}").alias(c.lower()) for c in ("HPOS", "VPOS", "WIDTH", "HEIGHT")], F.col("TextLine").alias("lines"))
+    pieces = spark.read.text(path, lineSep="</TextBlock>").select(F.regexp_extract("_metadata.file_path", page, 1).cast("int").alias("page"), F.regexp_extract("value", r"(?s)<TextBlock\b.*", 0).alias("xml"))
+    parsed = pieces.where("xml <> ''").select("page", F.from_xml(F.concat("xml", F.lit("</TextBlock>")), ALTO_BLOCK, {"rowTag": "TextBlock", "mode": "PERMISSIVE"}).alias("b"))
+    return parsed.select("page", *[F.col(f"b._{c}").alias(c.lower()) for c in ("HPOS", "VPOS", "WIDTH", "HEIGHT")], F.col("b.TextLine").alias("lines"))
 
 
 def block_lines(blocks: DataFrame) -> DataFrame:
