@@ -416,25 +416,56 @@ def test_grammar_composes_clauses():
     assert not any(g.channels("")) and not any(g.channels("idiotic weather"))
 
 
+def test_threats_want_a_target_and_can_be_denied_or_reported():
+    g = X.Grammar({}, 0, 0)
+    channel = lambda t: {c: v for c, v in zip(X.CHANNELS, g.channels(t)) if v > 0 and c != "clauses"}
+    for text in ("I will kill you", "I'll kill you", "I'm going to hurt him", "Ich werde dich töten, du", "je vais tuer elle"):
+        assert set(channel(text)) == {"threat"}, text
+    assert set(channel("I will not kill you")) == {"withdrawn"} and set(channel("he said he will kill you")) == {"withdrawn"} and set(channel('"I will kill you" he wrote')) == {"withdrawn"}
+    assert set(channel("They will beat the record")) == {"loose"} and set(channel("you will beat the old record by far")) == {"loose"}
+    assert channel("kill you") == {}
+
+
+def test_quotation_marks_stay_open_in_a_paragraph():
+    g = X.Grammar({}, 0, 0)
+    channel = lambda t: dict(zip(X.CHANNELS, g.channels(t)))
+    both = channel('"You are an idiot. You are scum" he said. You moron')
+    assert both["reported"] == pytest.approx(math.log1p(4)) and both["aimed"] == pytest.approx(math.log1p(2))
+    assert channel('"Nothing here. You are scum')["reported"] > 0 and channel('"Nothing here\nYou are scum')["aimed"] > 0
+
+
 def plain_channels(text, weights):
     """By windows over the words of each clause, without any machine."""
     sums, peak, matched = dict.fromkeys(X.CHANNELS, 0.0), 0.0, 0
-    for clause in re.split(r"[.!?;\n]+", text.lower()):
-        words = re.findall(r"[^\W\d_]*n['’]t\b|[^\W\d_]+|[\"“”„«»]", clause)
-        any_of = lambda listed, some: any(w in listed for w in some)
-        found = False
-        for i, w in enumerate(words):
-            near = words[max(0, i - X.REACH) : i]
-            heavy = max([weights.get(f"{w}$", 0.0), X.INSULTS.get(w, 0.0)] + [weights.get(w[:k], 0.0) for k in X.PREFIXES if len(w) > k])
-            if heavy > 0:
-                inside = sum(x in X.QUOTES for x in words[: i + 1]) % 2
-                kind = "negated" if any_of(X.NEGATIONS, near) else "reported" if inside or any_of(X.REPORTED, near) else "aimed" if any_of(X.TARGETS, words) else "plain"
-                sums[kind] += heavy
-                peak, found = max(peak, heavy), True
-            if w in X.THREATS and any_of(X.THREAT_MODALS, near):
-                sums["threat"] += 1
-                found = True
-        matched += found
+    for paragraph in text.lower().split("\n"):
+        quoted = 0
+        for clause in re.split(r"[.!?;]+", paragraph):
+            words = re.findall(r"[^\W\d_]*n['’]t\b|[^\W\d_]+|[\"“”„«»]", clause)
+            any_of = lambda listed, some: any(w in listed for w in some)
+            found, waiting = False, None
+
+            def kind_at(i, words=words, quoted=quoted, any_of=any_of):
+                near, inside = words[max(0, i - X.REACH) : i], (quoted + sum(x in X.QUOTES for x in words[: i + 1])) % 2
+                return "negated" if any_of(X.NEGATIONS, near) else "reported" if inside or any_of(X.REPORTED, near) else "plain"
+
+            for i, w in enumerate(words):
+                heavy = max([weights.get(f"{w}$", 0.0), X.INSULTS.get(w, 0.0)] + [weights.get(w[:k], 0.0) for k in X.PREFIXES if len(w) > k])
+                if heavy > 0:
+                    kind = kind_at(i)
+                    sums["aimed" if kind == "plain" and any_of(X.TARGETS, words) else kind] += heavy
+                    peak, found = max(peak, heavy), True
+                if waiting and w in X.TARGETS and i - waiting[0] <= X.REACH:
+                    if waiting[1] == "plain":
+                        sums["threat"] += 1
+                        sums["loose"] -= 1
+                    else:
+                        sums["withdrawn"] += 1
+                    waiting, found = None, True
+                if w in X.THREATS and any_of(X.THREAT_MODALS, words[max(0, i - X.REACH) : i]):
+                    waiting, found = (i, kind_at(i)), True
+                    sums["loose"] += waiting[1] == "plain"
+            matched += found
+            quoted += sum(x in X.QUOTES for x in words)
     sums["peak"], sums["clauses"] = peak, float(matched)
     return [math.log1p(sums[c]) if c != "peak" else sums[c] for c in X.CHANNELS]
 
@@ -442,7 +473,7 @@ def plain_channels(text, weights):
 def test_machine_against_windows():
     rng = random.Random(4)
     g = X.Grammar({"blorp$": (50, 1), "zug": (40, 2), "zugma$": (60, 0), "quar": (9, 3), "wunt$": (3, 900)}, 100, 900)
-    words = ["blorp", "zugo", "zugma", "zug", "quarry", "wunt", "idiot", "not", "isn't", "never", "said", '"', "“", "you", "she", "will", "kill", "hurt", "and", "the", "big", ".", "!", ",", "scum", "shall"]
+    words = ["blorp", "zugo", "zugma", "zug", "quarry", "wunt", "idiot", "not", "isn't", "never", "said", '"', "“", "you", "she", "will", "kill", "hurt", "and", "the", "big", ".", "!", ",", "scum", "shall", "\n", "him", "ll"]
     for _ in range(3000):
         text = " ".join(rng.choice(words) for _ in range(rng.randrange(25)))
         assert g.channels(text) == pytest.approx(plain_channels(text, g.weights)), text
@@ -459,7 +490,7 @@ def test_composition_is_the_cascade():
             for i, part in enumerate(parts):
                 states[i], tag = int(part.after[states[i], s, tag]), int(part.gives[states[i], s, tag])
             want.append(tag)
-        assert X.MACHINE.read(symbols) == (want, bool(states[-1]))
+        assert X.MACHINE.read(symbols) == (want, bool(states[-1] & 1))
 
 
 def test_toxicity_query_against_brute_force(spark):

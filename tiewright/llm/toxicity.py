@@ -1,11 +1,12 @@
 """Toxicity by a weighted finite-state pattern grammar over clauses.
 
 Words are symbols, told by their marks: insult, negation, speech, quotation mark, target, modal, violence. Five transducers
-read them: ``insult`` tags a word as an insult, ``negation`` tags an insult after a negation as negated, ``reported`` one
-after a verb of speech or inside quotation marks as reported, ``threat`` adds a tag to violence after a modal, and ``target``
-says at the end of the clause whether anybody was meant. They are arc tables, composed once into one machine (``compose``),
-which reads a clause from left to right; a clause's weight goes to channels by the tags. A document is scored by what its
-clauses matched, never by words alone.
+read them: ``insult`` tags a word as an insult and ``threat`` violence after a modal; ``negation`` tags either after a negation
+as negated, ``reported`` either after a verb of speech or inside quotation marks as reported; ``target`` tags a target that
+follows a threat, by the threat's kind, and says at the end of the clause whether anybody was meant. They are arc tables,
+composed once into one machine (``compose``), which reads a clause from left to right; a clause's weight goes to channels by
+the tags. Quotation marks stay open over the clauses of a paragraph (a line). A document is scored by what its clauses matched,
+never by words alone.
 
 The insult marks come from a trie of weighted arcs over characters. Its words and word beginnings are few seeds, and what is
 learned from labelled rows, as the log odds in toxic against other documents, less a standard error. Channels are weighed by
@@ -49,11 +50,13 @@ NEGATIONS = CONTRACTIONS | {w.replace("'", "’") for w in CONTRACTIONS} | froze
 REPORTED = frozenset("said says saying quoted wrote claimed called sagte schrieb zitiert dit disait écrit dijo dice escribió".split())
 QUOTES = frozenset('"“”„«»')
 INSULTS = {w: 2.0 for w in "idiot moron stupid scum trash loser pathetic worthless disgusting dumb dummkopf idiota estúpido imbécile crétin".split()}
-THREAT_MODALS = frozenset("will gonna shall werde vais voy".split())
+#: "ll" and "going" are what words make of "I'll" and "I'm going to".
+THREAT_MODALS = frozenset("will ll gonna going shall werde wirst wird vais va vas voy".split())
 THREATS = frozenset("kill hurt destroy beat punish töten schlagen tuer frapper matar golpear".split())
 #: How far before a match a negation or a verb of speech still governs it, in words.
 REACH = 3
-CHANNELS = ("plain", "aimed", "negated", "reported", "threat", "peak", "clauses")
+#: Threats at somebody, violence announced at nobody, and threats at somebody that are denied or reported stand apart.
+CHANNELS = ("plain", "aimed", "negated", "reported", "threat", "loose", "withdrawn", "peak", "clauses")
 
 
 def patterns_of(word: str) -> list[str]:
@@ -67,10 +70,14 @@ def weight(toxic: float, other: float, n_toxic: float, n_other: float) -> float:
     return odds - math.sqrt(1 / (toxic + 0.5) + 1 / (other + 0.5))
 
 
-#: Marks of a symbol, and tags of an output.
+#: Marks of a symbol.
 INSULT, NEGATION, REPORT, QUOTE, TARGET, MODAL, VIOLENCE = (1 << k for k in range(7))
-SYMBOLS, TAGS = 1 << 7, 8
-NONE, PLAIN, NEGATED, SAID, THREAT = 0, 1, 2, 3, 4
+SYMBOLS = 1 << 7
+#: Kinds of a match. A tag has the kind of an insult, of a threat, and of the threat that a target completes, two bits each.
+NONE, PLAIN, NEGATED, SAID = 0, 1, 2, 3
+THREAT, AIMED = 2, 4
+#: Tags that come into a transducer: none is completed before the last one.
+INCOMING = 1 << AIMED
 #: Symbols that can give a tag; a clause without any gives none.
 ACTIVE = frozenset(s for s in range(SYMBOLS) if s & (INSULT | VIOLENCE))
 
@@ -85,7 +92,7 @@ class Transducer:
 
 def transducer(states: int, arc) -> Transducer:
     """``arc(state, symbol, tag)`` -> (state, tag), for every state, symbol and tag that comes in."""
-    table = np.array([[[arc(q, s, t) for t in range(TAGS)] for s in range(SYMBOLS)] for q in range(states)])
+    table = np.array([[[arc(q, s, t) for t in range(INCOMING)] for s in range(SYMBOLS)] for q in range(states)])
     return Transducer(table[..., 0], table[..., 1])
 
 
@@ -94,6 +101,14 @@ def _countdown(mark: int):
     return lambda q, s: REACH if s & mark else max(0, q - 1)
 
 
+def _turned(tag: int, kind: int) -> int:
+    """The tag with its plain matches turned into another kind."""
+    for at in (0, THREAT):
+        if tag >> at & 3 == PLAIN:
+            tag += kind - PLAIN << at
+    return tag
+
+
 def grammar_transducers() -> dict[str, Transducer]:
     negation, reported, modal = _countdown(NEGATION), _countdown(REPORT), _countdown(MODAL)
 
@@ -101,14 +116,26 @@ def grammar_transducers() -> dict[str, Transducer]:
         """The state is the countdown and, from REACH + 1 on, the same inside quotation marks."""
         inside, left = divmod(q, REACH + 1)
         now = inside ^ bool(s & QUOTE)
-        return now * (REACH + 1) + reported(left, s), t - PLAIN + SAID if t & 3 == PLAIN and (left or now) else t
+        return now * (REACH + 1) + reported(left, s), _turned(t, SAID) if left or now else t
+
+    def target(q, s, t):
+        """The state is whether a target was named, and twice a place: of a threat that waits for one, by kind and words left."""
+        named, waits = q & 1 or int(bool(s & TARGET)), q >> 1
+        kind, left = divmod(waits - 1, REACH) if waits else (0, 0)
+        if waits and s & TARGET:
+            t, waits = t | kind + 1 << AIMED, 0
+        elif waits:
+            waits = waits - 1 if left else 0
+        if threat := t >> THREAT & 3:
+            waits = threat * REACH
+        return named + 2 * waits, t
 
     return {
         "insult": transducer(1, lambda q, s, t: (0, t | PLAIN if s & INSULT else t)),
-        "negation": transducer(REACH + 1, lambda q, s, t: (negation(q, s), t - PLAIN + NEGATED if t & 3 == PLAIN and q else t)),
+        "threat": transducer(REACH + 1, lambda q, s, t: (modal(q, s), t | PLAIN << THREAT if s & VIOLENCE and q else t)),
+        "negation": transducer(REACH + 1, lambda q, s, t: (negation(q, s), _turned(t, NEGATED) if q else t)),
         "reported": transducer(2 * (REACH + 1), speech),
-        "threat": transducer(REACH + 1, lambda q, s, t: (modal(q, s), t | THREAT if s & VIOLENCE and q else t)),
-        "target": transducer(2, lambda q, s, t: (int(q or bool(s & TARGET)), t)),
+        "target": transducer(2 * (1 + 3 * REACH), target),
     }
 
 
@@ -119,22 +146,25 @@ def compose(first: Transducer, second: Transducer) -> Transducer:
     tag = first.gives[:, None]  # (n, 1, symbols, tags)
     state = np.arange(m)[None, :, None, None]
     after = first.after[:, None] * m + second.after[state, symbols, tag]
-    return Transducer(after.reshape(n * m, SYMBOLS, TAGS), second.gives[state, symbols, tag].reshape(n * m, SYMBOLS, TAGS))
+    return Transducer(after.reshape(n * m, SYMBOLS, -1), second.gives[state, symbols, tag].reshape(n * m, SYMBOLS, -1))
 
 
 class Machine:
-    """The composed transducers: rows of arcs by state, the states after which a target was named being odd."""
+    """The composed transducers, which start without a tag: rows of arcs by state."""
 
     def __init__(self):
-        whole = None
-        for part in grammar_transducers().values():
-            whole = part if whole is None else compose(whole, part)
+        parts = list(grammar_transducers().values())
+        whole = Transducer(parts[0].after[..., :1], parts[0].gives[..., :1])
+        for part in parts[1:]:
+            whole = compose(whole, part)
         self.after: list[list[int]] = whole.after[:, :, NONE].tolist()
         self.gives: list[list[int]] = whole.gives[:, :, NONE].tolist()
+        #: By which the state of ``reported`` counts in a state of the whole.
+        self.unit = len(parts[-1].after)
 
-    def read(self, symbols: list[int]) -> tuple[list[int], bool]:
-        """(the tag of each symbol, whether a target was named) of one clause."""
-        state, tags = 0, []
+    def read(self, symbols: list[int], inside: bool = False) -> tuple[list[int], bool]:
+        """(the tag of each symbol, whether a target was named) of one clause that begins ``inside`` quotation marks or not."""
+        state, tags = self.unit * (REACH + 1) * inside, []
         for s in symbols:
             tags.append(self.gives[state][s])
             state = self.after[state][s]
@@ -205,29 +235,39 @@ class Grammar:
         """What the clauses of a text sum up to in each channel; ``insult``: other weights of the words marked as insults."""
         insult, symbol = insult or self.lexicon.weight, self.memo.__getitem__
         sums, peak, matched = dict.fromkeys(CHANNELS, 0.0), 0.0, 0
-        for clause in CLAUSE.findall(text.lower()):
-            words = WORD.findall(clause)
-            symbols = list(map(symbol, words))
-            if ACTIVE.isdisjoint(symbols):
-                continue
-            heavy = {}
-            for i, s in enumerate(symbols):
-                if s & INSULT:
-                    if (w := insult(words[i])) > 0:
-                        heavy[i] = w
-                    else:
-                        symbols[i] = s & ~INSULT
-            tags, aimed = MACHINE.read(symbols)
-            if not any(tags):
-                continue
-            matched += 1
-            channel = {PLAIN: "aimed" if aimed else "plain", NEGATED: "negated", SAID: "reported"}
-            for i, tag in enumerate(tags):
-                if tag & 3:
-                    sums[channel[tag & 3]] += heavy[i]
-                    peak = max(peak, heavy[i])
-                if tag & THREAT:
-                    sums["threat"] += 1
+        for paragraph in text.lower().split("\n"):
+            inside, quotes = False, not QUOTES.isdisjoint(paragraph)
+            for clause in CLAUSE.findall(paragraph):
+                words = WORD.findall(clause)
+                symbols = list(map(symbol, words))
+                began = inside
+                if quotes:
+                    inside ^= sum(1 for s in symbols if s & QUOTE) % 2 == 1
+                if ACTIVE.isdisjoint(symbols):
+                    continue
+                heavy = {}
+                for i, s in enumerate(symbols):
+                    if s & INSULT:
+                        if (w := insult(words[i])) > 0:
+                            heavy[i] = w
+                        else:
+                            symbols[i] = s & ~INSULT
+                tags, aimed = MACHINE.read(symbols, began)
+                if not any(tags):
+                    continue
+                matched += 1
+                channel = {PLAIN: "aimed" if aimed else "plain", NEGATED: "negated", SAID: "reported"}
+                for i, tag in enumerate(tags):
+                    if tag & 3:
+                        sums[channel[tag & 3]] += heavy[i]
+                        peak = max(peak, heavy[i])
+                    if tag >> THREAT & 3 == PLAIN:
+                        sums["loose"] += 1
+                    if tag >> AIMED == PLAIN:
+                        sums["threat"] += 1
+                        sums["loose"] -= 1
+                    elif tag >> AIMED:
+                        sums["withdrawn"] += 1
         sums["peak"], sums["clauses"] = peak, float(matched)
         return [math.log1p(sums[c]) if c != "peak" else sums[c] for c in CHANNELS]
 
