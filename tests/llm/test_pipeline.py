@@ -1,10 +1,10 @@
 """The pipeline's rows against a plain version of every stage."""
 
 import hashlib
+import random
 import re
 
 import numpy as np
-import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -18,43 +18,27 @@ from tiewright.llm.bpe import default_tokenizer
 SF = "/root/testdata/sf0.001"
 
 
-def plain_print(text, width=5, sets=8):
-    """The bits of all words of a fingerprint, as one number."""
-    words = re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text))
-    if not words:
-        return 0
-    k, top = min(width, len(words)), (1 << 64) - 1
-    hashes = [xxhash.xxh64_intdigest(" ".join(words[i : i + k]).encode(), seed=42) for i in range(len(words) - k + 1)]
+def plain_shingles(text, width=5):
+    words = re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+    k = min(width, len(words))
+    return {tuple(words[i : i + k]) for i in range(len(words) - k + 1)} if words else set()
 
-    def mixed(x, table):
-        if table:
-            x = (x + table * 0x9E3779B97F4A7C15) & top
-            x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & top
-            x = (x ^ x >> 27) * 0x94D049BB133111EB & top
-            x ^= x >> 31
-        return x
 
-    return sum(1 << 64 * t + b for t in range(sets) for b in range(64) if 2 * sum(mixed(h, t) >> b & 1 for h in hashes) > len(hashes))
+def alike(a, b):
+    return len(a & b) / len(a | b) if a or b else 1.0
 
 
-def plain_groups(ids, prints, scheme=H.WIDE):
-    """The smallest id of each text's group; links differ in few bits and agree on the counts of a grid's segments."""
-    up = list(range(len(ids)))
-
-    def root(i):
-        while up[i] != i:
-            i = up[i]
-        return i
-
-    counts = [[(p >> 2 * s & 3).bit_count() for s in range(256)] for p in prints]
-    for i in range(len(ids)):
-        for j in range(i):
-            if (prints[i] ^ prints[j]).bit_count() <= scheme.bits and any(all(counts[i][s] == counts[j][s] for s in g) for g in scheme.grids):
-                up[root(i)] = root(j)
-    least = {}
-    for i, d in enumerate(ids):
-        least[root(i)] = min(least.get(root(i), d), d)
-    return [least[root(i)] for i in range(len(ids))]
+def checked_groups(spark, rows):
+    """The kept ids of the near-dedup stage, held against all pairs: no row goes without a partner, nine of ten pairs are found."""
+    frame = spark.createDataFrame([(r.doc_id, r.text) for r in rows], "doc_id long, text string")
+    group = {r.doc_id: r.component_id for r in H.near_groups(frame, H.WIDE, 5, similarity=0.8).collect()}
+    sets = {r.doc_id: plain_shingles(r.text) for r in rows}
+    ids = sorted(sets)
+    pairs = [(a, b) for i, a in enumerate(ids) for b in ids[:i] if alike(sets[a], sets[b]) >= 0.8]
+    partner = {x for pair in pairs if group[pair[0]] == group[pair[1]] for x in pair}
+    assert all(c == d or d in partner for d, c in group.items())
+    assert sum(group[a] == group[b] for a, b in pairs) >= 0.9 * len(pairs) and pairs
+    return {d for d, c in group.items() if c == d}
 
 
 def test_stages_have_the_asked_order():
@@ -66,8 +50,8 @@ def test_run_against_plain_version(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     grammar = X.train(docs, spark.read.parquet(f"{SF}/labels.parquet"))
     rows = [r for r in docs.collect() if grammar.score(r.text) < X.CUT]
-    first = plain_groups([r.doc_id for r in rows], [plain_print(r.text) for r in rows])
-    rows = [r for r, c in zip(rows, first) if r.doc_id == c]
+    kept = checked_groups(spark, rows)
+    rows = [r for r in rows if r.doc_id in kept]
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     leaked = {x[0] for x in plain_containments([(r.doc_id, r.text) for r in rows], items)}
     rows = [r for r in rows if r.doc_id not in leaked]
@@ -101,6 +85,25 @@ def test_keep_one_of_each_group(spark):
     assert kept.columns == ["doc_id", "text", "mark"]
 
 
+def test_links_are_verified_by_shingles(spark):
+    """Pairs planted at similarities of 0.6 to 0.95: none under 0.8 is linked, and nine in ten of those above."""
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    rows, planted = [], []
+    for i in range(300):
+        words = [word() for _ in range(rng.randrange(120, 500))]
+        other, target = list(words), rng.choice([0.6, 0.7, 0.76, 0.79, 0.81, 0.85, 0.95])
+        own = plain_shingles(" ".join(words))
+        while alike(own, plain_shingles(" ".join(other))) > target + 0.02:
+            other[rng.randrange(len(other))] = word()
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(other))]
+        planted.append((alike(own, plain_shingles(" ".join(other))), 2 * i, 2 * i + 1))
+    got = {r.doc_id: r.component_id for r in H.near_groups(spark.createDataFrame(rows, "doc_id long, text string"), H.WIDE, 5, similarity=0.8).collect()}
+    assert not any(got[b] == a for s, a, b in planted if s < 0.8) and any(0.75 < s < 0.8 for s, _, _ in planted)
+    near = [got[b] == a for s, a, b in planted if s >= 0.8]
+    assert len(near) > 80 and sum(near) >= 0.9 * len(near)
+
+
 def test_results_do_not_depend_on_partitions(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     found = [{(r.doc_id, r.component_id) for r in H.near_groups(d).collect()} for d in (docs, docs.repartition(13).orderBy(F.rand(3)))]

@@ -97,6 +97,21 @@ def remixed(hashes: np.ndarray, table: int) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def shingle_hashes(text: str, width: int):
+    """Hashes of the ``width``-word shingles of a text (of all its words, if it has fewer), repeats included, STRIDE at a time."""
+    found = WORD.findall(text.encode("utf-8", "surrogatepass").translate(LOWER))
+    n = len(found)
+    if not n:
+        return
+    joined = b" ".join(found)
+    lengths = np.fromiter(map(len, found), np.int64, n)
+    ends = np.cumsum(lengths + 1) - 1
+    k, digest = min(width, n), xxhash.xxh64_intdigest
+    starts, stops = (ends - lengths)[: n - k + 1].tolist(), ends[k - 1 :].tolist()
+    for at in range(0, len(starts), STRIDE):
+        yield np.array([digest(joined[a:b], SEED) for a, b in zip(starts[at : at + STRIDE], stops[at : at + STRIDE])], np.uint64)
+
+
 def simhash(text: str, width: int = 4) -> int:
     """Fingerprint of the ``width``-word shingles of a text, repeats included; 0 for a text without words."""
     return int(simhashes(text, width, 1)[0])
@@ -104,25 +119,26 @@ def simhash(text: str, width: int = 4) -> int:
 
 def simhashes(text: str, width: int, words: int) -> np.ndarray:
     """The words of a text's fingerprint, from as many sets of hashes of its shingles."""
-    data = text.encode("utf-8", "surrogatepass").translate(LOWER)
-    found = WORD.findall(data)
-    n = len(found)
-    if not n:
-        return np.zeros(words, np.uint64)
-    joined = b" ".join(found)
-    lengths = np.fromiter(map(len, found), np.int64, n)
-    ends = np.cumsum(lengths + 1) - 1
-    k = min(width, n)
-    starts, stops = (ends - lengths)[: n - k + 1].tolist(), ends[k - 1 :].tolist()
-    digest, total, m = xxhash.xxh64_intdigest, np.zeros(64 * words, np.int64), len(starts)
-    for at in range(0, m, STRIDE):
-        hashes = np.array([digest(joined[a:b], SEED) for a, b in zip(starts[at : at + STRIDE], stops[at : at + STRIDE])], np.uint64)
+    total, m = np.zeros(64 * words, np.int64), 0
+    for hashes in shingle_hashes(text, width):
+        m += len(hashes)
         rows = np.stack([remixed(hashes, i) for i in range(words)], axis=1).view(np.uint8)
         for low in range(0, len(rows), 255):
             total += _LANES[rows[low : low + 255]].sum(axis=0, dtype=np.uint64).view(np.uint8)
     return np.packbits(2 * total > m, bitorder="little").view(np.uint64)
 
 
+def shingle_set(text: str, width: int) -> np.ndarray:
+    """The different hashes of a text's shingles, in order."""
+    return np.unique(np.concatenate([np.zeros(0, np.uint64), *shingle_hashes(text, width)]))
+
+
+def likeness(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard similarity of two sets of hashes; 1 if both are empty."""
+    shared = len(np.intersect1d(a, b, assume_unique=True))
+    return shared / (len(a) + len(b) - shared) if len(a) or len(b) else 1.0
+
+
 def _column(fp: np.ndarray) -> pa.Array:
     """Fingerprints (n, words) as a column: longs, or bytes if they have several words."""
     n, words = fp.shape
@@ -276,6 +292,8 @@ def _small_cells(key: np.ndarray, fp: np.ndarray, small: np.ndarray, most: int,
     both = np.concatenate(ends, axis=1) if ends else np.empty((2, 0), np.int64)
     if not both.shape[1]:
         return both
+    if scheme.words > 1:  # the nearest first: what is verified later should hold
+        both = both[:, np.argsort(np.bitwise_count(fp[both[0]] ^ fp[both[1]]).sum(-1), kind="stable")]
     members, place = np.unique(both, return_inverse=True)
     place = place.reshape(both.shape)
     placed, own = cells(fp[members], scheme), grid_of(key[members], scheme)
@@ -359,16 +377,56 @@ def links(distinct: DataFrame, scheme: Scheme = EXACT, block: int = BLOCK) -> Da
     return edges
 
 
-def near_groups(docs: DataFrame, scheme: Scheme = EXACT, width: int = 4, text: str = "text", key: str = "doc_id") -> DataFrame:
+def verified(edges: DataFrame, docs: DataFrame, width: int, similarity: float) -> DataFrame:
+    """The (src, dst) of ``edges`` whose texts' sets of shingles have a Jaccard similarity of ``similarity`` or more.
+
+    ``docs``: fp, body, one row for each fingerprint. Only sets of fingerprints that have an edge are made. Fingerprints with
+    many edges meet them by a bounded broadcast.
+    """
+    edges = materialize(edges.distinct(), "edges")
+    ends = edges.select(F.explode(F.array("src", "dst")).alias("fp")).distinct()
+    held = docs.join(ends, "fp", "left_semi")
+    kind = docs.schema["fp"].dataType.simpleString()
+
+    def sets(batches):
+        for batch in batches:
+            found = pa.array([shingle_set(t, width).tobytes() for t in batch.column(1).to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), found], names=["fp", "shingles"])
+
+    made = materialize(held.select("fp", "body").mapInArrow(sets, f"fp {kind}, shingles binary"), "sets")
+    met = edges
+    for end in ("src", "dst"):
+        degrees = edges.groupBy(F.col(end).alias("fp")).agg(F.count("*").alias("n"))
+        side = made.join(degrees, "fp").select(F.col("fp").alias(end), F.col("shingles").alias(f"{end}_set"), "n")
+        met = join_counted(met, side, end)
+
+    def alike(batches):
+        for batch in batches:
+            one, two = ([np.frombuffer(x, np.uint64) for x in batch.column(i).to_pylist()] for i in (2, 3))
+            keep = pa.array([likeness(a, b) >= similarity for a, b in zip(one, two)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["src", "dst"])
+
+    return materialize(met.select("src", "dst", "src_set", "dst_set").mapInArrow(alike, f"src {kind}, dst {kind}"), "verified")
+
+
+def near_groups(docs: DataFrame, scheme: Scheme = EXACT, width: int = 4, text: str = "text", key: str = "doc_id", similarity: float | None = None) -> DataFrame:
     """Per row of ``docs``: the key as doc_id, mark, fp, component (a fingerprint) and component_id, the smallest key links lead to.
 
+    With a ``similarity``, links hold only between texts whose shingles have it: those that the search leaves (a spanning
+    forest of the nearest) are compared exactly, so every text in a group has a partner there that is as similar.
     Texts without words have a fingerprint of zeros and link like others. Null texts count as empty; very long ones are
     hashed in strides. Repeated rows and repeated keys give one result each; rows with a null key get a result and lend no
     id; an empty table gives an empty result. Other columns are not read, so their names cannot clash.
     """
     rows = materialize(fingerprints(docs, width, text, key, scheme.words), "fingerprints")
-    distinct = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")), "distinct")
-    labels = components(links(distinct, scheme)).withColumnRenamed("node", "fp")
+    one = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("mark").alias("mark"))).alias("one")
+    distinct = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n"), one), "distinct")
+    found = links(distinct, scheme)
+    if similarity is not None:
+        own = docs.select(F.col(key).alias("own_id"), whole_text(text).alias("body")).withColumn("own_mark", F.xxhash64("body"))
+        texts = own.join(distinct.select("fp", "one"), F.col("own_id").eqNullSafe(F.col("one.id")) & (F.col("own_mark") == F.col("one.mark")))
+        found = verified(found, texts.select("fp", "body").dropDuplicates(["fp"]), width, similarity)
+    labels = components(found).withColumnRenamed("node", "fp")
     linked = materialize(labels.join(distinct.select("fp", "first_id"), "fp"), "linked")
     ids = linked.groupBy("component").agg(F.min("first_id").alias("component_id"), F.count("*").alias("n"))
     linked = join_counted(linked.select("fp", "component"), ids, "component")
@@ -376,13 +434,14 @@ def near_groups(docs: DataFrame, scheme: Scheme = EXACT, width: int = 4, text: s
     return join_counted(rows, materialize(labelled, "labels"), "fp").select("doc_id", "mark", "fp", "component", "component_id")
 
 
-def keep_one(docs: DataFrame, scheme: Scheme = WIDE, width: int = 5, text: str = "text", key: str = "doc_id") -> DataFrame:
+def keep_one(docs: DataFrame, scheme: Scheme = WIDE, width: int = 5, text: str = "text", key: str = "doc_id", similarity: float | None = 0.8) -> DataFrame:
     """One row of ``docs`` for each near group, with all its columns: that with the smallest key (nulls last).
 
+    A row goes only if its group has a text whose shingles are ``similarity`` alike.
     Of rows that share the smallest key, that whose text has the smaller hash stays; of rows that share key and text any one.
     Null texts count as empty, and one row of all empty texts stays. An empty table stays empty. Columns of ``docs`` may have any names.
     """
-    groups = materialize(near_groups(docs, scheme, width, text, key), "groups")
+    groups = materialize(near_groups(docs, scheme, width, text, key, similarity), "groups")
     keep = groups.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("mark").alias("mark"))).alias("x"))
     mark, own_id, own_mark = unused(docs, "mark"), unused(docs, "kept_id"), unused(docs, "kept_mark")
     keep = keep.select(F.col("x.id").alias(own_id), F.col("x.mark").alias(own_mark))
