@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tiewright.operators.ranking import global_rank
+from tiewright.operators import walks
 from tiewright.sources.tables import drop, materialize
 
 
@@ -161,14 +162,30 @@ def shortest_paths(edges: DataFrame, sources: DataFrame | None = None, max_depth
     return _union(_levels(both, sources if sources is not None else both, max_depth))
 
 
+def length_counts(edges: DataFrame, sources: DataFrame | None = None, size: int | None = None, max_depth: int = 60) -> DataFrame:
+    """(dist, n_pairs): how many pairs of a source and another node lie so far apart; only counts are kept (GR10).
+
+    Sources are all nodes unless a table with a column node is given. Without a ``size``, graphs of up to ``walks.MAX_EDGES``
+    edges are walked in blocks, larger ones level by level for about ``size`` sources at a time.
+    """
+    if size is None and (held := walks.adjacency(edges)):
+        return walks.length_counts(held, sources)
+
+    def sums(both, levels):
+        return _union(levels).where("dist > 0").groupBy("dist").agg(F.count("*").alias("n"))
+
+    return _by_batches(edges, sums, size, max_depth, sources).groupBy("dist").agg(F.sum("n").alias("n_pairs"))
+
+
 #: Sources whose paths are on disk at one time, in closeness and betweenness.
 SOURCES = 4096
 
 
-def _by_batches(edges: DataFrame, sums, size: int | None, max_depth: int) -> DataFrame:
+def _by_batches(edges: DataFrame, sums, size: int | None, max_depth: int, sources: DataFrame | None = None) -> DataFrame:
     """What ``sums(both, levels)`` gives for each batch of about ``size`` sources, the paths of a batch being deleted after it."""
     both = materialize(symmetric(edges), "both")
-    nodes = materialize(both.select("node").distinct(), "nodes")
+    nodes = both.select("node").distinct()
+    nodes = materialize(nodes if sources is None else nodes.join(sources, "node", "left_semi"), "nodes")
     count = max(1, -(-nodes.count() // (size or SOURCES)))
     parts = []
     for i in range(count):
@@ -179,7 +196,12 @@ def _by_batches(edges: DataFrame, sums, size: int | None, max_depth: int) -> Dat
 
 
 def closeness(edges: DataFrame, size: int | None = None, max_depth: int = 60) -> DataFrame:
-    """(node, closeness): (r / total) * (r / (n - 1)) over the r nodes reached, n being all nodes (GR7)."""
+    """(node, closeness): (r / total) * (r / (n - 1)) over the r nodes reached, n being all nodes (GR7).
+
+    Without a ``size``, graphs of up to ``walks.MAX_EDGES`` edges are walked in blocks, larger ones level by level.
+    """
+    if size is None and (held := walks.adjacency(edges)):
+        return walks.closeness(held)
 
     def sums(both, levels):
         return _union(levels).where("dist > 0").groupBy(F.col("source").alias("node")).agg(F.count("*").alias("r"), F.sum("dist").alias("total"))
@@ -193,8 +215,11 @@ def betweenness(edges: DataFrame, size: int | None = None, max_depth: int = 60)
 
     Dependencies are summed back from the farthest level: a node passes (1 + its dependency) times the share of its shortest
     paths to each predecessor. A level is one join and one aggregation. Sources are taken in batches of about ``size``; of a
-    batch only the sums by node are kept.
+    batch only the sums by node are kept. Without a ``size``, graphs of up to ``walks.MAX_EDGES`` edges are walked in blocks of
+    sources over the neighbours' arrays instead.
     """
+    if size is None and (held := walks.adjacency(edges)):
+        return walks.betweenness(held)
 
     def sums(both, levels):
         below, kept = None, []

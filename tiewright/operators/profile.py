@@ -57,8 +57,14 @@ def index_cut_quartiles(df: DataFrame, value: str, by: list[str]) -> DataFrame:
 
 
 def box_stats(df: DataFrame, value: str, by: str) -> DataFrame:
-    """Quartiles, and the farthest values within 1.5 quartile distances of them (AGG24)."""
-    q = df.groupBy(by).agg(*[F.percentile(value, p).alias(n) for n, p in (("q1", 0.25), ("median", 0.5), ("q3", 0.75))])
+    """Interpolated quartiles, and the farthest values within 1.5 quartile distances of them (AGG24); null groups are left out.
+
+    The quartiles lie between the values at two places of the sorted group, which running counts over ranges find.
+    """
+    ends = {f"__{q}{side}": lambda n, p=p, f=f: f((n - 1) * p) for q, p in (("q1", 0.25), ("median", 0.5), ("q3", 0.75)) for side, f in (("lo", F.floor), ("hi", F.ceil))}
+    found = values_at(df.where(F.col(by).isNotNull()), value, [by], ends)
+    between = lambda q, p: F.col(f"__{q}lo") + ((F.col("n") - 1) * p - F.floor((F.col("n") - 1) * p)) * (F.col(f"__{q}hi") - F.col(f"__{q}lo"))
+    q = found.select(by, *[between(name, p).alias(name) for name, p in (("q1", 0.25), ("median", 0.5), ("q3", 0.75))])
     reach = 1.5 * (F.col("q3") - F.col("q1"))
     inside = df.join(q, by).where(F.col(value).between(F.col("q1") - reach, F.col("q3") + reach))
     return inside.groupBy(by).agg(*[F.first(c).alias(c) for c in ("q1", "median", "q3")], F.min(value).alias("low"), F.max(value).alias("high"), F.count("*").alias("n_inside"))

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tiewright.operators.scan import Scan, in_ranges, scanned
 from tiewright.sources.tables import materialize
 
 
@@ -23,14 +27,19 @@ def global_rank(df: DataFrame, order: list[Column], out: str = "rank") -> DataFr
     return local.join(F.broadcast(before), "__part").withColumn(out, F.col("__n") + F.col("__before")).drop("__part", "__n", "__before", *names)
 
 
-def values_at(df: DataFrame, value: str, by: list[str], places: dict[str, float]) -> DataFrame:
+def values_at(df: DataFrame, value: str, by: list[str], places: dict[str, float | Callable[[Column], Column]]) -> DataFrame:
     """(by, n, name...): in each group the value at place floor(f * n), from 0, of the sorted values, for each name and f.
 
-    Equal values are counted before anything is sorted, and running sums of the counts find the places; no group is ever
-    gathered in one row. Null values are left out.
+    Instead of a number f, a place may be a function of the column n. Equal values are counted before anything is sorted; the
+    counts are dealt by ranges of group and value, and running sums over the ranges find the places: neither a row nor a task
+    holds a whole group, however few groups there are. Null values are left out, null groups are groups.
     """
     counts = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("__v")).agg(F.count("*").alias("__c"))
-    w = Window.partitionBy(*by)
-    running = counts.withColumn("__run", F.sum("__c").over(w.orderBy("__v").rowsBetween(Window.unboundedPreceding, 0))).withColumn("__n", F.sum("__c").over(w))
-    found = [F.min(F.when(F.col("__run") > F.floor(F.col("__n") * f), F.col("__v"))).alias(name) for name, f in places.items()]
-    return running.groupBy(*by).agg(F.max("__n").alias("n"), *found)
+    ranged = in_ranges(counts, [*by, "__v"])
+    running = scanned(ranged, __run=Scan("sum", F.col("__c"), True, tuple(by)))
+    groups = [F.col(c).alias(f"__g{i}") for i, c in enumerate(by)]
+    totals = counts.groupBy(*groups).agg(F.sum("__c").alias("__n"))
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"__g{i}")) for i, c in enumerate(by)], F.lit(True))
+    at = {name: f(F.col("__n")) if callable(f) else F.floor(F.col("__n") * f) for name, f in places.items()}
+    found = [F.min(F.when(F.col("__run") > place, F.col("__v"))).alias(name) for name, place in at.items()]
+    return running.join(totals, same).groupBy(*by).agg(F.max("__n").alias("n"), *found)

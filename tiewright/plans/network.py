@@ -121,7 +121,7 @@ def closeness(spark, d):
 
 @query(f"WITH RECURSIVE {PATHS} SELECT dist, count(*) AS n_pairs, round(count(*)::DOUBLE / sum(count(*)) OVER (), 6) AS share FROM dist WHERE dist > 0 GROUP BY dist")
 def path_lengths(spark, d):
-    found = G.shortest_paths(small_graph(spark, d)).where("dist > 0").groupBy("dist").agg(F.count("*").alias("n_pairs"))
+    found = G.length_counts(small_graph(spark, d))
     return found.withColumn("share", F.round(F.col("n_pairs") / F.sum("n_pairs").over(Window.partitionBy()), 6))
 
 
@@ -130,7 +130,7 @@ def path_lengths_sampled(spark, d):
     """Distances from 120 nodes chosen by a seeded hash (FIL10)."""
     edges = small_graph(spark, d)
     chosen = G.degrees(edges).select("node").orderBy(F.md5(F.concat(F.lit("11:"), F.col("node").cast("string"))), "node").limit(120)
-    return G.shortest_paths(edges, chosen).where("dist > 0").groupBy("dist").agg(F.count("*").alias("n_pairs"))
+    return G.length_counts(edges, chosen)
 
 
 LEVELS = 9
