@@ -325,3 +325,22 @@ def test_a_missing_key_stops_the_query(spark):
     assert R.join_required(left.where("k = 1"), index, "k", "v").first().v == "a"
     with pytest.raises(Exception, match="no v for k 2"):
         R.join_required(left, index, "k", "v").collect()
+
+
+def test_vocabulary_within_edits_against_all_pairs(spark):
+    rng = random.Random(9)
+    words = ["".join(rng.choice("abc") for _ in range(rng.randrange(8))) for _ in range(250)] + [None, "abcab", "abcab"]
+    rules = [("x", "abcab", 0), ("y", "abcab", 2), ("z", "cba", 1), ("z", "bbacabb", 3), ("z", "bbacabb", 3)]
+
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row, old = [i], row
+            for j, y in enumerate(b, 1):
+                row.append(min(row[-1] + 1, old[j] + 1, old[j - 1] + (x != y)))
+        return row[-1]
+
+    found = R.vocabulary_hits(spark.createDataFrame([(i, w) for i, w in enumerate(words)], "i int, word string"), rules)
+    want = sorted((i, label, anchor) for i, w in enumerate(words) if w is not None for label, anchor, k in set(rules) if edits(w, anchor) <= k)
+    assert sorted((r.i, r.label, r.anchor) for r in found.collect()) == want != []
+    assert "NestedLoop" not in found._jdf.queryExecution().executedPlan().toString()

@@ -102,12 +102,33 @@ def best_overlap(items: DataFrame, spans: DataFrame, on: list[str]) -> DataFrame
     return best.select("item", "x.span", "x.overlap")
 
 
+def deletions(word: Column, most: Column | int, bound: int) -> Column:
+    """The word and every form of it with up to ``most`` letters deleted, ``most`` being at most ``bound``."""
+    most = F.lit(most) if isinstance(most, int) else most
+    out = F.array(word)
+    for k in range(1, bound + 1):
+        longer = F.array_distinct(F.flatten(F.transform(out, deletion_signatures)))
+        out = F.when(most >= k, longer).otherwise(out)
+    return out
+
+
 def vocabulary_hits(tokens: DataFrame, rules: list[tuple[str, str, int]], word: str = "word") -> DataFrame:
-    """``tokens`` with each rule (label, anchor, distance) that a word is within the distance of (JN18, FN38)."""
+    """``tokens`` with each rule (label, anchor, most) that a word is within the edit distance ``most`` of, 0 to 3 (JN18, FN38).
+
+    Words within k edits share a form with up to k letters deleted on either side: anchors and different words meet on such
+    forms by an equal join, and only those that meet are compared. Words too short or too long for every rule are not
+    looked at. Null words match nothing; rules that say the same count once.
+    """
+    bound = max((k for _, _, k in rules), default=0)
+    if not 0 <= bound <= 3 or not rules:
+        raise ValueError("rules are needed, with distances of 0 to 3")
     spark = tokens.sparkSession
-    table = spark.range(1).select(F.explode(F.array(*[F.struct(F.lit(a).alias("label"), F.lit(b).alias("anchor"), F.lit(k).alias("most")) for a, b, k in rules])).alias("r")).select("r.*")
-    near = (F.abs(F.char_length(word) - F.char_length("anchor")) <= F.col("most")) & (F.levenshtein(F.col(word), F.col("anchor")) <= F.col("most"))
-    return tokens.join(F.broadcast(table), near)
+    shortest, longest = min(len(a) - k for _, a, k in rules), max(len(a) + k for _, a, k in rules)
+    forms = spark.createDataFrame(sorted(set(rules)), "label string, anchor string, most int").withColumn("form", F.explode(deletions(F.col("anchor"), F.col("most"), bound)))
+    words = tokens.select(F.col(word).alias("__word")).where(F.char_length("__word").between(shortest, longest)).distinct()
+    met = words.withColumn("form", F.explode(deletions(F.col("__word"), bound, bound))).join(F.broadcast(forms), "form")  # a rule's forms: 300 at 12 letters
+    hits = met.where(F.levenshtein("__word", "anchor") <= F.col("most")).select("__word", "label", "anchor", "most").distinct()
+    return tokens.join(hits, F.col(word) == F.col("__word")).drop("__word")
 
 
 def merge_measures(left: DataFrame, right: DataFrame, key: str) -> DataFrame:

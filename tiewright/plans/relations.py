@@ -120,13 +120,14 @@ def interval_overlap_argmax(spark, d):
     return R.best_overlap(items, spans, ["g"]).withColumn("overlap", F.round("overlap", 6))
 
 
-RULES = [("th", "there", 1), ("th", "that", 1), ("and", "andere", 2), ("on", "onion", 1), ("her", "heresy", 2)]
+RULES = [("th", "there", 1), ("th", "that", 1), ("and", "andere", 2), ("on", "onion", 1), ("her", "heresy", 2), ("pass", "password", 3), ("are", "are", 0)]
 
 
-@query("""WITH w AS (SELECT item_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM benchmark), r(label, anchor, most) AS (VALUES ('th', 'there', 1), ('th', 'that', 1), ('and', 'andere', 2), ('on', 'onion', 1), ('her', 'heresy', 2))
-  SELECT label, anchor, word, count(*) AS n FROM w JOIN r ON levenshtein(word, anchor) <= most GROUP BY 1, 2, 3""")
+@query(f"""WITH w AS (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM documents), c AS (SELECT word, count(*) AS n FROM w GROUP BY 1), r(label, anchor, most) AS (VALUES {', '.join(f"('{a}', '{b}', {k})" for a, b, k in RULES)})
+  SELECT label, anchor, word, n FROM c JOIN r ON levenshtein(word, anchor) <= most""")
 def fuzzy_vocabulary(spark, d):
-    words = table(spark, d, "benchmark").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), 0)).alias("word"))
+    """Words of all documents within a few edits of a rule's anchor (JN18, FN38)."""
+    words = table(spark, d, "documents").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), 0)).alias("word"))
     return R.vocabulary_hits(words, RULES).groupBy("label", "anchor", "word").agg(F.count("*").alias("n"))
 
 
