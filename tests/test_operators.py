@@ -344,3 +344,20 @@ def test_vocabulary_within_edits_against_all_pairs(spark):
     want = sorted((i, label, anchor) for i, w in enumerate(words) if w is not None for label, anchor, k in set(rules) if edits(w, anchor) <= k)
     assert sorted((r.i, r.label, r.anchor) for r in found.collect()) == want != []
     assert "NestedLoop" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("block", [1000, 7])
+def test_pairs_of_a_large_key_come_in_squares(spark, block):
+    from tiewright.operators.pairs import self_pairs
+
+    held = {(k, i) for k in range(30) for i in range(k % 5)} | {(99, i) for i in range(60)}
+    found = self_pairs(spark.createDataFrame([*sorted(held), (None, 3)], "k int, i int"), "k", "i", block)
+    want = sorted((k, a, b) for k, a in held for m, b in held if k == m and a != b)
+    assert sorted(map(tuple, found.collect())) == want
+
+
+def test_matched_on_one_basis(spark):
+    values, members = spark.createDataFrame([(i, float(i)) for i in range(6)], "node int, v double"), spark.createDataFrame([(i,) for i in range(5)], "node int")
+    labels = spark.createDataFrame([(i, "ab"[i % 2], "stated" if i < 4 else "name") for i in range(6)], "node int, label string, basis string")
+    assert sorted(map(tuple, I.matched_means(values, members, labels, "v", "stated").collect())) == [("a", 2, 1.0), ("b", 2, 2.0)]
+    assert sorted(map(tuple, I.matched_means(values, members, labels, "v").collect())) == [("a", 3, 2.0), ("b", 2, 2.0)]

@@ -8,8 +8,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tiewright.operators.ranking import global_rank
 from tiewright.operators import walks
+from tiewright.operators.pairs import self_pairs
+from tiewright.operators.ranking import global_rank
 from tiewright.sources.tables import drop, materialize
 
 
@@ -252,8 +253,7 @@ def ego_redundancy(ties: DataFrame, brokers: DataFrame) -> DataFrame:
     """(person, n_bodies, n_pairs, n_redundant): a broker's pairs of bodies, and those that share another member (GR20, JN19)."""
     distinct = ties.select("person", "body").distinct()
     own = distinct.join(brokers.select("person").distinct(), "person")
-    a, b = own.select("person", F.col("body").alias("b1")), own.select("person", F.col("body").alias("b2"))
-    pairs = a.join(b, "person").where("b1 < b2")
+    pairs = self_pairs(own, "person", "body").where("a < b").select("person", F.col("a").alias("b1"), F.col("b").alias("b2"))
     left = pairs.join(distinct.select(F.col("body").alias("b1"), F.col("person").alias("other")), "b1").where("other <> person")
     linked = left.join(distinct.select(F.col("body").alias("b2"), F.col("person").alias("other")), ["b2", "other"]).select("person", "b1", "b2").distinct()
     n_pairs = pairs.groupBy("person").agg(F.count("*").alias("n_pairs"))

@@ -451,7 +451,12 @@ def battery(edges: DataFrame, attributes: dict[str, DataFrame], least: int = 30)
     return kept.select("attribute", "n_groups", (m / 2).cast("long").alias("n_edges"), ((s / m - e) / (1 - e)).alias("r"), ((m - 2 * s) / m).alias("ei"))
 
 
-def matched_means(values: DataFrame, members: DataFrame, labels: DataFrame, value: str) -> DataFrame:
-    """(label, n, mean) of a node measure among ``members`` (node) that have labels: like is compared with like (ST17, GR22)."""
-    kept = values.join(members.select("node").distinct(), "node", "left_semi").join(labels, "node")
+def matched_means(values: DataFrame, members: DataFrame, labels: DataFrame, value: str, basis: str | None = None) -> DataFrame:
+    """(label, n, mean) of a node measure among ``members`` (node) that have labels: like is compared with like (ST17, GR22).
+
+    With a ``basis``, only labels that rest on this one (a column ``basis`` of ``labels``) are compared.
+    """
+    if basis is not None:
+        labels = labels.where(F.col("basis") == basis)
+    kept = values.join(members.select("node").distinct(), "node", "left_semi").join(labels.select("node", "label"), "node")
     return kept.groupBy("label").agg(F.count("*").alias("n"), F.avg(value).alias("mean"))

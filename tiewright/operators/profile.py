@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tiewright.operators.pairs import self_pairs
 from tiewright.operators.ranking import values_at
 
 
@@ -74,8 +75,7 @@ def conditional_matrix(held: DataFrame, holder: str, item: str) -> DataFrame:
     """(row_item, col_item, n, share): holders of the row's item who also hold the column's; no diagonal (AGG13)."""
     distinct = held.select(holder, item).distinct()
     totals = distinct.groupBy(item).agg(F.count("*").alias("total"))
-    a, b = distinct.select(holder, F.col(item).alias("row_item")), distinct.select(holder, F.col(item).alias("col_item"))
-    both = a.join(b, holder).where("row_item <> col_item").groupBy("row_item", "col_item").agg(F.count("*").alias("n"))
+    both = self_pairs(distinct, holder, item).groupBy(F.col("a").alias("row_item"), F.col("b").alias("col_item")).agg(F.count("*").alias("n"))
     return both.join(totals, both.row_item == totals[item]).select("row_item", "col_item", "n", (F.col("n") / F.col("total")).alias("share"))
 
 

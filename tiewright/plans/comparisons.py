@@ -103,6 +103,17 @@ def matched_comparison(spark, d):
     return I.matched_means(G.degrees(edges), members, segment_labels(spark, d), "degree").withColumn("mean", r6("mean"))
 
 
+@query(f"""WITH RECURSIVE {edges_sql(10)}, reach AS (SELECT DISTINCT node, node AS seen FROM s UNION SELECT reach.node, s.other FROM reach JOIN s ON reach.seen = s.node), lab AS (SELECT node, min(seen) AS component FROM reach GROUP BY node),
+  z AS (SELECT component FROM lab GROUP BY component ORDER BY count(*) DESC, component LIMIT 1)
+  SELECT c_mktsegment AS label, count(*) AS n, round(avg(degree), 6) AS mean FROM deg JOIN customer ON c_custkey = deg.node WHERE deg.node IN (SELECT node FROM lab WHERE component IN (SELECT component FROM z)) AND regexp_matches(CAST(c_custkey AS VARCHAR), '[0-4]$') AND c_acctbal >= 0 GROUP BY 1""")
+def matched_comparison_one_basis(spark, d):
+    """Mean degree by label within the giant component, among labels that rest on the same evidence only (ST17)."""
+    edges = small_graph(spark, d)
+    basis = F.when(~F.col("c_custkey").cast("string").rlike("[0-4]$"), "name").when(F.col("c_acctbal") < 0, "place").otherwise("stated")
+    labels = table(spark, d, "customer").select(F.col("c_custkey").alias("node"), F.col("c_mktsegment").alias("label"), basis.alias("basis"))
+    return I.matched_means(G.degrees(edges), C.giant(C.components(edges)), labels, "degree", "stated").withColumn("mean", r6("mean"))
+
+
 @query(f"""WITH bb AS ({NETWORK_SQL['betweenness']}), {edges_sql(10)} SELECT degree, count(*) AS n, round(list_sort(list(betweenness))[count(*) // 2 + 1], 6) AS upper_median FROM bb JOIN deg ON bb.node = deg.node GROUP BY degree HAVING count(*) >= 5""")
 def degree_vs_betweenness(spark, d):
     """The upper median of betweenness at each degree that five nodes have (GR21)."""
