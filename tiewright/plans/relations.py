@@ -109,6 +109,18 @@ def canonicalise_subset(spark, d):
     return R.canonical_names(names, ["small", "economy"])
 
 
+@query(f"""WITH m AS ({ORACLES['canonicalise_subset']}), t AS (SELECT l_suppkey, CASE l_linenumber % 3 WHEN 0 THEN p_name WHEN 1 THEN concat_ws(' ', p_name, lower(p_type)) ELSE concat_ws(' ', p_name, lower(p_type), lower(p_brand)) END AS name FROM lineitem JOIN part ON p_partkey = l_partkey),
+  r AS (SELECT DISTINCT l_suppkey AS supplier, coalesce(canonical, t.name) AS body FROM t LEFT JOIN m ON m.name = t.name) SELECT body, count(*) AS n_suppliers FROM r GROUP BY body""")
+def rewritten_ties(spark, d):
+    """Ties of suppliers to goods under printed names, rewritten to the canonical ones; ties that become alike are one (PRJ5)."""
+    p = table(spark, d, "part").withColumns({"two": F.concat_ws(" ", "p_name", F.lower("p_type")), "three": F.concat_ws(" ", "p_name", F.lower("p_type"), F.lower("p_brand"))})
+    canonical = R.canonical_names(p.select(F.col("three").alias("name")).union(p.select("two")).union(p.select("p_name")), ["small", "economy"])
+    kind = F.col("l_linenumber") % 3
+    ties = table(spark, d, "lineitem").join(p, F.col("p_partkey") == F.col("l_partkey")).select("l_suppkey", F.when(kind == 0, F.col("p_name")).when(kind == 1, F.col("two")).otherwise(F.col("three")).alias("name"))
+    rewritten = ties.distinct().join(canonical, "name", "left").select(F.col("l_suppkey").alias("supplier"), F.coalesce("canonical", "name").alias("body")).distinct()
+    return rewritten.groupBy("body").agg(F.count("*").alias("n_suppliers"))
+
+
 @query("""WITH i AS (SELECT l_orderkey AS g, l_linenumber * 100000000 + l_orderkey AS item, min(l_quantity) AS low, max(l_quantity + l_discount * 100) AS high FROM lineitem GROUP BY 1, 2),
   s AS (SELECT l_orderkey AS g, l_partkey AS span, min(l_quantity) * 0.9 AS low, min(l_quantity) * 0.9 + 4 AS high FROM lineitem GROUP BY 1, 2),
   j AS (SELECT item, span, least(i.high, s.high) - greatest(i.low, s.low) AS overlap, abs(i.low - s.low) AS away FROM i JOIN s ON i.g = s.g)
