@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tiewright.plans import aggregates, comparisons, network, pages, records, relations, statistics, texts, volumes, windows
+from tiewright.plans import aggregates, comparisons, network, pages, records, relations, reports, statistics, texts, volumes, windows
 
-FAMILIES = (network, aggregates, windows, volumes, relations, statistics, texts, comparisons, records, pages)
+FAMILIES = (network, aggregates, windows, volumes, relations, statistics, texts, comparisons, records, pages, reports)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
