@@ -53,10 +53,10 @@ def components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds:
 
 def component_sizes(labelled: DataFrame) -> DataFrame:
     """(component, size, rank): rank 1 is the giant component, by size and then by smallest member."""
-    from pyspark.sql import Window
+    from tiewright.operators.ranking import global_rank
 
     sizes = labelled.groupBy("component").agg(F.count("*").alias("size"))
-    return sizes.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("size"), F.asc("component"))))
+    return global_rank(sizes, [-F.col("size"), F.col("component")])
 
 
 def giant(labelled: DataFrame) -> DataFrame:

@@ -250,12 +250,17 @@ def areas(value: str, top: float, floor: float = 7.0, ceiling: float = 520.0):
 
 
 def ego_redundancy(ties: DataFrame, brokers: DataFrame) -> DataFrame:
-    """(person, n_bodies, n_pairs, n_redundant): a broker's pairs of bodies, and those that share another member (GR20, JN19)."""
+    """(person, n_bodies, n_pairs, n_redundant): a broker's pairs of bodies, and those that share another member (GR20, JN19).
+
+    Two bodies of a broker share another member if two people or more are in both: pairs of bodies are counted over all
+    people once, and a broker's pairs look their counts up; members of bodies are never paired with pairs.
+    """
     distinct = ties.select("person", "body").distinct()
     own = distinct.join(brokers.select("person").distinct(), "person")
-    pairs = self_pairs(own, "person", "body").where("a < b").select("person", F.col("a").alias("b1"), F.col("b").alias("b2"))
-    left = pairs.join(distinct.select(F.col("body").alias("b1"), F.col("person").alias("other")), "b1").where("other <> person")
-    linked = left.join(distinct.select(F.col("body").alias("b2"), F.col("person").alias("other")), ["b2", "other"]).select("person", "b1", "b2").distinct()
+    named = lambda rows: self_pairs(rows, "person", "body").where("a < b").select("person", F.col("a").alias("b1"), F.col("b").alias("b2"))
+    pairs = named(own)
+    shared = named(distinct).groupBy("b1", "b2").agg(F.count("*").alias("n")).where("n > 1").select("b1", "b2")
+    linked = pairs.join(shared, ["b1", "b2"])
     n_pairs = pairs.groupBy("person").agg(F.count("*").alias("n_pairs"))
     return (
         own.groupBy("person").agg(F.count("*").alias("n_bodies"))
