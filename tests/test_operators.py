@@ -361,3 +361,10 @@ def test_matched_on_one_basis(spark):
     labels = spark.createDataFrame([(i, "ab"[i % 2], "stated" if i < 4 else "name") for i in range(6)], "node int, label string, basis string")
     assert sorted(map(tuple, I.matched_means(values, members, labels, "v", "stated").collect())) == [("a", 2, 1.0), ("b", 2, 2.0)]
     assert sorted(map(tuple, I.matched_means(values, members, labels, "v").collect())) == [("a", 3, 2.0), ("b", 2, 2.0)]
+
+
+def test_components_ranked_by_size(spark):
+    from tiewright.operators.components import component_sizes
+
+    labelled = spark.createDataFrame([(i, c) for i, c in enumerate([1, 1, 5, 5, 9])], "node int, component int")
+    assert sorted((r.component, r.size, r["rank"]) for r in component_sizes(labelled).collect()) == [(1, 2, 1), (5, 2, 2), (9, 1, 3)]

@@ -225,7 +225,11 @@ class Deck:
 
 
 def _summed(rows: DataFrame, draws: int, width: int, add) -> DataFrame:
-    """(draw, code, n): what ``add(batch, draws, sums)`` adds to the columns of ``sums``, over all rows; one row a task and pair."""
+    """(draw, code, n): what ``add(batch, draws, sums)`` adds to the columns of ``sums``, over all rows; one row a task and pair.
+
+    Rows are a few numbers each and their work is in the draws, so they are dealt out to all cores, however few they are.
+    """
+    rows = rows.repartition(rows.sparkSession.sparkContext.defaultParallelism)
 
     def run(batches):
         sums = np.zeros((draws, width))
