@@ -6,6 +6,7 @@ from tiewright.functions import fixed_values as V
 from tiewright.functions import names as N
 from tiewright.functions import records as R
 from tiewright.functions import text as T
+from tiewright.plans import records as P
 from tests.goldens import CASES
 
 def entries(spark, cases=CASES):
@@ -74,3 +75,12 @@ def test_dates_with_day_and_month(spark):
     texts = {"12 mai 1861, Lyon": (12, 5, 1861), "1er juill. 1S76": (1, 7, 1876), "juin 1880": (None, 6, 1880), "3 août 1799": (3, 8, 1799), "en 1.870": (None, None, 1870), "12 rue de Rome": None, "1.8(i6": None, "5 déc. 1901": (5, 12, 1901)}
     frame = spark.createDataFrame([(t,) for t in texts], "t string").select("t", T.first_date(F.col("t")).alias("d"))
     assert {r.t: (r.d.day, r.d.month, r.d.year) if r.d else None for r in frame.collect()} == texts
+
+
+def test_officers_read_names_once_on_all_cores(spark):
+    assert P.customers(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= 8
+    texts = [("a", "Anc. prés., M. Faure; v.-prés. d'honn., M. Girod; rien; secr. gén., M. Moreau, prés."), ("b", None)]
+    rows = N.officers(spark.createDataFrame(texts, "body string, text string"), "text")
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("FRERES") == 1  # the key of a name
+    assert sorted((r.role, r.name) for r in rows.collect()) == [("honorary_vice_president", "Girod"), ("past_president", "Faure"), ("secretary_general", "Moreau")]

@@ -17,7 +17,7 @@ from tiewright.functions import text as T
 from tiewright.operators import label as L
 from tiewright.operators import resolve as X
 from tiewright.plans.windows import LINES, lines
-from tiewright.sources.tables import table
+from tiewright.sources.tables import spread, table
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -90,7 +90,7 @@ def filled(template: str) -> Column:
 
 def customers(spark, d) -> DataFrame:
     """Each customer with k, t, j and the fields of its entry."""
-    n = table(spark, d, "customer").selectExpr("c_custkey AS k", "c_custkey % 24 AS t", "CAST(floor(c_custkey / 24.0) AS BIGINT) AS j")
+    n = spread(table(spark, d, "customer").select("c_custkey"), "c_custkey").selectExpr("c_custkey AS k", "c_custkey % 24 AS t", "CAST(floor(c_custkey / 24.0) AS BIGINT) AS j")
     return n.selectExpr("k", "t", "j", *[f"{sql} AS {name}" for name, sql in FIELDS.items()])
 
 
