@@ -195,6 +195,18 @@ def test_resolution_never_guesses(spark):
     assert got == {"a": (1, "resolved", 1), "b": (None, "ambiguous", 2), "c": (4, "resolved_fuzzy", 1), "d": (None, "unmatched", 0), "e": (None, "ambiguous", 2), "f": (1, "resolved_fuzzy", 1)}
 
 
+def test_mentions_do_not_meet_every_entity_of_a_key(spark):
+    """Keys that many entities share; words near several keys, whose entities are counted once."""
+    index = spark.range(1000).select(F.col("id").alias("entity"), F.explode(F.array(F.lit("SHARED"), F.when(F.col("id") % 2 == 0, "SHAREX").otherwise("OTHER"))).alias("key"))
+    mentions = spark.range(3000).select(F.col("id").alias("mention"), F.element_at(F.array(F.lit("SHARED"), F.lit("SHAREY"), F.lit("OTHERS")), (F.col("id") % 3 + 1).cast("int")).alias("name_key"))
+    sc = spark.sparkContext._jsc.sc()
+    written = lambda: sum(sc.statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), None).apply(i).shuffleWriteRecords() for i in range(sc.statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), None).size()))
+    before = written()
+    got = R.resolve(mentions, index).groupBy(F.col("mention") % 3, "entity", "resolution", "n_candidates").count().collect()
+    assert written() - before < 200_000  # not a row for each mention and entity
+    assert sorted(tuple(r) for r in got) == [(0, None, "ambiguous", 1000, 1000), (1, None, "ambiguous_fuzzy", 1000, 1000), (2, None, "ambiguous_fuzzy", 500, 1000)]
+
+
 def test_signatures_meet_within_one_edit(spark):
     rng = random.Random(4)
     words = [("".join(rng.choice("ABC") for _ in range(rng.randrange(1, 6)))) for _ in range(60)]

@@ -48,28 +48,49 @@ def resolve(mentions: DataFrame, index: DataFrame, exact_least: int = 3, fuzzy_l
     The whole name is tried first, then its words of ``exact_least`` letters in order; the first with any candidate decides
     (JN8). Names without an exact candidate are tried word by word within one edit, among words and keys of ``fuzzy_least``
     letters (JN9). One candidate resolves, several are ambiguous and give no entity, none is unmatched (JN10).
+
+    Mentions meet keys, never the entities behind a key: those are counted once for a key, or a set of keys.
     """
     index = index.select("entity", "key").distinct()
+    held = index.groupBy("key").agg(F.count("*").alias("n_candidates"), F.min("entity").alias("entity"))
     words = F.filter(F.split("name_key", " "), lambda w: F.char_length(w) >= exact_least)
     tries = mentions.select("mention", F.posexplode(F.concat(F.array("name_key"), words)).alias("place", "key"))
 
     def decide(hits: DataFrame, suffix: str) -> DataFrame:
-        best = hits.groupBy("mention").agg(F.min("place").alias("place"))
-        chosen = hits.join(best, ["mention", "place"]).groupBy("mention").agg(F.countDistinct("entity").alias("n_candidates"), F.min("entity").alias("entity"))
+        """The keys (an array) of each mention's first place: hits are (mention, place, keys)."""
+        places = hits.groupBy("mention", "place").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("keys")))).alias("keys"))
+        chosen = places.groupBy("mention").agg(F.min_by("keys", "place").alias("keys"))
+        single = chosen.where(F.size("keys") == 1).select("mention", F.get("keys", F.lit(0)).alias("key")).join(held, "key").select("mention", "n_candidates", "entity")
+        several = chosen.where(F.size("keys") > 1)
+        found = single.unionByName(several.join(entities_of(several.select("keys").distinct(), index), "keys").select("mention", "n_candidates", "entity"))
         one = F.col("n_candidates") == 1
-        return chosen.select("mention", F.when(one, F.col("entity")).alias("entity"), F.when(one, f"resolved{suffix}").otherwise(f"ambiguous{suffix}").alias("resolution"), "n_candidates")
+        return found.select("mention", F.when(one, F.col("entity")).alias("entity"), F.when(one, f"resolved{suffix}").otherwise(f"ambiguous{suffix}").alias("resolution"), "n_candidates")
 
-    exact = decide(tries.join(index, "key"), "")
+    exact = decide(tries.join(held.select("key"), "key").select("mention", "place", F.array("key").alias("keys")), "")
     left = mentions.join(exact, "mention", "left_anti")
     words = F.filter(F.split("name_key", " "), lambda w: F.char_length(w) >= fuzzy_least)
-    loose = left.select("mention", F.posexplode(words).alias("place", "word")).select("mention", "place", "word", F.explode(deletion_signatures(F.col("word"))).alias("sign"))
-    signs = index.where(F.char_length("key") >= fuzzy_least).select("entity", "key", F.explode(deletion_signatures(F.col("key"))).alias("sign"))
-    near = loose.join(signs, "sign").where(F.levenshtein("word", "key", 1) >= 0).select("mention", "place", "entity").distinct()
-    fuzzy = decide(near, "_fuzzy")
+    loose = left.select("mention", F.posexplode(words).alias("place", "word"))
+    tried = loose.select("word").distinct().select("word", F.explode(deletion_signatures(F.col("word"))).alias("sign"))
+    signs = held.where(F.char_length("key") >= fuzzy_least).select("key", F.explode(deletion_signatures(F.col("key"))).alias("sign"))
+    near = tried.join(signs, "sign").where(F.levenshtein("word", "key", 1) >= 0).groupBy("word").agg(F.array_sort(F.collect_set("key")).alias("keys"))
+    fuzzy = decide(loose.join(near, "word").select("mention", "place", "keys"), "_fuzzy")
     found = exact.unionByName(fuzzy)
     return mentions.select("mention").join(found, "mention", "left").select("mention", "entity", F.coalesce("resolution", F.lit("unmatched")).alias("resolution"), F.coalesce("n_candidates", F.lit(0)).alias("n_candidates"))
 
 
+def entities_of(sets: DataFrame, index: DataFrame) -> DataFrame:
+    """(keys, n_candidates, entity) for distinct sets of keys (arrays): how many entities have any of the keys, and the least.
+
+    Entities that have the same keys among those of all sets are counted together first, so that a set meets classes of
+    entities and not each entity.
+    """
+    asked = sets.select("keys", F.explode("keys").alias("key"))
+    classes = index.join(asked.select("key").distinct(), "key").groupBy("entity").agg(F.array_sort(F.collect_set("key")).alias("had"))
+    classes = classes.groupBy("had").agg(F.count("*").alias("n"), F.min("entity").alias("entity"))
+    met = asked.join(classes.select("had", "n", "entity", F.explode("had").alias("key")), "key").select("keys", "had", "n", "entity").distinct()
+    return met.groupBy("keys").agg(F.sum("n").alias("n_candidates"), F.min("entity").alias("entity"))
+
+
 def canonical_names(names: DataFrame, generic: list[str], least: int = 2) -> DataFrame:
     """(name, canonical) for distinct names: a name whose distinctive words all occur in an earlier one becomes that one (JN12).
 
