@@ -120,3 +120,10 @@ def test_regression_with_large_means(spark):
         assert abs(b - bb) < 1e-5 and abs(s - ss) < 1e-5
     assert all(math.isnan(t[1]) for t in I.least_squares(frame.selectExpr("x", "2 * x AS z", "y"), "y", ["x", "z"]))
     assert all(math.isnan(t[1]) for t in I.least_squares(frame.selectExpr("x", "1 AS z", "y"), "y", ["x", "z"]))
+
+
+def test_no_edges_leave_one_row_of_nulls(spark):
+    edges = spark.createDataFrame([], "src long, dst long")
+    labels = spark.createDataFrame([(1, "a"), (2, "b")], "node long, label string")
+    rows = I.label_permutation(edges, labels, draws=3).collect()
+    assert [tuple(r) for r in rows] == [(None, None, None, None, 0, None, None)]
