@@ -8,7 +8,7 @@ from tiewright.functions import names as N
 from tiewright.functions import text as T
 from tiewright.operators import label as L
 from tiewright.sources.files import view_number
-from tiewright.sources.tables import table
+from tiewright.sources.tables import spread, table
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -144,5 +144,5 @@ def headwords(spark, d):
 @query("""SELECT c_custkey, role, CASE role WHEN 'president' THEN 'Marcille' WHEN 'treasurer' THEN 'Vilatte L.-E' ELSE upper(substr(c_mktsegment, 1, 1)) || lower(substr(c_mktsegment, 2)) END AS name FROM customer, (VALUES ('president'), ('vice_president'), ('treasurer')) r(role)""")
 def officer_lists(spark, d):
     """Officers read out of made-up lists of customers' names (TF1)."""
-    c = table(spark, d, "customer").select("c_custkey", F.concat(F.lit("Prés., M. Marcille; v.-prés., M. "), F.initcap("c_mktsegment"), F.lit("; Vilatte L.-E., trés.")).alias("text"))
+    c = spread(table(spark, d, "customer").select("c_custkey", "c_mktsegment"), "c_custkey").select("c_custkey", F.concat(F.lit("Prés., M. Marcille; v.-prés., M. "), F.initcap("c_mktsegment"), F.lit("; Vilatte L.-E., trés.")).alias("text"))
     return N.officers(c, "text").select("c_custkey", "role", "name")
