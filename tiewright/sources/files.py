@@ -48,10 +48,27 @@ def read_blocks(spark: SparkSession, path: str, page: str = r"([0-9]+)\.xml$") -
     UTF-8 whatever encoding they declare. A block that cannot be parsed gives nulls, and a file without blocks no rows.
     """
     pieces = spark.read.text(path, lineSep="</TextBlock>").select(F.regexp_extract("_metadata.file_path", page, 1).cast("int").alias("page"), F.regexp_extract("value", r"(?s)<TextBlock\b.*", 0).alias("xml"))
+    return _parsed(pieces)
+
+
+def _parsed(pieces: DataFrame) -> DataFrame:
+    """Text blocks of (page, xml), each from its opening tag to before its closing one."""
     parsed = pieces.where("xml <> ''").select("page", F.from_xml(F.concat("xml", F.lit("</TextBlock>")), ALTO_BLOCK, {"rowTag": "TextBlock", "mode": "PERMISSIVE"}).alias("b"))
     return parsed.select("page", *[F.col(f"b._{c}").alias(c.lower()) for c in ("HPOS", "VPOS", "WIDTH", "HEIGHT")], F.col("b.TextLine").alias("lines"))
 
 
+def write_archive(pages: DataFrame, path: str) -> None:
+    """Pages (path, value) as rows of a few Parquet files: a volume of many small files costs more to list than to read."""
+    pages.select("path", "value").write.parquet(path)
+
+
+def read_archived_blocks(spark: SparkSession, path: str, page: str = r"([0-9]+)\.xml$") -> DataFrame:
+    """As ``read_blocks``, from the pages of an archive, with the page number from a page's path in it. A page is one row."""
+    pages = spark.read.schema("path string, value string").parquet(path)
+    pieces = pages.select(F.regexp_extract("path", page, 1).cast("int").alias("page"), F.explode(F.split("value", "</TextBlock>")).alias("value"))
+    return _parsed(pieces.select("page", F.regexp_extract("value", r"(?s)<TextBlock\b.*", 0).alias("xml")))
+
+
 def block_lines(blocks: DataFrame) -> DataFrame:
     """One row for each line of the blocks, with its words (TF8)."""
     rows = blocks.select("page", F.posexplode("lines").alias("i", "line"))
