@@ -2,6 +2,7 @@
 
 import math
 import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -127,3 +128,30 @@ def test_no_edges_leave_one_row_of_nulls(spark):
     labels = spark.createDataFrame([(1, "a"), (2, "b")], "node long, label string")
     rows = I.label_permutation(edges, labels, draws=3).collect()
     assert [tuple(r) for r in rows] == [(None, None, None, None, 0, None, None)]
+
+
+def test_sets_of_values_are_even():
+    """Of 20 values (a block and a part of one) each pair is drawn as often as any other, and a count of all gives their sum."""
+    values = 2.0 ** np.arange(20)
+    out = I.subset_sums(values, np.full(38_000, 2), np.random.default_rng(3))
+    pairs = Counter(out.tolist())
+    assert len(pairs) == 190 and 110 < sum((c - 200) ** 2 / 200 for c in pairs.values()) < 285  # 189 degrees of freedom
+    assert I.subset_sums(values, np.array([0, 20]), np.random.default_rng(3)).tolist() == [0.0, 2.0**20 - 1]
+
+
+def test_mean_difference_over_many_classes_has_the_spread_of_all_deals(spark):
+    rng = np.random.default_rng(5)
+    rows = [(float(v), "ab"[i % 2]) for i, v in enumerate(rng.exponential(size=5000))]
+    a, b = (np.array([v for v, g in rows if g == x]) for x in "ab")
+    every = np.r_[a, b]
+    z = abs(a.mean() - b.mean()) / math.sqrt(every.var(ddof=1) * (1 / len(a) + 1 / len(b)))
+    got = I.mean_difference_permutation(spark.createDataFrame(rows, "v double, g string"), "v", "g", draws=6000).first()
+    assert got.observed == pytest.approx(a.mean() - b.mean()) and abs(got.p - math.erfc(z / math.sqrt(2))) < 0.03 and got.draws == 6000
+
+
+def test_draws_take_little_more_room_than_their_places():
+    tracemalloc.start()
+    out = I.shuffled_places(np.arange(4000), 5000, np.arange(500), 42)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 5 * out.nbytes
