@@ -4,7 +4,7 @@ import duckdb
 from pyspark.sql import functions as F
 
 from tiewright.operators import segment as G
-from tiewright.plans import volumes
+from tiewright.plans import volumes, windows
 
 VOLUME = [
     "Préface du volume, sans ordre.", "ABADIE (Jean), avocat.", "Agriculture. La vigne.", "il naquit à Tunis.", "AUBERT, rentier.", "Zaghouan, montagne.", "BERTIN, notaire.", "ETUDES : lycée.", "XIV, siècle.", "CARON, maçon.", "Zone franche.",
@@ -58,6 +58,18 @@ def test_headings_count_letters_as_the_sql_does(spark, tmp_path):
     assert {r.v: r.reason for r in G.judged(paras, ["v"]).collect()} == {0: "sequence_heading", 1: "anchor"}
 
 
+def test_carriage_returns_and_other_separators_as_in_the_sql(spark, tmp_path):
+    """Only a line feed ends a line: a period before a carriage return does not, and a line separator may stand in a headword."""
+    texts = ["Eins ist hier.\r\nZwei ist da.\r\nDrei\n", "Abend\u2028 und Morgen, so.\nMittag \x85heute, ja.\nZeit.\u2028\nNacht.", "\u2028Rand, so."]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    for plans, name in ((volumes, "segmented_entries"), (windows, "gaps_islands")):
+        got = plans.QUERIES[name](spark, str(tmp_path))
+        want = con.execute(f"SELECT {', '.join(got.columns)} FROM ({plans.ORACLES[name]})").fetchall()
+        assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
 def test_lines_become_paragraphs(spark):
     lines = spark.createDataFrame([("a", 1, "Un  mot", None), ("a", 2, "deux.", False), ("a", 3, None, False), ("a", 4, "Trois", True)], "v string, i int, text string, starts boolean")
     got = sorted(map(tuple, G.paragraphs(lines, "starts", ["v"], "i").collect()))

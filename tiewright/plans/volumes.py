@@ -38,7 +38,7 @@ def one_sequence(spark, d):
     key = F.upper(F.substring(F.regexp_replace("line", "[^A-Za-z]", ""), 1, 8))
     size = F.char_length("line")
     rows = lines(spark, d).select(
-        "doc_id", "i", size.alias("size"), key.alias("key"), F.substring("line", 1, 1).alias("initial"), F.col("line").rlike("[.!]$").alias("ends"), F.col("line").rlike("^[A-Z]").alias("capital"),
+        "doc_id", "i", size.alias("size"), key.alias("key"), F.substring("line", 1, 1).alias("initial"), F.col("line").rlike(r"[.!]\z").alias("ends"), F.col("line").rlike("^[A-Z]").alias("capital"),
         (size >= 120).alias("anchor"), ((size >= 20) & (key != "")).alias("plausible"), (size % 97 == 0).cast("int").alias("boundary"),
     )
     ranged = P.in_ranges(rows, ["doc_id", "i"])
@@ -90,6 +90,6 @@ def segmented_entries(spark, d):
     word = F.translate(F.regexp_extract("line", "^[^ ]*", 0), LOWER, UPPER)
     printed = F.when(F.col("i") % 9 == 8, "SUPPLEMENT.").when(F.char_length("line") % 3 == 0, F.concat(word, F.lit(","), F.regexp_replace("line", "^[^ ]*", ""))).otherwise(F.col("line"))
     rows = lines(spark, d).select("doc_id", "i", printed.alias("text"))
-    starts = F.lag("text").over(S.frame(["doc_id"], ["i"])).rlike("[.!]$") & F.col("text").rlike("^[A-Z]")
+    starts = F.lag("text").over(S.frame(["doc_id"], ["i"])).rlike(r"[.!]\z") & F.col("text").rlike("^[A-Z]")
     paras = G.paragraphs(rows.withColumn("starts", starts), "starts", ["doc_id"], "i")
     return G.entries(paras, ["doc_id"]).select("doc_id", "entry", "head", "reason", "n_paragraphs", F.char_length("text").cast("long").alias("n_chars"))

@@ -52,7 +52,7 @@ def moving_median_excl_self(spark, d):
 def gaps_islands(spark, d):
     """Lines grouped into paragraphs: a new one after a sentence's end before a capital (WIN2)."""
     before = F.lag("line").over(S.frame(["doc_id"], ["i"]))
-    rows = lines(spark, d).withColumn("starts", before.rlike("[.!]$") & F.col("line").rlike("^[A-Z]"))
+    rows = lines(spark, d).withColumn("starts", before.rlike(r"[.!]\z") & F.col("line").rlike("^[A-Z]"))
     groups = rows.select("doc_id", S.islands(F.col("starts"), ["doc_id"], ["i"]).alias("grp")).groupBy("doc_id", "grp").agg(F.count("*").alias("n"))
     return groups.groupBy("doc_id").agg(F.count("*").alias("n_groups"), F.max("n").alias("longest"))
 
