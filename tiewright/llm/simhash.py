@@ -11,7 +11,8 @@ distance ``bits`` differ on at most that many axes, so every link has a cell of
 ``wide_scheme``: several words from as many sets of hashes of the same shingles, for links far beyond a few bits. The share of
 differing bits then estimates the similarity, and grids of a few segments are dealt out from shuffled segments: a pair whose
 bits differ with probability p shares the cell of a grid of k segments with probability q = (1 - 2p + 1.5 p^2)^k, and misses
-all G grids with (1 - q)^G. This search is not exact as that of the exact scheme is: the tests measure its recall.
+all G grids with (1 - q)^G. This search is not exact as that of the exact scheme is: the tests measure its recall. Where all
+texts of a similarity are to be linked, ``alike`` finds them.
 
 Pairs are not emitted. From every cell, whatever its size, leave only the edges of a spanning forest over its links, and of
 these only edges whose ends share no cell of an earlier grid: such ends are connected already by what the earlier grids
@@ -292,7 +293,7 @@ def _small_cells(key: np.ndarray, fp: np.ndarray, small: np.ndarray, most: int,
     both = np.concatenate(ends, axis=1) if ends else np.empty((2, 0), np.int64)
     if not both.shape[1]:
         return both
-    if scheme.words > 1:  # the nearest first: what is verified later should hold
+    if scheme.words > 1:  # the nearest first
         both = both[:, np.argsort(np.bitwise_count(fp[both[0]] ^ fp[both[1]]).sum(-1), kind="stable")]
     members, place = np.unique(both, return_inverse=True)
     place = place.reshape(both.shape)
@@ -377,56 +378,22 @@ def links(distinct: DataFrame, scheme: Scheme = EXACT, block: int = BLOCK) -> Da
     return edges
 
 
-def verified(edges: DataFrame, docs: DataFrame, width: int, similarity: float) -> DataFrame:
-    """The (src, dst) of ``edges`` whose texts' sets of shingles have a Jaccard similarity of ``similarity`` or more.
-
-    ``docs``: fp, body, one row for each fingerprint. Only sets of fingerprints that have an edge are made. Fingerprints with
-    many edges meet them by a bounded broadcast.
-    """
-    edges = materialize(edges.distinct(), "edges")
-    ends = edges.select(F.explode(F.array("src", "dst")).alias("fp")).distinct()
-    held = docs.join(ends, "fp", "left_semi")
-    kind = docs.schema["fp"].dataType.simpleString()
-
-    def sets(batches):
-        for batch in batches:
-            found = pa.array([shingle_set(t, width).tobytes() for t in batch.column(1).to_pylist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), found], names=["fp", "shingles"])
-
-    made = materialize(held.select("fp", "body").mapInArrow(sets, f"fp {kind}, shingles binary"), "sets")
-    met = edges
-    for end in ("src", "dst"):
-        degrees = edges.groupBy(F.col(end).alias("fp")).agg(F.count("*").alias("n"))
-        side = made.join(degrees, "fp").select(F.col("fp").alias(end), F.col("shingles").alias(f"{end}_set"), "n")
-        met = join_counted(met, side, end)
-
-    def alike(batches):
-        for batch in batches:
-            one, two = ([np.frombuffer(x, np.uint64) for x in batch.column(i).to_pylist()] for i in (2, 3))
-            keep = pa.array([likeness(a, b) >= similarity for a, b in zip(one, two)], pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["src", "dst"])
-
-    return materialize(met.select("src", "dst", "src_set", "dst_set").mapInArrow(alike, f"src {kind}, dst {kind}"), "verified")
-
-
 def near_groups(docs: DataFrame, scheme: Scheme = EXACT, width: int = 4, text: str = "text", key: str = "doc_id", similarity: float | None = None) -> DataFrame:
     """Per row of ``docs``: the key as doc_id, mark, fp, component (a fingerprint) and component_id, the smallest key links lead to.
 
-    With a ``similarity``, links hold only between texts whose shingles have it: those that the search leaves (a spanning
-    forest of the nearest) are compared exactly, so every text in a group has a partner there that is as similar.
+    With a ``similarity``, links are those of ``alike_groups``: all pairs of texts whose shingles have it. Fingerprints are then
+    neither made nor returned, and ``component`` is a mark; ``scheme`` counts without one only.
     Texts without words have a fingerprint of zeros and link like others. Null texts count as empty; very long ones are
     hashed in strides. Repeated rows and repeated keys give one result each; rows with a null key get a result and lend no
     id; an empty table gives an empty result. Other columns are not read, so their names cannot clash.
     """
-    rows = materialize(fingerprints(docs, width, text, key, scheme.words), "fingerprints")
-    one = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("mark").alias("mark"))).alias("one")
-    distinct = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n"), one), "distinct")
-    found = links(distinct, scheme)
     if similarity is not None:
-        own = docs.select(F.col(key).alias("own_id"), whole_text(text).alias("body")).withColumn("own_mark", F.xxhash64("body"))
-        texts = own.join(distinct.select("fp", "one"), F.col("own_id").eqNullSafe(F.col("one.id")) & (F.col("own_mark") == F.col("one.mark")))
-        found = verified(found, texts.select("fp", "body").dropDuplicates(["fp"]), width, similarity)
-    labels = components(found).withColumnRenamed("node", "fp")
+        from tiewright.llm.alike import alike_groups
+
+        return alike_groups(docs, width, similarity, text, key)
+    rows = materialize(fingerprints(docs, width, text, key, scheme.words), "fingerprints")
+    distinct = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")), "distinct")
+    labels = components(links(distinct, scheme)).withColumnRenamed("node", "fp")
     linked = materialize(labels.join(distinct.select("fp", "first_id"), "fp"), "linked")
     ids = linked.groupBy("component").agg(F.min("first_id").alias("component_id"), F.count("*").alias("n"))
     linked = join_counted(linked.select("fp", "component"), ids, "component")
@@ -437,7 +404,7 @@ def near_groups(docs: DataFrame, scheme: Scheme = EXACT, width: int = 4, text: s
 def keep_one(docs: DataFrame, scheme: Scheme = WIDE, width: int = 5, text: str = "text", key: str = "doc_id", similarity: float | None = 0.8) -> DataFrame:
     """One row of ``docs`` for each near group, with all its columns: that with the smallest key (nulls last).
 
-    A row goes only if its group has a text whose shingles are ``similarity`` alike.
+    A row goes only if its group has a text whose shingles are ``similarity`` alike, and of two such texts one goes (``alike_groups``).
     Of rows that share the smallest key, that whose text has the smaller hash stays; of rows that share key and text any one.
     Null texts count as empty, and one row of all empty texts stays. An empty table stays empty. Columns of ``docs`` may have any names.
     """
