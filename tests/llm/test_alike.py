@@ -57,8 +57,22 @@ def test_equal_fingerprints_of_unlike_texts_are_no_link(spark):
     assert H.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).count() == 3
 
 
-def test_chains_and_templates_against_all_pairs(spark):
+def test_sketches_differ_by_no_more_than_the_sets():
+    rng = np.random.default_rng(9)
+    for _ in range(500):
+        a, b = (np.unique(rng.integers(0, 2**64, int(rng.choice([0, 1, 16, 17, 90, 700])), dtype=np.uint64)) for _ in range(2))
+        b = np.union1d(b[: len(b) // 4], a[: int(rng.integers(0, len(a) + 1))])
+        one, two = A.sketch(a), A.sketch(b)
+        words = min(len(one), len(two))
+        assert 64 * len(one) >= 4 * len(a)
+        for w in (words, 1):
+            assert np.bitwise_count(A.folded(one, w) ^ A.folded(two, w)).sum() <= len(np.setxor1d(a, b))
+
+
+@pytest.mark.parametrize("block", [A.BLOCK, 3])
+def test_chains_and_templates_against_all_pairs(spark, monkeypatch, block):
     """Chains of edits of one text, and texts around a shared passage, so that parts hold several groups."""
+    monkeypatch.setattr(A, "BLOCK", block)
     rng, rows = random.Random(5), []
     shared = [f"s{k}" for k in range(70)]
     for i in range(25):
@@ -110,4 +124,17 @@ def test_a_large_group_meets_its_first_text_only(spark):
     assert set(groups(spark, rows).values()) == {0}
     texts = spark.createDataFrame(rows, "node long, body string")
     found = A.parts(texts, 5, 0.8).repartition("part").sortWithinPartitions("part", "node").mapInArrow(A._shared, "kind int, a long, b long").where("kind = 0").select("a", "b").distinct()
-    assert found.count() < 600 * 599 / 2 / 4
+    assert found.count() < 12 * 600
+
+
+def test_unlike_groups_of_a_part_do_not_become_pairs(spark):
+    """Three hundred texts that share seven tenths of their words: all are in the same parts, and no pair of them is a row."""
+    shared = [f"s{k}" for k in range(140)]
+    rows = [(i, " ".join(shared + [f"{i}t{k}" for k in range(60)])) for i in range(300)]
+    found = spark.createDataFrame([(p, i) for p in range(5) for i, _ in rows], "part long, node long")
+    data = [(i, len(x), x.tobytes(), A.sketch(x).tobytes()) for i, x in ((i, H.shingle_set(t, 5)) for i, t in rows)]
+    sets = spark.createDataFrame([(i, n, bytearray(x), bytearray(y)) for i, n, x, y in data], "node long, size long, shingles binary, sketch binary")
+    links = spark.createDataFrame([(0, 1), (2, 3)], "src long, dst long")
+    assert A.across_groups(found, links, sets, 0.8).count() == 0
+    assert A.across_groups(found, links, sets, 0.4).count() == 300 * 299 / 2 - 2
+    assert set(groups(spark, rows).items()) == {(i, i) for i in range(300)}

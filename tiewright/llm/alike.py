@@ -10,7 +10,8 @@ an exact comparison of the sets drops. A part is shared by chance far more seldo
 
 Pairs are not made of whole groups: within a part each text meets the first one only, and what is linked by that is one group.
 Texts of one part that are in different groups then meet each other as well, so no pair that a group does not already join is
-left out.
+left out. They meet where the part's members stand, by sketches that bound from below in how many shingles two sets differ: a
+part's pairs are looked at, and only those that may be alike become rows.
 """
 
 from __future__ import annotations
@@ -26,13 +27,14 @@ from tiewright.llm.bpe import whole_text
 from tiewright.llm.simhash import _groups, likeness, remixed, shingle_set
 from tiewright.llm.skew import join_counted
 from tiewright.operators.components import components
-from tiewright.operators.pairs import self_pairs
 from tiewright.sources.tables import materialize
 
 #: The largest size of each class of sizes: each half as large again as the one before.
 TOPS = [4]
 while TOPS[-1] < 1 << 40:
     TOPS.append(TOPS[-1] * 3 // 2)
+#: Members of a part that meet in one piece.
+BLOCK = 1000
 _EDGE, _MEMBER = 0, 1
 
 
@@ -94,7 +96,7 @@ def compared(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     met = pairs
     for end in ("src", "dst"):
         degrees = pairs.groupBy(F.col(end).alias("node")).agg(F.count("*").alias("n"))
-        met = join_counted(met, sets.join(degrees, "node").select(F.col("node").alias(end), F.col("shingles").alias(f"{end}_set"), "n"), end)
+        met = join_counted(met, sets.select("node", "shingles").join(degrees, "node").select(F.col("node").alias(end), F.col("shingles").alias(f"{end}_set"), "n"), end)
 
     def alike(batches):
         for batch in batches:
@@ -105,16 +107,78 @@ def compared(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return materialize(met.select("src", "dst", "src_set", "dst_set").mapInArrow(alike, "src long, dst long"), "verified")
 
 
-def across_groups(members: DataFrame, links: DataFrame) -> DataFrame:
-    """(src, dst), each once: pairs of nodes that share a part and are in different components of ``links``."""
-    labels = materialize(components(links), "labels")
-    placed = members.join(labels, "node", "left").select("part", "node", F.coalesce("component", "node").alias("group"))
-    mixed = placed.groupBy("part").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low < high").select("part")
-    placed = materialize(placed.join(mixed, "part", "left_semi"), "members")
-    met = self_pairs(placed.select("part", "group").distinct(), "part", "group").where("a < b")
-    for end in ("a", "b"):
-        met = met.join(placed.select("part", F.col("group").alias(end), F.col("node").alias(f"{end}_node")), ["part", end])
-    return met.select(F.least("a_node", "b_node").alias("src"), F.greatest("a_node", "b_node").alias("dst")).distinct()
+def sketch(shingles: np.ndarray) -> np.ndarray:
+    """Parities of the numbers of shingles by their hashes' last bits, in at least four bits for each shingle.
+
+    Two sets' sketches differ in no more bits than the sets in shingles, and so they do when they are folded to half the length.
+    """
+    bits = 64 << max(0, (len(shingles) - 1) >> 4).bit_length()
+    odd = np.bincount((shingles & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
+
+
+def folded(found: np.ndarray, words: int) -> np.ndarray:
+    """A sketch at a smaller length."""
+    while len(found) > words:
+        found = found[: len(found) // 2] ^ found[len(found) // 2 :]
+    return found
+
+
+def _near(unit: pa.Table, j: Fraction) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of one unit's rows (side, group, node, size, sketch) of different groups whose sketches do not rule them out."""
+    side, group, node, size = (unit.column(c).to_numpy() for c in ("side", "group", "node", "size"))
+    own = [np.frombuffer(x, np.uint64) for x in unit.column("sketch").to_pylist()]
+    least = min(map(len, own))
+    own = np.stack([folded(x, least) for x in own])
+    ends = []
+    for i in range(len(node) - 1):
+        rest = i + 1 + np.flatnonzero((group[i + 1 :] != group[i]) & ((side[i] == 2) | (side[i + 1 :] != side[i])))
+        if len(rest):
+            differ = np.bitwise_count(own[rest] ^ own[i]).sum(axis=1, dtype=np.int64)
+            rest = rest[differ * (j.denominator + j.numerator) <= (size[rest] + size[i]) * (j.denominator - j.numerator)]
+            ends.append(np.stack([np.full(len(rest), node[i]), node[rest]]))
+    both = np.concatenate(ends, axis=1) if ends else np.empty((2, 0), np.int64)
+    return both.min(axis=0), both.max(axis=0)
+
+
+def across_groups(members: DataFrame, links: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(src, dst), each once: pairs of nodes that share a part, are in different components of ``links`` and may be alike.
+
+    Whether they may be is told by their sketches where the members of a part stand together, so no other pair becomes a row.
+    A part of more than ``BLOCK`` members is dealt out as squares of blocks.
+    """
+    labels, j = materialize(components(links), "labels"), Fraction(str(similarity))
+    placed = materialize(members.join(labels, "node", "left").select("part", "node", F.coalesce("component", "node").alias("group")), "members")
+    blocks = F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")
+    mixed = placed.groupBy("part").agg(F.min("group").alias("low"), F.max("group").alias("high"), blocks).where("low < high").select("part", "blocks")
+    own, other = F.col("own"), F.col("other")
+    dealt = placed.join(mixed, "part").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    side = F.when(own == other, 2).when(own < other, 0).otherwise(1).alias("side")
+    dealt = dealt.select(F.xxhash64("part", F.least(own, other), F.greatest(own, other)).alias("unit"), side, "group", "node")
+    rows = dealt.join(sets.select("node", "size", "sketch"), "node").select("unit", "side", "group", "node", "size", "sketch")
+
+    def run(batches):
+        held: list[pa.Table] = []
+        for batch in batches:
+            whole = pa.Table.from_batches([batch])
+            unit = whole.column("unit").to_numpy()
+            bounds = [0, *(np.flatnonzero(unit[1:] != unit[:-1]) + 1).tolist(), len(unit)]
+            for at, end in zip(bounds, bounds[1:]):
+                if held and at == 0 and len(unit) and held[0].column("unit")[0].as_py() != unit[0]:
+                    yield solved(held)
+                    held = []
+                if end > at:
+                    held.append(whole.slice(at, end - at))
+                if end < len(unit):
+                    yield solved(held)
+                    held = []
+        if held:
+            yield solved(held)
+
+    def solved(held: list[pa.Table]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in _near(pa.concat_tables(held), j)], names=["src", "dst"])
+
+    return rows.repartition("unit").sortWithinPartitions("unit", "side", "node").mapInArrow(run, "src long, dst long").distinct()
 
 
 def alike_groups(docs: DataFrame, width: int, similarity: float, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -144,11 +208,13 @@ def alike_groups(docs: DataFrame, width: int, similarity: float, text: str = "te
 
     def made(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_set(t, width).tobytes() for t in batch.column(1).to_pylist()], pa.binary())], names=["node", "shingles"])
+            found = [shingle_set(t, width) for t in batch.column(1).to_pylist()]
+            columns = pa.array([len(x) for x in found], pa.int64()), pa.array([x.tobytes() for x in found], pa.binary()), pa.array([sketch(x).tobytes() for x in found], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["node", "size", "shingles", "sketch"])
 
-    sets = materialize(texts(distinct.join(ends, "mark", "left_semi")).mapInArrow(made, "node long, shingles binary").dropDuplicates(["node"]), "sets")
+    sets = materialize(texts(distinct.join(ends, "mark", "left_semi")).mapInArrow(made, "node long, size long, shingles binary, sketch binary").dropDuplicates(["node"]), "sets")
     links = compared(edges, sets, similarity)
-    more = materialize(across_groups(members, links).join(edges, ["src", "dst"], "left_anti"), "edges")
+    more = materialize(across_groups(members, links, sets, similarity).join(edges, ["src", "dst"], "left_anti"), "edges")
     if not more.isEmpty():
         links = links.unionByName(compared(more, sets, similarity))
     labels = materialize(components(links).withColumnRenamed("node", "mark").join(distinct.select("mark", "first_id"), "mark"), "linked")
