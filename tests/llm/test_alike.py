@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -138,3 +139,18 @@ def test_unlike_groups_of_a_part_do_not_become_pairs(spark):
     assert A.across_groups(found, links, sets, 0.8).count() == 0
     assert A.across_groups(found, links, sets, 0.4).count() == 300 * 299 / 2 - 2
     assert set(groups(spark, rows).items()) == {(i, i) for i in range(300)}
+
+
+def test_parts_are_whole_however_rows_are_batched():
+    """Batches that begin with one part only, as in a task of few rows or of one large part."""
+    part, node = [1, 1, 1, 2, 3, 3, 3, 3, 9], [4, 5, 6, 4, 4, 5, 5, 7, 6]
+    want = [(0, 4, 5), (0, 4, 6), (0, 4, 7), (1, 1, 4), (1, 1, 5), (1, 1, 6), (1, 3, 4), (1, 3, 5), (1, 3, 7)]
+    for size in (1, 2, 3, 4, 9):
+        batches = [pa.RecordBatch.from_arrays([pa.array(part[i : i + size], pa.int64()), pa.array(node[i : i + size], pa.int64())], names=["part", "node"]) for i in range(0, 9, size)]
+        assert sorted({tuple(r.values()) for b in A._shared(batches) for r in b.to_pylist()}) == want
+
+
+@pytest.mark.parametrize("rows", [[(1, "a b c d e f g")], [(1, None)], [(3, "a b c"), (2, "a b c"), (2, "a b c")]])
+def test_tables_of_one_text(spark, rows):
+    kept = H.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert [(r.doc_id, r.text) for r in kept.collect()] == [min(rows)]

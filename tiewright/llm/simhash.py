@@ -265,8 +265,8 @@ def _groups(batches, words: int):
         if not len(now[0]):
             continue
         last = int(np.flatnonzero(now[0] == now[0][-1])[0])
-        if last == 0 and held and held[-1][0][-1] == now[0][0]:
-            held.append(now)  # one cell goes on
+        if last == 0 and (not held or held[-1][0][-1] == now[0][0]):
+            held.append(now)  # one cell begins or goes on
             continue
         yield tuple(np.concatenate([*(h[i] for h in held), now[i][:last]]) for i in range(2))
         held = [tuple(c[last:] for c in now)]
